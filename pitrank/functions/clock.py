@@ -64,7 +64,8 @@ def first_usable_date(as_of: Column | str, after: Column | str | None = None) ->
     usable = F.when(shifted > day.cast("timestamp_ntz"), F.date_add(day, 1)).otherwise(day)
     if after is not None:
         after = F.col(after) if isinstance(after, str) else after
-        usable = F.greatest(usable, F.date_add(after, 1))
+        # greatest() skips nulls; a row without as_of must stay unusable.
+        usable = F.when(as_of.isNotNull(), F.greatest(usable, F.date_add(after, 1)))
     return usable
 
 

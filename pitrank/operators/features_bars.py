@@ -105,7 +105,7 @@ def liquidity_features(universe: DataFrame) -> DataFrame:
         universe.withColumn("_beta", beta)
         .withColumn("_gamma_root", gamma_root)
         .withColumn("_alpha", alpha)
-        .withColumn("_spread", F.greatest(spread, F.lit(0.0)))
+        .withColumn("_spread", F.when(F.col("_alpha").isNotNull(), F.greatest(spread, F.lit(0.0))))
         .withColumn("_impact", ratio(F.abs("ret"), F.col("dollar_volume")))
         .withColumn("_range", ratio(high - low, close))
         .withColumn("_dead", (F.coalesce(F.col("volume"), F.lit(0.0)) == 0).cast("int"))

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pitrank.functions.hashing import KEY_BITS
+
 HOT_GROUP_ROWS = 4_000_000
 SMALL_INPUT_BYTES = 512 * 1024 * 1024
 SLICES = 256
@@ -162,7 +164,7 @@ def positions(
     split: bool | None = None,
     hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
-    """1-based position inside each group ordered by a uniform 64-bit hash column.
+    """1-based position inside each group ordered by a uniform hash column (``uniform_key``).
 
     The top bits of a uniform hash are an order-preserving slice number, so the
     split form needs no sketch.
@@ -173,7 +175,7 @@ def positions(
     if not split:
         w = W.partitionBy(*group).orderBy(F.col(order_hash), *tie)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
-    sliced = df.withColumn("_slice", F.shiftright(F.col(order_hash), 52))
+    sliced = df.withColumn("_slice", F.shiftright(F.col(order_hash), KEY_BITS - 12))
     sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
     before = sizes.select(
         *group,

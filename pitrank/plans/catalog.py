@@ -154,7 +154,7 @@ def market_context(bars: DataFrame) -> DataFrame:
     return daily.select(
         "trade_date",
         "spy_ret_1d",
-        F.sum(F.col("spy_ret_1d").cast("decimal(18,8)")).over(last5).cast("double").alias("spy_ret_5d"),
+        F.sum("spy_ret_1d").over(last5).alias("spy_ret_5d"),
         "vix_level",
         (F.col("vix_level") - F.col("spy_ret_1d")).alias("iwm_minus_spy_1d"),
         "movers_10pct_count",

@@ -152,5 +152,215 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, CAST(rank AS INTEGER)
        CAST(label AS INTEGER) AS label, label_spec_version, CAST(as_of AS VARCHAR) AS as_of FROM labels_v""")
 
 
+# --- bars-only features ---------------------------------------------------------------
+
+cte("bu0_v", """
+SELECT *, close / prev_close - 1.0 AS ret FROM (
+  SELECT trade_date, ticker, close, high, low, volume, dollar_volume,
+         lag(close) OVER t AS prev_close, lag(trade_date) OVER t AS prev_date,
+         CAST(sum(CAST(dollar_volume AS DECIMAL(28,4))) OVER w AS DOUBLE) / count(*) OVER w AS adv20
+  FROM bars_v
+  WINDOW t AS (PARTITION BY ticker ORDER BY trade_date),
+         w AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+WHERE prev_close IS NOT NULL
+""")
+cte("bu_v", """
+SELECT *, CASE WHEN rank <= 10 THEN 1 ELSE 0 END AS label
+FROM (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY ret DESC, ticker) AS rank FROM bu0_v)
+""")
+cte("bf1_v", """
+SELECT trade_date, ticker, prev_date,
+       lag(close) OVER t / lag(close, 6) OVER t - 1.0 AS ret5,
+       lag(close) OVER t / lag(close, 21) OVER t - 1.0 AS ret20,
+       lag(ret) OVER t AS prev_ret1,
+       CASE WHEN count(ret) OVER w5 >= 3 THEN stddev_samp(ret) OVER w5 END AS vol5,
+       CASE WHEN count(ret) OVER w20 >= 10 THEN stddev_samp(ret) OVER w20 END AS vol20,
+       lag(dollar_volume / adv20) OVER t AS relvol_prev,
+       ln(1 + lag(dollar_volume) OVER t) AS logdv,
+       ln(lag(close) OVER t) AS logpx,
+       CASE WHEN count(close) OVER w252 >= 60 THEN lag(close) OVER t / max(close) OVER w252 - 1.0 END AS dist52,
+       CAST(lag(label) OVER t AS DOUBLE) AS was_top,
+       CAST(sum(label) OVER w30 AS DOUBLE) AS top30,
+       CAST(sum(label) OVER w90 AS DOUBLE) AS top90
+FROM bu_v
+WINDOW t AS (PARTITION BY ticker ORDER BY trade_date),
+       w5 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
+       w20 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING),
+       w30 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING),
+       w90 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING),
+       w252 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)
+""")
+cte("bf_v", """
+SELECT *, CASE WHEN count(vol5) OVER (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 10
+               THEN stddev_samp(vol5) OVER (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS volofvol,
+       CASE WHEN prev_ret1 IS NOT NULL THEN
+         (rank() OVER (PARTITION BY trade_date ORDER BY prev_ret1 NULLS LAST)
+          + (count(*) OVER (PARTITION BY trade_date, prev_ret1) - 1) / 2.0::DOUBLE)
+         / count(prev_ret1) OVER (PARTITION BY trade_date) END AS xs_ret_rank,
+       CASE WHEN vol20 IS NOT NULL THEN
+         (rank() OVER (PARTITION BY trade_date ORDER BY vol20 NULLS LAST)
+          + (count(*) OVER (PARTITION BY trade_date, vol20) - 1) / 2.0::DOUBLE)
+         / count(vol20) OVER (PARTITION BY trade_date) END AS xs_vol_rank,
+       CAST(prev_date AS TIMESTAMP) + INTERVAL 16 HOUR AS as_of
+FROM bf1_v
+""")
+oracle("bars_universe", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, close, high, low, volume, dollar_volume, prev_close,
+       CAST(prev_date AS VARCHAR) AS prev_date, adv20, ret, CAST(rank AS INTEGER) AS rank, CAST(label AS INTEGER) AS label FROM bu_v""")
+oracle("bars_t1", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, xs_vol_rank, xs_ret_rank, top90, round(logpx, 8) AS logpx, dist52,
+       round(vol20, 8) AS vol20, round(vol5, 8) AS vol5, relvol_prev, ret5, ret20, round(volofvol, 8) AS volofvol,
+       round(logdv, 8) AS logdv, prev_ret1, was_top, top30, CAST(as_of AS VARCHAR) AS as_of FROM bf_v""")
+oracle("warmup_drop", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, CAST(as_of AS VARCHAR) AS as_of FROM bf_v
+WHERE xs_vol_rank IS NOT NULL AND xs_ret_rank IS NOT NULL AND top90 IS NOT NULL AND logpx IS NOT NULL AND dist52 IS NOT NULL
+  AND vol20 IS NOT NULL AND vol5 IS NOT NULL AND relvol_prev IS NOT NULL AND ret5 IS NOT NULL AND ret20 IS NOT NULL
+  AND volofvol IS NOT NULL AND logdv IS NOT NULL AND prev_ret1 IS NOT NULL AND was_top IS NOT NULL AND top30 IS NOT NULL""")
+cte("liq_v", """
+SELECT trade_date, ticker, prev_date, ret, dollar_volume, volume, adv20, (high - low) / close AS rng,
+       (ln(high / low) * ln(high / low) + lag(ln(high / low) * ln(high / low)) OVER t) AS beta,
+       ln(greatest(high, lag(high) OVER t) / least(low, lag(low) OVER t)) AS g,
+       lag(close) OVER t IS NOT NULL AS has_prev
+FROM bu_v WINDOW t AS (PARTITION BY ticker ORDER BY trade_date)
+""")
+cte("liq2_v", """
+SELECT *, CASE WHEN has_prev THEN (sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2.0::DOUBLE)) - sqrt(g * g / (3 - 2 * sqrt(2.0::DOUBLE))) END AS alpha FROM liq_v
+""")
+cte("liq3_v", """
+SELECT *, CASE WHEN alpha IS NOT NULL THEN greatest(2 * (exp(alpha) - 1) / (1 + exp(alpha)), 0) END AS spread FROM liq2_v
+""")
+cte("liq4_v", """
+SELECT trade_date, ticker, prev_date,
+       CASE WHEN count(ret) OVER w >= 10 THEN ln(avg(abs(ret) / dollar_volume) OVER w) END AS log_amihud,
+       CASE WHEN count(spread) OVER w >= 10 THEN avg(spread) OVER w END AS cs_spread_20d,
+       CAST(sum(CASE WHEN volume = 0 THEN 1 ELSE 0 END) OVER w AS DOUBLE) AS zero_vol_20d,
+       lag(adv20) OVER t AS adv,
+       CASE WHEN count(rng) OVER w >= 10 THEN avg(rng) OVER w END AS range_20d
+FROM liq3_v
+WINDOW t AS (PARTITION BY ticker ORDER BY trade_date),
+       w AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)
+""")
+oracle("liquidity_features", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, round(log_amihud, 6) AS log_amihud, round(cs_spread_20d, 6) AS cs_spread_20d,
+       zero_vol_20d, CASE WHEN adv IS NOT NULL THEN
+         (rank() OVER (PARTITION BY trade_date ORDER BY adv NULLS LAST)
+          + (count(*) OVER (PARTITION BY trade_date, adv) - 1) / 2.0::DOUBLE)
+         / count(adv) OVER (PARTITION BY trade_date) END AS adv_pct_rank,
+       round(range_20d, 6) AS range_20d,
+       CAST(CAST(prev_date AS TIMESTAMP) + INTERVAL 16 HOUR AS VARCHAR) AS as_of FROM liq4_v""")
+
+# --- T1 ---------------------------------------------------------------------------------
+
+cte("r1_v", """
+SELECT *, sign(ret) AS sgn, row_number() OVER (PARTITION BY ticker ORDER BY trade_date) AS n FROM (
+  SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY trade_date) - 1.0 AS ret FROM bars_v)
+""")
+cte("r2_v", """
+SELECT *, CASE WHEN n >= 20 THEN avg(volume) OVER (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS adv_20,
+       CASE WHEN count(ret) OVER w5 >= 5 THEN stddev_samp(ret) OVER w5 END AS std5,
+       CASE WHEN sgn = lag(sgn) OVER (PARTITION BY ticker ORDER BY trade_date) THEN NULL ELSE n END AS start_n
+FROM r1_v WINDOW w5 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+""")
+cte("r3_v", """
+SELECT *, volume / adv_20 AS rv, last_value(start_n IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_n FROM r2_v
+""")
+
+def bucket_sql(col: str, edges) -> str:
+    arms = " ".join(f"WHEN {col} < {e} THEN {float(i)}" for i, e in enumerate(edges))
+    return f"CAST(CASE WHEN {col} IS NULL THEN NULL {arms} ELSE {float(len(edges))} END AS DOUBLE)"
+
+
+cte("barfeat_v", f"""
+SELECT trade_date, ticker, ret AS ret_1d, close / lag(close, 5) OVER t - 1.0 AS ret_5d, close / lag(close, 20) OVER t - 1.0 AS ret_20d,
+       round(std5, 8) AS rvol_5d,
+       round(CASE WHEN count(ret) OVER w20 >= 20 THEN stddev_samp(ret) OVER w20 END, 8) AS rvol_20d,
+       round(CASE WHEN n >= 15 THEN stddev_samp(std5) OVER w10 END, 8) AS vol_of_vol,
+       rv AS rel_volume_1d,
+       round(CASE WHEN n >= 24 THEN regr_slope(rv, n) OVER w5 END, 8) AS rel_volume_5d_trend,
+       adv_20, {bucket_sql("close", C.PRICE_EDGES)} AS price_bucket,
+       close / max(close) OVER w252 - 1.0 AS dist_from_52w_high, close / min(close) OVER w252 - 1.0 AS dist_from_52w_low,
+       CAST(CASE WHEN ret IS NULL OR ret = 0 THEN 0 ELSE sgn * (n - run_n + 1) END AS DOUBLE) AS consecutive_streak
+FROM r3_v
+WINDOW t AS (PARTITION BY ticker ORDER BY trade_date),
+       w5 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+       w10 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW),
+       w20 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW),
+       w252 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW)
+""")
+oracle("t1_bar_features", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM barfeat_v")
+cte("mkt_v", """
+SELECT trade_date, spy_ret_1d, vix_level, vix_level - spy_ret_1d AS iwm_minus_spy_1d, movers AS movers_10pct_count,
+       sum(spy_ret_1d) OVER (ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS spy_ret_5d
+FROM (SELECT trade_date, CAST(sum(CAST(ret AS DECIMAL(18,8))) AS DOUBLE) / nullif(count(ret), 0) AS spy_ret_1d,
+             CAST(sum(CAST(abs(ret) AS DECIMAL(18,8))) AS DOUBLE) / nullif(count(ret), 0) AS vix_level,
+             CAST(count(*) FILTER (WHERE abs(ret) > 0.10) AS DOUBLE) AS movers
+      FROM r1_v GROUP BY trade_date)
+""")
+cte("grid_v", """
+SELECT s.session AS t, f.* FROM (
+  SELECT f.*, c.session_idx, lead(c.session_idx) OVER (PARTITION BY f.ticker ORDER BY f.trade_date) AS next_idx
+  FROM barfeat_v f JOIN cal_v c ON f.trade_date = c.session) f
+JOIN cal_v s ON s.session_idx > f.session_idx AND (f.next_idx IS NULL OR s.session_idx <= f.next_idx)
+""")
+cte("gmeta_v", """
+SELECT g.t, g.ticker, m.sector, m.industry, m.market_cap, m.float_shares FROM grid_v g JOIN meta_v m
+  ON g.ticker = m.ticker AND m.as_of <= CAST(g.t AS TIMESTAMP) - INTERVAL 8 HOUR
+QUALIFY row_number() OVER (PARTITION BY g.t, g.ticker ORDER BY m.as_of DESC) = 1
+""")
+cte("gsi_v", """
+SELECT g.t, g.ticker, m.short_interest_pct_float, m.days_to_cover FROM grid_v g JOIN si_v m
+  ON g.ticker = m.ticker AND m.as_of <= CAST(g.t AS TIMESTAMP) - INTERVAL 8 HOUR
+QUALIFY row_number() OVER (PARTITION BY g.t, g.ticker ORDER BY m.as_of DESC, m.settlement_date DESC, m.short_interest_shares DESC) = 1
+""")
+cte("gearn_v", """
+SELECT g.t, g.ticker, m.report_date, m.date_is_revisable FROM grid_v g JOIN earnings_v m
+  ON g.ticker = m.ticker AND m.report_date >= g.t AND m.as_of <= CAST(g.t AS TIMESTAMP) - INTERVAL 8 HOUR
+QUALIFY row_number() OVER (PARTITION BY g.t, g.ticker ORDER BY m.report_date) = 1
+""")
+cte("gapp_v", """
+SELECT g.t, g.ticker, max(p.trade_date) AS last_p,
+       count(*) FILTER (WHERE p.trade_date >= g.t - 30) AS a30, count(*) FILTER (WHERE p.trade_date >= g.t - 90) AS a90
+FROM grid_v g JOIN (SELECT ticker, trade_date FROM labels_v WHERE label = 1) p
+  ON g.ticker = p.ticker AND p.trade_date < g.t GROUP BY 1, 2
+""")
+cte("gmkt_v", """
+SELECT c.session AS t, m.* FROM cal_v c JOIN mkt_v m ON m.trade_date = c.prev_session
+""")
+
+def sector_sql() -> str:
+    arms = []
+    for suffix in C.SECTOR_COLUMNS:
+        names = in_list(k for k, v in C.SECTOR_SUFFIX.items() if v == suffix)
+        arms.append(f"CAST(coalesce(lower(trim(m.sector)) IN {names}, false) AS INTEGER) AS sector_{suffix}")
+    arms.append(f"CAST(NOT coalesce(lower(trim(m.sector)) IN {in_list(C.SECTOR_SUFFIX)}, false) AS INTEGER) AS sector_other")
+    arms.append("CAST(coalesce(contains(lower(trim(m.industry)), 'biotech'), false) AS INTEGER) AS is_biotech")
+    return ", ".join(arms)
+
+
+cte("t1_v", f"""
+SELECT g.t AS trade_date, g.ticker, g.ret_1d, g.ret_5d, g.ret_20d,
+       CASE WHEN g.ret_1d IS NOT NULL THEN CAST(rank() OVER (PARTITION BY g.t ORDER BY g.ret_1d DESC NULLS LAST) AS DOUBLE) END AS ret_1d_rank,
+       g.rvol_5d, g.rvol_20d, g.vol_of_vol, g.rel_volume_1d, g.rel_volume_5d_trend, g.adv_20, g.price_bucket,
+       {bucket_sql("m.market_cap", C.MARKET_CAP_EDGES)} AS mcap_bucket, {bucket_sql("m.float_shares", C.FLOAT_EDGES)} AS float_bucket,
+       CAST(g.t - p.last_p AS DOUBLE) AS days_since_last_top10,
+       CAST(coalesce(p.a30, 0) AS INTEGER) AS appearances_30d, CAST(coalesce(p.a90, 0) AS INTEGER) AS appearances_90d,
+       CAST(coalesce(e.report_date = g.t, false) AS INTEGER) AS earnings_today,
+       CAST(coalesce(e.report_date = g.t + 1, false) AS INTEGER) AS earnings_tomorrow,
+       CAST(e.report_date - g.t AS DOUBLE) AS days_to_earnings, coalesce(e.date_is_revisable, false) AS earnings_date_revisable,
+       {sector_sql()},
+       s.short_interest_pct_float, s.days_to_cover, g.dist_from_52w_high, g.dist_from_52w_low, g.consecutive_streak,
+       k.spy_ret_1d AS mkt_spy_ret_1d, round(k.spy_ret_5d, 6) AS mkt_spy_ret_5d, k.vix_level AS mkt_vix_level,
+       k.iwm_minus_spy_1d AS mkt_iwm_minus_spy_1d, k.movers_10pct_count AS mkt_attention_regime_count,
+       CAST(g.t AS TIMESTAMP) - INTERVAL 8 HOUR AS as_of
+FROM grid_v g
+LEFT JOIN gmeta_v m ON g.t = m.t AND g.ticker = m.ticker
+LEFT JOIN gsi_v s ON g.t = s.t AND g.ticker = s.ticker
+LEFT JOIN gearn_v e ON g.t = e.t AND g.ticker = e.ticker
+LEFT JOIN gapp_v p ON g.t = p.t AND g.ticker = p.ticker
+LEFT JOIN gmkt_v k ON g.t = k.t
+""")
+oracle("t1_features", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date, CAST(as_of AS VARCHAR) AS as_of) FROM t1_v")
+
+
 def all_sql() -> dict[str, str]:
     return {name: build(sql) for name, sql in ORACLES.items()}

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pitrank.operators import calendar as cal
+from pitrank import contracts as C
+from pitrank.operators import features_bars as fb
+from pitrank.operators import features_t1 as t1
 from pitrank.operators import universe as uni
 from pitrank.plans import catalog as P
 
@@ -26,6 +29,11 @@ def present(df: DataFrame) -> DataFrame:
     )
 
 
+def rounded(df: DataFrame, places: int, *cols: str) -> DataFrame:
+    """Round accumulated doubles: engines add in different orders."""
+    return df.select(*[F.round(c, places).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def query(fn: Query) -> Query:
     name = fn.__name__
 
@@ -66,3 +74,61 @@ def _labels(spark, sf):
 @query
 def labels_topk(spark, sf):
     return _labels(spark, sf)
+
+
+# --- bars-only features ---------------------------------------------------------------
+
+_BARS_ROUNDED = ("vol5", "vol20", "volofvol", "logdv", "logpx")
+
+
+def _bars_universe(spark, sf):
+    return fb.bars_universe(P.daily_bars(spark, sf))
+
+
+@query
+def bars_universe(spark, sf):
+    return _bars_universe(spark, sf)
+
+
+@query
+def bars_t1(spark, sf):
+    return rounded(fb.build_bars_features(_bars_universe(spark, sf)), 8, *_BARS_ROUNDED)
+
+
+@query
+def warmup_drop(spark, sf):
+    """Rows that survive the warm-up rule, with the count of features present."""
+    kept = fb.drop_warmup(fb.build_bars_features(_bars_universe(spark, sf)))
+    return kept.select("trade_date", "ticker", "as_of")
+
+
+@query
+def liquidity_features(spark, sf):
+    return rounded(fb.liquidity_features(_bars_universe(spark, sf)), 6,
+                   "log_amihud", "cs_spread_20d", "range_20d")
+
+
+# --- T1 ---------------------------------------------------------------------------------
+
+_T1_ROUNDED = ("rvol_5d", "rvol_20d", "vol_of_vol", "rel_volume_5d_trend")
+
+
+@query
+def t1_bar_features(spark, sf):
+    """Trailing-window block of T1 on the bar rows themselves."""
+    df = t1.bar_features(P.daily_bars(spark, sf)).select("trade_date", "ticker", *t1.BAR_FEATURES)
+    return rounded(df, 8, *_T1_ROUNDED)
+
+
+def _t1(spark, sf, **kw):
+    bars = P.daily_bars(spark, sf)
+    return t1.build_t1_features(
+        bars, P.ticker_meta(spark, sf), P.earnings(spark, sf), _labels(spark, sf),
+        P.market_context(bars), P.short_interest(spark, sf), ordered=True,
+        calendar=cal.sessions(P.bar_dates(spark, sf)), **kw,
+    )
+
+
+@query
+def t1_features(spark, sf):
+    return rounded(rounded(_t1(spark, sf), 8, *_T1_ROUNDED), 6, "mkt_spy_ret_5d")
