@@ -144,3 +144,17 @@ def build_bars_forecast_features(features: DataFrame, quantiles: DataFrame) -> D
     """T1B plus the forecast block; rows without a forecast keep nulls."""
     joined = features.join(forecast_features(quantiles), ["trade_date", "ticker"], "left")
     return joined.select(*C.T1B_FC_COLUMNS)
+
+
+def label_frame(universe: DataFrame, spec_version: str = "v1") -> DataFrame:
+    """Label contract projected from a bars-only universe, knowable at the day's own close."""
+    return universe.select(
+        "trade_date", "ticker", F.col("rank").cast("int").alias("rank"), F.col("ret").alias("return_t"),
+        F.col("label").cast("int").alias("label"), F.lit(spec_version).alias("label_spec_version"),
+        close_time("trade_date").alias("as_of"),
+    )
+
+
+def close_frame(universe: DataFrame) -> DataFrame:
+    """(trade_date, ticker, close, as_of) for volatility scoring."""
+    return universe.select("trade_date", "ticker", "close", close_time("trade_date").alias("as_of"))

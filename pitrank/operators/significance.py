@@ -8,18 +8,18 @@ distribution function.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from pitrank.functions.scalars import normal_two_sided, student_t_two_sided
 from pitrank.operators.ranks import average_rank, with_rank_parts
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_pvalue(t: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([student_t_two_sided(a, int(b) - 1) if pd.notna(a) else None for a, b in zip(t, n)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _z_pvalue(z: pd.Series) -> pd.Series:
     return pd.Series([normal_two_sided(v) if pd.notna(v) else None for v in z])
 

@@ -150,11 +150,14 @@ def market_context(bars: DataFrame) -> DataFrame:
         (F.sum(F.abs("ret").cast("decimal(18,8)")).cast("double") / F.expr("nullif(count(ret), 0)")).alias("vix_level"),
         F.count(F.when(F.abs("ret") > 0.10, 1)).cast("double").alias("movers_10pct_count"),
     )
-    last5 = W.orderBy("trade_date").rowsBetween(-4, 0)
+    w5 = W.orderBy("trade_date")
+    # Oldest first, so every engine adds the five values in the same order.
+    last5 = [F.coalesce(F.lag("spy_ret_1d", n).over(w5), F.lit(0.0)) for n in (4, 3, 2, 1)]
+    total5 = last5[0] + last5[1] + last5[2] + last5[3] + F.coalesce("spy_ret_1d", F.lit(0.0))
     return daily.select(
         "trade_date",
         "spy_ret_1d",
-        F.sum("spy_ret_1d").over(last5).alias("spy_ret_5d"),
+        total5.alias("spy_ret_5d"),
         "vix_level",
         (F.col("vix_level") - F.col("spy_ret_1d")).alias("iwm_minus_spy_1d"),
         "movers_10pct_count",

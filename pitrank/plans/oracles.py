@@ -290,11 +290,12 @@ WINDOW t AS (PARTITION BY ticker ORDER BY trade_date),
 oracle("t1_bar_features", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM barfeat_v")
 cte("mkt_v", """
 SELECT trade_date, spy_ret_1d, vix_level, vix_level - spy_ret_1d AS iwm_minus_spy_1d, movers AS movers_10pct_count,
-       sum(spy_ret_1d) OVER (ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS spy_ret_5d
+       coalesce(lag(spy_ret_1d, 4) OVER o, 0) + coalesce(lag(spy_ret_1d, 3) OVER o, 0) + coalesce(lag(spy_ret_1d, 2) OVER o, 0) + coalesce(lag(spy_ret_1d, 1) OVER o, 0) + coalesce(spy_ret_1d, 0) AS spy_ret_5d
 FROM (SELECT trade_date, CAST(sum(CAST(ret AS DECIMAL(18,8))) AS DOUBLE) / nullif(count(ret), 0) AS spy_ret_1d,
              CAST(sum(CAST(abs(ret) AS DECIMAL(18,8))) AS DOUBLE) / nullif(count(ret), 0) AS vix_level,
              CAST(count(*) FILTER (WHERE abs(ret) > 0.10) AS DOUBLE) AS movers
       FROM r1_v GROUP BY trade_date)
+WINDOW o AS (ORDER BY trade_date)
 """)
 cte("grid_v", """
 SELECT s.session AS t, f.* FROM (
@@ -349,7 +350,7 @@ SELECT g.t AS trade_date, g.ticker, g.ret_1d, g.ret_5d, g.ret_20d,
        CAST(e.report_date - g.t AS DOUBLE) AS days_to_earnings, coalesce(e.date_is_revisable, false) AS earnings_date_revisable,
        {sector_sql()},
        s.short_interest_pct_float, s.days_to_cover, g.dist_from_52w_high, g.dist_from_52w_low, g.consecutive_streak,
-       k.spy_ret_1d AS mkt_spy_ret_1d, round(k.spy_ret_5d, 6) AS mkt_spy_ret_5d, k.vix_level AS mkt_vix_level,
+       k.spy_ret_1d AS mkt_spy_ret_1d, k.spy_ret_5d AS mkt_spy_ret_5d, k.vix_level AS mkt_vix_level,
        k.iwm_minus_spy_1d AS mkt_iwm_minus_spy_1d, k.movers_10pct_count AS mkt_attention_regime_count,
        CAST(g.t AS TIMESTAMP) - INTERVAL 8 HOUR AS as_of
 FROM grid_v g
@@ -362,5 +363,323 @@ LEFT JOIN gmkt_v k ON g.t = k.t
 oracle("t1_features", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date, CAST(as_of AS VARCHAR) AS as_of) FROM t1_v")
 
 
+oracle("asof_meta", """
+SELECT CAST(b.trade_date AS VARCHAR) AS trade_date, b.ticker, m.security_type, m.exchange, m.market_cap
+FROM bars_v b LEFT JOIN meta_v m ON b.ticker = m.ticker AND m.as_of <= CAST(b.trade_date AS TIMESTAMP) - INTERVAL 8 HOUR
+QUALIFY row_number() OVER (PARTITION BY b.trade_date, b.ticker ORDER BY m.as_of DESC NULLS LAST) = 1""")
+oracle("short_interest_asof", """
+SELECT CAST(b.trade_date AS VARCHAR) AS trade_date, b.ticker, m.short_interest_pct_float, m.days_to_cover
+FROM bars_v b LEFT JOIN si_v m ON b.ticker = m.ticker AND m.as_of <= CAST(b.trade_date AS TIMESTAMP) - INTERVAL 8 HOUR
+QUALIFY row_number() OVER (PARTITION BY b.trade_date, b.ticker ORDER BY m.as_of DESC NULLS LAST, m.settlement_date DESC, m.short_interest_shares DESC) = 1""")
+oracle("pit_read", """
+SELECT ticker, count(*) AS n_bars, CAST(max(trade_date) AS VARCHAR) AS last_date FROM bars_v
+WHERE as_of <= TIMESTAMP '1998-12-31 16:00:00' GROUP BY ticker""")
+oracle("next_session", """
+SELECT CAST(session AS VARCHAR) AS session, session_idx, CAST(next_session AS VARCHAR) AS next_session, CAST(prev_session AS VARCHAR) AS prev_session FROM cal_v""")
+oracle("staleness", f"""
+SELECT CAST(s.session AS VARCHAR) AS trade_date, x.ticker, CAST(x.trade_date AS VARCHAR) AS bar_date, x.prior_close, x.avg_dollar_volume_20d
+FROM stats_v x JOIN cal_v s ON s.session_idx > x.session_idx AND s.session_idx <= x.session_idx + {P.MAX_STALENESS}
+ AND (x.next_idx IS NULL OR s.session_idx <= x.next_idx)""")
+oracle("earnings_next", """
+SELECT m.ticker, CAST(c.session AS VARCHAR) AS trade_date, CAST(m.report_date AS VARCHAR) AS report_date, m.date_is_revisable
+FROM earnings_v m JOIN cal_v c ON m.report_date >= c.session AND m.as_of <= CAST(c.session AS TIMESTAMP) - INTERVAL 8 HOUR
+QUALIFY row_number() OVER (PARTITION BY m.ticker, c.session ORDER BY m.report_date) = 1""")
+oracle("market_context", """
+SELECT CAST(c.session AS VARCHAR) AS trade_date, m.spy_ret_1d AS mkt_spy_ret_1d, m.spy_ret_5d AS mkt_spy_ret_5d,
+       m.vix_level AS mkt_vix_level, m.iwm_minus_spy_1d AS mkt_iwm_minus_spy_1d,
+       m.movers_10pct_count AS mkt_attention_regime_count
+FROM cal_v c LEFT JOIN mkt_v m ON m.trade_date = c.prev_session""")
+cte("app_v", """
+SELECT ticker, day, max(p) AS p, sum(d30) AS d30, sum(d90) AS d90 FROM (
+  SELECT ticker, trade_date + 1 AS day, trade_date AS p, 1 AS d30, 1 AS d90 FROM labels_v WHERE label = 1
+  UNION ALL SELECT ticker, trade_date + 31, NULL, -1, 0 FROM labels_v WHERE label = 1
+  UNION ALL SELECT ticker, trade_date + 91, NULL, 0, -1 FROM labels_v WHERE label = 1) GROUP BY ticker, day
+""")
+oracle("appearances", """
+SELECT ticker, CAST(day AS VARCHAR) AS day, CAST(max(p) OVER w AS VARCHAR) AS last_positive,
+       CAST(sum(d30) OVER w AS BIGINT) AS appearances_30d, CAST(sum(d90) OVER w AS BIGINT) AS appearances_90d
+FROM app_v WINDOW w AS (PARTITION BY ticker ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+oracle("buckets", f"""
+SELECT ticker, CAST(as_of AS VARCHAR) AS as_of, {bucket_sql("market_cap", C.MARKET_CAP_EDGES)} AS mcap_bucket,
+       {bucket_sql("float_shares", C.FLOAT_EDGES)} AS float_bucket FROM meta_v""")
+oracle("sector_flags", f"SELECT m.ticker, CAST(m.as_of AS VARCHAR) AS as_of, {sector_sql()} FROM meta_v m")
+oracle("missing_bars", """
+SELECT CAST(u.trade_date AS VARCHAR) AS trade_date, u.ticker FROM universe_v u
+WHERE NOT EXISTS (SELECT 1 FROM bars_v b WHERE b.trade_date = u.trade_date AND b.ticker = u.ticker)""")
+oracle("topk_returns", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, return_t, rank FROM labels_v WHERE label = 1")
+
+# --- T2 ---------------------------------------------------------------------------------
+
+cte("ticks_v", """
+SELECT CAST(ts AS DATE) AS trade_date, 'T' || user_id AS ticker, date_trunc('minute', ts) AS minute, ts, event_id, value, event_type FROM events
+""")
+cte("minutes_v", """
+SELECT trade_date, ticker, minute, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+       arg_max(value, row(ts, event_id)) AS close, CAST(count(*) * 100 AS DOUBLE) AS volume, CAST(count(*) AS DOUBLE) AS trade_count, minute AS as_of
+FROM ticks_v GROUP BY trade_date, ticker, minute
+""")
+cte("ebars_v", """
+SELECT trade_date, ticker, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+       arg_max(value, row(ts, event_id)) AS close, CAST(count(*) * 100 AS DOUBLE) AS volume,
+       CAST(sum(CAST(value * 100 AS DECIMAL(18,4))) AS DOUBLE) AS dollar_volume, CAST(trade_date AS TIMESTAMP) + INTERVAL 16 HOUR AS as_of
+FROM ticks_v GROUP BY trade_date, ticker
+""")
+cte("ecal_v", CTES["cal_v"].replace("bars_v", "ebars_v"))
+cte("ebu0_v", CTES["bu0_v"].replace("bars_v", "ebars_v"))
+cte("ebu_v", CTES["bu_v"].replace("bu0_v", "ebu0_v"))
+cte("elabels_v", "SELECT trade_date, ticker, rank, ret AS return_t, label, CAST(trade_date AS TIMESTAMP) + INTERVAL 16 HOUR AS as_of FROM ebu_v")
+for _name in ("r1_v", "r2_v", "r3_v", "barfeat_v", "mkt_v", "grid_v", "gmeta_v", "gsi_v", "gearn_v", "gapp_v", "gmkt_v", "t1_v"):
+    _swap = r"\b(r1_v|r2_v|r3_v|barfeat_v|mkt_v|grid_v|gmeta_v|gsi_v|gearn_v|gapp_v|gmkt_v|bars_v|cal_v|labels_v)\b"
+    cte("e" + _name, re.sub(_swap, r"e\1", CTES[_name]))
+cte("pm_v", """
+SELECT trade_date, ticker, arg_max(close, minute) AS last_price, max(high) AS high_price, sum(volume) AS total_volume,
+       CAST(sum(CAST(close * volume AS DECIMAL(28,6))) AS DOUBLE) AS premarket_dollar_volume,
+       CAST(sum(trade_count) AS BIGINT) AS premarket_trade_count, min(minute) AS first_minute
+FROM minutes_v WHERE minute < CAST(trade_date AS TIMESTAMP) + INTERVAL '9 hours 25 minutes' GROUP BY trade_date, ticker
+""")
+cte("halts_v", """
+SELECT trade_date, ticker, min(minute) AS as_of FROM ticks_v WHERE event_type = 'error' GROUP BY trade_date, ticker
+""")
+cte("epc_v", """
+SELECT c.next_session AS trade_date, b.ticker, b.close, b.as_of FROM ebars_v b JOIN ecal_v c ON b.trade_date = c.session WHERE c.next_session IS NOT NULL
+""")
+oracle("minute_bars", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date, CAST(minute AS VARCHAR) AS minute, CAST(as_of AS VARCHAR) AS as_of) FROM minutes_v")
+oracle("premarket_agg", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date, CAST(first_minute AS VARCHAR) AS first_minute) FROM pm_v")
+oracle("halt_flag", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, CAST(1 AS BIGINT) AS overnight_halt_flag FROM halts_v
+WHERE as_of <= CAST(trade_date AS TIMESTAMP) + INTERVAL '9 hours 25 minutes'""")
+oracle("prior_close", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, close, CAST(as_of AS VARCHAR) AS as_of FROM epc_v")
+oracle("t2_features", """
+SELECT t.* REPLACE (CAST(t.trade_date AS VARCHAR) AS trade_date,
+                    CAST(CAST(t.trade_date AS TIMESTAMP) + INTERVAL '9 hours 25 minutes' AS VARCHAR) AS as_of),
+       p.last_price / c.close - 1.0 AS premarket_gap_pct, p.premarket_dollar_volume,
+       p.total_volume / t.adv_20 AS premarket_rel_volume,
+       p.last_price / p.high_price - 1.0 AS premarket_high_to_last_drawdown,
+       coalesce(p.premarket_trade_count, 0) AS premarket_trade_count,
+       CAST(date_diff('minute', CAST(t.trade_date AS TIMESTAMP) + INTERVAL 4 HOUR, p.first_minute) AS DOUBLE) AS premarket_first_trade_minutes,
+       CASE WHEN h.ticker IS NOT NULL THEN 1 ELSE 0 END AS overnight_halt_flag
+FROM et1_v t LEFT JOIN pm_v p ON t.trade_date = p.trade_date AND t.ticker = p.ticker
+LEFT JOIN epc_v c ON t.trade_date = c.trade_date AND t.ticker = c.ticker
+LEFT JOIN (SELECT * FROM halts_v WHERE as_of <= CAST(trade_date AS TIMESTAMP) + INTERVAL '9 hours 25 minutes') h
+  ON t.trade_date = h.trade_date AND t.ticker = h.ticker""")
+
+# --- baselines ----------------------------------------------------------------------------
+
+cte("b0_v", """
+SELECT trade_date, ticker, CAST(('0x' || left(md5('7|' || CAST(trade_date AS VARCHAR) || '|' || ticker), 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS score FROM universe_v
+QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY CAST(('0x' || left(md5('7|' || CAST(trade_date AS VARCHAR) || '|' || ticker), 13)) AS BIGINT) DESC, ticker) <= 10
+""")
+cte("lcal_v", """
+SELECT trade_date AS session, lead(trade_date) OVER (ORDER BY trade_date) AS next_session FROM (SELECT DISTINCT trade_date FROM labels_v)
+""")
+cte("b1_v", """
+SELECT c.next_session AS trade_date, l.ticker, CAST(max(l.rank) OVER (PARTITION BY l.trade_date) + 1 - l.rank AS DOUBLE) AS score
+FROM labels_v l JOIN lcal_v c ON l.trade_date = c.session WHERE l.label = 1 AND c.next_session IS NOT NULL
+""")
+cte("vol_v", """
+SELECT c.next_session AS trade_date, x.ticker, x.v5, x.v20 FROM (
+  SELECT trade_date, ticker, CASE WHEN count(ret) OVER w5 = 5 THEN stddev_samp(ret) OVER w5 END AS v5,
+         CASE WHEN count(ret) OVER w20 = 20 THEN stddev_samp(ret) OVER w20 END AS v20
+  FROM r1_v
+  WINDOW w5 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW),
+         w20 AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) x
+JOIN cal_v c ON x.trade_date = c.session WHERE c.next_session IS NOT NULL
+""")
+cte("b2_v", """
+SELECT trade_date, ticker, v5 AS score FROM vol_v WHERE v5 IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY v5 DESC, ticker) <= 10
+""")
+cte("b3_v", """
+SELECT v.trade_date, v.ticker, v.v20 AS score FROM vol_v v JOIN earnings_v e ON v.trade_date = e.report_date AND v.ticker = e.ticker
+WHERE v.v20 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY v.trade_date ORDER BY v.v20 DESC, v.ticker) <= 10
+""")
+cte("b4_v", """
+SELECT p.trade_date, p.ticker, (p.last_price / c.close - 1.0) * 100.0 AS score FROM pm_v p JOIN epc_v c ON p.trade_date = c.trade_date AND p.ticker = c.ticker
+WHERE p.premarket_dollar_volume >= 5000.0
+QUALIFY row_number() OVER (PARTITION BY p.trade_date ORDER BY p.last_price / c.close - 1.0 DESC, p.ticker) <= 10
+""")
+for _q, _t, _s in (("b0_random", "b0_v", "score"), ("b1_repeat", "b1_v", "score"), ("b2_vol", "b2_v", "round(score, 8)"),
+                   ("b3_earnings_vol", "b3_v", "round(score, 8)"), ("b4_gap", "b4_v", "score")):
+    oracle(_q, f"SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, {_s} AS score FROM {_t}")
+cte("warm_v", """
+SELECT trade_date, ticker FROM bf_v
+WHERE xs_vol_rank IS NOT NULL AND xs_ret_rank IS NOT NULL AND dist52 IS NOT NULL AND vol5 IS NOT NULL AND relvol_prev IS NOT NULL
+  AND ret5 IS NOT NULL AND ret20 IS NOT NULL AND volofvol IS NOT NULL AND was_top IS NOT NULL AND top30 IS NOT NULL AND top90 IS NOT NULL
+""")
+oracle("b2_restricted", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, round(score, 8) AS score FROM (
+  SELECT next_session AS trade_date, ticker, score FROM (
+    SELECT trade_date, ticker, CASE WHEN count(r) OVER w = 5 THEN stddev_samp(r) OVER w END AS score
+    FROM (SELECT trade_date, ticker, close / lag(close) OVER (PARTITION BY ticker ORDER BY trade_date) - 1.0 AS r FROM bu_v)
+    WINDOW w AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) x
+  JOIN (SELECT trade_date AS session, lead(trade_date) OVER (ORDER BY trade_date) AS next_session FROM (SELECT DISTINCT trade_date FROM bu_v)) c ON x.trade_date = c.session
+  WHERE score IS NOT NULL AND next_session IS NOT NULL) JOIN warm_v USING (trade_date, ticker)
+QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, ticker) <= 10""")
+oracle("all_baselines", """
+SELECT baseline, CAST(trade_date AS VARCHAR) AS trade_date, count(*) AS n_picks, min(ticker) AS first_ticker FROM (
+  SELECT 'B0' AS baseline, * FROM b0_v UNION ALL SELECT 'B1', * FROM b1_v UNION ALL SELECT 'B2', * FROM b2_v
+  UNION ALL SELECT 'B3', * FROM b3_v UNION ALL SELECT 'B4', * FROM b4_v) GROUP BY baseline, trade_date""")
+
+# --- metrics ------------------------------------------------------------------------------
+
+cte("picked_v", """
+SELECT b.trade_date, b.ticker, b.score, row_number() OVER (PARTITION BY b.trade_date ORDER BY b.score DESC, b.ticker) AS pos, coalesce(l.label, 0) AS label
+FROM b2_v b LEFT JOIN labels_v l ON b.trade_date = l.trade_date AND b.ticker = l.ticker
+""")
+cte("picked1_v", """
+SELECT b.trade_date, b.ticker, coalesce(l.label, 0) AS label FROM b1_v b LEFT JOIN labels_v l ON b.trade_date = l.trade_date AND b.ticker = l.ticker
+""")
+cte("daily_v", """
+SELECT d.*, d.gain / least(r.relevant, 10) AS ap FROM (
+  SELECT trade_date, CAST(sum(label) AS BIGINT) AS hits, count(*) AS n, sum(label) / count(*) AS precision, coalesce(sum(CASE WHEN label = 1 THEN cum / pos END), 0) AS gain
+  FROM (SELECT *, sum(label) OVER (PARTITION BY trade_date ORDER BY pos) AS cum FROM picked_v) GROUP BY trade_date) d
+LEFT JOIN (SELECT trade_date, count(*) AS relevant FROM labels_v WHERE label = 1 GROUP BY trade_date) r USING (trade_date)
+""")
+cte("paired_v", """
+SELECT a.trade_date, a.hits AS model_hits, b.hits AS baseline_hits FROM daily_v a
+JOIN (SELECT trade_date, CAST(sum(label) AS BIGINT) AS hits FROM picked1_v GROUP BY trade_date) b USING (trade_date)
+""")
+cte("years_v", """
+SELECT CAST(year(trade_date) AS INTEGER) AS year, avg(model_hits) AS model_mean_hits, avg(baseline_hits) AS baseline_mean_hits, count(*) AS n_days,
+       avg(model_hits) > avg(baseline_hits) AS model_won FROM paired_v GROUP BY 1
+""")
+oracle("topk_per_day", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, round(score, 8) AS score, pos, CAST(label AS BIGINT) AS label FROM picked_v")
+oracle("hits_per_day", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, hits FROM daily_v")
+oracle("precision_at_k", "SELECT round(avg(precision), 9) AS precision, count(*) AS n_days FROM daily_v")
+oracle("map_at_k", "SELECT round(avg(ap), 9) AS map, count(ap) AS n_days FROM daily_v")
+oracle("per_year", """
+SELECT CAST(year(trade_date) AS INTEGER) AS year, round(avg(precision), 9) AS precision_at_k, round(avg(ap), 9) AS map_at_k,
+       round(avg(hits), 9) AS mean_hits, CAST(median(hits) AS DOUBLE) AS median_hits, count(*) AS n_days FROM daily_v GROUP BY 1""")
+oracle("decay_series", """
+SELECT row_number() OVER (ORDER BY year) - 1 AS pos, year, mean_hits, n_days FROM (
+  SELECT CAST(year(trade_date) AS INTEGER) AS year, round(avg(hits), 9) AS mean_hits, count(*) AS n_days FROM daily_v GROUP BY 1)""")
+oracle("compare_baseline", """
+SELECT round(avg(model_hits) - avg(baseline_hits), 9) AS mean_hits_delta,
+       (SELECT count(*) FROM years_v WHERE model_won) AS years_won, (SELECT count(*) FROM years_v) AS years_total, count(*) AS n_days FROM paired_v""")
+oracle("yearly_record", "SELECT year, round(model_mean_hits, 9) AS model_mean_hits, round(baseline_mean_hits, 9) AS baseline_mean_hits, n_days, model_won FROM years_v")
+oracle("paired_t", """
+SELECT count(*) AS n, round(avg(model_hits - baseline_hits), 6) AS mean_diff,
+       round(avg(model_hits - baseline_hits) / (stddev_samp(model_hits - baseline_hits) / sqrt(count(*))), 6) AS statistic FROM paired_v""")
+cte("wil_v", """
+SELECT *, rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2.0::DOUBLE AS r FROM (
+  SELECT model_hits - baseline_hits AS d, abs(model_hits - baseline_hits) AS m FROM paired_v)
+""")
+cte("wil2_v", """
+SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE m = 0) AS DOUBLE) AS z,
+       least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0)) AS statistic,
+       (SELECT sum(t * t * t - t) FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM wil_v WHERE m > 0 GROUP BY m)) AS ties FROM wil_v
+""")
+oracle("wilcoxon_pratt", """
+SELECT CAST(n AS BIGINT) AS n, statistic,
+       round((statistic - (n * (n + 1) - z * (z + 1)) / 4.0) / sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1)) / 24.0 - ties / 48.0), 6) AS z_score FROM wil2_v""")
+cte("pv_v", """
+SELECT CAST(year(trade_date) AS VARCHAR) AS variant, sum(CASE WHEN hits = 0 THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) / 10 AS p_value FROM daily_v GROUP BY 1
+""")
+oracle("holm", """
+SELECT variant, round(p_value, 9) AS p_value, round(max(step) OVER (ORDER BY p_value, variant ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS p_adjusted FROM (
+  SELECT *, least(1.0::DOUBLE, (count(*) OVER () - row_number() OVER (ORDER BY p_value, variant) + 1) * p_value) AS step FROM pv_v)""")
+oracle("baseline_gate", """
+SELECT count(*) FILTER (WHERE model_won) AS years_won, count(*) AS years_total,
+       CASE WHEN count(*) < 5 THEN 'undecidable' WHEN count(*) FILTER (WHERE model_won) >= 3 THEN 'pass' ELSE 'fail' END AS verdict,
+       count(*) >= 5 AND count(*) FILTER (WHERE model_won) >= 3 AS passed FROM years_v""")
+oracle("expanding_splits", """
+SELECT CAST((SELECT min(session) FROM cal_v) AS VARCHAR) AS train_start, CAST(train_end AS VARCHAR) AS train_end,
+       CAST(test_start AS VARCHAR) AS test_start, CAST(test_end AS VARCHAR) AS test_end, retrain FROM (
+  SELECT u AS retrain, min(session) AS test_start, max(session) AS test_end,
+         lag(max(session)) OVER (PARTITION BY u ORDER BY min(session)) AS train_end
+  FROM (SELECT session, u, CASE u WHEN 'yearly' THEN date_trunc('year', session) ELSE date_trunc('quarter', session) END AS period
+        FROM cal_v, (SELECT unnest(['yearly', 'quarterly']) AS u)) GROUP BY u, period)
+WHERE train_end IS NOT NULL AND year(test_start) >= year((SELECT min(session) FROM cal_v)) + 2""")
+
+# --- quality --------------------------------------------------------------------------------
+
+cte("qcont_v", """
+SELECT lag(trade_date) OVER (ORDER BY trade_date) AS from_date, trade_date AS to_date, lag(n) OVER (ORDER BY trade_date) AS from_count, n AS to_count,
+       abs(n - lag(n) OVER (ORDER BY trade_date)) / CAST(lag(n) OVER (ORDER BY trade_date) AS DOUBLE) AS pct_change
+FROM (SELECT trade_date, count(DISTINCT ticker) AS n FROM universe_v GROUP BY trade_date)
+QUALIFY pct_change > 0.05
+""")
+cte("med_v", "SELECT trade_date, median(return_t) AS median_return FROM labels_v WHERE label = 1 GROUP BY trade_date")
+cte("card_v", "SELECT trade_date, CAST(sum(label) AS BIGINT) AS n_positive, count(*) AS n_total FROM labels_v GROUP BY trade_date")
+cte("qcov_v", """
+SELECT u.trade_date, universe_n, coalesce(labeled_n, 0) AS labeled_n, universe_n - coalesce(labeled_n, 0) AS dropped,
+       (universe_n - coalesce(labeled_n, 0)) / CAST(universe_n AS DOUBLE) AS dropped_fraction
+FROM (SELECT trade_date, count(DISTINCT ticker) AS universe_n FROM universe_v GROUP BY trade_date) u
+LEFT JOIN (SELECT trade_date, count(DISTINCT ticker) AS labeled_n FROM labels_v GROUP BY trade_date) l USING (trade_date)
+WHERE (universe_n - coalesce(labeled_n, 0)) / CAST(universe_n AS DOUBLE) > 0.05
+""")
+oracle("q_continuity", "SELECT CAST(from_date AS VARCHAR) AS from_date, CAST(to_date AS VARCHAR) AS to_date, from_count, to_count, pct_change FROM qcont_v")
+oracle("q_contamination", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, median_return FROM med_v WHERE median_return > 1.0")
+oracle("q_quiet", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, median_return FROM med_v WHERE median_return < 5.0")
+oracle("q_cardinality", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, n_positive, n_total FROM card_v WHERE n_positive <> 11 AND n_total >= 11")
+oracle("q_split_days", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker FROM bars_v SEMI JOIN splits_v USING (trade_date, ticker)")
+oracle("q_coverage", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM qcov_v")
+oracle("sanity_report", """
+SELECT 'universe_continuity' AS "check", count(*) = 0 AS passed, 'fail' AS severity, count(*) AS n_offenders, max(pct_change) AS worst FROM qcont_v
+UNION ALL SELECT 'median_gainer_contamination', count(*) = 0, 'fail', count(*), max(median_return) FROM med_v WHERE median_return > 1.0
+UNION ALL SELECT 'median_gainer_quiet_regime', count(*) = 0, 'warn', count(*), min(median_return) FROM med_v WHERE median_return < 0.2
+UNION ALL SELECT 'label_cardinality', count(*) = 0, 'fail', count(*), CAST(max(n_positive) AS DOUBLE) FROM card_v WHERE n_positive <> 10 AND n_total >= 10
+UNION ALL SELECT 'no_split_days', count(*) = 0, 'fail', count(*), NULL FROM labels_v SEMI JOIN splits_v USING (trade_date, ticker)
+UNION ALL SELECT 'universe_coverage', count(*) = 0, 'fail', count(*), max(dropped_fraction) FROM qcov_v""")
+
+# --- leakage --------------------------------------------------------------------------------
+
+oracle("asof_violations", """
+SELECT ticker, CAST(settlement_date AS VARCHAR) AS trade_date, CAST(as_of AS VARCHAR) AS as_of,
+       CAST(CAST(settlement_date AS TIMESTAMP) - INTERVAL 8 HOUR AS VARCHAR) AS decision_time
+FROM si_v WHERE as_of > CAST(settlement_date AS TIMESTAMP) - INTERVAL 8 HOUR""")
+oracle("adjusted_suspects", """
+SELECT b.ticker, CAST(b.trade_date AS VARCHAR) AS trade_date, CAST(b.as_of AS VARCHAR) AS as_of, CAST(max(a.as_of) AS VARCHAR) AS latest_action_as_of
+FROM bars_v b JOIN actions_v a ON a.ticker = b.ticker AND a.ex_date > b.trade_date AND a.as_of > b.as_of GROUP BY b.ticker, b.trade_date, b.as_of""")
+oracle("unadjusted_check", """
+SELECT ticker, CAST(ex_date AS VARCHAR) AS ex_date, split_ratio, 1.0 / split_ratio AS expected_ratio, observed_ratio FROM (
+  SELECT a.ticker, a.ex_date, a.ratio AS split_ratio, f.close / l.close AS observed_ratio
+  FROM (SELECT ticker, ex_date, ratio FROM actions_v WHERE action_type IN ('split', 'reverse_split') AND ratio > 0) a
+  ASOF JOIN bars_v l ON a.ticker = l.ticker AND a.ex_date > l.trade_date
+  ASOF JOIN bars_v f ON a.ticker = f.ticker AND a.ex_date <= f.trade_date)
+WHERE abs(observed_ratio - 1.0) <= 0.25""")
+cte("leak_v", """
+SELECT f.*, u.ret * 100 + 1 AS planted_affine, CAST(u.rank AS DOUBLE) AS planted_copy, u.ret AS return_t, CAST(u.rank AS DOUBLE) AS rank, CAST(u.label AS DOUBLE) AS label
+FROM bf_v f JOIN bu_v u USING (trade_date, ticker)
+""")
+_LEAK = C.BARS_FEATURES + ("planted_affine", "planted_copy")
+cte("leaklong_v", " UNION ALL ".join(
+    f"SELECT trade_date, '{c}' AS feature, CAST({c} AS DOUBLE) AS x, return_t, rank, label FROM leak_v" for c in _LEAK))
+cte("leakpair_v", " UNION ALL ".join(
+    f"SELECT trade_date, feature, x, '{y}' AS label_col, {y} AS y FROM leaklong_v" for y in ("return_t", "rank", "label")))
+oracle("self_exclusion_identity", """
+SELECT feature, label_col, bool_and((x IS NULL AND y IS NULL) OR coalesce(abs(x - y) <= 1e-8 + 1e-5 * abs(y), false)) AS identical
+FROM leakpair_v GROUP BY feature, label_col""")
+cte("leakrank_v", """
+SELECT trade_date, feature, label_col, x, y,
+       rank() OVER (PARTITION BY trade_date, feature, label_col ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, feature, label_col, x) - 1) / 2.0::DOUBLE AS rx,
+       rank() OVER (PARTITION BY trade_date, feature, label_col ORDER BY y) + (count(*) OVER (PARTITION BY trade_date, feature, label_col, y) - 1) / 2.0::DOUBLE AS ry
+FROM leakpair_v WHERE x IS NOT NULL AND y IS NOT NULL
+""")
+oracle("self_exclusion_corr", """
+SELECT feature, label_col, count(*) AS evaluable_days, count(*) FILTER (WHERE greatest(abs(p), abs(s)) >= 0.99) AS hit_days,
+       count(*) FILTER (WHERE greatest(abs(p), abs(s)) >= 0.99) >= 0.5 * count(*) AS leaks
+FROM (SELECT trade_date, feature, label_col, covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0) AS p,
+             covar_pop(rx, ry) / nullif(sqrt(var_pop(rx) * var_pop(ry)), 0) AS s
+      FROM leakrank_v GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND max(x) > min(x) AND max(y) > min(y))
+GROUP BY feature, label_col""")
+cte("shuf_v", """
+SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY CAST(('0x' || left(md5('3:from|' || CAST(trade_date AS VARCHAR) || '|' || ticker), 13)) AS BIGINT), ticker) AS i_from,
+       row_number() OVER (PARTITION BY trade_date ORDER BY CAST(('0x' || left(md5('3:to|' || CAST(trade_date AS VARCHAR) || '|' || ticker), 13)) AS BIGINT), ticker) AS i_to
+FROM labels_v
+""")
+oracle("shuffle_labels", """
+SELECT CAST(t.trade_date AS VARCHAR) AS trade_date, t.ticker, CAST(s.rank AS INTEGER) AS rank, s.return_t, CAST(s.label AS INTEGER) AS label
+FROM shuf_v t JOIN shuf_v s ON t.trade_date = s.trade_date AND t.i_to = s.i_from""")
+oracle("tolerance", """
+SELECT n_days, round(a, 9) AS avg_candidates, round(p, 9) AS expected_precision, n_days * 50 AS observations,
+       round(least(1.0::DOUBLE, greatest(p, 3 * p, p + 3 * sqrt(p * (1 - p) / (n_days * 50)))), 9) AS tolerance
+FROM (SELECT count(*) AS n_days, avg(n) AS a, least(1.0::DOUBLE, 10.0::DOUBLE / avg(n)) AS p FROM (
+  SELECT trade_date, count(DISTINCT ticker) AS n FROM universe_v GROUP BY trade_date))""")
+oracle("holdout_seal", """
+SELECT CAST(max(trade_date) AS VARCHAR) AS newest, count(*) FILTER (WHERE trade_date >= DATE '2001-01-01') AS n_rows FROM bars_v
+HAVING count(*) FILTER (WHERE trade_date >= DATE '2001-01-01') > 0""")
+
+
 def all_sql() -> dict[str, str]:
     return {name: build(sql) for name, sql in ORACLES.items()}

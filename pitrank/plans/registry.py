@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pitrank.operators import calendar as cal
 from pitrank import contracts as C
+from pitrank.functions import clock
+from pitrank.functions.scalars import bucketise, sector_onehot, wilson_bounds
+from pitrank.operators import asof, baselines as bl
+from pitrank.operators import calendar as cal
 from pitrank.operators import features_bars as fb
 from pitrank.operators import features_t1 as t1
+from pitrank.operators import features_t2 as t2
+from pitrank.operators import leakage as lk
+from pitrank.operators import metrics as mt
+from pitrank.operators import monitor as mon
+from pitrank.operators import overlap as ov
+from pitrank.operators import quality as qa
+from pitrank.operators import sampling as sp
+from pitrank.operators import significance as sg
+from pitrank.operators import survivorship as sv
+from pitrank.operators import walkforward as wf
 from pitrank.operators import universe as uni
 from pitrank.plans import catalog as P
 
@@ -131,4 +144,376 @@ def _t1(spark, sf, **kw):
 
 @query
 def t1_features(spark, sf):
-    return rounded(rounded(_t1(spark, sf), 8, *_T1_ROUNDED), 6, "mkt_spy_ret_5d")
+    return rounded(_t1(spark, sf), 8, *_T1_ROUNDED)
+
+
+@query
+def asof_meta(spark, sf):
+    """Newest listing vintage knowable at the T1 instant of every bar's date."""
+    bars = P.daily_bars(spark, sf).select("trade_date", "ticker")
+    return asof.asof_join(bars, P.ticker_meta(spark, sf), "ticker", "trade_date",
+                          ("security_type", "exchange", "market_cap"))
+
+
+@query
+def short_interest_asof(spark, sf):
+    bars = P.daily_bars(spark, sf).select("trade_date", "ticker")
+    return asof.asof_join(bars, P.short_interest(spark, sf), "ticker", "trade_date",
+                          ("short_interest_pct_float", "days_to_cover"),
+                          tie_break=("settlement_date", "short_interest_shares"))
+
+
+@query
+def pit_read(spark, sf):
+    """Bars knowable by the close of 1998: filter on the stamp only."""
+    cutoff = F.lit("1998-12-31 16:00:00").cast("timestamp_ntz")
+    return asof.visible_at(P.daily_bars(spark, sf), cutoff).groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("n_bars"), F.max("trade_date").alias("last_date")
+    )
+
+
+@query
+def next_session(spark, sf):
+    return cal.sessions(P.bar_dates(spark, sf)).select(
+        "session", F.col("session_idx").cast("long").alias("session_idx"), "next_session", "prev_session"
+    )
+
+
+@query
+def staleness(spark, sf):
+    """Prior-bar statistics under the staleness rule, before listing filters."""
+    bars = P.daily_bars(spark, sf)
+    return uni.prior_bar_stats(bars, cal.sessions(P.bar_dates(spark, sf)), P.MAX_STALENESS, ordered=True)
+
+
+@query
+def earnings_next(spark, sf):
+    return t1.next_earnings(P.earnings(spark, sf), cal.sessions(P.bar_dates(spark, sf)))
+
+
+@query
+def market_context(spark, sf):
+    ctx = P.market_context(P.daily_bars(spark, sf))
+    return t1.market_rows(ctx, cal.sessions(P.bar_dates(spark, sf)))
+
+
+@query
+def appearances(spark, sf):
+    """State changes of the appearance counters."""
+    s = t1.appearance_stream(_labels(spark, sf))
+    return s.select("ticker", "day", "seen.*")
+
+
+@query
+def buckets(spark, sf):
+    """Price, market-cap and float buckets of every listing vintage and bar price range."""
+    return P.ticker_meta(spark, sf).select(
+        "ticker", "as_of", bucketise(F.col("market_cap"), C.MARKET_CAP_EDGES).alias("mcap_bucket"),
+        bucketise(F.col("float_shares"), C.FLOAT_EDGES).alias("float_bucket"),
+    )
+
+
+@query
+def sector_flags(spark, sf):
+    return P.ticker_meta(spark, sf).select(
+        "ticker", "as_of", *sector_onehot(F.col("sector"), F.col("industry"))
+    )
+
+
+@query
+def missing_bars(spark, sf):
+    bars = P.daily_bars(spark, sf)
+    return uni.missing_bars(_universe(spark, sf, bars), bars)
+
+
+@query
+def topk_returns(spark, sf):
+    """Positive labels only, by a top-k that never ranks the whole cross section."""
+    bars = P.daily_bars(spark, sf)
+    top = uni.top_k_returns(_universe(spark, sf, bars), bars, P.corporate_actions(spark, sf))
+    return top.withColumn("rank", F.col("rank").cast("long"))
+
+
+# --- T2 ---------------------------------------------------------------------------------
+
+
+def _event_labels(spark, sf):
+    return fb.label_frame(fb.bars_universe(P.event_daily_bars(spark, sf)))
+
+
+def _t1_events(spark, sf):
+    bars = P.event_daily_bars(spark, sf)
+    return t1.build_t1_features(
+        bars, P.ticker_meta(spark, sf), P.earnings(spark, sf), _event_labels(spark, sf),
+        P.market_context(bars), P.short_interest(spark, sf), ordered=True,
+    )
+
+
+@query
+def minute_bars(spark, sf):
+    return P.minute_bars(spark, sf)
+
+
+@query
+def premarket_agg(spark, sf):
+    return t2.premarket_aggregate(P.minute_bars(spark, sf))
+
+
+@query
+def halt_flag(spark, sf):
+    return t2.halt_flags(P.halts(spark, sf)).withColumn("overnight_halt_flag", F.col("overnight_halt_flag").cast("long"))
+
+
+@query
+def prior_close(spark, sf):
+    return P.prior_close(P.event_daily_bars(spark, sf))
+
+
+@query
+def t2_features(spark, sf):
+    df = t2.build_t2_features(_t1_events(spark, sf), P.minute_bars(spark, sf),
+                              P.prior_close(P.event_daily_bars(spark, sf)), P.halts(spark, sf))
+    return rounded(df, 8, *_T1_ROUNDED)
+
+
+# --- baselines ----------------------------------------------------------------------------
+
+
+@query
+def b0_random(spark, sf):
+    return bl.random_pick(_universe(spark, sf), seed=7)
+
+
+@query
+def b1_repeat(spark, sf):
+    return bl.yesterday_repeat(_labels(spark, sf))
+
+
+def _b2(spark, sf, **kw):
+    return bl.realised_vol(P.daily_bars(spark, sf), calendar=cal.sessions(P.bar_dates(spark, sf)), **kw)
+
+
+@query
+def b2_vol(spark, sf):
+    return rounded(_b2(spark, sf), 8, "score")
+
+
+@query
+def b2_restricted(spark, sf):
+    """Volatility picks limited to the pool that survives feature warm-up."""
+    universe = _bars_universe(spark, sf)
+    pool = fb.drop_warmup(fb.build_bars_features(universe))
+    return rounded(bl.realised_vol(fb.close_frame(universe), candidates=pool), 8, "score")
+
+
+@query
+def b3_earnings_vol(spark, sf):
+    picks = bl.earnings_vol(P.daily_bars(spark, sf), P.earnings(spark, sf),
+                            calendar=cal.sessions(P.bar_dates(spark, sf)))
+    return rounded(picks, 8, "score")
+
+
+@query
+def b4_gap(spark, sf):
+    return bl.premarket_gap(P.minute_bars(spark, sf), P.prior_close(P.event_daily_bars(spark, sf)), floor=5000.0)
+
+
+@query
+def all_baselines(spark, sf):
+    bars = P.daily_bars(spark, sf)
+    out = bl.all_baselines(
+        _universe(spark, sf, bars), _labels(spark, sf), bars, P.earnings(spark, sf), P.minute_bars(spark, sf),
+        P.prior_close(P.event_daily_bars(spark, sf)), seed=7, floor=5000.0,
+    )
+    return out.groupBy("baseline", "trade_date").agg(F.count(F.lit(1)).alias("n_picks"), F.min("ticker").alias("first_ticker"))
+
+
+# --- metrics --------------------------------------------------------------------------------
+
+
+@query
+def topk_per_day(spark, sf):
+    picked = mt.scored_top_k(_b2(spark, sf), _labels(spark, sf)).select(
+        "trade_date", "ticker", "score", F.col("pos").cast("long").alias("pos"), F.col("label").cast("long").alias("label"))
+    return rounded(picked, 8, "score")
+
+
+@query
+def hits_per_day(spark, sf):
+    return mt.hits_per_day(_b2(spark, sf), _labels(spark, sf))
+
+
+@query
+def precision_at_k(spark, sf):
+    return rounded(mt.precision_at_k(_b2(spark, sf), _labels(spark, sf)), 9, "precision")
+
+
+@query
+def map_at_k(spark, sf):
+    return rounded(mt.map_at_k(_b2(spark, sf), _labels(spark, sf)), 9, "map")
+
+
+@query
+def per_year(spark, sf):
+    return rounded(mt.per_year_report(_b2(spark, sf), _labels(spark, sf)), 9, "precision_at_k", "map_at_k", "mean_hits")
+
+
+@query
+def decay_series(spark, sf):
+    """The yearly report unrolled from its year-ordered arrays."""
+    s = mt.decay_series(_b2(spark, sf), _labels(spark, sf))
+    rows = s.select(F.posexplode(F.arrays_zip("year", "mean_hits", "n_days")).alias("pos", "r"))
+    return rounded(rows.select(F.col("pos").cast("long").alias("pos"), F.col("r.year").alias("year"), F.col("r.mean_hits").alias("mean_hits"),
+                               F.col("r.n_days").alias("n_days")), 9, "mean_hits")
+
+
+def _paired(spark, sf):
+    labels = _labels(spark, sf)
+    return mt.paired_hits(_b2(spark, sf), bl.yesterday_repeat(labels), labels)
+
+
+@query
+def compare_baseline(spark, sf):
+    labels = _labels(spark, sf)
+    row = mt.compare_to_baseline(_b2(spark, sf), bl.yesterday_repeat(labels), labels)
+    return rounded(row, 9, "mean_hits_delta")
+
+
+@query
+def yearly_record(spark, sf):
+    return rounded(mt.yearly_record(_paired(spark, sf)), 9, "model_mean_hits", "baseline_mean_hits")
+
+
+@query
+def paired_t(spark, sf):
+    return rounded(sg.paired_t_test(_paired(spark, sf)).drop("p_value"), 6, "mean_diff", "statistic")
+
+
+@query
+def wilcoxon_pratt(spark, sf):
+    return rounded(sg.wilcoxon_pratt(_paired(spark, sf)).drop("p_value"), 6, "z_score").withColumn("n", F.col("n").cast("long"))
+
+
+@query
+def significance_pvalues(spark, sf):
+    """p-values of both paired tests (no SQL: DuckDB has no t or normal distribution function)."""
+    paired = _paired(spark, sf)
+    t = sg.paired_t_test(paired).select(F.lit("paired_t").alias("test"), "statistic", "p_value")
+    w = sg.wilcoxon_pratt(paired).select(F.lit("wilcoxon_pratt").alias("test"), "statistic", "p_value")
+    return t.unionByName(w)
+
+
+@query
+def holm(spark, sf):
+    """Family-wise correction over one p-value per year: the share of days the picks scored no hit."""
+    daily = mt.hits_per_day(_b2(spark, sf), _labels(spark, sf))
+    p = daily.groupBy(F.year("trade_date").cast("string").alias("variant")).agg(
+        (F.sum((F.col("hits") == 0).cast("long")) / F.count(F.lit(1)) / 10).alias("p_value")
+    )
+    return rounded(sg.holm(p), 9, "p_value", "p_adjusted")
+
+
+@query
+def baseline_gate(spark, sf):
+    labels = _labels(spark, sf)
+    return wf.baseline_gate(_b2(spark, sf), bl.yesterday_repeat(labels), labels, min_years_won=3, min_years=5)
+
+
+@query
+def expanding_splits(spark, sf):
+    dates = P.bar_dates(spark, sf)
+    yearly = wf.expanding_splits(dates, "yearly").withColumn("retrain", F.lit("yearly"))
+    return yearly.unionByName(wf.expanding_splits(dates, "quarterly").withColumn("retrain", F.lit("quarterly")))
+
+
+# --- quality ----------------------------------------------------------------------------------
+
+
+@query
+def q_continuity(spark, sf):
+    return qa.continuity_offenders(_universe(spark, sf))
+
+
+@query
+def q_contamination(spark, sf):
+    return qa.contamination_offenders(_labels(spark, sf))
+
+
+@query
+def q_quiet(spark, sf):
+    return qa.quiet_offenders(_labels(spark, sf), below=5.0)
+
+
+@query
+def q_cardinality(spark, sf):
+    return qa.cardinality_offenders(_labels(spark, sf), k=11)
+
+
+@query
+def q_split_days(spark, sf):
+    """Bars that fall on a split day of their ticker."""
+    return qa.split_day_offenders(P.daily_bars(spark, sf), P.corporate_actions(spark, sf))
+
+
+@query
+def q_coverage(spark, sf):
+    return qa.coverage_offenders(_labels(spark, sf), _universe(spark, sf))
+
+
+@query
+def sanity_report(spark, sf):
+    return qa.sanity_report(_labels(spark, sf), P.corporate_actions(spark, sf), _universe(spark, sf))
+
+
+# --- leakage -----------------------------------------------------------------------------------
+
+
+@query
+def asof_violations(spark, sf):
+    """Short-interest rows used on their settlement date would not have been knowable."""
+    rows = P.short_interest(spark, sf).withColumnRenamed("settlement_date", "trade_date")
+    return lk.decision_time_violations(rows, "T1")
+
+
+@query
+def adjusted_suspects(spark, sf):
+    return lk.adjusted_suspects(P.daily_bars(spark, sf), P.corporate_actions(spark, sf))
+
+
+@query
+def unadjusted_check(spark, sf):
+    return lk.unadjusted_violations(P.daily_bars(spark, sf), P.corporate_actions(spark, sf), flat_band=0.25)
+
+
+def _leak_features(spark, sf):
+    """Bars-only features plus two planted disguises of the label."""
+    universe = _bars_universe(spark, sf)
+    planted = universe.select("trade_date", "ticker", (F.col("ret") * 100 + 1).alias("planted_affine"),
+                              F.col("rank").cast("double").alias("planted_copy"))
+    return fb.build_bars_features(universe).join(planted, ["trade_date", "ticker"]), fb.label_frame(universe)
+
+
+@query
+def self_exclusion_identity(spark, sf):
+    return lk.identity_leaks(*_leak_features(spark, sf))
+
+
+@query
+def self_exclusion_corr(spark, sf):
+    return lk.correlation_leaks(*_leak_features(spark, sf), complete_labels=True)
+
+
+@query
+def shuffle_labels(spark, sf):
+    return lk.shuffle_labels(_labels(spark, sf), seed=3).select("trade_date", "ticker", "rank", "return_t", "label")
+
+
+@query
+def tolerance(spark, sf):
+    row = lk.tolerance_table(_universe(spark, sf))
+    return rounded(row, 9, "avg_candidates", "expected_precision", "tolerance")
+
+
+@query
+def holdout_seal(spark, sf):
+    return lk.seal_violations(P.daily_bars(spark, sf), sealed_from="2001-01-01").withColumnRenamed("rows", "n_rows")
