@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 from pitrank import contracts as C
 from pitrank.functions.clock import close_time
 from pitrank.functions.scalars import growth, ratio
-from pitrank.operators.ranks import add_pct_rank
+from pitrank.operators.ranks import add_pct_rank, has_hot_group
 from pitrank.operators.rolling import (
     rolling_max, rolling_mean, rolling_std, rolling_sum, timeline, trailing,
 )
+from pitrank.operators.universe import rank_descending
 
 REQUIRED = ("trade_date", "ticker", "close", "dollar_volume", "adv20", "ret", "label", "prev_date")
 
@@ -27,20 +28,17 @@ def bars_universe(bars: DataFrame, labels: DataFrame | None = None, k: int = C.T
 
     Without ``labels`` the label is the per-day top ``k`` by one-bar return.
     """
-    from pitrank.operators.universe import rank_descending
-
     w = timeline("ticker", "trade_date")
-    money = F.col("dollar_volume").cast("decimal(28,4)")
-    recent = trailing(w, C.DOLLAR_VOLUME_WINDOW)
     base = bars.select(
         "trade_date", "ticker", "close", "high", "low", "volume", "dollar_volume",
         F.lag("close").over(w).alias("prev_close"),
         F.lag("trade_date").over(w).alias("prev_date"),
-        (F.sum(money).over(recent).cast("double") / F.count(money).over(recent)).alias("adv20"),
+        F.avg("dollar_volume").over(trailing(w, C.DOLLAR_VOLUME_WINDOW)).alias("adv20"),
     ).where(F.col("prev_close").isNotNull()).withColumn("ret", growth(F.col("close"), F.col("prev_close")))
     if labels is not None:
         return base.join(labels.select("trade_date", "ticker", "label", "rank"), ["trade_date", "ticker"])
-    return rank_descending(base, "ret").withColumn("label", (F.col("rank") <= k).cast("int"))
+    split = has_hot_group(bars.select("trade_date"), ["trade_date"])
+    return rank_descending(base, "ret", split).withColumn("label", (F.col("rank") <= k).cast("int"))
 
 
 def _block(universe: DataFrame) -> DataFrame:
@@ -68,10 +66,12 @@ def _block(universe: DataFrame) -> DataFrame:
     return first.withColumn("volofvol", rolling_std(F.col("vol5"), w, 20, 10))
 
 
-def build_bars_features(universe: DataFrame) -> DataFrame:
+def build_bars_features(universe: DataFrame, split: bool | None = None) -> DataFrame:
     """The T1B contract: one row per input row, warm-up values null."""
-    ranked = add_pct_rank(_block(universe), ["trade_date"], "prev_ret1", "xs_ret_rank")
-    ranked = add_pct_rank(ranked, ["trade_date"], "vol20", "xs_vol_rank")
+    if split is None:
+        split = has_hot_group(universe.select("trade_date"), ["trade_date"])
+    ranked = add_pct_rank(_block(universe), ["trade_date"], "prev_ret1", "xs_ret_rank", split=split)
+    ranked = add_pct_rank(ranked, ["trade_date"], "vol20", "xs_vol_rank", split=split)
     return ranked.withColumn("as_of", close_time("prev_date")).select(*C.T1B_COLUMNS)
 
 

@@ -11,7 +11,7 @@ from pitrank.contracts import LeakageError
 from pitrank.functions.clock import decision_time
 from pitrank.functions.hashing import uniform_key
 from pitrank.functions.scalars import random_guess_tolerance
-from pitrank.operators.ranks import average_rank, positions, with_rank_parts
+from pitrank.operators.ranks import average_rank, has_hot_group, positions, with_rank_parts
 
 LABEL_COLUMNS = ("return_t", "rank", "label")
 
@@ -273,8 +273,6 @@ def shuffle_labels(labels: DataFrame, seed: int = 0, split: bool | None = None)
         "_g", uniform_key(f"{seed}:to", "trade_date", "ticker")
     )
     if split is None:
-        from pitrank.operators.ranks import has_hot_group
-
         split = has_hot_group(labels.select("trade_date"), ["trade_date"])
     source = positions(keyed, ["trade_date"], "_h", ["ticker"], "_i", split).select("trade_date", "_i", *values)
     target = positions(keyed, ["trade_date"], "_g", ["ticker"], "_i", split).select("_i", *keep)

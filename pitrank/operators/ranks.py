@@ -21,23 +21,34 @@ SMALL_INPUT_BYTES = 512 * 1024 * 1024
 SLICES = 256
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the base relations behind a frame (after pruning), from optimizer statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def has_hot_group(df: DataFrame, group: Sequence[str], limit: int = HOT_GROUP_ROWS) -> bool:
     """True when some group holds more than ``limit`` rows.
 
-    Inputs whose optimizer estimate is already small are not scanned at all; for
-    the rest a map-side combined count over the group columns decides.
+    Cross sections have one row per (date, ticker) and every ticker stems from
+    input rows, so no section outgrows the input: inputs below
+    ``SMALL_INPUT_BYTES`` are not scanned at all.  Otherwise a map-side combined
+    count over the group columns decides.  Callers pass the cheapest frame that
+    bounds the section, usually the bars.
     """
-    if _estimated_bytes(df) <= SMALL_INPUT_BYTES:
+    if _input_bytes(df) <= SMALL_INPUT_BYTES:
         return False
     heavy = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
     return not heavy.isEmpty()
 
 
+def many_tickers(bars: DataFrame, limit: int = HOT_GROUP_ROWS) -> bool:
+    """True when a dense grid (every ticker on every session) would have hot dates."""
+    if _input_bytes(bars) <= SMALL_INPUT_BYTES:
+        return False
+    return bars.select("ticker").distinct().count() > limit
+
+
 def _window_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     ordered = W.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
     whole = W.partitionBy(*group).orderBy(F.col(value).asc_nulls_last()).rowsBetween(

@@ -9,6 +9,7 @@ from pitrank.functions.clock import close_time, first_usable_date, prior_close_t
 from pitrank.operators import calendar as cal
 from pitrank.operators.asof import date_bounds, interval_join
 from pitrank.operators.bitemporal import known_bars
+from pitrank.operators.ranks import add_min_rank_desc, has_hot_group, top_k
 from pitrank.operators.rolling import timeline, trailing
 
 
@@ -27,16 +28,11 @@ def prior_bar_stats(
     """
     known, keys = known_bars(bars, ordered)
     w = timeline(keys, "trade_date")
-    recent = trailing(w, window)
-    # Exact sums for money: decimal adds are associative, doubles are not.
-    money = F.col("dollar_volume").cast("decimal(28,4)")
     stats = known.select(
         "ticker",
         F.col("trade_date").alias("bar_date"),
         F.col("close").alias("prior_close"),
-        (F.sum(money).over(recent).cast("double") / F.count(money).over(recent)).alias(
-            "avg_dollar_volume_20d"
-        ),
+        F.avg("dollar_volume").over(trailing(w, window)).alias("avg_dollar_volume_20d"),
         "_from",
         F.least(F.lead("_from").over(w), F.col("_epoch_end")).alias("_until"),
     )
@@ -149,6 +145,8 @@ def build_labels(
         (F.col("close_t") / F.col("prior_close") - F.lit(1.0)).alias("return_t"),
         F.greatest(F.coalesce(F.col("close_as_of"), close_time("trade_date")), close_time("trade_date")).alias("as_of"),
     )
+    if split is None:
+        split = has_hot_group(bars.select("trade_date"), ["trade_date"])
     ranked = rank_descending(scored, "return_t", split)
     return ranked.select(
         "trade_date",
@@ -163,8 +161,6 @@ def build_labels(
 
 def rank_descending(df: DataFrame, value: str, split: bool | None = None) -> DataFrame:
     """Distinct 1..n positions per date: value descending, then ticker."""
-    from pitrank.operators.ranks import add_min_rank_desc, has_hot_group
-
     if split is None:
         split = has_hot_group(df.select("trade_date"), ["trade_date"])
     if not split:
@@ -180,8 +176,6 @@ def top_k_returns(
     universe: DataFrame, bars: DataFrame, actions: DataFrame, k: int = C.TOP_K
 ) -> DataFrame:
     """Only the positive labels: a top-k per day that never sorts the whole section."""
-    from pitrank.operators.ranks import top_k
-
     scored = rankable(universe, bars, actions).select(
         "trade_date", "ticker", (F.col("close_t") / F.col("prior_close") - F.lit(1.0)).alias("return_t")
     )

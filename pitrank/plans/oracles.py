@@ -43,9 +43,9 @@ def in_list(values) -> str:
 
 cte("bars_v", """
 SELECT CAST(l_shipdate AS DATE) AS trade_date, 'T' || l_suppkey AS ticker,
-       arg_min(l_extendedprice / l_quantity, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS open,
+       arg_min(l_extendedprice / l_quantity, row(l_orderkey, l_linenumber, l_extendedprice, l_quantity)) AS open,
        max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-       arg_max(l_extendedprice / l_quantity, row(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS close,
+       arg_max(l_extendedprice / l_quantity, row(l_orderkey, l_linenumber, l_extendedprice, l_quantity)) AS close,
        sum(l_quantity) AS volume,
        CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS dollar_volume,
        CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) + INTERVAL 16 HOUR AS as_of
@@ -98,7 +98,7 @@ FROM orders
 """)
 cte("stats_v", """
 SELECT b.ticker, b.trade_date, c.session_idx, b.close AS prior_close,
-       CAST(sum(CAST(dollar_volume AS DECIMAL(28,4))) OVER w AS DOUBLE) / count(*) OVER w AS avg_dollar_volume_20d,
+       avg(dollar_volume) OVER w AS avg_dollar_volume_20d,
        lead(c.session_idx) OVER (PARTITION BY b.ticker ORDER BY b.trade_date) AS next_idx
 FROM bars_v b JOIN cal_v c ON b.trade_date = c.session
 WINDOW w AS (PARTITION BY b.ticker ORDER BY b.trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
@@ -146,7 +146,7 @@ SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, open, high, low, close
        CAST(as_of AS VARCHAR) AS as_of FROM bars_v""")
 oracle("universe", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, security_type, exchange, flagged_type, prior_close,
-       avg_dollar_volume_20d, CAST(as_of AS VARCHAR) AS as_of FROM universe_v""")
+       round(avg_dollar_volume_20d, 6) AS avg_dollar_volume_20d, CAST(as_of AS VARCHAR) AS as_of FROM universe_v""")
 oracle("labels_topk", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, CAST(rank AS INTEGER) AS rank, return_t,
        CAST(label AS INTEGER) AS label, label_spec_version, CAST(as_of AS VARCHAR) AS as_of FROM labels_v""")
@@ -158,7 +158,7 @@ cte("bu0_v", """
 SELECT *, close / prev_close - 1.0 AS ret FROM (
   SELECT trade_date, ticker, close, high, low, volume, dollar_volume,
          lag(close) OVER t AS prev_close, lag(trade_date) OVER t AS prev_date,
-         CAST(sum(CAST(dollar_volume AS DECIMAL(28,4))) OVER w AS DOUBLE) / count(*) OVER w AS adv20
+         avg(dollar_volume) OVER w AS adv20
   FROM bars_v
   WINDOW t AS (PARTITION BY ticker ORDER BY trade_date),
          w AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
@@ -206,10 +206,10 @@ FROM bf1_v
 """)
 oracle("bars_universe", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, close, high, low, volume, dollar_volume, prev_close,
-       CAST(prev_date AS VARCHAR) AS prev_date, adv20, ret, CAST(rank AS INTEGER) AS rank, CAST(label AS INTEGER) AS label FROM bu_v""")
+       CAST(prev_date AS VARCHAR) AS prev_date, round(adv20, 6) AS adv20, ret, CAST(rank AS INTEGER) AS rank, CAST(label AS INTEGER) AS label FROM bu_v""")
 oracle("bars_t1", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, xs_vol_rank, xs_ret_rank, top90, round(logpx, 8) AS logpx, dist52,
-       round(vol20, 8) AS vol20, round(vol5, 8) AS vol5, relvol_prev, ret5, ret20, round(volofvol, 8) AS volofvol,
+       round(vol20, 8) AS vol20, round(vol5, 8) AS vol5, round(relvol_prev, 8) AS relvol_prev, ret5, ret20, round(volofvol, 8) AS volofvol,
        round(logdv, 8) AS logdv, prev_ret1, was_top, top30, CAST(as_of AS VARCHAR) AS as_of FROM bf_v""")
 oracle("warmup_drop", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, CAST(as_of AS VARCHAR) AS as_of FROM bf_v
@@ -377,7 +377,7 @@ WHERE as_of <= TIMESTAMP '1998-12-31 16:00:00' GROUP BY ticker""")
 oracle("next_session", """
 SELECT CAST(session AS VARCHAR) AS session, session_idx, CAST(next_session AS VARCHAR) AS next_session, CAST(prev_session AS VARCHAR) AS prev_session FROM cal_v""")
 oracle("staleness", f"""
-SELECT CAST(s.session AS VARCHAR) AS trade_date, x.ticker, CAST(x.trade_date AS VARCHAR) AS bar_date, x.prior_close, x.avg_dollar_volume_20d
+SELECT CAST(s.session AS VARCHAR) AS trade_date, x.ticker, CAST(x.trade_date AS VARCHAR) AS bar_date, x.prior_close, round(x.avg_dollar_volume_20d, 6) AS avg_dollar_volume_20d
 FROM stats_v x JOIN cal_v s ON s.session_idx > x.session_idx AND s.session_idx <= x.session_idx + {P.MAX_STALENESS}
  AND (x.next_idx IS NULL OR s.session_idx <= x.next_idx)""")
 oracle("earnings_next", """

@@ -76,7 +76,7 @@ def _universe(spark, sf, bars=None):
 
 @query
 def universe(spark, sf):
-    return _universe(spark, sf)
+    return rounded(_universe(spark, sf), 6, "avg_dollar_volume_20d")
 
 
 def _labels(spark, sf):
@@ -91,7 +91,7 @@ def labels_topk(spark, sf):
 
 # --- bars-only features ---------------------------------------------------------------
 
-_BARS_ROUNDED = ("vol5", "vol20", "volofvol", "logdv", "logpx")
+_BARS_ROUNDED = ("relvol_prev", "vol5", "vol20", "volofvol", "logdv", "logpx")
 
 
 def _bars_universe(spark, sf):
@@ -100,7 +100,7 @@ def _bars_universe(spark, sf):
 
 @query
 def bars_universe(spark, sf):
-    return _bars_universe(spark, sf)
+    return rounded(_bars_universe(spark, sf), 6, "adv20")
 
 
 @query
@@ -183,7 +183,8 @@ def next_session(spark, sf):
 def staleness(spark, sf):
     """Prior-bar statistics under the staleness rule, before listing filters."""
     bars = P.daily_bars(spark, sf)
-    return uni.prior_bar_stats(bars, cal.sessions(P.bar_dates(spark, sf)), P.MAX_STALENESS, ordered=True)
+    stats = uni.prior_bar_stats(bars, cal.sessions(P.bar_dates(spark, sf)), P.MAX_STALENESS, ordered=True)
+    return rounded(stats, 6, "avg_dollar_volume_20d")
 
 
 @query
