@@ -252,3 +252,268 @@ def prior_close(bars: DataFrame) -> DataFrame:
 def bar_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session dates straight from the tick table: a one-column scan, no bar build."""
     return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date"))
+
+
+# --- landed documents, security master and venue feeds, all derived from whole tables ----
+
+
+def _docs(df: DataFrame, body, *keep: str) -> DataFrame:
+    """One JSON document per row, the shape landed files have after reading."""
+    return df.select(*keep, F.to_json(body).alias("payload"))
+
+
+def results(item):
+    return F.struct(F.array(item).alias("results"))
+
+
+def grouped_daily_docs(bars: DataFrame) -> DataFrame:
+    vwap = F.when(F.col("volume") % 2 == 1, F.col("dollar_volume") / F.col("volume"))
+    item = F.struct(
+        F.col("ticker").alias("T"), F.col("volume").alias("v"), vwap.alias("vw"), F.col("open").alias("o"),
+        F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"),
+    )
+    return _docs(bars, results(item), "trade_date")
+
+
+def action_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Split documents and dividend documents from all orders."""
+    acts = corporate_actions(spark, sf_dir).withColumn("ex", F.col("ex_date").cast("string"))
+    ahead = F.date_sub("ex_date", 5).cast("string")
+    is_split = F.col("action_type").isin("split", "reverse_split")
+    split_item = F.struct(
+        "ticker", F.col("ex").alias("execution_date"),
+        F.when(F.col("action_type") == "split", F.lit(1.0)).otherwise(F.lit(10.0)).alias("split_from"),
+        F.when(F.col("action_type") == "split", F.lit(2.0)).otherwise(F.lit(1.0)).alias("split_to"),
+        F.when(F.dayofmonth("ex_date") > 15, ahead).alias("announcement_date"),
+    )
+    dividend_item = F.struct(
+        "ticker", F.col("ex").alias("ex_dividend_date"),
+        F.when(F.dayofmonth("ex_date") > 15, ahead).alias("declaration_date"),
+        F.col("cash_amount"),
+    )
+    return (
+        _docs(acts.where(is_split), results(split_item)),
+        _docs(acts.where(~is_split), results(dividend_item)),
+    )
+
+
+def reference_docs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Active and delisted listing documents; names with key % 7 = 0 appear in both."""
+    codes = F.array(*[F.lit(c) for c in ("cs", "ADRC", "ETN", "WARRANT", "SP", "FUND")])
+    key = F.col("s_suppkey")
+    base = table(spark, sf_dir, "supplier").withColumn(
+        "listed", F.date_add(F.lit("1993-06-01").cast("date"), (key * 37 % 1500).cast("int"))
+    )
+
+    def item(delisted):
+        return F.struct(
+            _ticker("s_suppkey").alias("ticker"), F.col("s_name").alias("name"),
+            F.element_at(codes, (key % 6 + 1).cast("int")).alias("type"),
+            F.when(key % 4 != 3, F.lit("XNYS")).alias("primary_exchange"),
+            F.col("listed").cast("string").alias("list_date"), delisted.alias("delisted_utc"),
+            F.col("s_acctbal").alias("market_cap"),
+            F.when(key % 2 == 0, F.lit(0.0)).otherwise(key * 10.0).alias("weighted_shares_outstanding"),
+            (key * 100.0).alias("share_class_shares_outstanding"),
+        )
+
+    gone = F.concat(F.date_add("listed", 900).cast("string"), F.lit("T00:00:00Z"))
+    return (
+        _docs(base, results(item(F.lit(None).cast("string")))),
+        _docs(base, results(item(F.when(key % 7 == 0, gone)))),
+    )
+
+
+def earnings_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = earnings(spark, sf_dir)
+    item = F.struct(
+        "ticker", F.col("report_date").cast("string").alias("report_date"),
+        F.when(F.col("session") == "bmo", "bmo").alias("session"),
+        F.col("announced_on").cast("string").alias("announced_on"),
+    )
+    return _docs(e, results(item))
+
+
+def earnings_calendar_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = earnings(spark, sf_dir)
+    item = F.struct(
+        F.col("ticker").alias("symbol"), F.col("report_date").cast("string").alias("date"),
+        F.when(F.col("session") == "bmo", "BMO").when(F.dayofmonth("report_date") > 10, "amc").otherwise("dmh").alias("hour"),
+    )
+    return _docs(e, F.struct(F.array(item).alias("earningsCalendar")))
+
+
+def short_interest_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settled = F.to_date("o_orderdate")
+    late = F.dayofmonth(settled) > 15
+    item = F.struct(
+        _ticker("o_custkey").alias("ticker"), settled.cast("string").alias("settlement_date"),
+        F.when(late, F.date_add(settled, 9).cast("string")).alias("date_published"),
+        F.col("o_totalprice").alias("settlement_shares"),
+        F.when(late, F.lit(0.0)).alias("short_interest_pct_float"),
+        (F.col("o_totalprice") / 1e4).alias("percent_of_float"),
+        (F.col("o_totalprice") / 1e5).alias("days_to_cover"),
+    )
+    return _docs(table(spark, sf_dir, "orders"), results(item))
+
+
+def minute_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    v = F.col("value")
+    item = F.struct(
+        ms.alias("t"), v.alias("o"), v.alias("h"), v.alias("l"), v.alias("c"),
+        F.lit(100.0).alias("v"), F.lit(1.0).alias("n"),
+    )
+    e = table(spark, sf_dir, "events").withColumn("ticker", _ticker("user_id"))
+    return _docs(e, results(item), "ticker")
+
+
+def eod_docs(bars: DataFrame) -> DataFrame:
+    item = F.struct(
+        F.concat(F.col("trade_date").cast("string"), F.lit("T00:00:00.000Z")).alias("date"),
+        "open", "high", "low", "close", "volume",
+    )
+    return bars.select("ticker", F.to_json(F.array(item)).alias("payload"))
+
+
+def capture_docs(top: DataFrame) -> DataFrame:
+    """One envelope per date around a top-k list (trade_date, pos, ticker): at most k entries each."""
+    per_day = top.groupBy("trade_date").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.lower("ticker").alias("s")))).alias("l")
+    )
+    symbols = F.col("l.s")
+    even = F.dayofmonth("trade_date") % 2 == 0
+    items = F.transform(symbols, lambda s: F.struct(s.alias("symbol")))
+    tickers = F.transform(symbols, lambda s: F.struct(s.alias("ticker")))
+    as_object = F.to_json(F.struct(items.alias("results")))
+    payload = F.concat(
+        F.lit('{"trade_date":"'), F.col("trade_date").cast("string"), F.lit('","top_movers_available":'),
+        even.cast("string"), F.lit(',"top_movers":{"symbols":'), F.to_json(symbols),
+        F.lit('},"sp500":{"available":true,"payload":'),
+        F.when(F.month("trade_date") % 2 == 0, as_object).otherwise(F.to_json(tickers)),
+        F.lit("}}"),
+    )
+    return per_day.select(payload.alias("payload"))
+
+
+def security_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two consecutive name ranges per supplier; every third changes its ticker at the second."""
+    key = F.col("s_suppkey")
+    listed = F.date_add(F.lit("1993-06-01").cast("date"), (key * 37 % 1500).cast("int"))
+    shares = F.element_at(F.array(F.lit(10), F.lit(11), F.lit(31), F.lit(73)), (key % 4 + 1).cast("int"))
+    venues = F.element_at(F.array(F.lit(1), F.lit(2), F.lit(-3), F.lit(9)), (key % 4 + 1).cast("int"))
+    ranges = table(spark, sf_dir, "supplier").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
+    return ranges.select(
+        key.alias("permno"),
+        F.when((key % 3 == 0) & (F.col("v") == 1), F.concat(F.lit("N"), key.cast("string"))).otherwise(_ticker("s_suppkey")).alias("ticker"),
+        F.col("s_name").alias("comnam"), shares.alias("shrcd"), venues.alias("exchcd"),
+        F.date_add(listed, F.col("v") * 1100).alias("namedt"),
+        F.when(F.col("v") == 0, F.date_add(listed, 1099)).alias("nameendt"),
+    )
+
+
+def security_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed daily prices per permanent id; odd volumes mark midpoint quotes."""
+    b = daily_bars(spark, sf_dir)
+    return b.select(
+        F.substring("ticker", 2, 20).cast("bigint").alias("permno"), F.col("trade_date").alias("date"),
+        F.when(F.col("volume") % 2 == 1, -F.col("close")).otherwise(F.col("close")).alias("prc"),
+        F.col("open").alias("openprc"), F.col("high").alias("askhi"), F.col("low").alias("bidlo"),
+        F.col("volume").alias("vol"), (F.col("volume") * 3).alias("shrout"),
+    )
+
+
+def security_distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.substring("o_orderpriority", 1, 1)
+    ex = F.to_date("o_orderdate")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("permno"), ex.alias("exdt"),
+        F.when(F.col("o_orderstatus") != "P", F.date_sub(ex, 20)).alias("dclrdt"),
+        F.when(first == "1", F.lit(1.0)).when(first == "2", F.lit(-0.9)).when(first == "3", F.lit(0.0)).alias("facpr"),
+        F.when(first.isin("3", "4"), F.col("o_totalprice") / 1e5).alias("divamt"),
+    )
+
+
+def security_delistings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        key.alias("permno"), F.date_add(F.lit("1996-01-01").cast("date"), (key * 11 % 1500).cast("int")).alias("dlstdt"),
+        (F.col("s_acctbal") / 1e4).alias("dlret"),
+    )
+
+
+def venue_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-venue daily bars without tickers: instruments carry ids that are only valid for their day."""
+    venues = F.array(F.lit("XASE.PILLAR"), F.lit("XNAS.ITCH"), F.lit("XNYS.PILLAR"))
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    day = F.to_date("l_shipdate")
+    ticks = table(spark, sf_dir, "lineitem").select(
+        day.alias("trade_date"), F.element_at(venues, F.col("l_linenumber") % 3 + 1).alias("venue"),
+        F.col("l_suppkey"), price.alias("price"), "l_quantity",
+    )
+    bars = ticks.groupBy("trade_date", "venue", "l_suppkey").agg(
+        F.min("price").alias("low"), F.max("price").alias("high"), F.sum("l_quantity").alias("volume")
+    )
+    return bars.select(
+        "trade_date", "venue", instrument_id().alias("instrument_id"), F.col("low").alias("open"), "high", "low",
+        F.col("high").alias("close"), "volume",
+    )
+
+
+def instrument_id(key: str = "l_suppkey", date: str = "trade_date"):
+    return F.col(key) * 1000 + F.datediff(F.col(date), F.lit("1990-01-01").cast("date")) % 997
+
+
+def symbol_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trade_date, venue, instrument_id) -> ticker, as a per-day symbology feed delivers it."""
+    venues = F.array(F.lit("XASE.PILLAR"), F.lit("XNAS.ITCH"), F.lit("XNYS.PILLAR"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.to_date("l_shipdate").alias("trade_date"),
+        F.element_at(venues, F.col("l_linenumber") % 3 + 1).alias("venue"), "l_suppkey",
+    ).distinct().select("trade_date", "venue", instrument_id().alias("instrument_id"), _ticker("l_suppkey").alias("ticker"))
+
+
+def listing_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month-start listing snapshots for every ticker seen in the month."""
+    exchanges = F.array(F.lit("XNAS"), F.lit("XNYS"), F.lit("ARCX"), F.lit("IEXG"))
+    month = F.trunc(F.to_date("l_shipdate"), "MM")
+    seen = table(spark, sf_dir, "lineitem").select(month.alias("snapshot_date"), "l_suppkey").distinct()
+    pick = ((F.col("l_suppkey") + F.month("snapshot_date")) % 4 + 1).cast("int")
+    return seen.select(
+        "snapshot_date", _ticker("l_suppkey").alias("ticker"), F.lit("XASE.PILLAR").alias("venue"),
+        F.element_at(exchanges, pick).alias("exchange"), F.lit("common_stock").alias("security_class"),
+    )
+
+
+def session_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.to_date("l_shipdate")
+    state = F.when(F.dayofmonth("trade_date") == 13, "degraded").when(F.dayofmonth("trade_date") == 27, "pending").otherwise("available")
+    return table(spark, sf_dir, "lineitem").select(day.alias("trade_date")).distinct().select(
+        "trade_date", F.lit("XNAS.ITCH").alias("venue"), state.alias("condition")
+    )
+
+
+def identity_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trade_date, ticker) -> instrument id; tickers with key % 10 = 0 carry two ids on even days."""
+    seen = table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date"), "l_suppkey").distinct()
+    twice = (F.col("l_suppkey") % 10 == 0) & (F.dayofmonth("trade_date") % 2 == 0)
+    ids = F.when(twice, F.array(F.col("l_suppkey") * 10, F.col("l_suppkey") * 10 + 1)).otherwise(F.array(F.col("l_suppkey") * 10))
+    return seen.select("trade_date", _ticker("l_suppkey").alias("ticker"), F.explode(ids).alias("instrument_id"))
+
+
+def forecast_quantiles(universe: DataFrame) -> DataFrame:
+    """A quantile table with the right contract: trailing low, last and high return as q10, q50, q90."""
+    w = timeline("ticker", "trade_date")
+    last20 = w.rowsBetween(-20, -1)
+    return universe.select(
+        "trade_date", "ticker", F.min("ret").over(last20).alias("q10"), F.lag("ret").over(w).alias("q50"),
+        F.max("ret").over(last20).alias("q90"),
+    ).where("q50 is not null")
+
+
+def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a file stream of ticks (one hundred shares each)."""
+    raw = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return raw.select(
+        "ts", _ticker("user_id").alias("ticker"), F.col("value").alias("price"), F.lit(100.0).alias("size"),
+        F.col("event_id").alias("seq"),
+    )

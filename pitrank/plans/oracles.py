@@ -681,5 +681,224 @@ SELECT CAST(max(trade_date) AS VARCHAR) AS newest, count(*) FILTER (WHERE trade_
 HAVING count(*) FILTER (WHERE trade_date >= DATE '2001-01-01') > 0""")
 
 
+# --- landed JSON ------------------------------------------------------------------------------
+
+oracle("json_grouped_daily", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, open, high, low, close, volume,
+       CASE WHEN volume % 2 = 1 THEN dollar_volume / volume ELSE close END * volume AS dollar_volume, CAST(as_of AS VARCHAR) AS as_of FROM bars_v""")
+oracle("json_splits_dividends", """
+SELECT CAST(ex_date AS VARCHAR) AS ex_date, ticker, CASE WHEN action_type IN ('split', 'reverse_split') THEN action_type ELSE 'dividend' END AS action_type,
+       CASE action_type WHEN 'split' THEN 2.0::DOUBLE WHEN 'reverse_split' THEN 0.1::DOUBLE END AS ratio, cash_amount, CAST(NULL AS VARCHAR) AS new_ticker,
+       CAST(CAST(CASE WHEN day(ex_date) > 15 THEN ex_date - 5 ELSE ex_date END AS TIMESTAMP) AS VARCHAR) AS as_of FROM actions_v""")
+oracle("json_reference_tickers", """
+SELECT 'T' || s_suppkey AS ticker, s_name AS name, list_value('CS', 'ADR', 'ETF', 'WARRANT', 'SPAC', 'OTHER')[s_suppkey % 6 + 1] AS security_type,
+       CASE WHEN s_suppkey % 4 <> 3 THEN 'XNYS' ELSE 'OTC' END AS exchange,
+       CAST(DATE '1993-06-01' + CAST(s_suppkey * 37 % 1500 AS INTEGER) AS VARCHAR) AS active_from, CAST(NULL AS VARCHAR) AS active_to, s_acctbal AS market_cap,
+       CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 100.0::DOUBLE ELSE s_suppkey * 10.0::DOUBLE END AS float_shares,
+       CAST(CAST(DATE '1993-06-01' + CAST(s_suppkey * 37 % 1500 AS INTEGER) AS TIMESTAMP) AS VARCHAR) AS as_of FROM supplier""")
+oracle("json_earnings", """
+SELECT ticker, CAST(report_date AS VARCHAR) AS report_date, CASE WHEN session = 'bmo' THEN 'bmo' ELSE 'unknown' END AS session,
+       CAST(announced_on AS VARCHAR) AS announced_on, date_is_revisable, CAST(as_of AS VARCHAR) AS as_of FROM earnings_v""")
+oracle("json_earnings_calendar", """
+SELECT ticker, CAST(report_date AS VARCHAR) AS report_date, CASE WHEN session = 'bmo' THEN 'bmo' WHEN day(report_date) > 10 THEN 'amc' ELSE 'unknown' END AS session,
+       CAST(NULL AS VARCHAR) AS announced_on, true AS date_is_revisable, CAST(CAST(report_date - 1 AS TIMESTAMP) AS VARCHAR) AS as_of FROM earnings_v""")
+oracle("json_short_interest", """
+SELECT ticker, CAST(settlement_date AS VARCHAR) AS settlement_date, short_interest_shares, short_interest_pct_float, days_to_cover,
+       CAST(CAST(settlement_date + CASE WHEN day(settlement_date) > 15 THEN 9 ELSE 14 END AS TIMESTAMP) AS VARCHAR) AS as_of FROM si_v""")
+cte("et_v", """
+SELECT 'T' || user_id AS ticker, value, date_trunc('millisecond', ts) - CASE WHEN month(ts) BETWEEN 4 AND 10 THEN INTERVAL 4 HOUR ELSE INTERVAL 5 HOUR END AS minute FROM events
+""")
+oracle("json_minutes", """
+SELECT CAST(CAST(minute AS DATE) AS VARCHAR) AS trade_date, ticker, CAST(minute AS VARCHAR) AS minute, value AS open, value AS high, value AS low, value AS close,
+       100.0::DOUBLE AS volume, 1.0::DOUBLE AS trade_count, CAST(minute AS VARCHAR) AS as_of FROM et_v
+WHERE minute >= CAST(CAST(minute AS DATE) AS TIMESTAMP) + INTERVAL 4 HOUR AND minute < CAST(CAST(minute AS DATE) AS TIMESTAMP) + INTERVAL '9 hours 25 minutes'""")
+oracle("json_eod", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, open, high, low, close, volume, close * volume AS dollar_volume, CAST(as_of AS VARCHAR) AS as_of FROM bars_v""")
+cte("cap_v", """
+SELECT trade_date, ticker, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, ticker) - 1 AS pos FROM b2_v
+""")
+oracle("json_capture", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, 'sp500' AS list, pos, ticker FROM cap_v
+UNION ALL SELECT CAST(trade_date AS VARCHAR), 'top_movers', pos, ticker FROM cap_v WHERE day(trade_date) % 2 = 0""")
+
+# --- security master and venues -----------------------------------------------------------------
+
+cte("sn_v", """
+SELECT s_suppkey AS permno, CASE WHEN s_suppkey % 3 = 0 AND v = 1 THEN 'N' ELSE 'T' END || s_suppkey AS ticker, s_name AS comnam,
+       list_value(10, 11, 31, 73)[s_suppkey % 4 + 1] AS shrcd, list_value(1, 2, -3, 9)[s_suppkey % 4 + 1] AS exchcd,
+       CAST(DATE '1993-06-01' + CAST(s_suppkey * 37 % 1500 + v * 1100 AS INTEGER) AS DATE) AS namedt,
+       CASE WHEN v = 0 THEN CAST(DATE '1993-06-01' + CAST(s_suppkey * 37 % 1500 + 1099 AS INTEGER) AS DATE) END AS nameendt
+FROM supplier, (SELECT unnest([0, 1]) AS v)
+""")
+cte("sp_v", "SELECT CAST(substr(ticker, 2) AS BIGINT) AS permno, trade_date, open, high, low, CASE WHEN volume % 2 = 1 THEN -close ELSE close END AS prc, volume FROM bars_v")
+oracle("name_interval_join", """
+SELECT CAST(p.trade_date AS VARCHAR) AS trade_date, n.ticker, open, high, low, abs(prc) AS close, volume, abs(prc) * volume AS dollar_volume,
+       CAST(CAST(p.trade_date AS TIMESTAMP) + INTERVAL 16 HOUR AS VARCHAR) AS as_of, p.permno, prc < 0 AS price_is_midpoint
+FROM sp_v p JOIN sn_v n ON p.permno = n.permno AND p.trade_date BETWEEN n.namedt AND coalesce(n.nameendt, p.trade_date)""")
+cte("tc_v", """
+SELECT permno, namedt AS ex_date, ticker AS new_ticker, lag(ticker) OVER (PARTITION BY permno ORDER BY namedt) AS ticker FROM sn_v
+QUALIFY lag(ticker) OVER (PARTITION BY permno ORDER BY namedt) <> ticker
+""")
+oracle("ticker_changes", "SELECT permno, CAST(ex_date AS VARCHAR) AS ex_date, ticker, new_ticker, CAST(CAST(ex_date AS TIMESTAMP) AS VARCHAR) AS as_of FROM tc_v")
+oracle("security_actions", """
+SELECT CAST(ex_date AS VARCHAR) AS ex_date, ticker, action_type, ratio, cash_amount, new_ticker, CAST(CAST(as_of AS TIMESTAMP) AS VARCHAR) AS as_of, permno FROM (
+  SELECT CAST(o_orderdate AS DATE) AS ex_date, CAST(NULL AS VARCHAR) AS ticker,
+         CASE left(o_orderpriority, 1) WHEN '1' THEN 'split' WHEN '2' THEN 'reverse_split' ELSE 'dividend' END AS action_type,
+         CASE left(o_orderpriority, 1) WHEN '1' THEN 1.0::DOUBLE + 1.0::DOUBLE WHEN '2' THEN 1.0::DOUBLE + (-0.9)::DOUBLE END AS ratio,
+         CASE WHEN left(o_orderpriority, 1) IN ('3', '4') THEN o_totalprice / 1e5 END AS cash_amount, CAST(NULL AS VARCHAR) AS new_ticker,
+         CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) - 20 ELSE CAST(o_orderdate AS DATE) END AS as_of, o_custkey AS permno
+  FROM orders WHERE left(o_orderpriority, 1) IN ('1', '2', '3', '4')
+  UNION ALL SELECT ex_date, ticker, 'ticker_change', NULL, NULL, new_ticker, ex_date, permno FROM tc_v WHERE ex_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
+  UNION ALL SELECT CAST(DATE '1996-01-01' + CAST(s_suppkey * 11 % 1500 AS INTEGER) AS DATE), NULL, 'delisting', NULL, s_acctbal / 1e4, NULL,
+                   CAST(DATE '1996-01-01' + CAST(s_suppkey * 11 % 1500 AS INTEGER) AS DATE), s_suppkey FROM supplier)""")
+oracle("name_history_meta", """
+SELECT n.permno, n.ticker, comnam AS name, CASE WHEN shrcd IN (10, 11) THEN 'CS' WHEN shrcd IN (30, 31) THEN 'ADR' ELSE 'OTHER' END AS security_type,
+       CASE abs(exchcd) WHEN 1 THEN 'XNYS' WHEN 2 THEN 'XASE' WHEN 3 THEN 'XNAS' ELSE 'OTC' END AS exchange,
+       CAST(namedt AS VARCHAR) AS active_from, CAST(nameendt AS VARCHAR) AS active_to, abs(prc) * (volume * 3) * 1000 AS market_cap, CAST(CAST(namedt AS TIMESTAMP) AS VARCHAR) AS as_of
+FROM sn_v n LEFT JOIN sp_v p ON n.permno = p.permno AND n.namedt = p.trade_date""")
+cte("vb_v", """
+SELECT CAST(l_shipdate AS DATE) AS trade_date, list_value('XASE.PILLAR', 'XNAS.ITCH', 'XNYS.PILLAR')[l_linenumber % 3 + 1] AS venue, 'T' || l_suppkey AS ticker, l_suppkey,
+       min(l_extendedprice / l_quantity) AS low, max(l_extendedprice / l_quantity) AS high, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2, 3, 4
+""")
+oracle("symbol_resolution", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, venue, l_suppkey * 1000 + (trade_date - DATE '1990-01-01') % 997 AS instrument_id, ticker, volume FROM vb_v""")
+cte("vm_v", """
+SELECT *, CASE list_value('XNAS', 'XNYS', 'ARCX', 'IEXG')[(l_suppkey + month(trade_date)) % 4 + 1] WHEN 'XNAS' THEN 'XNAS.ITCH' WHEN 'XNYS' THEN 'XNYS.PILLAR'
+       WHEN 'ARCX' THEN 'XNYS.PILLAR' ELSE 'XASE.PILLAR' END AS listing FROM vb_v WHERE day(trade_date) NOT IN (13, 27)
+""")
+oracle("venue_merge", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, low AS open, high, low, high AS close, total AS volume, high * total AS dollar_volume,
+       CAST(CAST(trade_date AS TIMESTAMP) + INTERVAL 16 HOUR AS VARCHAR) AS as_of FROM (
+  SELECT *, sum(volume) OVER (PARTITION BY trade_date, ticker) AS total FROM vm_v
+  QUALIFY row_number() OVER (PARTITION BY trade_date, ticker ORDER BY CASE WHEN venue = listing THEN 0 ELSE 1 END, venue) = 1)""")
+cte("ids_v", """
+SELECT trade_date, ticker, CASE WHEN k % 10 = 0 AND day(trade_date) % 2 = 0 THEN NULL ELSE k * 10 END AS instrument_id FROM (
+  SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date, 'T' || l_suppkey AS ticker, l_suppkey AS k FROM lineitem)
+""")
+cte("al_v", """
+SELECT a.ticker, a.ex_date, a.action_type, i.instrument_id FROM actions_v a LEFT JOIN ids_v i ON a.ticker = i.ticker AND a.ex_date = i.trade_date
+""")
+oracle("identity_align", "SELECT ticker, CAST(ex_date AS VARCHAR) AS ex_date, action_type, instrument_id FROM al_v")
+oracle("alignment_report", """
+SELECT count(*) AS total_rows, count(instrument_id) AS aligned_rows, count(DISTINCT CASE WHEN instrument_id IS NULL THEN ticker END) AS unaligned_ticker_count FROM al_v""")
+oracle("unaligned_tickers", "SELECT DISTINCT ticker FROM al_v WHERE instrument_id IS NULL")
+
+# --- survivorship --------------------------------------------------------------------------------
+
+cte("del_v", """
+SELECT l.ticker, l.d AS last_trade_date, coalesce(c.next_session, l.d) AS inferred_delist_date, least(1.0::DOUBLE, ((SELECT max(session_idx) FROM cal_v) - c.session_idx) / 8.0::DOUBLE) AS confidence
+FROM (SELECT ticker, max(trade_date) AS d FROM bars_v GROUP BY ticker) l JOIN cal_v c ON l.d = c.session
+WHERE (SELECT max(session_idx) FROM cal_v) - c.session_idx >= 2
+""")
+oracle("infer_delistings", "SELECT ticker, CAST(last_trade_date AS VARCHAR) AS last_trade_date, CAST(inferred_delist_date AS VARCHAR) AS inferred_delist_date, confidence FROM del_v")
+oracle("delisting_actions", """
+SELECT CAST(inferred_delist_date AS VARCHAR) AS ex_date, ticker, 'delisting' AS action_type, CAST(CAST(inferred_delist_date AS TIMESTAMP) AS VARCHAR) AS as_of, confidence FROM del_v""")
+cte("surv_v", """
+SELECT b.ticker, bool_or(c.session_idx - 1 <= greatest(0, CAST(floor(n * 0.002) AS INTEGER) - 1)) AS early, bool_or(c.session_idx - 1 >= least(n - 1, CAST(floor(n * 0.998) AS INTEGER))) AS late
+FROM bars_v b JOIN cal_v c ON b.trade_date = c.session, (SELECT max(session_idx) AS n FROM cal_v) GROUP BY b.ticker
+""")
+oracle("survivorship", """
+SELECT count(*) FILTER (WHERE early) AS early_tickers, count(*) FILTER (WHERE late) AS late_tickers, count(*) FILTER (WHERE early AND NOT late) AS disappeared_tickers,
+       (SELECT count(*) FROM cal_v) AS n_sessions, (SELECT count(*) FROM cal_v) >= 2 AND count(*) FILTER (WHERE early AND NOT late) >= 1 AS passed FROM surv_v""")
+oracle("disappeared_tickers", "SELECT ticker FROM surv_v WHERE early AND NOT late")
+
+# --- monitoring, overlap, sampling -----------------------------------------------------------------
+
+oracle("score_days", """
+SELECT CAST(p.trade_date AS VARCHAR) AS trade_date, count(*) AS n_predicted, count(c.ticker) AS captured_hits, count(l.ticker) AS proxy_hits
+FROM b2_v p LEFT JOIN b1_v c ON p.trade_date = c.trade_date AND p.ticker = c.ticker
+LEFT JOIN (SELECT trade_date, ticker FROM labels_v WHERE label = 1) l ON p.trade_date = l.trade_date AND p.ticker = l.ticker GROUP BY p.trade_date""")
+cte("mon_v", """
+SELECT trade_date, model_hits AS live_hits, baseline_hits,
+       count(*) OVER w4 = 4 AND min(CASE WHEN 6.0 - model_hits > 1.5 THEN 1 ELSE 0 END) OVER w4 = 1 AS stop,
+       count(*) OVER w3 = 3 AND min(CASE WHEN model_hits < baseline_hits THEN 1 ELSE 0 END) OVER w3 = 1 AS kill
+FROM paired_v WINDOW w4 AS (ORDER BY trade_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), w3 AS (ORDER BY trade_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+""")
+oracle("rolling_monitor", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM mon_v")
+oracle("stream_monitor", "SELECT 'b2' AS model, CAST(trade_date AS VARCHAR) AS trade_date, stop, kill FROM mon_v")
+cte("ovl_v", """
+SELECT a.trade_date, count(c.ticker) AS overlap_at_k FROM (SELECT trade_date, ticker FROM labels_v WHERE label = 1) a
+LEFT JOIN cap_v c ON a.trade_date = c.trade_date AND a.ticker = c.ticker
+WHERE day(a.trade_date) % 2 = 0 AND a.trade_date IN (SELECT trade_date FROM cap_v) GROUP BY a.trade_date
+""")
+cte("ovr_v", """
+SELECT CAST(d AS DATE) AS trade_date, CAST(d AS DATE) IN (SELECT trade_date FROM labels_v) AS proxy_available,
+       CAST(d AS DATE) IN (SELECT trade_date FROM cap_v WHERE day(trade_date) % 2 = 0) AS real_available, o.overlap_at_k
+FROM (SELECT unnest(generate_series(CAST(min(trade_date) AS TIMESTAMP), CAST(max(trade_date) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM bars_v)
+LEFT JOIN ovl_v o ON o.trade_date = CAST(d AS DATE) WHERE isodow(d) <= 5
+""")
+oracle("overlap_at_k", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, overlap_at_k FROM ovl_v")
+oracle("overlap_report", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM ovr_v")
+oracle("freeze_criterion", """
+SELECT count(overlap_at_k) AS n_days, CAST(median(overlap_at_k) AS DOUBLE) AS median_overlap, coalesce(median(overlap_at_k) >= 4, false) AS met
+FROM (SELECT * FROM ovr_v ORDER BY trade_date DESC LIMIT 30)""")
+cte("smp_v", """
+SELECT trade_date, ticker, rank, return_t FROM labels_v WHERE label = 1 AND trade_date < DATE '2001-01-01'
+ORDER BY CAST(('0x' || left(md5('5|' || CAST(trade_date AS VARCHAR) || '|' || ticker), 13)) AS BIGINT), trade_date, ticker LIMIT 200
+""")
+oracle("sample_positives", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, CAST(rank AS INTEGER) AS rank, return_t FROM smp_v")
+cte("shr_v", """
+SELECT category, count(s.rank) AS c, (SELECT count(*) FROM smp_v) AS n FROM (SELECT unnest(['scheduled_catalyst', 'carryover', 'unscheduled']) AS category)
+LEFT JOIN (SELECT rank, CASE WHEN rank <= 2 THEN 'scheduled_catalyst' WHEN rank <= 6 THEN 'carryover' ELSE 'unscheduled' END AS cat FROM smp_v) s ON s.cat = category GROUP BY category
+""")
+cte("wils_v", "SELECT category, c, n, c / CAST(n AS DOUBLE) AS p, 1.959963984540054::DOUBLE AS z FROM shr_v")
+oracle("category_share", """
+SELECT category, c AS count, n, round(p, 9) AS share,
+       round(greatest(0.0::DOUBLE, (p + z*z/(2*n) - z * sqrt(p*(1-p)/n + z*z/(4.0::DOUBLE*n*n))) / (1 + z*z/n)), 9) AS ci_low,
+       round(least(1.0::DOUBLE, (p + z*z/(2*n) + z * sqrt(p*(1-p)/n + z*z/(4.0::DOUBLE*n*n))) / (1 + z*z/n)), 9) AS ci_high FROM wils_v""")
+oracle("class_balance", """
+SELECT n_pos, n_neg, round(n_neg / CAST(n_pos AS DOUBLE), 9) AS weight FROM (
+  SELECT count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label <> 1) AS n_neg FROM labels_v)""")
+
+# --- forecasts -----------------------------------------------------------------------------------------
+
+cte("fq_v", """
+SELECT * FROM (SELECT trade_date, ticker, min(ret) OVER w AS q10, lag(ret) OVER (PARTITION BY ticker ORDER BY trade_date) AS q50, max(ret) OVER w AS q90
+  FROM bu_v WINDOW w AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE q50 IS NOT NULL
+""")
+cte("ff0_v", """
+SELECT trade_date, ticker, q50 AS fc_q50, q90 AS fc_q90, q90 - q10 AS fc_spread, ((q90 - q50) - (q50 - q10)) / nullif(q90 - q10, 0) AS fc_skew_norm,
+       (q90 - q50) / nullif(q50 - q10, 0) AS fc_upside_ratio FROM fq_v
+""")
+cte("ff_v", """
+SELECT *, (rank() OVER (PARTITION BY trade_date ORDER BY fc_q90 NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, fc_q90) - 1) / 2.0::DOUBLE) / count(fc_q90) OVER (PARTITION BY trade_date) AS fc_q90_xs_rank,
+       CASE WHEN fc_skew_norm IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date ORDER BY fc_skew_norm NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, fc_skew_norm) - 1) / 2.0::DOUBLE) / count(fc_skew_norm) OVER (PARTITION BY trade_date) END AS fc_skew_xs_rank
+FROM ff0_v
+""")
+oracle("forecast_features", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM ff_v")
+oracle("bars_t1_forecast", """
+SELECT CAST(b.trade_date AS VARCHAR) AS trade_date, b.ticker, xs_vol_rank, xs_ret_rank, top90, round(logpx, 8) AS logpx, dist52,
+       round(vol20, 8) AS vol20, round(vol5, 8) AS vol5, round(relvol_prev, 8) AS relvol_prev, ret5, ret20, round(volofvol, 8) AS volofvol,
+       round(logdv, 8) AS logdv, prev_ret1, was_top, top30, fc_q50, fc_q90, fc_spread, fc_skew_norm, fc_upside_ratio, fc_q90_xs_rank, fc_skew_xs_rank,
+       CAST(as_of AS VARCHAR) AS as_of FROM bf_v b LEFT JOIN ff_v f ON b.trade_date = f.trade_date AND b.ticker = f.ticker""")
+cte("rdl_v", " UNION ALL ".join(
+    f"SELECT b.trade_date, '{c}' AS feature, {c} AS x, xs_vol_rank AS y FROM bf_v b JOIN ff_v f ON b.trade_date = f.trade_date AND b.ticker = f.ticker WHERE xs_vol_rank IS NOT NULL AND {c} IS NOT NULL"
+    for c in ("fc_spread", "fc_skew_norm", "fc_q90")))
+cte("rdr_v", """
+SELECT trade_date, feature, rank() OVER (PARTITION BY trade_date, feature ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, feature, x) - 1) / 2.0::DOUBLE AS rx,
+       rank() OVER (PARTITION BY trade_date, feature ORDER BY y) + (count(*) OVER (PARTITION BY trade_date, feature, y) - 1) / 2.0::DOUBLE AS ry FROM rdl_v
+""")
+oracle("redundancy_spearman", """
+SELECT feature, count(*) AS n_days, round(avg(rho), 7) AS spearman FROM (
+  SELECT trade_date, feature, covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) AS rho FROM rdr_v GROUP BY 1, 2 HAVING sqrt(var_pop(rx) * var_pop(ry)) > 0) GROUP BY feature""")
+
+# --- streaming -------------------------------------------------------------------------------------------
+
+cte("wm_v", "SELECT max(date_trunc('millisecond', ts)) - INTERVAL 10 MINUTE AS wm FROM events")
+oracle("stream_minute_bars", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, CAST(minute AS VARCHAR) AS minute, open, high, low, close, volume, trade_count, CAST(as_of AS VARCHAR) AS as_of
+FROM minutes_v, wm_v WHERE minute + INTERVAL 1 MINUTE <= wm""")
+oracle("stream_premarket", """
+SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, arg_max(value, row(ts, event_id)) AS last_price, max(value) AS high_price, CAST(count(*) * 100 AS DOUBLE) AS total_volume,
+       CAST(sum(CAST(value * 100 AS DECIMAL(28,6))) AS DOUBLE) AS premarket_dollar_volume, count(*) AS premarket_trade_count, CAST(min(ts) AS VARCHAR) AS first_tick
+FROM ticks_v, wm_v WHERE hour(ts) * 60 + minute(ts) < 565 AND CAST(trade_date AS TIMESTAMP) + INTERVAL '9 hours 25 minutes' <= wm GROUP BY trade_date, ticker""")
+oracle("stream_quarantine", """
+SELECT CASE WHEN day(settlement_date) > 20 THEN 'quarantine' ELSE 'accepted' END AS side, ticker, count(*) AS n_rows FROM si_v GROUP BY 1, 2""")
+oracle("stream_predictions", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, round(score, 8) AS score FROM b2_v")
+oracle("resumable_build", "SELECT CAST(trade_date AS VARCHAR) AS trade_date, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_positive FROM labels_v GROUP BY trade_date")
+oracle("feature_sink", """
+SELECT ticker, count(*) AS n_rows, CAST(max(as_of) AS VARCHAR) AS last_as_of FROM bf_v WHERE as_of <= TIMESTAMP '1999-12-31 16:00:00' GROUP BY ticker""")
+
+
 def all_sql() -> dict[str, str]:
     return {name: build(sql) for name, sql in ORACLES.items()}

@@ -8,23 +8,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pitrank import contracts as C
 from pitrank.functions import clock
-from pitrank.functions.scalars import bucketise, sector_onehot, wilson_bounds
+from pitrank.functions.scalars import bucketise, sector_onehot
 from pitrank.operators import asof, baselines as bl
 from pitrank.operators import calendar as cal
 from pitrank.operators import features_bars as fb
 from pitrank.operators import features_t1 as t1
+from pitrank.operators import identity as idn
 from pitrank.operators import features_t2 as t2
 from pitrank.operators import leakage as lk
 from pitrank.operators import metrics as mt
 from pitrank.operators import monitor as mon
 from pitrank.operators import overlap as ov
 from pitrank.operators import quality as qa
+from pitrank.operators import ranker as rk
+from pitrank.operators import ranks
+from pitrank.operators import redundancy as rd
 from pitrank.operators import sampling as sp
 from pitrank.operators import significance as sg
 from pitrank.operators import survivorship as sv
 from pitrank.operators import walkforward as wf
 from pitrank.operators import universe as uni
 from pitrank.plans import catalog as P
+from pitrank.plans import pipeline as pipe
+from pitrank.session import scratch_path
+from pitrank.sources import json_feeds as js
+from pitrank.sources import names_history as nh
+from pitrank.sources import tables as tb
+from pitrank.sources import venues as vn
+from pitrank.streaming import jobs as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -518,3 +529,330 @@ def tolerance(spark, sf):
 @query
 def holdout_seal(spark, sf):
     return lk.seal_violations(P.daily_bars(spark, sf), sealed_from="2001-01-01").withColumnRenamed("rows", "n_rows")
+
+
+# --- landed JSON ---------------------------------------------------------------------------------
+
+
+@query
+def json_grouped_daily(spark, sf):
+    return js.grouped_daily(P.grouped_daily_docs(P.daily_bars(spark, sf)))
+
+
+@query
+def json_splits_dividends(spark, sf):
+    return js.splits_and_dividends(*P.action_docs(spark, sf))
+
+
+@query
+def json_reference_tickers(spark, sf):
+    return js.reference_tickers(*P.reference_docs(spark, sf)).drop("sector", "industry")
+
+
+@query
+def json_earnings(spark, sf):
+    return js.earnings_feed(P.earnings_docs(spark, sf))
+
+
+@query
+def json_earnings_calendar(spark, sf):
+    return js.earnings_calendar(P.earnings_calendar_docs(spark, sf))
+
+
+@query
+def json_short_interest(spark, sf):
+    return js.short_interest_feed(P.short_interest_docs(spark, sf))
+
+
+@query
+def json_minutes(spark, sf):
+    return js.minute_aggregates(P.minute_docs(spark, sf))
+
+
+@query
+def json_eod(spark, sf):
+    return js.end_of_day_prices(P.eod_docs(P.daily_bars(spark, sf)))
+
+
+def _captures(spark, sf):
+    top = _b2(spark, sf)
+    return P.capture_docs(ranks.top_k(top, C.TOP_K, position="pos"))
+
+
+@query
+def json_capture(spark, sf):
+    return js.captured_lists(_captures(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
+
+
+# --- security master and venues --------------------------------------------------------------------
+
+
+@query
+def name_interval_join(spark, sf):
+    prices = P.security_prices(spark, sf).drop("shrout")
+    named = nh.named_prices(prices, P.security_names(spark, sf), asof.date_bounds(P.bar_dates(spark, sf)))
+    return nh.signed_price_bars(named)
+
+
+@query
+def security_actions(spark, sf):
+    """Distributions, ticker changes and delistings of the security master in one contract."""
+    return nh.security_actions(P.security_distributions(spark, sf), P.security_names(spark, sf),
+                               P.security_delistings(spark, sf), "1996-01-01", "2000-12-31")
+
+
+@query
+def ticker_changes(spark, sf):
+    return nh.ticker_changes(P.security_names(spark, sf)).select("permno", "ex_date", "ticker", "new_ticker", "as_of")
+
+
+@query
+def name_history_meta(spark, sf):
+    meta = nh.name_history_meta(P.security_names(spark, sf), P.security_prices(spark, sf))
+    return meta.select("permno", "ticker", "name", "security_type", "exchange", "active_from", "active_to", "market_cap", "as_of")
+
+
+@query
+def symbol_resolution(spark, sf):
+    records = P.venue_bars(spark, sf)
+    return idn.resolve_symbols(records, P.symbol_mapping(spark, sf)).select("trade_date", "venue", "instrument_id", "ticker", "volume")
+
+
+@query
+def venue_merge(spark, sf):
+    resolved = idn.resolve_symbols(P.venue_bars(spark, sf), P.symbol_mapping(spark, sf))
+    clean = vn.drop_degraded(resolved, P.session_conditions(spark, sf))
+    listed = vn.with_listing(clean, vn.listing_snapshot(P.listing_definitions(spark, sf)))
+    return vn.merge_venues(listed)
+
+
+@query
+def identity_align(spark, sf):
+    return idn.align_identity(P.corporate_actions(spark, sf), P.identity_mapping(spark, sf)).select(
+        "ticker", "ex_date", "action_type", "instrument_id")
+
+
+@query
+def alignment_report(spark, sf):
+    return idn.alignment_report(idn.align_identity(P.corporate_actions(spark, sf), P.identity_mapping(spark, sf)))
+
+
+@query
+def unaligned_tickers(spark, sf):
+    return idn.unaligned_tickers(idn.align_identity(P.corporate_actions(spark, sf), P.identity_mapping(spark, sf)))
+
+
+# --- survivorship --------------------------------------------------------------------------------------
+
+
+def _delistings(spark, sf):
+    return sv.infer_delistings(P.daily_bars(spark, sf), min_gap=2, calendar=cal.sessions(P.bar_dates(spark, sf)))
+
+
+@query
+def infer_delistings(spark, sf):
+    return _delistings(spark, sf)
+
+
+@query
+def delisting_actions(spark, sf):
+    return sv.delisting_actions(_delistings(spark, sf)).drop("ratio", "cash_amount", "new_ticker")
+
+
+@query
+def survivorship(spark, sf):
+    return sv.survivorship_report(P.daily_bars(spark, sf), 0.002, 0.002, calendar=cal.sessions(P.bar_dates(spark, sf))).withColumn(
+        "n_sessions", F.col("n_sessions").cast("long"))
+
+
+@query
+def disappeared_tickers(spark, sf):
+    return sv.disappeared(P.daily_bars(spark, sf), 0.002, 0.002, cal.sessions(P.bar_dates(spark, sf)))
+
+
+# --- monitoring, overlap, sampling ----------------------------------------------------------------------
+
+
+@query
+def score_days(spark, sf):
+    labels = _labels(spark, sf)
+    return mon.score_days(_b2(spark, sf), bl.yesterday_repeat(labels), labels)
+
+
+@query
+def rolling_monitor(spark, sf):
+    hits = _paired(spark, sf).withColumnRenamed("model_hits", "live_hits")
+    return mon.rolling_monitor(hits, 6.0, stop_window=4, kill_window=3)
+
+
+def _lists(spark, sf):
+    proxy = _labels(spark, sf).where("label = 1").select("trade_date", F.col("rank").alias("pos"), "ticker")
+    captured = js.captured_lists(_captures(spark, sf)).where(F.col("list") == "top_movers").select("trade_date", "pos", "ticker")
+    return proxy, captured
+
+
+@query
+def overlap_at_k(spark, sf):
+    return ov.overlap_at_k(*_lists(spark, sf))
+
+
+def _overlap_report(spark, sf):
+    bounds = P.bar_dates(spark, sf).agg(F.min("trade_date").alias("start"), F.max("trade_date").alias("end"))
+    return ov.overlap_report(*_lists(spark, sf), bounds)
+
+
+@query
+def overlap_report(spark, sf):
+    return _overlap_report(spark, sf)
+
+
+@query
+def freeze_criterion(spark, sf):
+    return ov.freeze_criterion(_overlap_report(spark, sf), threshold=4)
+
+
+def _sample(spark, sf):
+    return sp.sample_positives(_labels(spark, sf), n=200, seed=5, sealed_from="2001-01-01")
+
+
+@query
+def sample_positives(spark, sf):
+    return _sample(spark, sf).select("trade_date", "ticker", "rank", "return_t")
+
+
+def by_rank(rows):
+    """Stand-in classifier: a rule on the label rank."""
+    return ["scheduled_catalyst" if r <= 2 else "carryover" if r <= 6 else "unscheduled" for r in rows["rank"]]
+
+
+@query
+def category_share(spark, sf):
+    return rounded(sp.category_share(sp.classify(_sample(spark, sf), by_rank)), 9, "share", "ci_low", "ci_high")
+
+
+@query
+def class_balance(spark, sf):
+    return rounded(rk.class_weight(_labels(spark, sf)), 9, "weight")
+
+
+# --- forecasts, redundancy, walk-forward -----------------------------------------------------------------
+
+
+@query
+def forecast_features(spark, sf):
+    return fb.forecast_features(P.forecast_quantiles(_bars_universe(spark, sf)))
+
+
+@query
+def bars_t1_forecast(spark, sf):
+    universe = _bars_universe(spark, sf)
+    df = fb.build_bars_forecast_features(fb.build_bars_features(universe), P.forecast_quantiles(universe))
+    return rounded(df, 8, *_BARS_ROUNDED)
+
+
+def _forecast_frame(spark, sf):
+    universe = _bars_universe(spark, sf)
+    return fb.build_bars_forecast_features(fb.build_bars_features(universe), P.forecast_quantiles(universe))
+
+
+@query
+def redundancy_spearman(spark, sf):
+    rho = rd.daily_spearman(_forecast_frame(spark, sf), ("fc_spread", "fc_skew_norm", "fc_q90"))
+    per = rho.groupBy("feature").agg(F.count(F.lit(1)).alias("n_days"), F.avg("spearman").alias("spearman"))
+    return rounded(per, 7, "spearman")
+
+
+@query
+def redundancy_gate(spark, sf):
+    """Verdicts with the regression part (no SQL: least squares on MLlib)."""
+    return rounded(rd.redundancy_gate(_forecast_frame(spark, sf), ("fc_spread", "fc_skew_norm")), 7, "spearman", "residual_share")
+
+
+@query
+def walkforward_gbt(spark, sf):
+    """A boosted ranker refitted per year and compared with three baselines (no SQL: iterative fit)."""
+    result = pipe.run_variant(
+        _bars_universe(spark, sf), params={"maxIter": 3, "maxDepth": 3}, sealed_from=P.SEALED_FROM
+    )
+    out = None
+    for name, row in result.vs_baseline.items():
+        named = row.select(F.lit(name).alias("baseline"), "mean_hits_delta", "years_won", "years_total", "n_days")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+# --- streaming ---------------------------------------------------------------------------------------------
+
+
+@query
+def stream_minute_bars(spark, sf):
+    return st.run_available(spark, st.minute_bars(P.tick_stream(spark, sf)), "minute-bars")
+
+
+@query
+def stream_premarket(spark, sf):
+    return st.run_available(spark, st.premarket_totals(P.tick_stream(spark, sf)), "premarket")
+
+
+@query
+def stream_monitor(spark, sf):
+    """Run-length monitor as a stateful stream over stored daily hits."""
+    path = scratch_path(spark, "hits")
+    _paired(spark, sf).select(
+        F.lit("b2").alias("model"), "trade_date", F.col("model_hits").alias("live_hits"), "baseline_hits"
+    ).write.parquet(path)
+    hits = spark.readStream.schema("model string, trade_date date, live_hits bigint, baseline_hits bigint").parquet(path)
+    return st.run_available(spark, st.monitor_stream(hits, 6.0, stop_window=4, kill_window=3), "monitor")
+
+
+@query
+def stream_quarantine(spark, sf):
+    """Short-interest rows keyed by settlement: late ones go to the side table, counts of both come back."""
+    base = scratch_path(spark, "quarantine")
+    P.short_interest(spark, sf).withColumnRenamed("settlement_date", "trade_date").withColumn(
+        "as_of", F.when(F.dayofmonth("trade_date") > 20, F.col("as_of")).otherwise(clock.prior_close_time("trade_date"))
+    ).write.parquet(f"{base}/in")
+    schema = spark.read.parquet(f"{base}/in").schema
+    stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+    st.quarantine_split(stream, "T1", f"{base}/ok", f"{base}/late", f"{base}/cp").awaitTermination()
+    ok, late = spark.read.schema(schema).parquet(f"{base}/ok"), spark.read.schema(schema).parquet(f"{base}/late")
+    tagged = ok.withColumn("side", F.lit("accepted")).unionByName(late.withColumn("side", F.lit("quarantine")))
+    return tagged.groupBy("side", "ticker").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query
+def stream_predictions(spark, sf):
+    """Predictions through the write-once sink."""
+    base = scratch_path(spark, "predictions")
+    _b2(spark, sf).select("trade_date", "ticker", "score").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("trade_date date, ticker string, score double").parquet(f"{base}/in")
+    st.prediction_sink(stream, f"{base}/out", f"{base}/cp").awaitTermination()
+    stored = spark.read.schema("trade_date date, ticker string, score double").parquet(f"{base}/out")
+    return rounded(stored.select("trade_date", "ticker", "score"), 8, "score")
+
+
+# --- sinks ---------------------------------------------------------------------------------------------------
+
+
+@query
+def resumable_build(spark, sf):
+    """Labels stored for the first half of the calendar, then only the missing dates built and read back."""
+    base = scratch_path(spark, "labels")
+    labels = _labels(spark, sf)
+    dates = P.bar_dates(spark, sf).distinct()
+    half = dates.where(F.col("trade_date") < F.lit("1998-06-01").cast("date"))
+    build = lambda todo: labels.join(todo, "trade_date", "left_semi")
+    tb.build_incrementally(spark, half, build, base, "v1")
+    stored = tb.build_incrementally(spark, dates, build, base, "v1")
+    return stored.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("label").cast("long")).alias("n_positive"))
+
+
+@query
+def feature_sink(spark, sf):
+    """Bars-only features through the validated sink and back."""
+    base = scratch_path(spark, "features")
+    features = fb.build_bars_features(_bars_universe(spark, sf))
+    # The T1 rule is calendar-based; rows whose previous bar is the day before still qualify.
+    tb.write_features(features, C.T1B_SPEC, base)
+    stored = tb.read_pit(spark, tb.spec_path(base, C.T1B_SPEC.spec_hash), "1999-12-31 16:00:00")
+    return stored.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.max("as_of").alias("last_as_of"))
