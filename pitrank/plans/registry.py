@@ -842,8 +842,8 @@ def resumable_build(spark, sf):
     dates = P.bar_dates(spark, sf).distinct()
     half = dates.where(F.col("trade_date") < F.lit("1998-06-01").cast("date"))
     build = lambda todo: labels.join(todo, "trade_date", "left_semi")
-    tb.build_incrementally(spark, half, build, base, "v1")
-    stored = tb.build_incrementally(spark, dates, build, base, "v1")
+    tb.build_incrementally(spark, half, build, base, "v1", by="trade_year")
+    stored = tb.build_incrementally(spark, dates, build, base, "v1", by="trade_year")
     return stored.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("label").cast("long")).alias("n_positive"))
 
 
@@ -852,7 +852,6 @@ def feature_sink(spark, sf):
     """Bars-only features through the validated sink and back."""
     base = scratch_path(spark, "features")
     features = fb.build_bars_features(_bars_universe(spark, sf))
-    # The T1 rule is calendar-based; rows whose previous bar is the day before still qualify.
-    tb.write_features(features, C.T1B_SPEC, base)
+    tb.write_features(features, C.T1B_SPEC, base, by="trade_month")
     stored = tb.read_pit(spark, tb.spec_path(base, C.T1B_SPEC.spec_hash), "1999-12-31 16:00:00")
     return stored.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_rows"), F.max("as_of").alias("last_as_of"))

@@ -53,7 +53,10 @@ def premarket_totals(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     must still advance it.
     """
     timed = ticks.withColumn("_t", event_time("ts")).withWatermark("_t", delay)
-    minute_of_day = F.hour("ts") * 60 + F.minute("ts")
+    # Phrased on the event-time column: the optimizer would move a filter on
+    # any other column below the watermark, and late-day ticks could not close the window.
+    clock = wall_clock(F.col("_t"))
+    minute_of_day = F.hour(clock) * 60 + F.minute(clock)
     early = timed.where(minute_of_day < PREMARKET_CUTOFF_MINUTES)
     money = (F.col("price") * F.col("size")).cast("decimal(28,6)")
     day = F.window("_t", "24 hours", "24 hours", f"{PREMARKET_CUTOFF_MINUTES} minutes")
