@@ -38,7 +38,10 @@ def daily_scores(predictions: DataFrame, labels: DataFrame, k: int = TOP_K) -> D
         "hits",
         "n",
         (F.col("hits") / F.col("n")).alias("precision"),
-        (F.col("_gain") / F.least(F.col("_relevant"), F.lit(k))).alias("average_precision"),
+        # least() skips nulls, so a day without positives is kept out explicitly.
+        F.when(F.col("_relevant") > 0, F.col("_gain") / F.least(F.col("_relevant"), F.lit(k))).alias(
+            "average_precision"
+        ),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pitrank import contracts as C
 from pitrank.functions.clock import close_time, first_usable_date, prior_close_time
+from pitrank.functions.scalars import growth
 from pitrank.operators import calendar as cal
 from pitrank.operators.asof import date_bounds, interval_join
 from pitrank.operators.bitemporal import known_bars
@@ -142,7 +143,7 @@ def build_labels(
     scored = rankable(universe, bars, actions).select(
         "trade_date",
         "ticker",
-        (F.col("close_t") / F.col("prior_close") - F.lit(1.0)).alias("return_t"),
+        growth(F.col("close_t"), F.col("prior_close")).alias("return_t"),
         F.greatest(F.coalesce(F.col("close_as_of"), close_time("trade_date")), close_time("trade_date")).alias("as_of"),
     )
     if split is None:
@@ -177,6 +178,6 @@ def top_k_returns(
 ) -> DataFrame:
     """Only the positive labels: a top-k per day that never sorts the whole section."""
     scored = rankable(universe, bars, actions).select(
-        "trade_date", "ticker", (F.col("close_t") / F.col("prior_close") - F.lit(1.0)).alias("return_t")
+        "trade_date", "ticker", growth(F.col("close_t"), F.col("prior_close")).alias("return_t")
     )
     return top_k(scored, k, score="return_t", position="rank")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from pitrank.functions.clock import close_time
+from pitrank.functions.scalars import growth
 from pitrank.operators import calendar as cal
 from pitrank.operators.rolling import timeline
 
@@ -163,9 +164,7 @@ def short_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_context(bars: DataFrame) -> DataFrame:
     """Daily mean return, its 5-session sum, mean absolute return and large-mover count."""
     w = timeline("ticker", "trade_date")
-    rets = bars.select(
-        "trade_date", (F.col("close") / F.lag("close").over(w) - F.lit(1.0)).alias("ret")
-    )
+    rets = bars.select("trade_date", growth(F.col("close"), F.lag("close").over(w)).alias("ret"))
     daily = rets.groupBy("trade_date").agg(
         (F.sum(F.col("ret").cast("decimal(18,8)")).cast("double") / F.expr("nullif(count(ret), 0)")).alias("spy_ret_1d"),
         (F.sum(F.abs("ret").cast("decimal(18,8)")).cast("double") / F.expr("nullif(count(ret), 0)")).alias("vix_level"),

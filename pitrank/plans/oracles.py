@@ -530,7 +530,7 @@ cte("picked1_v", """
 SELECT b.trade_date, b.ticker, coalesce(l.label, 0) AS label FROM b1_v b LEFT JOIN labels_v l ON b.trade_date = l.trade_date AND b.ticker = l.ticker
 """)
 cte("daily_v", """
-SELECT d.*, d.gain / least(r.relevant, 10) AS ap FROM (
+SELECT d.*, CASE WHEN r.relevant > 0 THEN d.gain / least(r.relevant, 10) END AS ap FROM (
   SELECT trade_date, CAST(sum(label) AS BIGINT) AS hits, count(*) AS n, sum(label) / count(*) AS precision, coalesce(sum(CASE WHEN label = 1 THEN cum / pos END), 0) AS gain
   FROM (SELECT *, sum(label) OVER (PARTITION BY trade_date ORDER BY pos) AS cum FROM picked_v) GROUP BY trade_date) d
 LEFT JOIN (SELECT trade_date, count(*) AS relevant FROM labels_v WHERE label = 1 GROUP BY trade_date) r USING (trade_date)
