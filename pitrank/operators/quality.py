@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pitrank.contracts import TOP_K
 from pitrank.operators.universe import split_days
@@ -75,33 +75,56 @@ def coverage_offenders(labels: DataFrame, universe: DataFrame, max_drop: float =
     )
 
 
-def _line(offenders: DataFrame, check: str, severity: str, worst: Column | None, pick: str = "max") -> DataFrame:
-    measure = F.lit(None).cast("double") if worst is None else (F.max(worst) if pick == "max" else F.min(worst))
-    return offenders.agg(F.count(F.lit(1)).alias("n_offenders"), measure.cast("double").alias("worst")).select(
-        F.lit(check).alias("check"),
-        (F.col("n_offenders") == 0).alias("passed"),
-        F.lit(severity).alias("severity"),
-        "n_offenders",
-        "worst",
+def daily_quality(labels: DataFrame, actions: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+    """Everything the checks need, one row per day: a single pass over labels and one over the universe."""
+    flagged = labels.join(
+        split_days(actions).withColumn("_split", F.lit(True)), ["trade_date", "ticker"], "left"
     )
+    per_day = flagged.groupBy("trade_date").agg(
+        F.count_distinct("ticker").alias("labeled_n"),
+        F.sum(F.col("label").cast("long")).alias("n_positive"),
+        F.count("ticker").alias("n_total"),
+        F.median(F.when(F.col("label") == 1, F.col("return_t"))).alias("median_return"),
+        F.count_distinct(F.when(F.col("_split"), F.col("ticker"))).alias("n_split"),
+    )
+    if universe is None:
+        return per_day.withColumn("universe_n", F.lit(None).cast("long")).withColumn("counted_n", F.col("labeled_n"))
+    have = unique_tickers(universe).withColumnRenamed("n_tickers", "universe_n")
+    return per_day.join(have, "trade_date", "full").withColumn("counted_n", F.col("universe_n"))
 
 
-def sanity_report(labels: DataFrame, actions: DataFrame, universe: DataFrame | None = None) -> DataFrame:
+def sanity_report(labels: DataFrame, actions: DataFrame, universe: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
     """One row per check; only ``severity = 'fail'`` rows may stop a pipeline."""
-    counted = universe if universe is not None else labels
-    parts = [
-        _line(continuity_offenders(counted), "universe_continuity", "fail", F.col("pct_change")),
-        _line(contamination_offenders(labels), "median_gainer_contamination", "fail", F.col("median_return")),
-        _line(quiet_offenders(labels), "median_gainer_quiet_regime", "warn", F.col("median_return"), "min"),
-        _line(cardinality_offenders(labels), "label_cardinality", "fail", F.col("n_positive")),
-        _line(split_day_offenders(labels, actions), "no_split_days", "fail", None),
+    w = W.orderBy("trade_date")
+    before = F.last("counted_n", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    drift = F.when(before > 0, F.abs(F.col("counted_n") - before) / F.when(before > 0, before))
+    # Only days that have names take part in the continuity chain.
+    days = daily_quality(labels, actions, universe).withColumn("drift", drift)
+    dropped = (F.col("universe_n") - F.coalesce("labeled_n", F.lit(0))) / F.when(F.col("universe_n") > 0, F.col("universe_n"))
+    median = F.col("median_return")
+    none = F.lit(None).cast("double")
+    # (check, severity, offending condition, offender count, worst value)
+    checks = [
+        ("universe_continuity", "fail", F.col("drift") > MAX_COUNT_DRIFT, None, F.max, F.col("drift")),
+        ("median_gainer_contamination", "fail", median > CONTAMINATION_MEDIAN, None, F.max, median),
+        ("median_gainer_quiet_regime", "warn", median < QUIET_MEDIAN, None, F.min, median),
+        ("label_cardinality", "fail", (F.col("n_positive") != k) & (F.col("n_total") >= k), None, F.max, F.col("n_positive")),
+        ("no_split_days", "fail", F.col("n_split") > 0, F.col("n_split"), F.max, none),
     ]
     if universe is not None:
-        parts.append(_line(coverage_offenders(labels, universe), "universe_coverage", "fail", F.col("dropped_fraction")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        checks.append(("universe_coverage", "fail", dropped > MAX_DROP_FRACTION, None, F.max, dropped))
+    sums = []
+    for i, (_, _, bad, weight, worst, value) in enumerate(checks):
+        count = F.count(F.when(bad, 1)) if weight is None else F.coalesce(F.sum(F.when(bad, weight)), F.lit(0))
+        sums += [count.alias(f"n{i}"), worst(F.when(bad, value)).cast("double").alias(f"w{i}")]
+    lines = F.array(*[
+        F.struct(
+            F.lit(name).alias("check"), (F.col(f"n{i}") == 0).alias("passed"), F.lit(severity).alias("severity"),
+            F.col(f"n{i}").alias("n_offenders"), F.col(f"w{i}").alias("worst"),
+        )
+        for i, (name, severity, *_) in enumerate(checks)
+    ])
+    return days.agg(*sums).select(F.explode(lines).alias("l")).select("l.*")
 
 
 def enforce(report: DataFrame) -> list:

@@ -51,18 +51,16 @@ def many_tickers(bars: DataFrame, limit: int = HOT_GROUP_ROWS) -> bool:
 
 def _window_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     ordered = W.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
-    whole = W.partitionBy(*group).orderBy(F.col(value).asc_nulls_last()).rowsBetween(
-        W.unboundedPreceding, W.unboundedFollowing
-    )
-    peers = W.partitionBy(*group).orderBy(F.col(value).asc_nulls_last()).rangeBetween(
-        W.currentRow, W.currentRow
-    )
-    return df.select(
+    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    # The default running frame includes all ties, so the running count is the last
+    # position of a tie and rank() its first: growing frames only, one sort.
+    ranked = df.select(
         "*",
         F.rank().over(ordered).cast("long").alias("_rank"),
-        F.count(value).over(peers).alias("_peers"),
+        F.count(value).over(ordered).alias("_last"),
         F.count(value).over(whole).alias("_n"),
     )
+    return ranked.withColumn("_peers", F.col("_last") - F.col("_rank") + 1).drop("_last")
 
 
 def _sliced_ranks(df: DataFrame, group: Sequence[str], value: str, hot_rows: int, slices: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitrank import contracts as C
 from pitrank.functions.clock import close_time, first_usable_date, prior_close_time
@@ -42,6 +42,17 @@ def prior_bar_stats(
     ).select("trade_date", "ticker", "bar_date", "prior_close", "avg_dollar_volume_20d")
 
 
+_TYPES = C.CORE_TYPES + C.FLAGGED_TYPES
+
+
+def _code(col: str, values: tuple[str, ...]) -> Column:
+    return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col)) - 1
+
+
+def _decode(code: Column, values: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), code.cast("int") + 1)
+
+
 def eligible_listings(meta: DataFrame, key: str = "ticker") -> DataFrame:
     """Listing rows with the date range in which each is the newest eligible one.
 
@@ -50,22 +61,27 @@ def eligible_listings(meta: DataFrame, key: str = "ticker") -> DataFrame:
     delisted stay in the universe of earlier days.
     """
     far = F.lit("9999-12-31").cast("date")
-    w = W.partitionBy(key).orderBy("as_of", "active_from")
+    w = W.partitionBy(key).orderBy("as_of", "active_from", "security_type", "exchange")
     rows = meta.where(
         F.col("exchange").isin(*C.ALLOWED_EXCHANGES)
         & F.col("security_type").isin(*C.CORE_TYPES, *C.FLAGGED_TYPES)
     ).select(
         key,
-        "security_type",
-        "exchange",
+        # Age within the name, type and exchange in one integer: the newest match
+        # of a day is then a plain max, which stays in hash aggregation.
+        (F.row_number().over(w).cast("long") * 100 + _code("security_type", _TYPES) * 10 + _code("exchange", C.ALLOWED_EXCHANGES)).alias("listing"),
         "as_of",
         "active_from",
+        "security_type",
+        "exchange",
         F.greatest(first_usable_date("as_of"), F.col("active_from")).alias("valid_from"),
         F.coalesce(F.col("active_to"), far).alias("valid_to"),
     )
     newer_start, newer_end = F.lead("valid_from").over(w), F.lead("valid_to").over(w)
     cut = F.when(newer_end >= F.col("valid_to"), F.date_sub(newer_start, 1))
-    return rows.withColumn("valid_to", F.least("valid_to", F.coalesce(cut, far)))
+    return rows.withColumn("valid_to", F.least("valid_to", F.coalesce(cut, far))).select(
+        key, "listing", "valid_from", "valid_to"
+    )
 
 
 def build_universe(
@@ -89,19 +105,20 @@ def build_universe(
     # Ranges overlap only when a newer listing expired before an older one; the
     # newest then wins.
     newest = matched.groupBy("trade_date", "ticker").agg(
-        F.max_by(
-            F.struct("security_type", "exchange", "prior_close", "avg_dollar_volume_20d"),
-            F.struct("as_of", "active_from"),
-        ).alias("r")
+        F.max("listing").alias("listing"),
+        # One value per (date, ticker), whatever listing matched.
+        F.max("prior_close").alias("prior_close"),
+        F.max("avg_dollar_volume_20d").alias("avg_dollar_volume_20d"),
     )
+    kind = F.floor(F.col("listing") / 10) % 10
     return newest.select(
         "trade_date",
         "ticker",
-        "r.security_type",
-        "r.exchange",
-        F.col("r.security_type").isin(*C.FLAGGED_TYPES).alias("flagged_type"),
-        "r.prior_close",
-        "r.avg_dollar_volume_20d",
+        _decode(kind, _TYPES).alias("security_type"),
+        _decode(F.col("listing") % 10, C.ALLOWED_EXCHANGES).alias("exchange"),
+        (kind >= len(C.CORE_TYPES)).alias("flagged_type"),
+        "prior_close",
+        "avg_dollar_volume_20d",
         prior_close_time("trade_date").alias("as_of"),
     )
 
