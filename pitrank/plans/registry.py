@@ -30,7 +30,7 @@ from pitrank.operators import walkforward as wf
 from pitrank.operators import universe as uni
 from pitrank.plans import catalog as P
 from pitrank.plans import pipeline as pipe
-from pitrank.session import scratch_path
+from pitrank.session import cut_lineage, scratch_path
 from pitrank.sources import json_feeds as js
 from pitrank.sources import names_history as nh
 from pitrank.sources import tables as tb
@@ -77,11 +77,16 @@ def daily_bars(spark, sf):
     return P.daily_bars(spark, sf)
 
 
-def _universe(spark, sf, bars=None):
+def _calendar(spark, sf):
+    """Sessions computed once per query: calendar-sized, used by many joins of one plan."""
+    return cut_lineage(cal.sessions(P.bar_dates(spark, sf)))
+
+
+def _universe(spark, sf, bars=None, calendar=None):
     bars = bars if bars is not None else P.daily_bars(spark, sf)
+    calendar = calendar if calendar is not None else _calendar(spark, sf)
     return uni.build_universe(
-        bars, P.ticker_meta(spark, sf), P.MIN_CLOSE, P.MIN_DOLLAR_VOLUME, P.MAX_STALENESS,
-        cal.sessions(P.bar_dates(spark, sf)), ordered=True,
+        bars, P.ticker_meta(spark, sf), P.MIN_CLOSE, P.MIN_DOLLAR_VOLUME, P.MAX_STALENESS, calendar, ordered=True,
     )
 
 
@@ -90,9 +95,9 @@ def universe(spark, sf):
     return rounded(_universe(spark, sf), 6, "avg_dollar_volume_20d")
 
 
-def _labels(spark, sf):
+def _labels(spark, sf, calendar=None):
     bars = P.daily_bars(spark, sf)
-    return uni.build_labels(_universe(spark, sf, bars), bars, P.corporate_actions(spark, sf))
+    return uni.build_labels(_universe(spark, sf, bars, calendar), bars, P.corporate_actions(spark, sf))
 
 
 @query
@@ -145,11 +150,10 @@ def t1_bar_features(spark, sf):
 
 
 def _t1(spark, sf, **kw):
-    bars = P.daily_bars(spark, sf)
+    bars, calendar = P.daily_bars(spark, sf), _calendar(spark, sf)
     return t1.build_t1_features(
-        bars, P.ticker_meta(spark, sf), P.earnings(spark, sf), _labels(spark, sf),
-        P.market_context(bars), P.short_interest(spark, sf), ordered=True,
-        calendar=cal.sessions(P.bar_dates(spark, sf)), **kw,
+        bars, P.ticker_meta(spark, sf), P.earnings(spark, sf), _labels(spark, sf, calendar),
+        P.market_context(bars), P.short_interest(spark, sf), ordered=True, calendar=calendar, **kw,
     )
 
 
