@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid
+from . import langid, mixing, packing, toxicity
 from .common import fold_of, read_table
 
 
@@ -15,7 +15,37 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score", "lang_rejected")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit_chain(labelled_toxicity(spark, docs, sf_dir), ["toxic"])
+    out = toxicity.predict_chain(docs, chain)
+    scores = [c for c in out.columns if c.startswith("p_")]
+    return out.select("doc_id", (fold_of() == 0).alias("held_out"), *scores, "toxic")
+
+
+def labelled_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Labelled rows outside the held-out fold."""
+    labels = read_table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (fold_of() != 0))
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(labels, "doc_id")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op3_toxicity": op3_toxicity,
+    "op10_packing": op10_packing,
     "op9_language_id": op9_language_id,
 }
 
