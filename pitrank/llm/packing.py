@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 700_000
 #: Sizes of the small parts cut for every window of a block: they even out what the larger parts leave.
 GRADES = (16, 8, 4, 2, 1)
 
@@ -61,14 +61,11 @@ class Tokens:
         try:
             body = b"".join(map(self.known.__getitem__, rest))
         except KeyError:
-            if len(self.known) > CACHED_WORDS:
-                self.known.clear()
-            new = list(set(rest) - self.known.keys())
+            new = [w for w in dict.fromkeys(rest) if w not in self.known]
             ids = dict(zip(new, self._encode([" " + w for w in new]), strict=True))
-            here = self.known | ids if len(new) > CACHED_WORDS else self.known
-            if here is self.known:
+            body = b"".join([ids[w] if w in ids else self.known[w] for w in rest])
+            if len(self.known) < CACHED_WORDS:
                 self.known.update(x for x in ids.items() if len(x[0]) <= 40)
-            body = b"".join([ids[w] if w in ids else here[w] for w in rest])
         head = self.firsts.get(first)
         if head is None:
             head = self._encode([first])[0]

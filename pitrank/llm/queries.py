@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, packing, toxicity
+from . import langid, minhash, mixing, packing, toxicity
 from .common import fold_of, read_table
 
 
@@ -35,6 +35,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,8 +50,60 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_minhash": op4_minhash,
     "op10_packing": op10_packing,
     "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-')), 1, 15))::BIGINT AS pos
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][((rn - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k FROM w),
+l AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share
+  FROM o),
+f AS (SELECT min(k) AS k0, arg_min(share, k) AS level FROM l WHERE share <= ratio),
+t AS (
+  SELECT source, source_size, CASE WHEN k0 IS NOT NULL AND k >= k0 THEN least(cap, level * weight) ELSE cap END AS target
+  FROM l, f),
+n AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+p AS (SELECT source, pos, sum(size) AS size FROM d WHERE size > 0 GROUP BY ALL),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY pos) AS run FROM p),
+m AS (
+  SELECT r.source, r.pos, run - r.size / 2 <= target - whole * source_size AS more
+  FROM r JOIN n ON r.source IS NOT DISTINCT FROM n.source)
+SELECT d.doc_id, d.size::BIGINT AS size, n.source_size, n.target,
+       ((n.whole + CASE WHEN m.more THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.pos = m.pos
+""",
+    "op4_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 1 THEN words
+                      ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles
+  FROM w WHERE len(words) > 0),
+g AS (SELECT list_sort(shingles) AS shingles, min(doc_id) AS first_id FROM s GROUP BY 1),
+x AS (SELECT first_id, len(shingles) AS n, unnest(shingles) AS shingle FROM g),
+p AS (
+  SELECT a.first_id AS a, b.first_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x a JOIN x b ON a.shingle = b.shingle AND a.first_id < b.first_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+  GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE common * 100 >= (na + nb - common) * 80),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT first_id AS node, first_id AS root FROM g UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+k AS (SELECT s.doc_id, len(s.shingles) AS n_shingles, g.first_id FROM s JOIN g ON g.shingles = list_sort(s.shingles))
+SELECT d.doc_id, coalesce(k.n_shingles, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN c ON c.node = k.first_id
+""",
+}
