@@ -39,6 +39,16 @@ def bounded_sample(df: DataFrame, text: str, key: str, rows: int = FIT_ROWS, cha
     return df if share >= 1.0 else df.where(unit < share)
 
 
+def join_labels(docs: DataFrame, labels: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """Labelled documents of a hash sample of ``rows`` labels at most (in expectation), one label a key.
+
+    The sample's bound makes the labels small enough to send to every task, so the texts are not shuffled.
+    """
+    share = min(1.0, rows / max(labels.count(), 1))
+    unit = F.pmod(F.xxhash64(F.col(key), F.lit("labels")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return docs.join(F.broadcast(labels.where(unit < share)), key)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Bijective finalizer on uint64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

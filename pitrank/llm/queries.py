@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import langid, minhash, mixing, packing, toxicity
-from .common import fold_of, read_table
+from .common import fold_of, join_labels, read_table
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +24,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Labelled rows outside the held-out fold."""
+    """Labelled rows outside the held-out fold; the labels are sampled before they meet the texts."""
     labels = read_table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (fold_of() != 0))
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+    return join_labels(docs.select("doc_id", "text"), labels, toxicity.TOXIC_FIT_ROWS)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ from .common import Hashed, arrow_map, bounded_sample, by_bytes, joined, segment
 
 BITS = 22
 #: A rare outcome needs more rows than the common bound.
-TOXIC_FIT_ROWS = 16_000
-TOXIC_FIT_CHARS = 48_000_000
+TOXIC_FIT_ROWS = 12_000
+TOXIC_FIT_CHARS = 32_000_000
 PIECE = 5
 
 _PLAIN = np.full(256, 32, np.uint8)
