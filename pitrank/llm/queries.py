@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, minhash, mixing, packing, toxicity
+from . import chat, langid, minhash, mixing, packing, toxicity
 from .common import fold_of, join_labels, read_table
 
 
@@ -40,6 +40,19 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.format_chats(chat.log_of_turns(turns))
+    back = out.withColumns({"turns": chat.read_turns(F.col("formatted")), "loss": chat.text_under_mask(F.col("formatted"), F.col("loss_spans"))})
+    told_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told_turns, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_chat": op2_chat,
     "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
     "op10_packing": op10_packing,
@@ -82,6 +96,21 @@ SELECT d.doc_id, d.size::BIGINT AS size, n.source_size, n.target,
        ((n.whole + CASE WHEN m.more THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
 LEFT JOIN m ON d.source IS NOT DISTINCT FROM m.source AND d.pos = m.pos
+""",
+    "op2_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, len(replace(text, '\', '\0')) + len(regexp_extract_all(text, '(<\||<</SYS>>|<<SYS>>|</s>|<s>|\[/INST\]|\[INST\])'))
+         + len(replace(role, '\', '\0')) + len(regexp_extract_all(role, '(<\||<</SYS>>|<<SYS>>|</s>|<s>|\[/INST\]|\[INST\])'))
+         + len('<|turn|><|body|><|end|>') AS size
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
 """,
     "op4_minhash": r"""
 WITH RECURSIVE w AS (
