@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, langid, minhash, mixing, packing, toxicity
+from . import chat, langid, minhash, mixing, outliers, packing, toxicity
 from .common import fold_of, join_labels, read_table
 
 
@@ -53,6 +53,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = outliers.robust_quality(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_chat": op2_chat,
     "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
+    "op7_quality_rules": op7_quality_rules,
     "op10_packing": op10_packing,
     "op9_language_id": op9_language_id,
 }
