@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, langid, minhash, mixing, outliers, packing, toxicity
+from . import chat, langid, lattice, minhash, mixing, outliers, packing, toxicity
 from .common import fold_of, join_labels, read_table
 
 
@@ -58,6 +58,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
     "op7_quality_rules": op7_quality_rules,
+    "op6_lattice": op6_lattice,
     "op10_packing": op10_packing,
     "op9_language_id": op9_language_id,
 }
@@ -117,6 +122,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(size)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op6_lattice": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x, list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS n2 FROM embeddings),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) >= 0.9 * sqrt(a.n2) * sqrt(b.n2)),
+r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id
 """,
     "op4_minhash": r"""
 WITH RECURSIVE w AS (
