@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, langid, lattice, minhash, mixing, outliers, packing, toxicity
-from .common import fold_of, join_labels, read_table
+from . import chat, langid, lattice, minhash, mixing, outliers, packing, quality, toxicity
+from .common import FIT_ROWS, fold_of, join_labels, read_table
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,15 @@ def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & (fold_of() != 0))
+    labels = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    net = quality.fit_quality(docs, join_labels(docs, labels, 2 * FIT_ROWS))
+    out = quality.score_quality(docs, net)
+    return out.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +85,7 @@ QUERIES = {
     "op4_minhash": op4_minhash,
     "op7_quality_rules": op7_quality_rules,
     "op6_lattice": op6_lattice,
+    "op8_quality": op8_quality,
     "op10_packing": op10_packing,
     "op9_language_id": op9_language_id,
 }
