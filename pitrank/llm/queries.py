@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, langid, lattice, minhash, mixing, outliers, packing, quality, toxicity
+from . import chat, html, langid, lattice, minhash, mixing, outliers, packing, quality, toxicity
 from .common import FIT_ROWS, fold_of, join_labels, read_table
 
 
@@ -71,6 +71,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold_of() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    out = html.extract_main(pages.select("page_id", "url", "html"), html.fit_labeller(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
     "op7_quality_rules": op7_quality_rules,
+    "op5_html": op5_html,
     "op6_lattice": op6_lattice,
     "op8_quality": op8_quality,
     "op10_packing": op10_packing,
