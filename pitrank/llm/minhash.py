@@ -5,11 +5,14 @@ node.  One permutation splits the hash range into bins; a bin's value is its lea
 takes the value of a bin drawn for it by a universal hash, again until it is not empty (optimal
 densification).  ``rows`` bins make a band; nodes with an equal band share a bucket.
 
+Sets of few shingles fill the bins with copies of few values, so that one common shingle could make a band.
+They get wide bands of eight bins drawn from the signature, more of them; sizes around the border get
+both kinds, so that every pair within the threshold's size ratio shares one kind.
+
 In every bucket all nodes are linked to one hub, not to each other, and every candidate edge is confirmed on
 the full sets.  With 32 bands of 4 a pair at the threshold of 0.8 shares a bucket but for 1 in 20 million.
-Buckets that still hold several components are treated again: with another hub each, and at last exactly:
-each remaining pair of different components is confirmed unless its sizes, or the triangle inequality of the
-Jaccard distance to the bucket's hub, rule a link out.  So the star only saves work, it loses no link.
+Buckets that still hold several components are treated again: with another hub each, and at last exactly,
+every node against all nodes of other components.  So the star only saves work, it loses no link.
 
 Edge cases: with fewer words than a shingle the whole sequence is the only shingle; null and empty texts have
 an empty set and are linked with nothing; rows with equal ids are treated each on its own text; extra columns
@@ -18,16 +21,23 @@ are not returned; texts are read whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Hashed, arrow_map, by_bytes, cut_lineage, joined, mix64, pieces, word_bounds
 from .graph import components
 
 #: Ids that are sent to every task at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Nodes of a bucket whose pairs are listed; above it buckets are compared in blocks of BLOCK nodes.
+FEW, BLOCK = 8, 512
+
+#: Sets up to SMALL shingles have SMALL_BANDS bands, each of SMALL_ROWS of their SMALL_BINS bins.
+SMALL, SMALL_BINS, SMALL_BANDS, SMALL_ROWS = 40, 256, 96, 8
 
 _SEED = np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -104,23 +114,40 @@ def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
     return value
 
 
-def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: int) -> DataFrame:
+#: Bins of each wide band.
+_PICKED = (mix64(np.arange(SMALL_BANDS * SMALL_ROWS, dtype=np.uint64) * _SEED) % np.uint64(SMALL_BINS)).astype(np.int64).reshape(SMALL_BANDS, SMALL_ROWS)
+
+
+def _folded(values: np.ndarray, kind: int) -> np.ndarray:
+    """One key a band (row of ``values``)."""
+    h = (np.arange(len(values), dtype=np.uint64) + np.uint64(kind << 20)) * np.uint64(0x632BE59BD9B4E019)
+    for i in range(values.shape[1]):
+        h = mix64(h * np.uint64(3) + values[:, i])
+    return h.view(np.int64)
+
+
+def band_keys(shingles: np.ndarray, bands: int, rows: int, percent: int) -> np.ndarray:
+    """Keys of the bands of one set."""
+    keys = []
+    if len(shingles) <= SMALL:
+        keys.append(_folded(mix64(signature(shingles, SMALL_BINS))[_PICKED], 1))
+    if len(shingles) * 100 >= SMALL * percent:
+        keys.append(_folded(mix64(signature(shingles, bands * rows)).reshape(bands, rows), 0))
+    return np.concatenate(keys)
+
+
+def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, node, bands``: node is a 128-bit digest of the set, null where it is empty."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], n)
         node, band = [], []
-        salt = np.arange(bands, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
         for s in sets:
             if not len(s):
                 node.append(None)
                 band.append([])
                 continue
             node.append(np.array([mix64(s + _SEED).sum(), mix64(s * np.uint64(5) + np.uint64(len(s))).sum()], np.uint64).tobytes())
-            v = mix64(signature(s, bands * rows)).reshape(bands, rows)
-            h = salt.copy()
-            for i in range(rows):
-                h = mix64(h * np.uint64(3) + v[:, i])
-            band.append(h.view(np.int64))
+            band.append(band_keys(s, bands, rows, percent))
         return pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
             names=["doc_id", "n_shingles", "node", "bands"])
@@ -135,7 +162,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
 
     ``group`` is the digest of the component's first set; ``component_id`` the least doc_id of the component.
     """
-    signed = cut_lineage(signatures(docs, text, key, shingle, bands, rows))
+    signed = cut_lineage(signatures(docs, text, key, shingle, bands, rows, percent))
     nodes = cut_lineage(signed.where(F.col("node").isNotNull()).groupBy("node")
                         .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     # Different sets of fewer than percent / (100 - percent) shingles cannot reach the threshold.
@@ -181,9 +208,7 @@ def _confirmed_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataF
         active = cut_lineage(mixed)
         if active.isEmpty():
             return _linked(compared, percent)
-    rest = _rest(active, compared, percent)
-    last = cut_lineage(_intersections(rest, sets))
-    return _linked(compared.union(last), percent)
+    return _linked(compared, percent).union(_rest(active, compared, sets, percent))
 
 
 def _linked(compared: DataFrame, percent: int) -> DataFrame:
@@ -225,26 +250,67 @@ def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                        F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
 
 
-def _rest(active: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket, fit in size and are not ruled out by a hub.
+def _rest(active: DataFrame, compared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between different components that share a bucket, found exactly.
 
-    Members are matched within size classes that only neighbours can share, so the join does not meet all
-    pairs of a bucket.  With the distance of both to the bucket's first hub known, a difference above
-    1 - percent/100 rules the pair out (1 - Jaccard is a metric).
+    Buckets of up to ``FEW`` nodes give their pairs, at most ``FEW`` / 2 a node, each confirmed once however many
+    buckets share it.  Larger buckets are dealt in blocks by pairs of blocks, with each node's set sent along once
+    a pair of blocks; a task counts intersections by an inverted index and returns one link a pair of components.
     """
-    hub = active.groupBy("bucket").agg(F.min(F.struct("first_id", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
-    distance = compared.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    both = distance.union(distance.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    step = -np.log(percent / 100)
-    member = (active.join(hub, "bucket").join(both.select(F.col("a").alias("node"), F.col("b").alias("hub"), "d"), ["node", "hub"], "left")
-              .withColumn("d", F.when(F.col("node") == F.col("hub"), F.lit(0.0)).otherwise(F.col("d")))
-              .withColumn("size_class", F.floor(F.log("n") / F.lit(float(step)))).select("bucket", "node", "n", "root", "d", "size_class"))
-    member = cut_lineage(member)
-    left = member.withColumn("size_class", F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1)))
-    x, y = left.alias("x"), member.alias("y")
-    far = F.abs(F.col("x.d") - F.col("y.d")) > (1 - percent / 100) + 1e-9
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.size_class") == F.col("y.size_class"))
-                   & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-                   & _fits(percent, F.col("x.n"), F.col("y.n")) & ~F.coalesce(far, F.lit(False)))
-    found = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return found.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    size = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
+    member = cut_lineage(active.select("bucket", "node", "n", "root").join(size, "bucket"))
+    few = member.where(F.col("members") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+                   & _fits(percent, F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    small = _linked(_intersections(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets), percent)
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    many = member.where(F.col("members") > FEW).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node", "root")
+    rows = (dealt.join(sets, "node").select("bucket", "first", "second", "node", "root", "set")
+            .repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second"))
+    large = rows.mapInArrow(lambda batches: _block_links(batches, percent), "a binary, b binary")
+    return cut_lineage(small.select("a", "b").union(large))
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of the blocks whose rows follow one another."""
+    held: list[tuple] = []
+    held_key = None
+    for batch in batches:
+        keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True))
+        nodes, roots = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        column = batch.column(5)
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        for r, key in enumerate(keys):
+            if key != held_key:
+                yield from _close_block(held, percent)
+                held, held_key = [], key
+            held.append((nodes[r], roots[r], flat[ends[r]:ends[r + 1]]))
+    yield from _close_block(held, percent)
+
+
+def _close_block(rows: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
+    roots = np.unique([r[1] for r in rows], return_inverse=True)[1] if rows else np.zeros(0, np.int64)
+    if not len(roots) or roots.max() == 0:
+        return
+    size = np.array([len(r[2]) for r in rows])
+    values = np.concatenate([r[2] for r in rows])
+    owner = np.repeat(np.arange(len(rows)), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    # The greatest component is met by all others, so its own members need not be looked up.
+    usual = np.bincount(roots).argmax()
+    found: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+    for i in np.flatnonzero(roots != usual):
+        low, high = np.searchsorted(values, rows[i][2], "left"), np.searchsorted(values, rows[i][2], "right")
+        length = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+        common = np.bincount(owner[at], minlength=len(rows))
+        linked = np.flatnonzero((common * 100 >= (size + size[i] - common) * percent) & (roots != roots[i]))
+        for j in linked:
+            found.setdefault((min(roots[i], roots[j]), max(roots[i], roots[j])), tuple(sorted((rows[i][0], rows[j][0]))))
+    if found:
+        a, b = zip(*found.values(), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
