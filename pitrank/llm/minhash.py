@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Hashed, arrow_map, by_bytes, cut_lineage, joined, mix64, pieces, word_bounds
+from .common import SPACE, Hashed, arrow_map, by_bytes, cut_lineage, joined, mix64, pieces, word_bounds
 from .graph import components
 
 #: Ids that are sent to every task at most; more are joined by a shuffle.
@@ -137,7 +137,7 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int, percent: int) -> np.n
 
 
 def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, node, bands``: node is a 128-bit digest of the set, null where it is empty."""
+    """``doc_id, n_shingles, node, bands, text_hash``: node is a 128-bit digest of the set, null where it is empty."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], n)
         node, band = [], []
@@ -149,16 +149,16 @@ def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: i
             node.append(np.array([mix64(s + _SEED).sum(), mix64(s * np.uint64(5) + np.uint64(len(s))).sum()], np.uint64).tobytes())
             band.append(band_keys(s, bands, rows, percent))
         return pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(band, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "node", "bands"])
+            batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), pa.array(band, pa.list_(pa.int64())),
+            batch.column(2)], names=["doc_id", "n_shingles", "node", "bands", "text_hash"])
 
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return arrow_map(slim, run, "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>")
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    return arrow_map(slim, run, "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, text_hash bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *, shingle: int = 2, percent: int = 80,
                     bands: int = 32, rows: int = 4) -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, node, group, component_id, kept``.
+    """One row a document: ``doc_id, text_hash, n_shingles, node, group, component_id, kept``.
 
     ``group`` is the digest of the component's first set; ``component_id`` the least doc_id of the component.
     """
@@ -174,12 +174,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
     label = (nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     group = label.groupBy("root").agg(F.min("first_id").alias("component_id"))
     final = label.select("node", "root").join(group, "root").select("node", F.col("root").alias("group"), "component_id")
-    known = signed.select("doc_id", "n_shingles", "node").join(final, "node", "left")
+    known = signed.select("doc_id", "text_hash", "n_shingles", "node").join(final, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return known.select("doc_id", "n_shingles", "node", "group", component.alias("component_id"),
+    return known.select("doc_id", "text_hash", "n_shingles", "node", "group", component.alias("component_id"),
                         F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """One document of each group, the one with the least id; documents without words all stay."""
+    found = cut_lineage(near_duplicates(docs, text, key, **how))
+    chosen = found.where("node is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    keep = chosen.union(found.where("node is null").select("doc_id", "text_hash").distinct()).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    same = F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash"))
+    kept = docs.join(keep, same, "left_semi")
+    again = found.where("node is not null").groupBy("doc_id", "text_hash").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    some = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, "")) > 0
+    return kept.where(some).dropDuplicates([key, text]).unionByName(kept.where(~some))
+
+
 def _shared_buckets(nodes: DataFrame) -> DataFrame:
     """``bucket, node, n, first_id`` of the buckets that more than one node shares."""
     member = nodes.select("node", "n", "first_id", F.explode("bands").alias("bucket"))

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import WORD, cut_lineage
 
+#: Sources whose plan is sent to every task at most; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 POSITION_BITS = 60
 LEVEL_BITS = 12
 
@@ -59,22 +61,48 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float,
                F.least(F.col("cap"), F.col("first.share") * F.col("weight"))).otherwise(F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", *,
-                weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, repeat: float = 2.0) -> DataFrame:
-    """One row a document: ``key, size, source_size, target, copies, taken``."""
-    slim = cut_lineage(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"),
-                                   position(key).alias("position")))
+def sized(docs: DataFrame, text: str, source: str, key: str) -> DataFrame:
+    """Written once: all later steps read these narrow rows, not the texts."""
+    return cut_lineage(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), position(key).alias("position")))
+
+
+def mix_plan(slim: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, repeat: float = 2.0) -> DataFrame:
+    """One row a source, from ``sized`` rows: ``source, source_size, target, whole, cut``.
+
+    Each of its documents is taken ``whole`` times, and once more where its position is below ``cut``.
+    """
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut_lineage(source_targets(sizes, weights, budget, repeat)
                           .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
                           .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
-    cuts = _thresholds(slim, targets)
-    plan = targets.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    same = F.col("d.source").eqNullSafe(F.col("p.source"))
-    copies = F.col("p.whole") + F.when(F.col("d.position") < F.coalesce(F.col("p.cut"), F.lit(0)), 1).otherwise(0)
-    return (slim.alias("d").join(plan.alias("p"), same)
-            .select("d.doc_id", "d.size", "p.source_size", "p.target", copies.cast("long").alias("copies"),
-                    (copies * F.col("d.size")).cast("long").alias("taken")))
+    cuts = _thresholds(slim, targets).withColumnRenamed("source", "s")
+    plan = targets.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left")
+    return cut_lineage(plan.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut")))
+
+
+def with_copies(docs: DataFrame, plan: DataFrame, source: str = "source", key: str = "doc_id") -> DataFrame:
+    """``docs`` with the plan's columns (prefixed by two underscores) and ``__copies``.
+
+    The plan is sent to every task where its number of rows allows it, and joined by a shuffle beyond.
+    """
+    side = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
+    side = F.broadcast(side) if plan.count() <= BROADCAST_SOURCES else side
+    copies = F.col("__whole") + F.when(position(key) < F.col("__cut"), 1).otherwise(0)
+    return docs.join(side, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__copies", copies.cast("int"))
+
+
+def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """One row a document: ``doc_id, size, source_size, target, copies, taken`` (words, repeats counted)."""
+    slim = sized(docs, text, source, key)
+    out = with_copies(slim, mix_plan(slim, **how))
+    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"),
+                      (F.col("__copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """The documents of the mix with their own columns, each as often as it is taken."""
+    taken = with_copies(docs, mix_plan(sized(docs, text, source, key), **how), source, key)
+    return taken.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
 
 
 def _thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
