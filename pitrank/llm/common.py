@@ -152,6 +152,27 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
-    return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def append_map(df: DataFrame, inputs: list[Column], made: dict[str, str], fn) -> DataFrame:
+    """``df`` with the columns ``made`` (name: type) that ``fn(*arrays of inputs)`` gives, batch by batch.
+
+    A column of ``df`` that has the name of a made one (in any case) gives way to it.
+    """
+    names = {m.lower() for m in made}
+    kept = [c for c in df.columns if c.lower() not in names]
+    passed = df.select(*[df[f"`{c}`"] for c in kept])
+    schema = passed.schema
+    for name, kind in made.items():
+        schema = schema.add(name, kind)
+    given = df.select(*[df[f"`{c}`"] for c in kept], *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
+    out_names = [*kept, *made]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = batch.columns
+        return pa.RecordBatch.from_arrays([*columns[:len(kept)], *fn(*columns[len(kept):])], names=out_names)
+
+    return arrow_map(given, run, schema)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import arrow_map, bounded_sample
+from .common import append_map, bounded_sample
 
 PATH_BUCKETS, WORD_BUCKETS, HIDDEN = 96, 16, 20
 FIT_PAGES, FIT_HTML_CHARS, MADE_PAGES = 200, 4_000_000, 400
@@ -384,14 +384,11 @@ def main_text(pages: list[str], model: Labeller, threshold: float = 0.5) -> list
 def extract_main(pages: DataFrame, model: Labeller, html: str = "html", group: int = 256) -> DataFrame:
     """Add ``text``, ``n_blocks`` and ``n_kept`` to every page."""
     shared = pages.sparkSession.sparkContext.broadcast(model)  # 100 kB
-    kept = [c for c in pages.columns if c not in ("text", "n_blocks", "n_kept")]
-    schema = pages.select(*kept).schema.add("text", "string").add("n_blocks", "int").add("n_kept", "int")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x or "" for x in batch.column(batch.schema.get_field_index("__html")).to_pylist()]
+    def run(column: pa.Array) -> list[pa.Array]:
+        texts = [x or "" for x in column.to_pylist()]
         found = [r for a in range(0, len(texts), group) for r in main_text(texts[a:a + group], shared.value)]
         text, n, m = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(text, pa.string()),
-                                           pa.array(n, pa.int32()), pa.array(m, pa.int32())], names=[*kept, "text", "n_blocks", "n_kept"])
+        return [pa.array(text, pa.string()), pa.array(n, pa.int32()), pa.array(m, pa.int32())]
 
-    return arrow_map(pages.select(*kept, F.col(html).cast("string").alias("__html")), run, schema)
+    return append_map(pages, [F.col(html).cast("string")], {"text": "string", "n_blocks": "int", "n_kept": "int"}, run)

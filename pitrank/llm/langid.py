@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FIT_CHARS, FIT_ROWS, Hashed, arrow_map, bounded_sample, by_bytes, joined, segment_sums, word_bounds
+from .common import FIT_CHARS, FIT_ROWS, Hashed, append_map, bounded_sample, by_bytes, joined, segment_sums, texts_of, word_bounds
 
 UNDETERMINED = "und"
 
@@ -50,7 +50,7 @@ def subwords(texts: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_language(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *,
-                 rows: int = FIT_ROWS, chars: int = FIT_CHARS, bits: int = 16, dim: int = 16, epochs: int = 8,
+                 rows: int = FIT_ROWS, chars: int = FIT_CHARS, bits: int = 16, dim: int = 16, epochs: int = 8, least_steps: int = 400,
                  rate: float = 40.0, accept: float = 0.9995, ceiling: float = 0.5, seed: int = 9) -> LanguageModel:
     """Fit on a hash sample of ``rows`` labelled rows and ``chars`` characters at most.
 
@@ -77,9 +77,11 @@ def fit_language(labelled: DataFrame, text: str = "text", lang: str = "lang", ke
     emb = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     w = rng.normal(0, 0.1, (dim, len(langs))).astype(np.float32)
     bias = np.zeros(len(langs), np.float32)
+    batches = max(1, len(train) // 32)
+    epochs = max(epochs, -(-least_steps // batches))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for batch in np.array_split(rng.permutation(train), max(1, len(train) // 32)):
+        for batch in np.array_split(rng.permutation(train), batches):
             ids = np.concatenate([bags[i][0] for i in batch])
             share = np.concatenate([bags[i][1] for i in batch])
             of = np.repeat(np.arange(len(batch)), [len(bags[i][0]) for i in batch])
@@ -117,15 +119,10 @@ def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text")
     bits = int(np.log2(len(model.table)))
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)  # a few hundred kB whatever the input
-    scored = docs.withColumn("__low", F.lower(F.col(text))).withColumn(
-        "__letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    kept = [c for c in docs.columns]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("lang_rejected", "boolean")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(lower: pa.Array, lettered: pa.Array) -> list[pa.Array]:
         m = shared.value
-        low = [x or b"" for x in batch.column(batch.schema.get_field_index("__low")).cast(pa.binary()).to_pylist()]
-        letters = np.array(batch.column(batch.schema.get_field_index("__letters")).to_pylist(), bool)
+        low, letters = texts_of(lower), np.array(lettered.to_pylist(), bool)
         pred, score = [UNDETERMINED] * len(low), np.zeros(len(low))
         if m.langs:
             for a, b in by_bytes(low):
@@ -136,8 +133,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text")
                 for i in np.flatnonzero(letters[a:b]):
                     pred[a + i], score[a + i] = m.langs[top[i]], float(p[i, top[i]])
         rejected = ~letters | (score < m.threshold) | (not m.langs)
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)],
-                                          names=[*kept, "lang_pred", "score", "lang_rejected"])
+        return [pa.array(pred, pa.string()), pa.array(score), pa.array(rejected)]
 
-    return arrow_map(scored, run, schema)
+    return append_map(docs, [F.lower(F.col(text)), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))],
+                      {"lang_pred": "string", "score": "double", "lang_rejected": "boolean"}, run)

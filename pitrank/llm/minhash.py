@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, Hashed, arrow_map, by_bytes, cut_lineage, joined, mix64, pieces, word_bounds
+from .common import SPACE, Hashed, arrow_map, by_bytes, cut_lineage, joined, mix64, pieces, texts_of, word_bounds
 from .graph import components
 
 #: Ids that are sent to every task at most; more are joined by a shuffle.
@@ -139,7 +139,7 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int, percent: int) -> np.n
 def signatures(docs: DataFrame, text: str, key: str, n: int, bands: int, rows: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, node, bands, text_hash``: node is a 128-bit digest of the set, null where it is empty."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets([x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()], n)
+        sets = shingle_sets(texts_of(batch.column(1)), n)
         node, band = [], []
         for s in sets:
             if not len(s):
@@ -246,7 +246,7 @@ def _sets(docs: DataFrame, buckets: DataFrame, shingle: int, repeats: bool) -> D
     picked = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()], shingle)
+        sets = shingle_sets(texts_of(batch.column(0)), shingle)
         node = [np.array([mix64(s + _SEED).sum(), mix64(s * np.uint64(5) + np.uint64(len(s))).sum()], np.uint64).tobytes() if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
                                           names=["node", "set"])

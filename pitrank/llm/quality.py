@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import FIT_CHARS, FIT_ROWS, Hashed, arrow_map, bounded_sample, by_bytes, joined, mix64, pieces, segment_sums
+from .common import FIT_CHARS, FIT_ROWS, Hashed, append_map, arrow_map, bounded_sample, by_bytes, joined, mix64, pieces, segment_sums, texts_of
 
 BITS, DIM, NONZERO, REACH = 13, 24, 2, 2
 CHUNK = 1_000_000
@@ -66,7 +66,7 @@ def word_vectors(docs: DataFrame, text: str = "text", *, bits: int = BITS, dim:
         place, sign = index_vectors(bits, dim, nonzero)
         total = np.zeros((1 << bits) * dim)
         for batch in batches:
-            for part, _ in chunks([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]):
+            for part, _ in chunks(texts_of(batch.column(0))):
                 bucket, cuts = terms(part, bits)
                 owner = np.repeat(np.arange(len(part)), np.diff(cuts))
                 for step in range(1, reach + 1):
@@ -136,7 +136,7 @@ def fit_quality(docs: DataFrame, labelled: DataFrame, text: str = "text", label:
         F.col(text).cast("string"), F.col(label).cast("int"), F.xxhash64(F.col(key), F.col(text)).alias("k"))
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = pooled([t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()], shared.value)
+        x = pooled(texts_of(batch.column(0)), shared.value)
         return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "k", "x"])
 
     got = arrow_map(taken, features, "y int, k bigint, x array<double>").collect()
@@ -179,12 +179,8 @@ def fit_quality(docs: DataFrame, labelled: DataFrame, text: str = "text", label:
 def score_quality(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """Add ``score``, the calibrated probability of label 1, to every row."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # the bucket table: below 1 MB
-    kept = list(docs.columns)
-    schema = docs.select(*kept).schema.add("score", "double")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x or b"" for x in batch.column(batch.schema.get_field_index("__text")).cast(pa.binary()).to_pylist()]
-        score = shared.value.scores(pooled(texts, shared.value.table))
-        return pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(score)], names=[*kept, "score"])
+    def run(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array(shared.value.scores(pooled(texts_of(texts), shared.value.table)))]
 
-    return arrow_map(docs.withColumn("__text", F.col(text).cast("string")), run, schema)
+    return append_map(docs, [F.col(text).cast("string")], {"score": "double"}, run)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Hashed, arrow_map, bounded_sample, by_bytes, joined, segment_sums, word_bounds
+from .common import Hashed, append_map, bounded_sample, by_bytes, joined, segment_sums, texts_of, word_bounds
 
 BITS = 22
 #: A rare outcome needs more rows than the common bound.
@@ -186,17 +186,10 @@ def probabilities(texts: list[bytes], chain: Chain) -> np.ndarray:
 def predict_chain(docs: DataFrame, chain: Chain, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Add ``p_<category>`` of each category and ``toxic`` (the last one reaches ``threshold``) to every row."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # 8 MB whatever the input
-    kept, names = list(docs.columns), [f"p_{c}" for c in chain.categories]
-    schema = docs.select(*kept).schema
-    for name in names:
-        schema.add(name, "double")
-    schema.add("toxic", "boolean")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        low = [x or b"" for x in batch.column(batch.schema.get_field_index("__low")).cast(pa.binary()).to_pylist()]
-        p = probabilities(low, shared.value)
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-        return pa.RecordBatch.from_arrays([*columns, *[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(p[:, -1] >= threshold)],
-                                          names=[*kept, *names, "toxic"])
-
-    return arrow_map(docs.withColumn("__low", F.lower(F.col(text))), run, schema)
+
+    def run(lower: pa.Array) -> list[pa.Array]:
+        p = probabilities(texts_of(lower), shared.value)
+        return [*[pa.array(p[:, i]) for i in range(p.shape[1])], pa.array(p[:, -1] >= threshold)]
+
+    made = {**{f"p_{c}": "double" for c in chain.categories}, "toxic": "boolean"}
+    return append_map(docs, [F.lower(F.col(text))], made, run)
