@@ -391,4 +391,4 @@ def extract_main(pages: DataFrame, model: Labeller, html: str = "html", group: i
         text, n, m = zip(*found, strict=True)
         return [pa.array(text, pa.string()), pa.array(n, pa.int32()), pa.array(m, pa.int32())]
 
-    return append_map(pages, [F.col(html).cast("string")], {"text": "string", "n_blocks": "int", "n_kept": "int"}, run)
+    return append_map(pages, [F.col(html).cast("string")], {"text": "string", "n_blocks": "integer", "n_kept": "integer"}, run)

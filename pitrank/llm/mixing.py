@@ -112,10 +112,15 @@ def _thresholds(slim: DataFrame, targets: DataFrame) -> DataFrame:
     A single position is passed if at least half of it fits the budget, so the error is at most half a
     position's size.
     """
+    few = targets.count() <= BROADCAST_SOURCES
+
+    def sent(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if few else side
+
     done = targets.select("source", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("passed"), "need")
     rows = slim.where(F.col("size") > 0)
     for shift in range(POSITION_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        inside = rows.alias("r").join(done.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source"))).select("r.*", "b.prefix", "b.passed", "b.need")
+        inside = rows.alias("r").join(sent(done).alias("b"), F.col("r.source").eqNullSafe(F.col("b.source"))).select("r.*", "b.prefix", "b.passed", "b.need")
         if shift != POSITION_BITS - LEVEL_BITS:
             inside = inside.where(F.shiftright("position", shift + LEVEL_BITS) == F.col("prefix"))
             inside = cut_lineage(inside)
