@@ -18,6 +18,7 @@ through; pages are read whole.
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 import zlib
 from dataclasses import dataclass
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import append_map, bounded_sample
 
-PATH_BUCKETS, WORD_BUCKETS, HIDDEN = 96, 16, 20
-FIT_PAGES, FIT_HTML_CHARS, MADE_PAGES = 200, 4_000_000, 400
+PATH_BUCKETS, WORD_BUCKETS, HIDDEN = 192, 16, 20
+FIT_PAGES, FIT_HTML_CHARS, MADE_PAGES = 200, 4_000_000, 600
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe svg textarea select object".split())
@@ -267,15 +268,15 @@ def train_labeller(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 14,
     return Labeller([params[:3], params[3:6]], params[6], float(params[7][0]))
 
 
-def made_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
+def made_page(rng: random.Random) -> tuple[list[Block], list[int]]:
     """Blocks of one invented page and whether each is article text."""
     letters = "etaoinshrdlucmfwypvbgk"
 
     def word():
-        return "".join(rng.choice(list(letters), rng.integers(2, 10)))
+        return "".join(rng.choices(letters, k=rng.randrange(2, 10)))
 
     def words(low, high, stop=""):
-        text = " ".join(word() for _ in range(rng.integers(low, high)))
+        text = " ".join(word() for _ in range(rng.randrange(low, high)))
         return text[:1].upper() + text[1:] + stop
     out: list[tuple[Block, int]] = []
 
@@ -283,7 +284,7 @@ def made_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
         out.append((Block(text, tuple(path.split()), int(linked * len(text))), main))
 
     def menu(path):
-        for _ in range(rng.integers(3, 9)):
+        for _ in range(rng.randrange(3, 9)):
             add(path + rng.choice([" ul li a", " li a", " a"]), words(1, 3), 1.0)
 
     def sentence():
@@ -304,18 +305,18 @@ def made_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     body = rng.choice(["article", "article", "main article", "main", "div .content", "div .post .body", "section .article", "div .entry .content", "main div .text", "div"])
     if rng.random() < 0.8:
         add(body + " h1", words(2, 12), main=1)
-    for _ in range(rng.integers(1, 25)):
+    for _ in range(rng.randrange(1, 25)):
         kind = rng.random()
-        if kind < 0.78:
+        if kind < 0.70:
             add(body + rng.choice([" p", " p", " p", " p b", " div p"]), sentence(), rng.choice([0.0, 0.0, 0.1, 0.3]), 1)
-        elif kind < 0.83:
+        elif kind < 0.75:
             add(body + rng.choice([" h2", " h3", " h4"]), words(1, 8), main=1)
-        elif kind < 0.88:
-            for _ in range(rng.integers(2, 6)):
+        elif kind < 0.80:
+            for _ in range(rng.randrange(2, 6)):
                 add(body + rng.choice([" ul li", " ol li"]), words(2, 20), rng.choice([0.0, 0.2]), 1)
-        elif kind < 0.91:
+        elif kind < 0.83:
             add(body + rng.choice([" blockquote", " blockquote p", " pre", " table tr td", " figure figcaption", " pre code"]), sentence(), main=1)
-        elif kind < 0.94:
+        elif kind < 0.91:
             advert(body + " ")
         elif kind < 0.96:
             add(body + rng.choice([" aside p", " aside .related a", " form p", " nav a", " div .share a", " div .newsletter p", " footer p", " header p"]), words(1, 15), rng.choice([0.0, 1.0]))
@@ -323,20 +324,20 @@ def made_page(rng: np.random.Generator) -> tuple[list[Block], list[int]]:
             add(body, sentence(), main=1)
     if rng.random() < 0.5:
         where = rng.choice(["aside", "div .sidebar", "aside .sidebar", "div .related", "section .related", "div .widget"])
-        for _ in range(rng.integers(1, 7)):
+        for _ in range(rng.randrange(1, 7)):
             add(where + rng.choice([" ul li a", " p", " h3", " a", " div"]), words(1, 14), rng.choice([0.0, 1.0]))
     if rng.random() < 0.5:
         where = rng.choice(["div .comments", "section .comments", "div .comment .list", "section .comments article .comment", "div .comments .area ol li", "div .replies", "div .responses"])
         if rng.random() < 0.5:
             add(where + rng.choice([" h2", " h3"]), words(1, 3))
-        for _ in range(rng.integers(1, 8)):
+        for _ in range(rng.randrange(1, 8)):
             add(where + rng.choice([" p", " div .comment p", " li", " div .comment", " article .comment p"]), sentence())
     if rng.random() < 0.3:
-        for _ in range(rng.integers(1, 4)):
+        for _ in range(rng.randrange(1, 4)):
             add("form " + rng.choice([".search", ".newsletter p", ".comment .form label", "p", "button"]), words(1, 5))
     if rng.random() < 0.9:
         where = rng.choice(["footer", "footer", "div .footer", "footer .site .footer"])
-        for _ in range(rng.integers(1, 5)):
+        for _ in range(rng.randrange(1, 5)):
             add(where + rng.choice(["", " p", " a", " ul li a"]), rng.choice(["© ", "", ""]) + sentence(), rng.choice([0.0, 1.0]))
     return [b for b, _ in out], [y for _, y in out]
 
@@ -351,22 +352,22 @@ def role_of(path: tuple[str, ...]) -> int | None:
 def _blanked(blocks: list[Block], rng: np.random.Generator) -> list[Block]:
     """The same blocks; at random, some names of the page are replaced by ``div``."""
     names = {n for b in blocks for n in b.path}
-    gone = {n for n in names if rng.random() < 0.15}
+    gone = {n for n in names if rng.random() < 0.12}
     return [Block(b.text, tuple("div" if n in gone else n for n in b.path), b.linked) for b in blocks]
 
 
 def fit_labeller(pages: DataFrame, html: str = "html", key: str = "page_id", *, rows: int = FIT_PAGES, chars: int = FIT_HTML_CHARS,
                  made: int = MADE_PAGES, seed: int = 5) -> Labeller:
     """Fit on ``made`` generated pages and a hash sample of ``rows`` pages and ``chars`` characters at most."""
-    rng = np.random.default_rng(seed)
-    known: list[tuple[list[Block], list[int]]] = [made_page(rng) for _ in range(made)]
+    rng, names = np.random.default_rng(seed), random.Random(seed)
+    known: list[tuple[list[Block], list[int]]] = [made_page(names) for _ in range(made)]
     taken = bounded_sample(pages.where(F.col(html).isNotNull()), html, key, rows, chars).select(html, F.xxhash64(key, html).alias("k")).collect()
     for r in sorted(taken, key=lambda r: (r.k, r[0])):
         blocks = blocks_of(r[0])
         roles = [role_of(b.path) for b in blocks]
         if 1 in roles and None not in roles:
             known.append((blocks, roles))
-    examples = [(vectors_of(_blanked(b, rng) if k % 2 else b), np.array(y, np.float32)) for k, (b, y) in enumerate(known)]
+    examples = [(vectors_of(_blanked(b, rng) if k % 3 == 0 else b), np.array(y, np.float32)) for k, (b, y) in enumerate(known)]
     return train_labeller(examples, seed=seed)
 
 

@@ -1,6 +1,7 @@
 """Chat, pages, embeddings, and the pipeline."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -66,7 +67,7 @@ def test_pages(spark):
 
 
 def test_labeller_on_unseen_made_pages():
-    rng = np.random.default_rng(1)
+    rng = random.Random(1)
     made = [html.made_page(rng) for _ in range(300)]
     model = html.train_labeller([(html.vectors_of(b), np.array(y, np.float32)) for b, y in made[:220]], epochs=10)
     right = [(p >= 0.5) == np.array(y, bool) for p, (_, y) in zip(html.label_pages([html.vectors_of(b) for b, _ in made[220:]], model), made[220:])]
