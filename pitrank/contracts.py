@@ -120,10 +120,10 @@ BARS_FEATURES = (
 )
 T1B_COLUMNS = ("trade_date", "ticker", *BARS_FEATURES, "as_of")
 FORECAST_FEATURES = (
-    "fc_q50", "fc_q90", "fc_spread", "fc_skew_norm", "fc_upside_ratio", "fc_q90_xs_rank",
-    "fc_skew_xs_rank",
+    "tfm_q50", "tfm_q90", "tfm_spread", "tfm_skew_norm", "tfm_upside_ratio", "tfm_q90_xs_rank",
+    "tfm_skew_xs_rank",
 )
-T1B_FC_COLUMNS = T1B_COLUMNS[:-1] + FORECAST_FEATURES + ("as_of",)
+T1B_TFM_COLUMNS = T1B_COLUMNS[:-1] + FORECAST_FEATURES + ("as_of",)
 LIQUIDITY_FEATURES = ("log_amihud", "cs_spread_20d", "zero_vol_20d", "adv_pct_rank", "range_20d")
 
 
@@ -167,7 +167,7 @@ class FeatureSpec:
 T1_SPEC = FeatureSpec("T1", T1_COLUMNS)
 T2_SPEC = FeatureSpec("T2", T2_COLUMNS)
 T1B_SPEC = FeatureSpec("T1B", T1B_COLUMNS)
-T1B_FC_SPEC = FeatureSpec("T1B_FC", T1B_FC_COLUMNS)
+T1B_TFM_SPEC = FeatureSpec("T1B_TFM", T1B_TFM_COLUMNS)
 
 
 def require(df: DataFrame, columns: Iterable[str], who: str) -> DataFrame:

@@ -41,7 +41,7 @@ def decision_time(task: str, date: Column | str = "trade_date") -> Column:
     ``T1``-family tasks decide at 16:00 on the previous calendar day, which is
     never later than the true prior session's close plus its weekend.
     """
-    if task in ("T1", "T1B", "T1B_FC"):
+    if task in ("T1", "T1B", "T1B_TFM"):
         return prior_close_time(date)
     if task == "T2":
         return premarket_time(date)

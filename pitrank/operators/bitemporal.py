@@ -17,7 +17,8 @@ from pitrank.functions.clock import first_usable_date
 
 def out_of_order(bars: DataFrame) -> DataFrame:
     """Bars that become usable only after a newer bar of the same ticker."""
-    following = W.partitionBy("ticker").orderBy("trade_date").rowsBetween(1, W.unboundedFollowing)
+    # Newest first, so that the frame grows: a frame that shrinks is recomputed for every row.
+    following = W.partitionBy("ticker").orderBy(F.desc("trade_date")).rowsBetween(W.unboundedPreceding, -1)
     marked = bars.select("ticker", "trade_date", first_usable_date("as_of", after="trade_date").alias("usable"))
     return marked.withColumn("_next", F.min("usable").over(following)).where("_next < usable").drop("_next")
 

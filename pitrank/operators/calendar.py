@@ -56,10 +56,10 @@ def day_index(calendar: DataFrame) -> DataFrame:
     """Every calendar day from the first to the last session -> index of the first session on or after it."""
     span = calendar.agg(F.min("session").alias("lo"), F.max("session").alias("hi"))
     days = span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 DAY"))).alias("day"))
-    ahead = W.orderBy("day").rowsBetween(W.currentRow, W.unboundedFollowing)
+    ahead = W.orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, W.currentRow)
     return days.join(
         calendar.select(F.col("session").alias("day"), "session_idx"), "day", "left"
-    ).select("day", F.first("session_idx", ignorenulls=True).over(ahead).alias("first_idx"))
+    ).select("day", F.last("session_idx", ignorenulls=True).over(ahead).alias("first_idx"))
 
 
 def serve_sessions(

@@ -130,20 +130,20 @@ def forecast_features(quantiles: DataFrame) -> DataFrame:
     q10, q50, q90 = F.col("q10"), F.col("q50"), F.col("q90")
     base = quantiles.select(
         "trade_date", "ticker",
-        q50.alias("fc_q50"),
-        q90.alias("fc_q90"),
-        (q90 - q10).alias("fc_spread"),
-        ratio((q90 - q50) - (q50 - q10), q90 - q10).alias("fc_skew_norm"),
-        ratio(q90 - q50, q50 - q10).alias("fc_upside_ratio"),
+        q50.alias("tfm_q50"),
+        q90.alias("tfm_q90"),
+        (q90 - q10).alias("tfm_spread"),
+        ratio((q90 - q50) - (q50 - q10), q90 - q10).alias("tfm_skew_norm"),
+        ratio(q90 - q50, q50 - q10).alias("tfm_upside_ratio"),
     )
-    ranked = add_pct_rank(base, ["trade_date"], "fc_q90", "fc_q90_xs_rank")
-    return add_pct_rank(ranked, ["trade_date"], "fc_skew_norm", "fc_skew_xs_rank")
+    ranked = add_pct_rank(base, ["trade_date"], "tfm_q90", "tfm_q90_xs_rank")
+    return add_pct_rank(ranked, ["trade_date"], "tfm_skew_norm", "tfm_skew_xs_rank")
 
 
 def build_bars_forecast_features(features: DataFrame, quantiles: DataFrame) -> DataFrame:
     """T1B plus the forecast block; rows without a forecast keep nulls."""
     joined = features.join(forecast_features(quantiles), ["trade_date", "ticker"], "left")
-    return joined.select(*C.T1B_FC_COLUMNS)
+    return joined.select(*C.T1B_TFM_COLUMNS)
 
 
 def label_frame(universe: DataFrame, spec_version: str = "v1") -> DataFrame:

@@ -27,17 +27,20 @@ def assert_empty(violations: DataFrame, what: str, show: int = 20) -> None:
 
 
 def decision_time_violations(df: DataFrame, task: str, date_col: str = "trade_date") -> DataFrame:
-    """Rows stamped after the decision instant of their own date (null stamps pass, as comparisons do)."""
+    """Rows stamped after the decision instant of their own date, or not stamped at all."""
     if "as_of" not in df.columns:
         raise LeakageError("frame has no as_of column")
     limit = decision_time(task, date_col)
     ids = [c for c in ("ticker", date_col) if c in df.columns]
-    return df.where(F.col("as_of") > limit).select(*ids, "as_of", limit.alias("decision_time"))
+    return df.where(F.coalesce(F.col("as_of") > limit, F.lit(True))).select(*ids, "as_of", limit.alias("decision_time"))
 
 
 def guarded(df: DataFrame, task: str, date_col: str = "trade_date") -> DataFrame:
-    """The same gate inside the projection: raises while rows stream, costs no extra pass."""
-    late = F.col("as_of") > decision_time(task, date_col)
+    """The gate inside the projection: raises while rows stream, costs no extra pass.
+
+    A row without a stamp is refused like a late one, as in ``quarantine_split``.
+    """
+    late = F.coalesce(F.col("as_of") > decision_time(task, date_col), F.lit(True))
     message = F.concat(
         F.lit(f"row not knowable at {task} decision time: "), F.coalesce(F.col(date_col).cast("string"), F.lit("?"))
     )
@@ -63,11 +66,11 @@ def adjusted_suspects(bars: DataFrame, actions: DataFrame | None) -> DataFrame:
     rows = bars.select("ticker", F.col("trade_date").alias("d"), "as_of", F.lit(True).alias("bar")).unionByName(
         later, allowMissingColumns=True
     )
-    # RANGE 1 FOLLOWING on the day number: strictly later ex-dates only.
+    # Newest first; RANGE 1 PRECEDING on the negated day number: strictly later ex-dates only, in a growing frame.
     w = (
         W.partitionBy("ticker")
-        .orderBy(F.datediff("d", F.lit("1970-01-01").cast("date")))
-        .rangeBetween(1, W.unboundedFollowing)
+        .orderBy(-F.datediff("d", F.lit("1970-01-01").cast("date")))
+        .rangeBetween(W.unboundedPreceding, -1)
     )
     seen = rows.withColumn("latest_action_as_of", F.max("action_as_of").over(w))
     return seen.where("bar and latest_action_as_of > as_of").select(
@@ -90,12 +93,13 @@ def unadjusted_violations(bars: DataFrame, actions: DataFrame, flat_band: float
     closes = bars.where(F.col("close").isNotNull()).select("ticker", F.col("trade_date").alias("d"), "close")
     timeline = closes.join(asked, ["ticker", "d"], "full")
     by_day = W.partitionBy("ticker").orderBy("d")
+    newest_first = W.partitionBy("ticker").orderBy(F.desc("d"))
     around = timeline.select(
         "ticker",
         F.col("d").alias("ex_date"),
         "asked",
         F.last("close", ignorenulls=True).over(by_day.rowsBetween(W.unboundedPreceding, -1)).alias("last_before"),
-        F.first("close", ignorenulls=True).over(by_day.rowsBetween(0, W.unboundedFollowing)).alias("first_after"),
+        F.last("close", ignorenulls=True).over(newest_first.rowsBetween(W.unboundedPreceding, 0)).alias("first_after"),
     ).where("asked and last_before > 0 and first_after > 0")
     observed = F.col("first_after") / F.col("last_before")
     return (

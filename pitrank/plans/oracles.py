@@ -857,23 +857,23 @@ SELECT * FROM (SELECT trade_date, ticker, min(ret) OVER w AS q10, lag(ret) OVER
   FROM bu_v WINDOW w AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE q50 IS NOT NULL
 """)
 cte("ff0_v", """
-SELECT trade_date, ticker, q50 AS fc_q50, q90 AS fc_q90, q90 - q10 AS fc_spread, ((q90 - q50) - (q50 - q10)) / nullif(q90 - q10, 0) AS fc_skew_norm,
-       (q90 - q50) / nullif(q50 - q10, 0) AS fc_upside_ratio FROM fq_v
+SELECT trade_date, ticker, q50 AS tfm_q50, q90 AS tfm_q90, q90 - q10 AS tfm_spread, ((q90 - q50) - (q50 - q10)) / nullif(q90 - q10, 0) AS tfm_skew_norm,
+       (q90 - q50) / nullif(q50 - q10, 0) AS tfm_upside_ratio FROM fq_v
 """)
 cte("ff_v", """
-SELECT *, (rank() OVER (PARTITION BY trade_date ORDER BY fc_q90 NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, fc_q90) - 1) / 2.0::DOUBLE) / count(fc_q90) OVER (PARTITION BY trade_date) AS fc_q90_xs_rank,
-       CASE WHEN fc_skew_norm IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date ORDER BY fc_skew_norm NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, fc_skew_norm) - 1) / 2.0::DOUBLE) / count(fc_skew_norm) OVER (PARTITION BY trade_date) END AS fc_skew_xs_rank
+SELECT *, (rank() OVER (PARTITION BY trade_date ORDER BY tfm_q90 NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, tfm_q90) - 1) / 2.0::DOUBLE) / count(tfm_q90) OVER (PARTITION BY trade_date) AS tfm_q90_xs_rank,
+       CASE WHEN tfm_skew_norm IS NOT NULL THEN (rank() OVER (PARTITION BY trade_date ORDER BY tfm_skew_norm NULLS LAST) + (count(*) OVER (PARTITION BY trade_date, tfm_skew_norm) - 1) / 2.0::DOUBLE) / count(tfm_skew_norm) OVER (PARTITION BY trade_date) END AS tfm_skew_xs_rank
 FROM ff0_v
 """)
 oracle("forecast_features", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM ff_v")
 oracle("bars_t1_forecast", """
 SELECT CAST(b.trade_date AS VARCHAR) AS trade_date, b.ticker, xs_vol_rank, xs_ret_rank, top90, round(logpx, 8) AS logpx, dist52,
        round(vol20, 8) AS vol20, round(vol5, 8) AS vol5, round(relvol_prev, 8) AS relvol_prev, ret5, ret20, round(volofvol, 8) AS volofvol,
-       round(logdv, 8) AS logdv, prev_ret1, was_top, top30, fc_q50, fc_q90, fc_spread, fc_skew_norm, fc_upside_ratio, fc_q90_xs_rank, fc_skew_xs_rank,
+       round(logdv, 8) AS logdv, prev_ret1, was_top, top30, tfm_q50, tfm_q90, tfm_spread, tfm_skew_norm, tfm_upside_ratio, tfm_q90_xs_rank, tfm_skew_xs_rank,
        CAST(as_of AS VARCHAR) AS as_of FROM bf_v b LEFT JOIN ff_v f ON b.trade_date = f.trade_date AND b.ticker = f.ticker""")
 cte("rdl_v", " UNION ALL ".join(
     f"SELECT b.trade_date, '{c}' AS feature, {c} AS x, xs_vol_rank AS y FROM bf_v b JOIN ff_v f ON b.trade_date = f.trade_date AND b.ticker = f.ticker WHERE xs_vol_rank IS NOT NULL AND {c} IS NOT NULL"
-    for c in ("fc_spread", "fc_skew_norm", "fc_q90")))
+    for c in ("tfm_spread", "tfm_skew_norm", "tfm_q90")))
 cte("rdr_v", """
 SELECT trade_date, feature, rank() OVER (PARTITION BY trade_date, feature ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, feature, x) - 1) / 2.0::DOUBLE AS rx,
        rank() OVER (PARTITION BY trade_date, feature ORDER BY y) + (count(*) OVER (PARTITION BY trade_date, feature, y) - 1) / 2.0::DOUBLE AS ry FROM rdl_v

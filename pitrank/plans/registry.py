@@ -761,7 +761,7 @@ def _forecast_frame(spark, sf):
 
 @query
 def redundancy_spearman(spark, sf):
-    rho = rd.daily_spearman(_forecast_frame(spark, sf), ("fc_spread", "fc_skew_norm", "fc_q90"))
+    rho = rd.daily_spearman(_forecast_frame(spark, sf), ("tfm_spread", "tfm_skew_norm", "tfm_q90"))
     per = rho.groupBy("feature").agg(F.count(F.lit(1)).alias("n_days"), F.avg("spearman").alias("spearman"))
     return rounded(per, 7, "spearman")
 
@@ -769,7 +769,7 @@ def redundancy_spearman(spark, sf):
 @query
 def redundancy_gate(spark, sf):
     """Verdicts with the regression part (no SQL: least squares on MLlib)."""
-    return rounded(rd.redundancy_gate(_forecast_frame(spark, sf), ("fc_spread", "fc_skew_norm")), 7, "spearman", "residual_share")
+    return rounded(rd.redundancy_gate(_forecast_frame(spark, sf), ("tfm_spread", "tfm_skew_norm")), 7, "spearman", "residual_share")
 
 
 @query

@@ -7,10 +7,12 @@ exactly that, so results do not depend on the session time zone.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pitrank.functions.clock import PREMARKET_CUTOFF_MINUTES, decision_time
@@ -112,21 +114,35 @@ def quarantine_split(stream: DataFrame, task: str, accepted: str, quarantine: st
 
 
 def prediction_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write-once predictions: a date published by an earlier batch can never be written again."""
+    """Write-once predictions: a published date can never be written again, whatever the checkpoint.
+
+    Rows lie by date, run (digest of the checkpoint's path) and batch.  A date that another run or another
+    batch has published refuses the batch before anything is written; a replay of the same batch of the same
+    run replaces its own folders.
+    """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    keys = ["trade_date", "run_id", "batch_id"]
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        own = f"{path}/batch_id={batch_id}"
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            published = spark.read.parquet(path).where(F.col("batch_id") != batch_id)
-            again = batch.select("trade_date").distinct().join(
-                published.select("trade_date").distinct(), "trade_date", "left_semi"
-            )
+        tagged = batch.withColumns({"run_id": F.lit(run), "batch_id": F.lit(batch_id).cast("long")}).persist()
+        schema = T.StructType([*tagged.drop(*keys).schema, *tagged.select(*keys).schema])
+        try:
+            published = spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            published = None
+        if published is not None:
+            # Folder names only: no data column is read.
+            others = published.select(*keys).distinct().where((F.col("run_id") != run) | (F.col("batch_id") != batch_id))
+            again = tagged.select("trade_date").distinct().join(others.select("trade_date").distinct(), "trade_date", "left_semi")
             clash = [r[0] for r in again.limit(5).collect()]
             if clash:
+                tagged.unpersist()
                 raise FileExistsError(f"predictions already published for {clash}")
-        batch.write.mode("overwrite").parquet(own)
+        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        tagged.unpersist()
 
     return (
         stream.writeStream.foreachBatch(publish)

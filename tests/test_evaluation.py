@@ -156,3 +156,12 @@ def test_ranker_round_trip_and_spec_guard(spark):
     assert best["best_score"] == 1.0 and len(best["results"]) == 2
     with pytest.raises(C.LeakageError):
         rk.Ranker(params, spec, sealed_from="2021-01-05").fit(feats, lab)
+
+
+def test_ranker_keeps_rows_with_missing_features(spark):
+    days = weekdays("2021-01-04", 6)
+    data = [(d, f"N{i}", float(i) if i % 3 else None, float("nan") if i % 5 == 0 else 1.0, at(d), int(i >= 18)) for d in days for i in range(20)]
+    df = spark.createDataFrame(data, "trade_date date, ticker string, x double, y double, as_of timestamp_ntz, label int")
+    model = rk.Ranker({"maxIter": 2, "maxDepth": 2, "minInstancesPerNode": 1, "subsamplingRate": 1.0}).fit(df.drop("label"), df.select("trade_date", "ticker", "label"))
+    assert model.predict(df.drop("label")).count() == df.count()
+    assert model.predict(df.drop("label").withColumn("x", F.lit(None).cast("double"))).where("score is not null").count() == df.count()

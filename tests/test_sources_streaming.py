@@ -112,3 +112,35 @@ def test_monitor_state_survives_restarts(spark):
         q.awaitTermination()
         out = rows(spark.read.parquet(f"{base}/out").select("trade_date", "stop", "kill"), "trade_date")
     assert [(s, k) for _, s, k in out] == [(False, False), (False, False), (True, False), (True, True), (True, True)]
+
+
+def test_published_predictions_are_never_overwritten(spark):
+    import datetime as dt
+
+    from pitrank.session import scratch_path
+    from pitrank.streaming import jobs
+
+    schema = "trade_date date, ticker string, score double"
+
+    def land(base, day, score):
+        spark.createDataFrame([(dt.date(2021, 1, day), "A", score)], schema).write.mode("append").parquet(f"{base}/in")
+
+    def drain(base, out, checkpoint):
+        query = jobs.prediction_sink(spark.readStream.schema(schema).parquet(f"{base}/in"), out, checkpoint)
+        query.awaitTermination()
+        return query
+
+    base = scratch_path(spark, "write-once")
+    out = f"{base}/out"
+    land(base, 4, 1.0)
+    drain(base, out, f"{base}/cp1")
+    land(base, 5, 2.0)
+    drain(base, out, f"{base}/cp1")
+    kept = sorted((r.trade_date.day, r.score) for r in spark.read.parquet(out).collect())
+    assert kept == [(4, 1.0), (5, 2.0)]
+    with pytest.raises(Exception, match="already published"):
+        drain(base, out, f"{base}/cp2")
+    land(base, 5, 3.0)
+    with pytest.raises(Exception, match="already published"):
+        drain(base, out, f"{base}/cp1")
+    assert sorted((r.trade_date.day, r.score) for r in spark.read.parquet(out).collect()) == kept
