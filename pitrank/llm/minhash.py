@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, Hashed, arrow_map, by_bytes, cut_lineage, joined, mix64, pieces, texts_of, word_bounds
-from .graph import components
+from .common import SPACE, Hashed, arrow_map, by_bytes, joined, mix64, pieces, stored, texts_of, word_bounds
+from .graph import components, near_labels
 
 #: Ids that are sent to every task at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -162,13 +162,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
 
     ``group`` is the digest of the component's first set; ``component_id`` the least doc_id of the component.
     """
-    signed = cut_lineage(signatures(docs, text, key, shingle, bands, rows, percent))
-    nodes = cut_lineage(signed.where(F.col("node").isNotNull()).groupBy("node")
+    signed = stored(signatures(docs, text, key, shingle, bands, rows, percent))
+    nodes = stored(signed.where(F.col("node").isNotNull()).groupBy("node")
                         .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     # Different sets of fewer than percent / (100 - percent) shingles cannot reach the threshold.
-    buckets = cut_lineage(_shared_buckets(nodes.where(F.col("n") * (100 - percent) >= percent)))
+    buckets = stored(_shared_buckets(nodes.where(F.col("n") * (100 - percent) >= percent)))
     repeats = not signed.groupBy("doc_id").count().where("count > 1").isEmpty()
-    sets = cut_lineage(_sets(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), buckets, shingle, repeats))
+    sets = stored(_sets(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), buckets, shingle, repeats))
     links = _confirmed_links(buckets, sets, percent)
     roots = components(links)
     label = (nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *,
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """One document of each group, the one with the least id; documents without words all stay."""
-    found = cut_lineage(near_duplicates(docs, text, key, **how))
+    found = stored(near_duplicates(docs, text, key, **how))
     chosen = found.where("node is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
     keep = chosen.union(found.where("node is null").select("doc_id", "text_hash").distinct()).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     same = F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash"))
@@ -216,10 +216,10 @@ def _confirmed_links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataF
                 .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct())
         if compared is not None:
             star = star.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        checked = cut_lineage(_intersections(star, sets))
+        checked = stored(_intersections(star, sets))
         compared = checked if compared is None else compared.union(checked)
         mixed = _mixed(buckets, _linked(compared, percent))
-        active = cut_lineage(mixed)
+        active = stored(mixed)
         if active.isEmpty():
             return _linked(compared, percent)
     return _linked(compared, percent).union(_rest(active, compared, sets, percent))
@@ -231,8 +231,11 @@ def _linked(compared: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold several components, with their component."""
-    roots = components(links)
+    """Members of the buckets whose nodes the links found so far do not evidently connect, with their label.
+
+    Labels of two steps along the links are finer than components, which only means some comparisons more.
+    """
+    roots = near_labels(links)
     member = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = member.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y"))
     return member.join(several.select("bucket"), "bucket")
@@ -240,7 +243,7 @@ def _mixed(buckets: DataFrame, links: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, buckets: DataFrame, shingle: int, repeats: bool) -> DataFrame:
     """``node, set`` of the nodes of the shared buckets, from the text of one document each."""
-    wanted = cut_lineage(buckets.select("node", "first_id").distinct())
+    wanted = stored(buckets.select("node", "first_id").distinct())
     few = wanted.count() <= BROADCAST_IDS
     ids = wanted.select("first_id").distinct()
     picked = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"].eqNullSafe(ids["first_id"]), "left_semi")
@@ -272,7 +275,7 @@ def _rest(active: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
     a pair of blocks; a task counts intersections by an inverted index and returns one link a pair of components.
     """
     size = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-    member = cut_lineage(active.select("bucket", "node", "n", "root").join(size, "bucket"))
+    member = stored(active.select("bucket", "node", "n", "root").join(size, "bucket"))
     few = member.where(F.col("members") <= FEW)
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
@@ -285,7 +288,7 @@ def _rest(active: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
     rows = (dealt.join(sets, "node").select("bucket", "first", "second", "node", "root", "set")
             .repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second"))
     large = rows.mapInArrow(lambda batches: _block_links(batches, percent), "a binary, b binary")
-    return cut_lineage(small.select("a", "b").union(large))
+    return stored(small.select("a", "b").union(large))
 
 
 def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
