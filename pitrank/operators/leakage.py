@@ -11,7 +11,7 @@ from pitrank.contracts import LeakageError
 from pitrank.functions.clock import decision_time
 from pitrank.functions.hashing import uniform_key
 from pitrank.functions.scalars import random_guess_tolerance
-from pitrank.operators.ranks import average_rank, has_hot_group, positions, with_rank_parts
+from pitrank.operators.ranks import average_rank, positions, with_rank_parts
 
 LABEL_COLUMNS = ("return_t", "rank", "label")
 
@@ -175,7 +175,7 @@ def _long(joined: DataFrame, cols: Sequence[str], ys: Sequence[str]) -> DataFram
 
 
 def daily_correlations(
-    features: DataFrame, labels: DataFrame, complete_labels: bool | None = None, split: bool | None = None
+    features: DataFrame, labels: DataFrame, complete_labels: bool | None = None
 ) -> DataFrame:
     """Pearson and Spearman of every feature with every label column, per day.
 
@@ -191,16 +191,16 @@ def daily_correlations(
     groups = [LABEL_COLUMNS] if complete_labels else [(y,) for y in LABEL_COLUMNS]
     out = None
     for ys in groups:
-        part = _correlations(_long(joined, cols, ys), ys, split)
+        part = _correlations(_long(joined, cols, ys), ys)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _correlations(long: DataFrame, ys: Sequence[str], split: bool | None) -> DataFrame:
+def _correlations(long: DataFrame, ys: Sequence[str]) -> DataFrame:
     keys = ["trade_date", "feature"]
     ranked = long
     for c in ("x", *ys):
-        ranked = with_rank_parts(ranked, keys, c, split=split).withColumn(f"_r_{c}", average_rank()).drop(
+        ranked = with_rank_parts(ranked, keys, c).withColumn(f"_r_{c}", average_rank()).drop(
             "_rank", "_peers", "_n"
         )
     aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
@@ -240,10 +240,9 @@ def correlation_leaks(
     min_group_size: int = 5,
     min_hit_fraction: float = 0.5,
     complete_labels: bool | None = None,
-    split: bool | None = None,
 ) -> DataFrame:
     """Verdict per feature and label column: near-perfect correlation on enough evaluable days."""
-    daily = daily_correlations(features, labels, complete_labels, split).where(
+    daily = daily_correlations(features, labels, complete_labels).where(
         (F.col("n") >= min_group_size) & F.col("varies")
     )
     worst = F.greatest(F.abs("pearson"), F.abs("spearman"))
@@ -265,7 +264,7 @@ def assert_self_exclusion(features: DataFrame, labels: DataFrame, **how) -> None
 # --- L5 / L6: shuffled labels -----------------------------------------------------------
 
 
-def shuffle_labels(labels: DataFrame, seed: int = 0, split: bool | None = None) -> DataFrame:
+def shuffle_labels(labels: DataFrame, seed: int = 0) -> DataFrame:
     """Permute (rank, return_t, label) among the tickers of each day.
 
     Row i in ticker order receives the values of row i in hash order: a bijection
@@ -276,10 +275,8 @@ def shuffle_labels(labels: DataFrame, seed: int = 0, split: bool | None = None)
     keyed = labels.withColumn("_h", uniform_key(f"{seed}:from", "trade_date", "ticker")).withColumn(
         "_g", uniform_key(f"{seed}:to", "trade_date", "ticker")
     )
-    if split is None:
-        split = has_hot_group(labels.select("trade_date"), ["trade_date"])
-    source = positions(keyed, ["trade_date"], "_h", ["ticker"], "_i", split).select("trade_date", "_i", *values)
-    target = positions(keyed, ["trade_date"], "_g", ["ticker"], "_i", split).select("_i", *keep)
+    source = positions(keyed, ["trade_date"], "_h", ["ticker"], "_i").select("trade_date", "_i", *values)
+    target = positions(keyed, ["trade_date"], "_g", ["ticker"], "_i").select("_i", *keep)
     return target.join(source, ["trade_date", "_i"]).select(*labels.columns)
 
 

@@ -1,11 +1,9 @@
 """Cross-sectional ranks that stay exact when one group is huge.
 
-The plain form is one window per group.  It is used when the whole input is
-provably small, or when a counting pass shows no group above ``HOT_GROUP_ROWS``.
-Otherwise the split form runs: duplicate values are counted first, hot groups are
-cut into ordered value slices by a mergeable quantile sketch, ranks inside a
-slice are added to the number of rows in the slices before it.  The sketch only
-balances the slices; the ranks themselves are exact.
+One form at every size.  A group is cut into slices by an order-preserving coarse number of the value, so a
+hot group spreads over many tasks; ranks inside a slice are added to the number of rows in the slices before
+it.  Slices and their sizes come from one shuffle of the rows (by group and slice); the sizes are one row a
+slice, summed along the group.  The slicing only balances the work, the ranks are exact.
 """
 
 from __future__ import annotations
@@ -16,114 +14,59 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pitrank.functions.hashing import KEY_BITS
 
-HOT_GROUP_ROWS = 4_000_000
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-SLICES = 256
+#: Slices of a unit of the fourth root: neighbouring values fall together, whatever their scale.
+GRAIN = 64
+LAST_SLICE = 1 << 40
 
 
-def _input_bytes(df: DataFrame) -> int:
-    """Bytes of the base relations behind a frame (after pruning), from optimizer statistics."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+def slice_of(value: str | Column, grain: int = GRAIN) -> Column:
+    """Coarse number that never falls when the value grows (square roots round correctly); NaN and null come last."""
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    root = F.signum(v) * F.sqrt(F.sqrt(F.abs(v))) * float(grain)
+    bounded = F.least(F.greatest(root, F.lit(-1e9)), F.lit(1e9))
+    return F.when(v.isNull(), LAST_SLICE + 1).when(F.isnan(v), LAST_SLICE).otherwise(F.floor(bounded)).cast("long")
 
 
-def has_hot_group(df: DataFrame, group: Sequence[str], limit: int = HOT_GROUP_ROWS) -> bool:
-    """True when some group holds more than ``limit`` rows.
+def _with_offsets(inside: DataFrame, group: Sequence[str], counted: Column, descending: bool = False) -> DataFrame:
+    """Add ``_before`` (rows of the slices before this one) and ``_n`` (rows of the group) to rows that lie by slice.
 
-    Cross sections have one row per (date, ticker) and every ticker stems from
-    input rows, so no section outgrows the input: inputs below
-    ``SMALL_INPUT_BYTES`` are not scanned at all.  Otherwise a map-side combined
-    count over the group columns decides.  Callers pass the cheapest frame that
-    bounds the section, usually the bars.
+    ``counted`` is 1 for the rows that count, else 0.  ``inside`` is already dealt by group and slice, so the
+    sizes are taken without another shuffle of the rows.
     """
-    if _input_bytes(df) <= SMALL_INPUT_BYTES:
-        return False
-    heavy = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    return not heavy.isEmpty()
-
-
-def many_tickers(bars: DataFrame, limit: int = HOT_GROUP_ROWS) -> bool:
-    """True when a dense grid (every ticker on every session) would have hot dates."""
-    if _input_bytes(bars) <= SMALL_INPUT_BYTES:
-        return False
-    return bars.select("ticker").distinct().count() > limit
+    group = list(group)
+    sizes = inside.groupBy(*group, "_slice").agg(F.sum(counted).alias("_rows"))
+    order = F.when(F.col("_slice") > LAST_SLICE, 1).otherwise(0)
+    along = W.partitionBy(*group).orderBy(order, F.desc("_slice") if descending else F.asc("_slice"))
+    offsets = sizes.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_slice").alias("_s"),
+        F.coalesce(F.sum("_rows").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(W.partitionBy(*group)).alias("_n"),
+    )
+    same = F.col("_slice") == F.col("_s")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return inside.join(offsets, same).drop(*[f"_g{i}" for i in range(len(group))], "_s", "_slice")
 
 
-def _window_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    ordered = W.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
-    whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+def with_rank_parts(df: DataFrame, group: Sequence[str], value: str, grain: int = GRAIN) -> DataFrame:
+    """Add ``_rank`` (min rank, ascending, nulls last), ``_peers`` (ties) and ``_n`` (non-null rows)."""
+    ordered = W.partitionBy(*group, "_slice").orderBy(F.col(value).asc_nulls_last())
     # The default running frame includes all ties, so the running count is the last
     # position of a tie and rank() its first: growing frames only, one sort.
-    ranked = df.select(
-        "*",
-        F.rank().over(ordered).cast("long").alias("_rank"),
-        F.count(value).over(ordered).alias("_last"),
-        F.count(value).over(whole).alias("_n"),
-    )
-    return ranked.withColumn("_peers", F.col("_last") - F.col("_rank") + 1).drop("_last")
+    inside = df.withColumn("_slice", slice_of(value, grain)).select(
+        "*", F.rank().over(ordered).cast("long").alias("_first"), F.count(value).over(ordered).alias("_last"))
+    placed = _with_offsets(inside, group, F.when(F.col(value).isNotNull(), 1).otherwise(0))
+    return placed.withColumns({
+        "_rank": F.col("_before") + F.col("_first"), "_peers": F.col("_last") - F.col("_first") + 1,
+    }).drop("_first", "_last", "_before")
 
 
-def _sliced_ranks(df: DataFrame, group: Sequence[str], value: str, hot_rows: int, slices: int) -> DataFrame:
-    group = list(group)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_peers"))
-    points = [i / slices for i in range(1, slices)]
-    cuts = (
-        counts.groupBy(*group)
-        .agg(
-            F.sum("_peers").alias("_n"),
-            F.count(F.lit(1)).alias("_distinct"),
-            F.percentile_approx(value, points, F.lit(20 * slices)).alias("_cuts"),
-        )
-        .withColumn("_cuts", F.when(F.col("_distinct") > hot_rows, F.array_distinct("_cuts")))
-        .drop("_distinct")
-    )
-    sliced = counts.join(cuts, group).withColumn(
-        "_slice",
-        F.coalesce(
-            F.aggregate("_cuts", F.lit(0), lambda acc, c: acc + F.when(c < F.col(value), 1).otherwise(0)),
-            F.lit(0),
-        ),
-    ).drop("_cuts")
-    per_slice = sliced.groupBy(*group, "_slice").agg(F.sum("_peers").alias("_rows"))
-    before = per_slice.select(
-        *group,
-        "_slice",
-        F.coalesce(
-            F.sum("_rows").over(
-                W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
-    )
-    inside = W.partitionBy(*group, "_slice").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranked = (
-        sliced.withColumn("_inside", F.coalesce(F.sum("_peers").over(inside), F.lit(0)))
-        .join(before, [*group, "_slice"])
-        .select(
-            *group,
-            value,
-            (F.col("_before") + F.col("_inside") + 1).alias("_rank"),
-            "_peers",
-            "_n",
-        )
-    )
-    return df.join(ranked, [*group, value], "left")
-
-
-def with_rank_parts(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    hot_rows: int = HOT_GROUP_ROWS,
-    slices: int = SLICES,
-    split: bool | None = None,
-) -> DataFrame:
-    """Add ``_rank`` (min rank, ascending), ``_peers`` (ties) and ``_n`` (non-null rows)."""
-    if split is None:
-        split = has_hot_group(df.select(*group, value), group, hot_rows)
-    if split:
-        return _sliced_ranks(df, group, value, hot_rows, slices)
-    return _window_ranks(df, group, value)
+def positions_descending(df: DataFrame, group: Sequence[str], value: str, tie_break: Sequence[str], out: str, grain: int = GRAIN) -> DataFrame:
+    """Distinct 1..n positions per group (int): value descending, nulls last, then ``tie_break``."""
+    order = W.partitionBy(*group, "_slice").orderBy(F.col(value).desc_nulls_last(), *[F.col(c) for c in tie_break])
+    inside = df.withColumn("_slice", slice_of(value, grain)).withColumn("_first", F.row_number().over(order))
+    placed = _with_offsets(inside, group, F.lit(1), descending=True)
+    return placed.withColumn(out, (F.col("_before") + F.col("_first")).cast("int")).drop("_first", "_before", "_n")
 
 
 def average_pct_rank() -> Column:
@@ -164,42 +107,12 @@ def top_k(df: DataFrame, k: int, group: Sequence[str] = ("trade_date",), score:
     return best if position else best.drop(name)
 
 
-def positions(
-    df: DataFrame,
-    group: Sequence[str],
-    order_hash: str,
-    tie_break: Sequence[str],
-    out: str,
-    split: bool | None = None,
-    hot_rows: int = HOT_GROUP_ROWS,
-) -> DataFrame:
+def positions(df: DataFrame, group: Sequence[str], order_hash: str, tie_break: Sequence[str], out: str) -> DataFrame:
     """1-based position inside each group ordered by a uniform hash column (``uniform_key``).
 
-    The top bits of a uniform hash are an order-preserving slice number, so the
-    split form needs no sketch.
+    The top bits of a uniform hash are an order-preserving slice number.
     """
-    group, tie = list(group), [F.col(c) for c in tie_break]
-    if split is None:
-        split = has_hot_group(df.select(*group), group, hot_rows)
-    if not split:
-        w = W.partitionBy(*group).orderBy(F.col(order_hash), *tie)
-        return df.withColumn(out, F.row_number().over(w).cast("long"))
-    sliced = df.withColumn("_slice", F.shiftright(F.col(order_hash), KEY_BITS - 12))
-    sizes = sliced.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    before = sizes.select(
-        *group,
-        "_slice",
-        F.coalesce(
-            F.sum("_rows").over(
-                W.partitionBy(*group).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
-    )
-    w = W.partitionBy(*group, "_slice").orderBy(F.col(order_hash), *tie)
-    return (
-        sliced.withColumn(out, F.row_number().over(w))
-        .join(before, [*group, "_slice"])
-        .withColumn(out, (F.col(out) + F.col("_before")).cast("long"))
-        .drop("_slice", "_before")
-    )
+    order = W.partitionBy(*group, "_slice").orderBy(F.col(order_hash), *[F.col(c) for c in tie_break])
+    inside = df.withColumn("_slice", F.shiftright(F.col(order_hash), KEY_BITS - 8)).withColumn("_first", F.row_number().over(order))
+    placed = _with_offsets(inside, group, F.lit(1))
+    return placed.withColumn(out, (F.col("_before") + F.col("_first")).cast("long")).drop("_first", "_before", "_n")

@@ -17,7 +17,7 @@ ANCHOR = "xs_vol_rank"
 INCUMBENTS = ("vol5", "vol20", "xs_vol_rank", "relvol_prev", "dist52", "logpx")
 
 
-def daily_spearman(features: DataFrame, new: Sequence[str], anchor: str = ANCHOR, split: bool | None = None) -> DataFrame:
+def daily_spearman(features: DataFrame, new: Sequence[str], anchor: str = ANCHOR) -> DataFrame:
     """Spearman of every new feature with the anchor, per day, over rows with both present."""
     long = features.where(F.col(anchor).isNotNull()).select(
         "trade_date", F.col(anchor).cast("double").alias("y"),
@@ -25,14 +25,13 @@ def daily_spearman(features: DataFrame, new: Sequence[str], anchor: str = ANCHOR
     ).select("trade_date", "y", "f.*").where(F.col("x").isNotNull())
     keys = ["trade_date", "feature"]
     for c in ("x", "y"):
-        long = with_rank_parts(long, keys, c, split=split).withColumn(f"r{c}", average_rank()).drop("_rank", "_peers", "_n")
+        long = with_rank_parts(long, keys, c).withColumn(f"r{c}", average_rank()).drop("_rank", "_peers", "_n")
     scale = F.sqrt(F.var_pop("rx") * F.var_pop("ry"))
     daily = long.groupBy(*keys).agg(F.covar_pop("rx", "ry").alias("c"), scale.alias("s"), F.count(F.lit(1)).alias("n"))
     return daily.where("s > 0").select(*keys, "n", (F.col("c") / F.col("s")).alias("spearman"))
 
 
-def residual_share(features: DataFrame, new: Sequence[str], incumbents: Sequence[str] = INCUMBENTS,
-                   split: bool | None = None) -> dict[str, float]:
+def residual_share(features: DataFrame, new: Sequence[str], incumbents: Sequence[str] = INCUMBENTS) -> dict[str, float]:
     """Share of each new feature's variance left after a linear projection on the incumbents.
 
     Everything is moved to centred per-day percentile ranks first.
@@ -40,7 +39,7 @@ def residual_share(features: DataFrame, new: Sequence[str], incumbents: Sequence
     cols = [*incumbents, *new]
     ranked = features.na.drop(subset=cols).select("trade_date", *cols)
     for c in cols:
-        ranked = with_rank_parts(ranked, ["trade_date"], c, split=split).withColumn(
+        ranked = with_rank_parts(ranked, ["trade_date"], c).withColumn(
             f"p_{c}", average_rank() / F.col("_n") - (F.col("_n") + 1) / (2 * F.col("_n"))
         ).drop("_rank", "_peers", "_n")
     frame = VectorAssembler(inputCols=[f"p_{c}" for c in incumbents], outputCol="_x").transform(ranked).persist()

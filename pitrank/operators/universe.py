@@ -10,7 +10,7 @@ from pitrank.functions.scalars import growth
 from pitrank.operators import calendar as cal
 from pitrank.operators.asof import date_bounds, interval_join
 from pitrank.operators.bitemporal import known_bars
-from pitrank.operators.ranks import add_min_rank_desc, has_hot_group, top_k
+from pitrank.operators.ranks import positions_descending, top_k
 from pitrank.operators.rolling import timeline, trailing
 
 
@@ -154,7 +154,6 @@ def build_labels(
     actions: DataFrame,
     spec_version: str = "v1",
     k: int = C.TOP_K,
-    split: bool | None = None,
 ) -> DataFrame:
     """Rank by unadjusted close-over-close return; the first ``k`` are positive."""
     scored = rankable(universe, bars, actions).select(
@@ -163,9 +162,7 @@ def build_labels(
         growth(F.col("close_t"), F.col("prior_close")).alias("return_t"),
         F.greatest(F.coalesce(F.col("close_as_of"), close_time("trade_date")), close_time("trade_date")).alias("as_of"),
     )
-    if split is None:
-        split = has_hot_group(bars.select("trade_date"), ["trade_date"])
-    ranked = rank_descending(scored, "return_t", split)
+    ranked = rank_descending(scored, "return_t")
     return ranked.select(
         "trade_date",
         "ticker",
@@ -177,17 +174,9 @@ def build_labels(
     )
 
 
-def rank_descending(df: DataFrame, value: str, split: bool | None = None) -> DataFrame:
-    """Distinct 1..n positions per date: value descending, then ticker."""
-    if split is None:
-        split = has_hot_group(df.select("trade_date"), ["trade_date"])
-    if not split:
-        w = W.partitionBy("trade_date").orderBy(F.col(value).desc_nulls_last(), "ticker")
-        return df.withColumn("rank", F.row_number().over(w))
-    # Hot dates: exact tie-sharing rank first, then order inside each tie.
-    shared = add_min_rank_desc(df, ["trade_date"], value, "_first", split=True)
-    ties = W.partitionBy("trade_date", value).orderBy("ticker")
-    return shared.withColumn("rank", F.col("_first") + F.row_number().over(ties) - 1).drop("_first")
+def rank_descending(df: DataFrame, value: str) -> DataFrame:
+    """Distinct 1..n positions per date: value descending, nulls last, then ticker."""
+    return positions_descending(df, ["trade_date"], value, ["ticker"], "rank")
 
 
 def top_k_returns(

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pitrank.functions.clock import PREMARKET_CUTOFF_MINUTES, decision_time
@@ -116,33 +116,30 @@ def quarantine_split(stream: DataFrame, task: str, accepted: str, quarantine: st
 def prediction_sink(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write-once predictions: a published date can never be written again, whatever the checkpoint.
 
-    Rows lie by date, run (digest of the checkpoint's path) and batch.  A date that another run or another
-    batch has published refuses the batch before anything is written; a replay of the same batch of the same
-    run replaces its own folders.
+    Rows lie by run (digest of the checkpoint's path) and batch; beside them every batch lists its dates.  The
+    lists alone are read to refuse a batch with a date of another run or batch, before anything is written.  A
+    batch claims its dates before it writes its rows, and a replay of the same batch replaces both.
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    keys = ["trade_date", "run_id", "batch_id"]
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        tagged = batch.withColumns({"run_id": F.lit(run), "batch_id": F.lit(batch_id).cast("long")}).persist()
-        schema = T.StructType([*tagged.drop(*keys).schema, *tagged.select(*keys).schema])
+        own = f"run_id={run}/batch_id={batch_id}"
+        dates = batch.select("trade_date").distinct().persist()
         try:
-            published = spark.read.schema(schema).parquet(path)
+            claimed = spark.read.schema("trade_date date, run_id string, batch_id long").parquet(f"{path}/_dates")
+            others = claimed.where((F.col("run_id") != run) | (F.col("batch_id") != batch_id))
+            clash = [r[0] for r in dates.join(others.select("trade_date").distinct(), "trade_date", "left_semi").limit(5).collect()]
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            published = None
-        if published is not None:
-            # Folder names only: no data column is read.
-            others = published.select(*keys).distinct().where((F.col("run_id") != run) | (F.col("batch_id") != batch_id))
-            again = tagged.select("trade_date").distinct().join(others.select("trade_date").distinct(), "trade_date", "left_semi")
-            clash = [r[0] for r in again.limit(5).collect()]
-            if clash:
-                tagged.unpersist()
-                raise FileExistsError(f"predictions already published for {clash}")
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
-        tagged.unpersist()
+            clash = []
+        if clash:
+            dates.unpersist()
+            raise FileExistsError(f"predictions already published for {clash}")
+        dates.coalesce(1).write.mode("overwrite").parquet(f"{path}/_dates/{own}")
+        batch.write.mode("overwrite").parquet(f"{path}/{own}")
+        dates.unpersist()
 
     return (
         stream.writeStream.foreachBatch(publish)

@@ -51,7 +51,6 @@ def test_shuffle_is_a_permutation_within_the_day(lab):
         assert a == b
     assert rows(mixed, "trade_date", "ticker") != rows(lab, "trade_date", "ticker")
     assert rows(mixed, "trade_date", "ticker") == rows(lk.shuffle_labels(lab.repartition(7), seed=4), "trade_date", "ticker")
-    assert rows(mixed, "trade_date", "ticker") == rows(lk.shuffle_labels(lab, seed=4, split=True), "trade_date", "ticker")
 
 
 def test_shuffle_test_catches_a_leaking_model(lab):

@@ -26,34 +26,30 @@ def section(spark):
     return spark.createDataFrame(data, "trade_date date, ticker string, v double")
 
 
-def test_percent_rank_matches_pandas_in_both_forms(section):
+@pytest.mark.parametrize("grain", [0.001, 1, 64])
+def test_ranks_match_pandas_however_finely_sliced(section, grain):
     pdf = section.toPandas()
-    want = pdf.assign(r=pdf.groupby("trade_date")["v"].rank(pct=True)).set_index(["trade_date", "ticker"])["r"]
-    for split in (False, True):
-        got = ranks.add_pct_rank(section, ["trade_date"], "v", "r", split=split, hot_rows=5, slices=8).toPandas()
-        have = got.set_index(["trade_date", "ticker"])["r"].reindex(want.index)
-        pd.testing.assert_series_equal(have, want, check_exact=False)
+    days = pdf.groupby("trade_date")["v"]
+    want = pdf.assign(pct=days.rank(pct=True), low=days.rank(method="min", ascending=False)).set_index(["trade_date", "ticker"])
+    got = ranks.add_pct_rank(section, ["trade_date"], "v", "pct", grain=grain).toPandas().set_index(["trade_date", "ticker"])
+    pd.testing.assert_series_equal(got["pct"].reindex(want.index), want["pct"])
+    got = ranks.add_min_rank_desc(section, ["trade_date"], "v", "low", grain=grain).toPandas().set_index(["trade_date", "ticker"])
+    pd.testing.assert_series_equal(got["low"].reindex(want.index), want["low"])
 
 
-def test_min_rank_descending_both_forms(section):
-    pdf = section.toPandas()
-    want = pdf.assign(r=pdf.groupby("trade_date")["v"].rank(method="min", ascending=False)).set_index(["trade_date", "ticker"])["r"]
-    for split in (False, True):
-        got = ranks.add_min_rank_desc(section, ["trade_date"], "v", "r", split=split, hot_rows=5, slices=8).toPandas()
-        pd.testing.assert_series_equal(got.set_index(["trade_date", "ticker"])["r"].reindex(want.index), want)
+def test_slices_never_fall(spark):
+    values = [float("-inf"), -1e300, -2.5, -1e-12, -0.0, 0.0, 1e-300, 0.3, 1e9, 1e300, float("inf"), float("nan"), None]
+    got = [r.s for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", ranks.slice_of("v").alias("s")).orderBy("i").collect()]
+    assert got == sorted(got) and got[4] == got[5]
 
 
-def test_positions_both_forms(section):
+def test_positions_of_a_hash(section):
     keyed = section.withColumn("h", uniform_key(1, "trade_date", "ticker"))
-    a = ranks.positions(keyed, ["trade_date"], "h", ["ticker"], "p", split=False).select("trade_date", "ticker", "p")
-    b = ranks.positions(keyed, ["trade_date"], "h", ["ticker"], "p", split=True).select("trade_date", "ticker", "p")
-    assert rows(a, "trade_date", "ticker") == rows(b, "trade_date", "ticker")
-
-
-def test_hot_group_check_counts_when_input_is_large(section, monkeypatch):
-    monkeypatch.setattr(ranks, "SMALL_INPUT_BYTES", 0)
-    assert ranks.has_hot_group(section, ["trade_date"], limit=100)
-    assert not ranks.has_hot_group(section, ["trade_date"], limit=1000)
+    got = ranks.positions(keyed, ["trade_date"], "h", ["ticker"], "p").toPandas()
+    want = keyed.toPandas().sort_values(["trade_date", "h", "ticker"])
+    want["p"] = want.groupby("trade_date").cumcount() + 1
+    key = ["trade_date", "ticker"]
+    pd.testing.assert_series_equal(got.set_index(key)["p"].sort_index(), want.set_index(key)["p"].sort_index(), check_dtype=False)
 
 
 def test_top_k_group_limit_in_plan(section):
