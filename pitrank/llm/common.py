@@ -107,7 +107,7 @@ def word_bounds(data: np.ndarray, breaks: np.ndarray = _SPACES) -> tuple[np.ndar
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def pieces(data: bytes, most: int = 4_000_000) -> Iterator[bytes]:
+def pieces(data: bytes, most: int = 1_000_000) -> Iterator[bytes]:
     """Consecutive pieces of about ``most`` bytes, cut at white space only, so that memory stays bounded."""
     at = 0
     while len(data) - at > most:
@@ -122,7 +122,7 @@ def pieces(data: bytes, most: int = 4_000_000) -> Iterator[bytes]:
     yield data[at:]
 
 
-def by_bytes(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def by_bytes(texts: list, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts have about ``most`` bytes together (one row at least)."""
     at = size = 0
     for i, t in enumerate(texts):

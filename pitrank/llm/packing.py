@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
         for piece in pack_rows(rows(), capacity, block_windows, part, slack):
             out.append(piece)
             size += len(piece[2])
-            if len(out) >= batch_rows or size > 16_000_000:
+            if len(out) >= batch_rows or size > 4_000_000:
                 yield batch_of(out, first)
                 out, size = [], 0
         if out:

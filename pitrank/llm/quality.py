@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import FIT_CHARS, FIT_ROWS, Hashed, append_map, arrow_map, bounded_sample, by_bytes, joined, mix64, pieces, segment_sums, texts_of
 
 BITS, DIM, NONZERO, REACH = 13, 24, 2, 2
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 _CLASS = np.full(256, 2, np.int8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
