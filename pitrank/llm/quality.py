@@ -91,13 +91,21 @@ def pooled(texts: list[bytes], table: np.ndarray) -> np.ndarray:
     """One row a text: mean vector, mean squares, and ratios of term counts."""
     bits, dim = int(np.log2(len(table))), table.shape[1]
     sums = np.zeros((len(texts), 2 * dim + 3))
+    row, seen = -1, np.zeros(1 << bits, bool)  # buckets that earlier pieces of a very long text have had
     for part, rows in chunks(texts):
         bucket, cuts = terms(part, bits)
         vec = table[bucket]
         owner = np.repeat(np.arange(len(part)), np.diff(cuts))
         near = np.zeros(len(bucket))
         near[1:] = (bucket[1:] == bucket[:-1]) & (owner[1:] == owner[:-1])
-        distinct = np.bincount(np.unique(owner * (1 << bits) + bucket) >> bits, minlength=len(part))
+        if len(part) == 1:
+            if rows[0] != row:
+                row, seen[:] = rows[0], False
+            before = seen.sum()
+            seen[bucket] = True
+            distinct = np.array([seen.sum() - before])
+        else:
+            distinct = np.bincount(np.unique(owner * (1 << bits) + bucket) >> bits, minlength=len(part))
         sums[rows] += np.column_stack((segment_sums(vec, cuts), segment_sums(vec * vec, cuts), segment_sums(near, cuts), distinct, np.diff(cuts)))
     n = np.maximum(sums[:, -1:], 1)
     expected = (1 << bits) * (1 - np.exp(-n / (1 << bits)))

@@ -251,3 +251,14 @@ def test_quality_scores(spark, docs):
     assert np.mean([a < b for a in low for b in high]) > 0.95
     none = quality.fit_quality(docs, labelled.where("false"))
     assert {r.score for r in quality.score_quality(docs, none).collect()} == {0.5}
+
+
+def test_very_long_texts_are_read_in_pieces_and_whole(monkeypatch):
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in rng.integers(0, 50_000, 60_000)]
+    text = " ".join(words).encode()
+    assert len(minhash.shingle_sets([b"a b", text, b""], 2)[1]) == len(set(zip(words, words[1:])))
+    table = rng.normal(size=(1 << 10, 8)).astype(np.float32)
+    whole = quality.pooled([text, b"one two"], table)
+    monkeypatch.setattr(quality, "CHUNK", 50_000)
+    assert np.allclose(quality.pooled([text, b"one two"], table), whole, atol=1e-4)
