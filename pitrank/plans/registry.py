@@ -775,9 +775,7 @@ def redundancy_gate(spark, sf):
 @query
 def walkforward_gbt(spark, sf):
     """A boosted ranker refitted per year and compared with three baselines (no SQL: iterative fit)."""
-    result = pipe.run_variant(
-        _bars_universe(spark, sf), params={"maxIter": 3, "maxDepth": 3}, sealed_from=P.SEALED_FROM
-    )
+    result = pipe.run_variant(_bars_universe(spark, sf), sealed_from=P.SEALED_FROM)
     out = None
     for name, row in result.vs_baseline.items():
         named = row.select(F.lit(name).alias("baseline"), "mean_hits_delta", "years_won", "years_total", "n_days")

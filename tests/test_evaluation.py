@@ -7,6 +7,7 @@ from pitrank import contracts as C
 from pitrank.functions.scalars import normal_two_sided, student_t_two_sided
 from pitrank.operators import baselines as bl, metrics as mt, monitor as mon, overlap as ov, sampling as sp
 from pitrank.operators import ranker as rk, significance as sg, survivorship as sv, walkforward as wf
+from pitrank.plans.registry import QUERIES
 from pitrank.session import scratch_path
 from tests.frames import D, at, bars, labels, rows, weekdays
 
@@ -165,3 +166,15 @@ def test_ranker_keeps_rows_with_missing_features(spark):
     model = rk.Ranker({"maxIter": 2, "maxDepth": 2, "minInstancesPerNode": 1, "subsamplingRate": 1.0}).fit(df.drop("label"), df.select("trade_date", "ticker", "label"))
     assert model.predict(df.drop("label")).count() == df.count()
     assert model.predict(df.drop("label").withColumn("x", F.lit(None).cast("double"))).where("score is not null").count() == df.count()
+
+
+def test_walkforward_query_fits_the_published_rounds(spark, monkeypatch):
+    class Fitted(Exception):
+        pass
+
+    def fit(self, features, labels):
+        raise Fitted(self.params)
+    monkeypatch.setattr(rk.Ranker, "fit", fit)
+    with pytest.raises(Fitted) as seen:
+        QUERIES["walkforward_gbt"](spark, "/root/testdata/sf0.001")
+    assert seen.value.args[0] == rk.DEFAULTS and (rk.DEFAULTS["maxIter"], rk.DEFAULTS["maxDepth"]) == (300, 5)
