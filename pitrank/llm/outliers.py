@@ -28,8 +28,10 @@ from .common import SPACE, WORD, cut_lineage
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHARE = 0.75
-#: Least standard deviation of each transformed statistic; keeps constant ones from having no scatter.
-FLOORS = (0.06, 0.06, 0.15, 0.12, 0.05)
+#: Resolution of each transformed statistic: one word, symbol, three-word window or capital more or less in a text
+#: of 100 words (400 letters); for lines, of which a text has few, the rounding error of one in six (1/6/sqrt(12)).
+#: Its square is added to the estimated variance, so that a statistic without spread in a group still has a scale.
+FLOORS = (0.01, 0.05, 0.05, 0.03, 0.01)
 #: About the 0.9999 quantile of chi-squared with five degrees of freedom.
 CUTOFF = 25.7
 MIN_ROWS = 40

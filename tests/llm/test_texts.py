@@ -241,6 +241,24 @@ def test_robust_quality(spark, docs):
     assert outliers.robust_quality(docs).count() == docs.count() and outliers.robust_quality(docs.where("false")).count() == 0
 
 
+def test_repeated_lines_or_phrases_are_outliers_of_a_tight_group(spark):
+    rng = np.random.default_rng(4)
+
+    def line(n):
+        return invented(rng, "abcdefgh", n)
+    rows = [(i, "\n".join(line(12) for _ in range(10))) for i in range(150)]
+    short = [line(4), line(4)]
+    rows += [(1000, "\n".join(short * 3 + [line(20) for _ in range(4)]))]  # 4 of 10 lines, a quarter of the words
+    phrase = line(10)
+    rows += [(1001, "\n".join(f"{line(7)} {phrase if k < 4 else line(10)}" for k in range(8)))]  # 40 of 136 words, no line
+    frame = spark.createDataFrame([(*r, "aa", "big") for r in rows], "doc_id bigint, text string, lang string, source string")
+    out = {r.doc_id: r for r in outliers.robust_quality(frame).collect()}
+    assert out[1000].n_dup_lines == 4 and out[1001].n_dup_lines == 0
+    for k in (1000, 1001):
+        assert not out[k].base_failed and not out[k].kept
+    assert all(out[i].kept for i in range(150))
+
+
 def test_quality_scores(spark, docs):
     labelled = docs.where("doc_id < 120").withColumn("quality", F.when(F.col("doc_id") % 4 == 0, 0).otherwise(1))
     net = quality.fit_quality(docs, labelled)
