@@ -34,6 +34,8 @@ FIT_PAGES, FIT_HTML_CHARS, MADE_PAGES = 200, 4_000_000, 600
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe svg textarea select object".split())
+#: Without an end tag these run to the end of the page; of the others only the tag is skipped.
+TO_END = frozenset("script style textarea iframe".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: Elements that name the role of what they hold.
@@ -57,6 +59,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = 0
+    unended: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -92,9 +95,16 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             close(tag)
         elif tag in RAW:
-            end = re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
             parts.append(" ")
+            if tag == "svg" and m[3].endswith("/"):
+                continue
+            end = None if tag in unended else re.compile(rf"</{tag}[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in TO_END:
+                at = size
+            else:
+                unended.add(tag)
         elif tag in VOID:
             parts.append(" ")
         else:

@@ -66,6 +66,14 @@ def test_pages(spark):
     assert html.extract_main(pages.where("false"), model).count() == 0
 
 
+def test_text_behind_raw_tags_without_an_end():
+    for tag in ('<svg width="1"/>', "<svg>", "<select>", "<object data=x>", "<noscript>", "<template>"):
+        assert [b.text for b in html.blocks_of(f"<p>before</p>{tag}<p>the article</p>")] == ["before", "the article"], tag
+    assert [b.text for b in html.blocks_of("<svg/><p>read</p><svg><text>not</text></svg><p>too</p>")] == ["read", "too"]
+    for tag in ("script", "style", "textarea", "iframe"):
+        assert [b.text for b in html.blocks_of(f"<p>before</p><{tag}><p>code</p>")] == ["before"], tag
+
+
 def test_labeller_on_unseen_made_pages():
     rng = random.Random(1)
     made = [html.made_page(rng) for _ in range(300)]
