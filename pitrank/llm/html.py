@@ -1,7 +1,8 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is split into leaf blocks: runs of text between block-level tags, with the open tags above them.  Every
-block becomes a vector of hashed tag-path names (tags, classes, ids), hashed words and a few ratios; a
+block becomes a vector of hashed tag-path names (tags, classes, ids), all its hashed words, those of its two ends and
+a few ratios; a
 bidirectional LSTM in numpy reads the blocks of the whole page in order and classifies each with the context
 of the document on both sides.
 
@@ -18,6 +19,7 @@ through; pages are read whole.
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
 import zlib
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import append_map, bounded_sample
 
-PATH_BUCKETS, WORD_BUCKETS, HIDDEN = 192, 16, 20
+PATH_BUCKETS, WORD_BUCKETS, ALL_BUCKETS, HIDDEN = 192, 16, 32, 20
 FIT_PAGES, FIT_HTML_CHARS, MADE_PAGES = 200, 4_000_000, 600
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -129,11 +131,30 @@ def _bucket(word: str, n: int) -> int:
 
 
 _PATHS: dict[tuple, np.ndarray] = {}
-WIDTH = PATH_BUCKETS + WORD_BUCKETS + 7
+WIDTH = PATH_BUCKETS + WORD_BUCKETS + ALL_BUCKETS + 7
+
+
+def _hashed_words(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signed sums by bucket of the words at the two ends and of all words of every block, and the numbers of words."""
+    texts = [b.text.encode("utf-8", "surrogatepass") for b in blocks]
+    n = np.array([t.count(b" ") + 1 for t in texts])
+    h = np.fromiter(map(zlib.crc32, b" ".join(texts).split(b" ")), np.int64, n.sum())
+    row, sign = np.repeat(np.arange(len(n)), n), 2.0 * (h & 1) - 1
+    at = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    end = (at < 3) * 1.0 + (at >= n[row] - 3)  # a short block's words count twice
+
+    def sums(weights: np.ndarray, k: int) -> np.ndarray:
+        return np.bincount(row * k + (h >> 1) % k, weights, len(n) * k).reshape(len(n), k)
+    return sums(sign * end, WORD_BUCKETS), sums(sign, ALL_BUCKETS), n
 
 
 def vectors_of(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), WIDTH), np.float32)
+    if not blocks:
+        return out
+    ends, every, counts = _hashed_words(blocks)
+    out[:, PATH_BUCKETS:PATH_BUCKETS + WORD_BUCKETS] = ends / 3  # the ends of a block tell its kind
+    out[:, PATH_BUCKETS + WORD_BUCKETS:-7] = every / np.sqrt(counts)[:, None]
     for i, b in enumerate(blocks):
         path = _PATHS.get(b.path)
         if path is None:
@@ -142,14 +163,8 @@ def vectors_of(blocks: list[Block]) -> np.ndarray:
             if len(_PATHS) < 50_000:
                 _PATHS[b.path] = path
         out[i, :PATH_BUCKETS] = path
-        words = b.text.split(" ")
-        sums = np.zeros(WORD_BUCKETS, np.float32)
-        for w in words[:3] + words[-3:]:  # the ends of a block tell its kind; its size is a feature of its own
-            h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-            sums[(h >> 1) % WORD_BUCKETS] += 1 if h & 1 else -1
-        out[i, PATH_BUCKETS:PATH_BUCKETS + WORD_BUCKETS] = sums / 3
         n = len(b.text)
-        out[i, -7:] = (np.log1p(len(words)) / 3, min(b.linked / n, 1), b.text[-1] in ".!?\"'", b.text[0].isupper(),
+        out[i, -7:] = (math.log1p(counts[i]) / 3, min(b.linked / n, 1), b.text[-1] in ".!?\"'", b.text[0].isupper(),
                        "©" in b.text, i / len(blocks), 1 / (1 + len(blocks) - i))
     return out
 

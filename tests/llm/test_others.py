@@ -74,6 +74,19 @@ def test_text_behind_raw_tags_without_an_end():
         assert [b.text for b in html.blocks_of(f"<p>before</p><{tag}><p>code</p>")] == ["before"], tag
 
 
+def test_words_in_the_middle_of_a_block_decide_where_nothing_else_does():
+    rng = np.random.default_rng(8)
+    kinds = ["price offer discount order voucher".split(), "river winter council study village".split()]
+    pages = []
+    for _ in range(220):
+        labels = rng.integers(0, 2, 8)
+        texts = [" ".join(["it", "was", "then", *rng.choice(kinds[y], 8), "as", "we", "said."]) for y in labels]
+        pages.append((html.vectors_of([html.Block(t, ("div", "p"), 0) for t in texts]), labels.astype(np.float32)))
+    model = html.train_labeller(pages[:160], epochs=8)
+    right = [(p >= 0.5) == (y > 0) for p, (_, y) in zip(html.label_pages([x for x, _ in pages[160:]], model), pages[160:])]
+    assert np.mean(np.concatenate(right)) > 0.95
+
+
 def test_labeller_on_unseen_made_pages():
     rng = random.Random(1)
     made = [html.made_page(rng) for _ in range(300)]
