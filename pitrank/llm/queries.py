@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, html, langid, lattice, minhash, mixing, outliers, packing, quality, toxicity
+from . import bpe, chat, html, langid, lattice, minhash, mixing, outliers, packing, quality, repair, toxicity
 from .common import FIT_ROWS, fold_of, join_labels, read_table
 
 
@@ -89,6 +89,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest_texts(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_conversations(repair.damaged(turns))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_chat": op2_chat,
@@ -100,6 +112,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op10_packing": op10_packing,
     "op9_language_id": op9_language_id,
+    "op12_bpe": op12_bpe,
+    "op13_repair": op13_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -179,5 +193,63 @@ k AS (SELECT s.doc_id, len(s.shingles) AS n_shingles, g.first_id FROM s JOIN g O
 SELECT d.doc_id, coalesce(k.n_shingles, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
        d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN c ON c.node = k.first_id
+""",
+    "op13_repair": r"""
+WITH RECURSIVE b AS (SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM b WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM b WHERE k = 8),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT) AS chars
+      FROM conversations),
+n AS (SELECT k.* EXCLUDE (chars), xor(list_reduce(list_prepend(4294967295::BIGINT, chars), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) % 20 AS kind
+      FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+      FROM n),
+o AS (SELECT *, left(role, 1) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+             regexp_replace(text, '[ 	-
+]+$', '') AS bare FROM d),
+f AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                     WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+             lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS px FROM o),
+g AS (SELECT conv_id, count(*) AS m, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+             count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+             count(*) FILTER (px IS NOT NULL AND px || x NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM f GROUP BY conv_id),
+-- Best edits by state (none, s, u, a): cost in ten digits, then the initials.
+p AS (
+  SELECT conv_id, 0::BIGINT AS i, '0000000000' AS n, NULL::VARCHAR AS s, '0000000003I' AS u, '0000000006II' AS a FROM g
+  UNION ALL
+  SELECT conv_id, i, n, s, u, least(a, lpad((left(u, 10)::BIGINT + 3)::VARCHAR, 10, '0') || substr(u, 11) || 'I')
+  FROM (
+    SELECT conv_id, i, n, s, a,
+           least(u, lpad((left(n, 10)::BIGINT + 3)::VARCHAR, 10, '0') || substr(n, 11) || 'I', lpad((left(s, 10)::BIGINT + 3)::VARCHAR, 10, '0') || substr(s, 11) || 'I',
+                 lpad((left(a, 10)::BIGINT + 3)::VARCHAR, 10, '0') || substr(a, 11) || 'I') AS u
+    FROM (
+      SELECT p.conv_id, f.i, lpad((left(n, 10)::BIGINT + 4)::VARCHAR, 10, '0') || substr(n, 11) || 'D' AS n,
+             least(lpad((left(s, 10)::BIGINT + 4)::VARCHAR, 10, '0') || substr(s, 11) || 'D',
+                   CASE WHEN q.free AND x = 's' THEN lpad((left(n, 10)::BIGINT + extra)::VARCHAR, 10, '0') || substr(n, 11) || 'K' END) AS s,
+             least(lpad((left(u, 10)::BIGINT + 4)::VARCHAR, 10, '0') || substr(u, 11) || 'D',
+                   CASE WHEN q.free THEN lpad((left(n, 10)::BIGINT + extra + CASE WHEN x = 'u' THEN 0 ELSE 3 END)::VARCHAR, 10, '0') || substr(n, 11) || CASE WHEN x = 'u' THEN 'K' ELSE 'R' END END,
+                   CASE WHEN q.free THEN lpad((left(s, 10)::BIGINT + extra + CASE WHEN x = 'u' THEN 0 ELSE 3 END)::VARCHAR, 10, '0') || substr(s, 11) || CASE WHEN x = 'u' THEN 'K' ELSE 'R' END END,
+                   CASE WHEN q.free THEN lpad((left(a, 10)::BIGINT + extra + CASE WHEN x = 'u' THEN 0 ELSE 3 END)::VARCHAR, 10, '0') || substr(a, 11) || CASE WHEN x = 'u' THEN 'K' ELSE 'R' END END) AS u,
+             least(lpad((left(a, 10)::BIGINT + 4)::VARCHAR, 10, '0') || substr(a, 11) || 'D',
+                   CASE WHEN q.free THEN lpad((left(u, 10)::BIGINT + extra + CASE WHEN x = 'a' THEN 0 ELSE 3 END)::VARCHAR, 10, '0') || substr(u, 11) || CASE WHEN x = 'a' THEN 'K' ELSE 'R' END END) AS a
+      FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1,
+           LATERAL (SELECT f.fault NOT IN (1, 2) AS free, CASE WHEN f.fault = 3 THEN 3 ELSE 0 END AS extra) q))),
+e AS (SELECT g.*, least(p.n, p.a) AS best FROM g JOIN p ON p.conv_id IS NOT DISTINCT FROM g.conv_id AND p.i = g.m),
+-- Each letter with the row it takes (insertions take none) and its place among the turns that stay.
+w AS (SELECT conv_id, unnest(string_split(substr(best, 11), '')) AS letter, unnest(range(1, len(best) - 9)) AS pos FROM e WHERE len(best) > 10),
+t AS (SELECT *, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY pos) AS i,
+             sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY pos) AS place,
+             sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id) AS turns FROM w),
+r AS (SELECT t.conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (turns - place) % 2 = 0 THEN 'assistant' ELSE 'user' END || ':'
+             || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS told
+      FROM t LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.i = t.i AND t.letter <> 'I'
+      WHERE letter <> 'D' GROUP BY t.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 10)::BIGINT, 0) AS cost, coalesce(substr(best, 11), '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
 """,
 }
