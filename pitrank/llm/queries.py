@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html, langid, lattice, minhash, mixing, outliers, packing, quality, repair, toxicity
+from . import bpe, chat, html, langid, lattice, minhash, mixing, outliers, packing, prefixtrie, quality, repair, toxicity
 from .common import FIT_ROWS, fold_of, join_labels, read_table
 
 
@@ -89,6 +89,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefixtrie.prefix_trie(prefixtrie.with_shared_starts(prefixtrie.turn_sequences(turns)))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -112,6 +117,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op10_packing": op10_packing,
     "op9_language_id": op9_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_bpe": op12_bpe,
     "op13_repair": op13_repair,
 }
@@ -193,6 +199,30 @@ k AS (SELECT s.doc_id, len(s.shingles) AS n_shingles, g.first_id FROM s JOIN g O
 SELECT d.doc_id, coalesce(k.n_shingles, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
        d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN c ON c.node = k.first_id
+""",
+    "op11_prefix_trie": r"""
+WITH RECURSIVE b AS (SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM b WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM b WHERE k = 8),
+o AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, ''))
+                           ORDER BY turn NULLS FIRST, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+k AS (SELECT conv_id, turns, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT) AS chars FROM o),
+h AS (SELECT conv_id, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, chars), lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) % 4 AS h FROM k, crc),
+c AS (SELECT h.conv_id, list_concat(coalesce(l.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN h l ON l.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, d AS depth, len(turns) AS size, turns[1:d] AS path, CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+      FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM c)),
+n AS (SELECT depth, path, min(conv_id) AS id, count(*) AS n_convs, any_value(words) AS words,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+      FROM m GROUP BY depth, path),
+-- The node of every member at every depth; a node's subtree is what its least member's longer paths pass through.
+i AS (SELECT m.conv_id, m.depth, n.id FROM m JOIN n ON m.depth = n.depth AND m.path = n.path),
+p AS (SELECT n.*, i.id AS parent FROM n LEFT JOIN i ON i.conv_id = n.id AND i.depth = n.depth - 1),
+q AS (SELECT p.*, (SELECT count(*) FROM p x WHERE x.parent = p.id AND x.depth = p.depth + 1) AS n_children FROM p),
+s AS (SELECT i.id, i.depth, sum((q.n_convs - 1) * q.words) AS saved_tokens, count(*) FILTER (WHERE q.n_children = 0) AS n_leaves
+      FROM q JOIN i ON i.conv_id = q.id AND i.depth <= q.depth GROUP BY i.id, i.depth)
+SELECT q.id AS conv_id, q.depth, q.parent AS parent_conv_id, q.n_convs, q.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, q.ends_sha256
+FROM q JOIN s ON s.id = q.id AND s.depth = q.depth
 """,
     "op13_repair": r"""
 WITH RECURSIVE b AS (SELECT i::BIGINT AS i, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
