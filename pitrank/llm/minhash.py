@@ -31,7 +31,7 @@ from .common import SPACE, Hashed, arrow_map, by_bytes, joined, mix64, pieces, s
 from .graph import components, near_labels
 
 #: Ids that are sent to every task at most; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 100_000
 STAR_ROUNDS = 2
 #: Nodes of a bucket whose pairs are listed; above it buckets are compared in blocks of BLOCK nodes.
 FEW, BLOCK = 8, 512
@@ -195,9 +195,11 @@ def without_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc
 
 
 def _shared_buckets(nodes: DataFrame) -> DataFrame:
-    """``bucket, node, n, first_id`` of the buckets that more than one node shares."""
+    """``bucket, node, n, first_id`` of the buckets that more than one node shares; of buckets with the same members, one."""
     member = nodes.select("node", "n", "first_id", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+    h = F.xxhash64("node")
+    told = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"))
+    shared = told.where(F.col("members") > 1).groupBy("members", "s", "x").agg(F.min("bucket").alias("bucket"))
     return member.join(shared.select("bucket"), "bucket")
 
 
@@ -271,8 +273,9 @@ def _rest(active: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
     """``a, b``: links between different components that share a bucket, found exactly.
 
     Buckets of up to ``FEW`` nodes give their pairs, at most ``FEW`` / 2 a node, each confirmed once however many
-    buckets share it.  Larger buckets are dealt in blocks by pairs of blocks, with each node's set sent along once
-    a pair of blocks; a task counts intersections by an inverted index and returns one link a pair of components.
+    buckets share it.  Larger buckets are dealt in blocks, compared within themselves first, then with one another where
+    components are left, with each node's set sent along once a pair of blocks; a task counts intersections by an
+    inverted index and returns a spanning forest of its components.
     """
     size = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
     member = stored(active.select("bucket", "node", "n", "root").join(size, "bucket"))
@@ -280,15 +283,26 @@ def _rest(active: DataFrame, compared: DataFrame, sets: DataFrame, percent: int)
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
                    & _fits(percent, F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    small = _linked(_intersections(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets), percent)
+    small = stored(_linked(_intersections(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), sets), percent))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     many = member.where(F.col("members") > FEW).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node", "root")
-    rows = (dealt.join(sets, "node").select("bucket", "first", "second", "node", "root", "set")
+    inside = stored(_compared_blocks(many.withColumn("first", F.col("own")).withColumn("second", F.col("own")), sets, percent))
+    # Blocks are compared with one another only after their own links have joined nodes: a group of near copies is then one
+    # component a block, which meets every other block in one link.
+    roots = components(_linked(compared, percent).union(inside).union(small))
+    again = many.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = again.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y"))
+    dealt = (again.where(F.col("blocks") > 1).join(several.select("bucket"), "bucket")
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("own") != F.col("other"))
+             .withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")}))
+    return stored(small.union(inside).union(_compared_blocks(dealt, sets, percent)))
+
+
+def _compared_blocks(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links that join the components within each ``bucket, first, second``, at most one fewer than its rows."""
+    rows = (dealt.select("bucket", "first", "second", "node", "root").join(sets, "node").select("bucket", "first", "second", "node", "root", "set")
             .repartition("bucket", "first", "second").sortWithinPartitions("bucket", "first", "second"))
-    large = rows.mapInArrow(lambda batches: _block_links(batches, percent), "a binary, b binary")
-    return stored(small.select("a", "b").union(large))
+    return rows.mapInArrow(lambda batches: _block_links(batches, percent), "a binary, b binary")
 
 
 def _block_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -319,15 +333,28 @@ def _close_block(rows: list[tuple], percent: int) -> Iterator[pa.RecordBatch]:
     values, owner = values[order], owner[order]
     # The greatest component is met by all others, so its own members need not be looked up.
     usual = np.bincount(roots).argmax()
-    found: dict[tuple[int, int], tuple[bytes, bytes]] = {}
+    joined, left = list(range(roots.max() + 1)), int(roots.max())
+    found: list[tuple[bytes, bytes]] = []
+
+    def top(r: int) -> int:
+        while joined[r] != r:
+            joined[r] = joined[joined[r]]
+            r = joined[r]
+        return r
+
     for i in np.flatnonzero(roots != usual):
+        if not left:
+            break
         low, high = np.searchsorted(values, rows[i][2], "left"), np.searchsorted(values, rows[i][2], "right")
         length = high - low
         at = np.repeat(low - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
         common = np.bincount(owner[at], minlength=len(rows))
-        linked = np.flatnonzero((common * 100 >= (size + size[i] - common) * percent) & (roots != roots[i]))
-        for j in linked:
-            found.setdefault((min(roots[i], roots[j]), max(roots[i], roots[j])), tuple(sorted((rows[i][0], rows[j][0]))))
+        for j in np.flatnonzero((common * 100 >= (size + size[i] - common) * percent) & (roots != roots[i])):
+            x, y = top(roots[i]), top(roots[j])
+            if x != y:
+                joined[x] = y
+                left -= 1
+                found.append(tuple(sorted((rows[i][0], rows[j][0]))))
     if found:
-        a, b = zip(*found.values(), strict=True)
+        a, b = zip(*found, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
