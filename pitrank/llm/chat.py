@@ -14,7 +14,7 @@ roles and texts are broken by a reversible escape, so that the output can be rea
 
 Edge cases: a null text is empty, a null role is the empty role; null conversation ids are one conversation,
 null sequences come first; events with equal sequence are ordered by kind, then text; an empty log gives no
-row; extra columns are ignored.
+row; extra columns are ignored.  A conversation is one task and one row, as its formatted text is one string.
 """
 
 from __future__ import annotations
@@ -97,7 +97,26 @@ def text_under_mask(formatted: Column, spans: Column) -> Column:
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:
-    """Event log of a table of finished turns (``conv_id, turn, role, text``): each row starts a message."""
+    """Event log that leads to a table of finished turns (``conv_id, turn, role, text``), as streaming would have written it.
+
+    Each row is a message in one of four histories, dealt by conversation and place: streamed in pieces; a draft
+    edited and completed; a draft discarded by a regeneration; a deleted draft brought back.  Every history folds
+    to the row's text.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select("conv_id", F.col("turn").alias("seq"), "role", "text", "turn")
-    return rows.select("conv_id", "seq", F.row_number().over(order).alias("message"), F.lit("start").alias("kind"), "role", "text")
+    rows = turns.select("conv_id", "role", F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).alias("message"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    first, second, rest = F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", 2 * third + 1, F.length("text"))
+    none = F.lit(None).cast("string")
+
+    def events(*steps: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(steps)])
+
+    history = F.pmod(F.coalesce(F.col("conv_id"), F.lit(0)) + F.col("message"), F.lit(4))
+    log = (F.when(history == 0, events(("start", first), ("delta", second), ("delta", rest)))
+           .when(history == 1, events(("start", rest), ("delta", first), ("edit", first), ("delta", second), ("delta", rest)))
+           .when(history == 2, events(("start", none), ("delta", second), ("regenerate", none), ("delta", first), ("delta", F.concat(second, rest))))
+           .otherwise(events(("start", first), ("delete", none), ("regenerate", F.concat(first, second)), ("delta", rest))))
+    return rows.withColumn("e", F.explode(log)).select(
+        "conv_id", (F.col("message") * 8 + F.col("e.k")).alias("seq"), "message", "e.kind",
+        F.when(F.col("e.k") == 0, F.col("role")).alias("role"), "e.text")
