@@ -2,8 +2,7 @@
 
 A page is split into leaf blocks: runs of text between block-level tags, with the open tags above them.  Every
 block becomes a vector of hashed tag-path names (tags, classes, ids), all its hashed words, those of its two ends and
-a few ratios; a
-bidirectional LSTM in numpy reads the blocks of the whole page in order and classifies each with the context
+a few ratios; a bidirectional LSTM in numpy reads the blocks of the whole page in order and classifies each with the context
 of the document on both sides.
 
 No page carries labels, so the labeller learns from two bounded sources: pages written by a small generator
@@ -13,7 +12,8 @@ names are blanked at random, so that context has to carry the decision as well.
 
 Scripts, styles, comments and markup are dropped by the parser.  Edge cases: null and empty html give the
 empty text; broken or unclosed markup is read as far as it goes; repeated rows and extra columns pass
-through; pages are read whole.
+through; pages are read whole, very long ones in chunks
+that carry the state; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,8 +41,11 @@ RAW = frozenset("script style template noscript iframe svg textarea select objec
 TO_END = frozenset("script style textarea iframe".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Names of a path from which on it no longer takes names that its vector shows already.
+LONG_PATH = 64
 #: Elements that name the role of what they hold.
 MAIN, SIDE = frozenset(("article", "main")), frozenset("nav footer aside form header head menu button dialog".split())
+ROLES = MAIN | SIDE | {".ad"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -55,10 +59,20 @@ class Block:
     linked: int
 
 
+def _longer(path: tuple[str, ...], names: tuple[str, ...]) -> tuple[str, ...]:
+    """``path`` with the names it lacks; a very long one takes only names that its vector does not show yet."""
+    for n in names:
+        if n not in path and (len(path) < LONG_PATH or n in ROLES or _bucket(n, PATH_BUCKETS) not in {_bucket(m, PATH_BUCKETS) for m in path}):
+            path += (n,)
+    return path
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks of a page in order, without empty ones."""
     out: list[Block] = []
+    # Open elements: tag and the names on the path to it, shared with the element around it where it adds none.
     stack: list[tuple[str, tuple[str, ...]]] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
     unended: set[str] = set()
@@ -68,14 +82,15 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(n for _, names in stack for n in names), linked))
+                out.append(Block(text, stack[-1][1] if stack else (), linked))
             parts.clear()
         linked = 0
 
     def close(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
+        while open_tags[tag]:
+            top = stack.pop()[0]
+            open_tags[top] -= 1
+            if top == tag:
                 return
 
     at, size = 0, len(page)
@@ -88,7 +103,7 @@ def blocks_of(page: str) -> list[Block]:
             if piece[0] != "<" or piece == "<":
                 piece = entities.unescape(piece)
                 parts.append(piece)
-                if any(t == "a" for t, _ in stack):
+                if open_tags["a"]:
                     linked += len(piece)
             continue
         tag = tag.lower()
@@ -113,15 +128,16 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in INLINE:
                 flush()
                 if tag in CLOSES_P:
-                    close("p") if any(t == "p" for t, _ in stack) else None
+                    close("p")
                 elif tag in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                    stack.pop()
+                    close(tag)
             names: tuple[str, ...] = (tag,)
             if m[3]:
                 for values in _NAMED.findall(m[3]):
                     names += tuple("." + w for w in _NAME.findall("".join(values).lower()))
             if tag not in ("html", "body"):
-                stack.append((tag, names))
+                stack.append((tag, _longer(stack[-1][1] if stack else (), names)))
+                open_tags[tag] += 1
     flush()
     return out
 
@@ -130,6 +146,8 @@ def _bucket(word: str, n: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
 
 
+#: Blocks of a page that are read at once.
+CHUNK = 4096
 _PATHS: dict[tuple, np.ndarray] = {}
 WIDTH = PATH_BUCKETS + WORD_BUCKETS + ALL_BUCKETS + 7
 
@@ -148,7 +166,9 @@ def _hashed_words(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return sums(sign * end, WORD_BUCKETS), sums(sign, ALL_BUCKETS), n
 
 
-def vectors_of(blocks: list[Block]) -> np.ndarray:
+def vectors_of(whole: list[Block], first: int = 0, end: int | None = None) -> np.ndarray:
+    """Vectors of the blocks of a page from ``first`` up to ``end``."""
+    blocks = whole[first:end]
     out = np.zeros((len(blocks), WIDTH), np.float32)
     if not blocks:
         return out
@@ -165,7 +185,7 @@ def vectors_of(blocks: list[Block]) -> np.ndarray:
         out[i, :PATH_BUCKETS] = path
         n = len(b.text)
         out[i, -7:] = (math.log1p(counts[i]) / 3, min(b.linked / n, 1), b.text[-1] in ".!?\"'", b.text[0].isupper(),
-                       "©" in b.text, i / len(blocks), 1 / (1 + len(blocks) - i))
+                       "©" in b.text, (first + i) / len(whole), 1 / (1 + len(whole) - first - i))
     return out
 
 
@@ -181,11 +201,14 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _read(x: np.ndarray, mask: np.ndarray, way: list[np.ndarray], keep: bool):
-    """States by step of one direction; ``x`` is page, step, feature, and ``mask`` 0 behind a page's end."""
+def _read(x: np.ndarray, mask: np.ndarray, way: list[np.ndarray], keep: bool, state: list[np.ndarray] | None = None):
+    """States by step of one direction; ``x`` is page, step, feature, and ``mask`` 0 behind a page's end.
+
+    ``state`` (hidden and cell) is where the reading goes on from; it is replaced by where it ends.
+    """
     w, u, b = way
     n, steps, _ = x.shape
-    h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    h, c = state or [np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)]
     fed = x @ w + b
     states, tape = np.zeros((n, steps, HIDDEN), np.float32), []
     for t in range(steps):
@@ -201,6 +224,8 @@ def _read(x: np.ndarray, mask: np.ndarray, way: list[np.ndarray], keep: bool):
             tape.append((h, c, i, f, o, g, tc, live))
         h, c = new_h, new_c
         states[:, t] = h
+    if state:
+        state[:] = h, c
     return states, tape
 
 
@@ -254,6 +279,20 @@ def label_pages(pages: list[np.ndarray], model: Labeller, cells: int = 40_000) -
     return out
 
 
+def label_long_page(blocks: list[Block], model: Labeller, chunk: int = CHUNK) -> np.ndarray:
+    """As ``label_pages`` for one page of any length: both directions read it in chunks and carry their state."""
+    total = np.full(len(blocks), model.bias, np.float32)
+    for way, weights, ahead in ((model.ways[0], model.out[:HIDDEN], True), (model.ways[1], model.out[HIDDEN:], False)):
+        state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+        starts = range(0, len(blocks), chunk)
+        for a in starts if ahead else reversed(starts):
+            x = vectors_of(blocks, a, a + chunk)[None]
+            x = x if ahead else x[:, ::-1]
+            h = _read(x, np.ones(x.shape[:2], np.float32), way, False, state)[0][0]
+            total[a:a + chunk] += (h if ahead else h[::-1]) @ weights
+    return _sigmoid(total)
+
+
 def train_labeller(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 14, rate: float = 0.01, seed: int = 5) -> Labeller:
     rng = np.random.default_rng(seed)
 
@@ -377,7 +416,7 @@ def role_of(path: tuple[str, ...]) -> int | None:
 def _blanked(blocks: list[Block], rng: np.random.Generator) -> list[Block]:
     """The same blocks; at random, some names of the page are replaced by ``div``."""
     names = {n for b in blocks for n in b.path}
-    gone = {n for n in names if rng.random() < 0.12}
+    gone = {n for n in sorted(names) if rng.random() < 0.12}
     return [Block(b.text, tuple("div" if n in gone else n for n in b.path), b.linked) for b in blocks]
 
 
@@ -399,7 +438,8 @@ def fit_labeller(pages: DataFrame, html: str = "html", key: str = "page_id", *,
 def main_text(pages: list[str], model: Labeller, threshold: float = 0.5) -> list[tuple[str, int, int]]:
     """Text, number of blocks and number of blocks kept of every page."""
     split = [blocks_of(p) for p in pages]
-    labels = label_pages([vectors_of(b) for b in split], model)
+    labels = label_pages([vectors_of(b) if len(b) <= CHUNK else np.zeros((0, WIDTH), np.float32) for b in split], model)
+    labels = [label_long_page(b, model) if len(b) > CHUNK else p for b, p in zip(split, labels, strict=True)]
     out = []
     for blocks, p in zip(split, labels, strict=True):
         kept = [b.text for b, q in zip(blocks, p, strict=True) if q >= threshold]
