@@ -17,7 +17,8 @@ read by one task, since its result is one row with one audit.
 
 Edge cases: null roles and texts are one space, a null id is a conversation of its own, null turns come first;
 rows of equal turn are ordered by role and text; a conversation without rows gives zeros, an empty audit and the
-hash of the empty text; an empty table gives no row; extra columns are ignored.
+hash of the empty text; a row whose role is empty or begins otherwise cannot be kept as it is; an empty table gives
+no row; extra columns are ignored.
 """
 
 from __future__ import annotations
