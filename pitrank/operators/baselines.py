@@ -4,30 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pitrank.contracts import PREMARKET_DOLLAR_FLOOR, TOP_K
+from pitrank.contracts import PREMARKET_DOLLAR_FLOOR, SEALED_FROM, TOP_K
 from pitrank.functions.clock import premarket_time
 from pitrank.functions.hashing import uniform_score
 from pitrank.functions.scalars import growth
 from pitrank.operators import calendar as cal
-from pitrank.operators.leakage import guarded
+from pitrank.operators.leakage import guarded, sealed
 from pitrank.operators.ranks import top_k
 from pitrank.operators.rolling import rolling_std, timeline
 
 PREDICTION = ("trade_date", "ticker", "score")
 
 
-def random_pick(universe: DataFrame, seed: int = 0, k: int = TOP_K) -> DataFrame:
+def random_pick(universe: DataFrame, seed: int = 0, k: int = TOP_K, *, token: str | None = None, sealed_from: str | None = SEALED_FROM) -> DataFrame:
     """B0: uniform score from (seed, date, ticker); independent of row order and partitioning."""
-    scored = guarded(universe, "T1").select(
+    scored = sealed(guarded(universe, "T1"), token, sealed_from=sealed_from).select(
         "trade_date", "ticker", uniform_score(seed, "trade_date", "ticker").alias("score"), "as_of"
     ).where(F.col("as_of").isNotNull())
     return top_k(scored.select(*PREDICTION), k)
 
 
-def yesterday_repeat(labels: DataFrame, k: int = TOP_K, calendar: DataFrame | None = None) -> DataFrame:
+def yesterday_repeat(labels: DataFrame, k: int = TOP_K, calendar: DataFrame | None = None, *, token: str | None = None,
+                     sealed_from: str | None = SEALED_FROM) -> DataFrame:
     """B1: the previous session's positives, best rank first.  The first day has no prediction."""
     calendar = calendar if calendar is not None else cal.sessions(labels)
-    positives = guarded(labels, "close").where(
+    positives = sealed(guarded(labels, "close"), token, sealed_from=sealed_from).where(
         (F.col("label") == 1) & F.col("as_of").isNotNull()
     ).select("trade_date", "ticker", "rank")
     worst = F.max("rank").over(W.partitionBy("trade_date"))
@@ -49,28 +50,28 @@ def volatility_scores(bars: DataFrame, window: int, calendar: DataFrame | None =
 
 
 def realised_vol(bars: DataFrame, k: int = TOP_K, window: int = 5, calendar: DataFrame | None = None,
-                 candidates: DataFrame | None = None) -> DataFrame:
+                 candidates: DataFrame | None = None, *, token: str | None = None, sealed_from: str | None = SEALED_FROM) -> DataFrame:
     """B2: highest trailing volatility; ``candidates`` limits the pool after scoring."""
-    scored = guarded(volatility_scores(bars, window, calendar), "T1").where(F.col("as_of").isNotNull())
+    scored = sealed(guarded(volatility_scores(bars, window, calendar), "T1"), token, sealed_from=sealed_from).where(F.col("as_of").isNotNull())
     if candidates is not None:
         scored = restrict(scored, candidates)
     return top_k(scored.select(*PREDICTION), k)
 
 
 def earnings_vol(bars: DataFrame, earnings: DataFrame, k: int = TOP_K, window: int = 20,
-                 calendar: DataFrame | None = None) -> DataFrame:
+                 calendar: DataFrame | None = None, *, token: str | None = None, sealed_from: str | None = SEALED_FROM) -> DataFrame:
     """B3: the same volatility among names reporting on the day."""
     reporting = guarded(
         earnings.select(F.col("report_date").alias("trade_date"), "ticker", "as_of"), "T1"
     ).where(F.col("as_of").isNotNull()).select("trade_date", "ticker").distinct()
-    scored = guarded(volatility_scores(bars, window, calendar), "T1").where(F.col("as_of").isNotNull())
+    scored = sealed(guarded(volatility_scores(bars, window, calendar), "T1"), token, sealed_from=sealed_from).where(F.col("as_of").isNotNull())
     return top_k(scored.select(*PREDICTION).join(reporting, ["trade_date", "ticker"]), k)
 
 
 def premarket_gap(premarket: DataFrame, prior_close: DataFrame, floor: float = PREMARKET_DOLLAR_FLOOR,
-                  k: int = TOP_K) -> DataFrame:
+                  k: int = TOP_K, *, token: str | None = None, sealed_from: str | None = SEALED_FROM) -> DataFrame:
     """B4: premarket gap in percent above a dollar-volume floor; bars at or after 09:25 never count."""
-    early = premarket.where(
+    early = sealed(premarket, token, sealed_from=sealed_from).where(
         (F.col("minute") < premarket_time("trade_date")) & (F.col("as_of") <= premarket_time("trade_date"))
     )
     money = (F.col("close") * F.col("volume")).cast("decimal(28,6)")
@@ -93,15 +94,17 @@ def restrict(scored: DataFrame, pool: DataFrame) -> DataFrame:
 
 def all_baselines(universe: DataFrame, labels: DataFrame, bars: DataFrame, earnings: DataFrame,
                   premarket: DataFrame, prior_close: DataFrame, seed: int = 0,
-                  floor: float = PREMARKET_DOLLAR_FLOOR, k: int = TOP_K) -> DataFrame:
-    """All five with a ``baseline`` column."""
+                  floor: float = PREMARKET_DOLLAR_FLOOR, k: int = TOP_K, *, token: str | None = None,
+                  sealed_from: str | None = SEALED_FROM) -> DataFrame:
+    """All five with a ``baseline`` column; a row of the sealed period stops each of them."""
+    seal = {"token": token, "sealed_from": sealed_from}
     calendar = cal.sessions(bars)
     parts = {
-        "B0": random_pick(universe, seed, k),
-        "B1": yesterday_repeat(labels, k),
-        "B2": realised_vol(bars, k, calendar=calendar),
-        "B3": earnings_vol(bars, earnings, k, calendar=calendar),
-        "B4": premarket_gap(premarket, prior_close, floor, k),
+        "B0": random_pick(universe, seed, k, **seal),
+        "B1": yesterday_repeat(labels, k, **seal),
+        "B2": realised_vol(bars, k, calendar=calendar, **seal),
+        "B3": earnings_vol(bars, earnings, k, calendar=calendar, **seal),
+        "B4": premarket_gap(premarket, prior_close, floor, k, **seal),
     }
     out = None
     for name, df in parts.items():

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pitrank import contracts as C
 from pitrank.functions.clock import close_time
 from pitrank.functions.scalars import growth, ratio
-from pitrank.operators.ranks import add_pct_rank
+from pitrank.operators.ranks import add_pct_rank, add_pct_ranks
 from pitrank.operators.rolling import (
     rolling_max, rolling_mean, rolling_std, rolling_sum, timeline, trailing,
 )
@@ -67,8 +67,7 @@ def _block(universe: DataFrame) -> DataFrame:
 
 def build_bars_features(universe: DataFrame) -> DataFrame:
     """The T1B contract: one row per input row, warm-up values null."""
-    ranked = add_pct_rank(_block(universe), ["trade_date"], "prev_ret1", "xs_ret_rank")
-    ranked = add_pct_rank(ranked, ["trade_date"], "vol20", "xs_vol_rank")
+    ranked = add_pct_ranks(_block(universe), ["trade_date"], {"prev_ret1": "xs_ret_rank", "vol20": "xs_vol_rank"})
     return ranked.withColumn("as_of", close_time("prev_date")).select(*C.T1B_COLUMNS)
 
 
@@ -133,8 +132,7 @@ def forecast_features(quantiles: DataFrame) -> DataFrame:
         ratio((q90 - q50) - (q50 - q10), q90 - q10).alias("tfm_skew_norm"),
         ratio(q90 - q50, q50 - q10).alias("tfm_upside_ratio"),
     )
-    ranked = add_pct_rank(base, ["trade_date"], "tfm_q90", "tfm_q90_xs_rank")
-    return add_pct_rank(ranked, ["trade_date"], "tfm_skew_norm", "tfm_skew_xs_rank")
+    return add_pct_ranks(base, ["trade_date"], {"tfm_q90": "tfm_q90_xs_rank", "tfm_skew_norm": "tfm_skew_xs_rank"})
 
 
 def build_bars_forecast_features(features: DataFrame, quantiles: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pitrank.contracts import LeakageError
 from pitrank.functions.clock import decision_time
 from pitrank.functions.hashing import uniform_key
 from pitrank.functions.scalars import random_guess_tolerance
-from pitrank.operators.ranks import average_rank, positions, with_rank_parts
+from pitrank.operators.ranks import average_rank, positions, with_rank_parts_of
+from pitrank.session import stored
 
 LABEL_COLUMNS = ("return_t", "rank", "label")
 
@@ -179,12 +180,14 @@ def daily_correlations(
 ) -> DataFrame:
     """Pearson and Spearman of every feature with every label column, per day.
 
-    Features are unpivoted once and ranked per (day, feature).  When some label
-    column has nulls the columns are processed apart, so each pair uses exactly the
-    rows where both sides are present.
+    Features are unpivoted once and ranked per (day, feature) together with the label
+    columns, whose ranks are those among the rows that have the feature.  When some
+    label column has nulls the columns are processed apart, so each pair uses exactly
+    the rows where both sides are present.  The aligned rows are written once: ranking
+    reads them twice.
     """
     cols = _feature_columns(features)
-    joined = align(features, labels)
+    joined = stored(align(features, labels).select("trade_date", *cols, *LABEL_COLUMNS))
     if complete_labels is None:
         probe = joined.agg(*[F.count(F.when(F.col(y).isNull(), 1)).alias(y) for y in LABEL_COLUMNS]).first()
         complete_labels = not any(probe)
@@ -198,11 +201,8 @@ def daily_correlations(
 
 def _correlations(long: DataFrame, ys: Sequence[str]) -> DataFrame:
     keys = ["trade_date", "feature"]
-    ranked = long
-    for c in ("x", *ys):
-        ranked = with_rank_parts(ranked, keys, c).withColumn(f"_r_{c}", average_rank()).drop(
-            "_rank", "_peers", "_n"
-        )
+    values = ["x", *ys]
+    ranked = with_rank_parts_of(long, keys, values).withColumns({f"_r_{c}": average_rank(c) for c in values})
     aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
             F.var_pop("x").alias("vx"), F.var_pop("_r_x").alias("vrx")]
     for y in ys:
@@ -342,3 +342,12 @@ def assert_sealed(df: DataFrame, token: str | None = None, date_col: str = "trad
         return
     newest = df.agg(F.max(date_col).alias("m")).where(F.col("m") >= F.lit(sealed_from).cast("date"))
     assert_empty(newest, f"frame reaches the sealed period from {sealed_from}")
+
+
+def sealed(df: DataFrame, token: str | None = None, date_col: str = "trade_date", sealed_from: str | None = C.SEALED_FROM) -> DataFrame:
+    """The seal inside the projection: a row of the sealed period raises while rows stream, at no extra pass."""
+    if sealed_from is None or token == C.UNSEAL_TOKEN:
+        return df
+    message = F.concat(F.lit("row of the sealed period: "), F.coalesce(F.col(date_col).cast("string"), F.lit("?")))
+    inside = F.col(date_col) >= F.lit(sealed_from).cast("date")
+    return df.withColumn(date_col, F.when(inside, F.raise_error(message).cast("date")).otherwise(F.col(date_col)))

@@ -1,16 +1,19 @@
-"""Cross-sectional ranks that stay exact when one group is huge.
-
-One form at every size.  A group is cut into slices by an order-preserving coarse number of the value, so a
-hot group spreads over many tasks; ranks inside a slice are added to the number of rows in the slices before
-it.  Slices and their sizes come from one shuffle of the rows (by group and slice); the sizes are one row a
-slice, summed along the group.  The slicing only balances the work, the ranks are exact.
+"""Cross-sectional ranks that stay exact when one group is huge, of any number of columns at once.
+
+One form at every size.  A group is cut into slices of each ranked column by an order-preserving coarse number of
+the value, so a hot group spreads over many tasks; ranks inside a slice are added to the number of rows in the
+slices before it.  Those numbers, for all columns together, come from one aggregate (one row a group, column and
+slice) and travel with the rows: every slice gets one head row that carries its number and goes first in the
+slice's window, so nothing is joined back.  The input is read twice, once for the numbers and once for the rows,
+however many columns are ranked; each column costs one shuffle.  The slicing only balances the work, the ranks
+are exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from pitrank.functions.hashing import KEY_BITS
 
@@ -27,62 +30,105 @@ def slice_of(value: str | Column, grain: int = GRAIN) -> Column:
     return F.when(v.isNull(), LAST_SLICE + 1).when(F.isnan(v), LAST_SLICE).otherwise(F.floor(bounded)).cast("long")
 
 
-def _with_offsets(inside: DataFrame, group: Sequence[str], counted: Column, descending: bool = False) -> DataFrame:
-    """Add ``_before`` (rows of the slices before this one) and ``_n`` (rows of the group) to rows that lie by slice.
+#: Slice of a head row in the windows of the other columns: below all slices, spread over as many tasks.
+ELSEWHERE, SPREAD = -(1 << 50), 4096
+
+
+def _with_heads(df: DataFrame, group: Sequence[str], slices: dict[str, Column], counted: dict[str, Column], descending: bool = False) -> DataFrame:
+    """``df`` with ``_slice_<name>`` a name, and one head row a name, group and slice (``_head``).
 
-    ``counted`` is 1 for the rows that count, else 0.  ``inside`` is already dealt by group and slice, so the
-    sizes are taken without another shuffle of the rows.
+    A head row holds ``_before_<name>`` (counted rows of the slices before its own) and ``_n_<name>`` (of the
+    group); ``counted`` is 1 for the rows that count, else 0.
     """
     group = list(group)
-    sizes = inside.groupBy(*group, "_slice").agg(F.sum(counted).alias("_rows"))
+    keyed = df.withColumns({f"_slice_{name}": c for name, c in slices.items()})
+    one = [F.struct(F.lit(name).alias("_name"), F.col(f"_slice_{name}").alias("_slice"), counted[name].cast("long").alias("_rows")) for name in slices]
+    sizes = (keyed.select(*group, F.explode(F.array(*one)).alias("_one")).select(*group, "_one.*")
+             .groupBy(*group, "_name", "_slice").agg(F.sum("_rows").alias("_rows")))
     order = F.when(F.col("_slice") > LAST_SLICE, 1).otherwise(0)
-    along = W.partitionBy(*group).orderBy(order, F.desc("_slice") if descending else F.asc("_slice"))
-    offsets = sizes.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_slice").alias("_s"),
-        F.coalesce(F.sum("_rows").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(W.partitionBy(*group)).alias("_n"),
-    )
-    same = F.col("_slice") == F.col("_s")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return inside.join(offsets, same).drop(*[f"_g{i}" for i in range(len(group))], "_s", "_slice")
+    whole = W.partitionBy(*group, "_name")
+    along = whole.orderBy(order, F.desc("_slice") if descending else F.asc("_slice"))
+    before = F.coalesce(F.sum("_rows").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.select(*group, "_name", "_slice", before.alias("_before"), F.sum("_rows").over(whole).alias("_n"))
+    elsewhere = F.lit(ELSEWHERE) - F.pmod(F.xxhash64("_name", "_slice"), F.lit(SPREAD))
+    own = {name: F.col("_name") == name for name in slices}
+    heads = placed.select(
+        *group, *[F.when(own[name], F.col("_slice")).otherwise(elsewhere).alias(f"_slice_{name}") for name in slices],
+        *[F.when(own[name], F.col(c)).alias(f"{c}_{name}") for name in slices for c in ("_before", "_n")], F.lit(True).alias("_head"))
+    return keyed.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+
+
+def _rows(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows of the caller again, without heads and working columns."""
+    return df.where(~F.col("_head")).drop("_head", *[f"{c}_{name}" for name in names for c in ("_slice", "_before", "_n", "_first", "_last")])
+
+
+def _slice_window(group: Sequence[str], name: str, *order: Column) -> WindowSpec:
+    return W.partitionBy(*group, f"_slice_{name}").orderBy(F.col("_head").desc(), *order)
+
+
+def with_rank_parts_of(df: DataFrame, group: Sequence[str], values: Sequence[str], grain: int = GRAIN) -> DataFrame:
+    """Add ``_rank_<v>`` (min rank, ascending, nulls last), ``_peers_<v>`` (ties) and ``_count_<v>`` (non-null rows) for every value column.
+
+    A value column may not be one of the group columns.
+    """
+    placed = _with_heads(df, group, {v: slice_of(v, grain) for v in values},
+                         {v: F.when(F.col(v).isNotNull(), 1).otherwise(0) for v in values})
+    for v in values:
+        # The default running frame includes all ties, so the running count is the last position of a tie and
+        # rank() its first (less the head): growing frames only, one sort.
+        w = _slice_window(group, v, F.col(v).asc_nulls_last())
+        placed = placed.select(
+            "*", (F.rank().over(w).cast("long") - 1).alias(f"_first_{v}"), F.count(v).over(w).alias(f"_last_{v}"),
+            F.first(f"_before_{v}").over(w).alias(f"_rank_{v}"), F.first(f"_n_{v}").over(w).alias(f"_count_{v}"))
+    placed = placed.withColumns({f"_rank_{v}": F.col(f"_rank_{v}") + F.col(f"_first_{v}") for v in values}
+                                | {f"_peers_{v}": F.col(f"_last_{v}") - F.col(f"_first_{v}") + 1 for v in values})
+    return _rows(placed, values)
 
 
 def with_rank_parts(df: DataFrame, group: Sequence[str], value: str, grain: int = GRAIN) -> DataFrame:
     """Add ``_rank`` (min rank, ascending, nulls last), ``_peers`` (ties) and ``_n`` (non-null rows)."""
-    ordered = W.partitionBy(*group, "_slice").orderBy(F.col(value).asc_nulls_last())
-    # The default running frame includes all ties, so the running count is the last
-    # position of a tie and rank() its first: growing frames only, one sort.
-    inside = df.withColumn("_slice", slice_of(value, grain)).select(
-        "*", F.rank().over(ordered).cast("long").alias("_first"), F.count(value).over(ordered).alias("_last"))
-    placed = _with_offsets(inside, group, F.when(F.col(value).isNotNull(), 1).otherwise(0))
-    return placed.withColumns({
-        "_rank": F.col("_before") + F.col("_first"), "_peers": F.col("_last") - F.col("_first") + 1,
-    }).drop("_first", "_last", "_before")
+    ranked = with_rank_parts_of(df, group, [value], grain)
+    return ranked.withColumnsRenamed({f"_rank_{value}": "_rank", f"_peers_{value}": "_peers", f"_count_{value}": "_n"})
+
+
+def _numbered(df: DataFrame, group: Sequence[str], piece: Column, out: str, kind: str, *order: Column, descending: bool = False) -> DataFrame:
+    placed = _with_heads(df, group, {"p": piece}, {"p": F.lit(1)}, descending)
+    w = _slice_window(group, "p", *order)
+    at = F.first("_before_p").over(w) + F.row_number().over(w) - 1
+    return _rows(placed.select("*", at.cast(kind).alias("_at")), ["p"]).withColumn(out, F.col("_at")).drop("_at")
 
 
 def positions_descending(df: DataFrame, group: Sequence[str], value: str, tie_break: Sequence[str], out: str, grain: int = GRAIN) -> DataFrame:
     """Distinct 1..n positions per group (int): value descending, nulls last, then ``tie_break``."""
-    order = W.partitionBy(*group, "_slice").orderBy(F.col(value).desc_nulls_last(), *[F.col(c) for c in tie_break])
-    inside = df.withColumn("_slice", slice_of(value, grain)).withColumn("_first", F.row_number().over(order))
-    placed = _with_offsets(inside, group, F.lit(1), descending=True)
-    return placed.withColumn(out, (F.col("_before") + F.col("_first")).cast("int")).drop("_first", "_before", "_n")
+    order = [F.col(value).desc_nulls_last(), *[F.col(c) for c in tie_break]]
+    return _numbered(df, group, slice_of(value, grain), out, "int", *order, descending=True)
+
+
+def average_rank(value: str = "") -> Column:
+    """Average rank of ties, from the parts of ``value`` (or of the only one)."""
+    end = f"_{value}" if value else ""
+    return F.col(f"_rank{end}") + (F.col(f"_peers{end}") - 1) / F.lit(2.0)
 
 
-def average_pct_rank() -> Column:
+def average_pct_rank(value: str = "") -> Column:
     """Average rank of ties over the non-null count; null stays null."""
-    return (F.col("_rank") + (F.col("_peers") - 1) / F.lit(2.0)) / F.col("_n")
+    return average_rank(value) / F.col(f"_count_{value}" if value else "_n")
 
 
-def average_rank() -> Column:
-    return F.col("_rank") + (F.col("_peers") - 1) / F.lit(2.0)
+def without_parts(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    return df.drop(*[f"{part}_{v}" for v in values for part in ("_rank", "_peers", "_count")])
+
+
+def add_pct_ranks(df: DataFrame, group: Sequence[str], outs: dict[str, str], **how) -> DataFrame:
+    """Percentile ranks of many columns (``value: name``) by one operator."""
+    ranked = with_rank_parts_of(df, group, list(outs), **how)
+    made = {out: F.when(F.col(v).isNotNull(), average_pct_rank(v)) for v, out in outs.items()}
+    return without_parts(ranked.withColumns(made), list(outs))
 
 
 def add_pct_rank(df: DataFrame, group: Sequence[str], value: str, out: str, **how) -> DataFrame:
-    ranked = with_rank_parts(df, group, value, **how)
-    return ranked.withColumn(out, F.when(F.col(value).isNotNull(), average_pct_rank())).drop(
-        "_rank", "_peers", "_n"
-    )
+    return add_pct_ranks(df, group, {value: out}, **how)
 
 
 def add_min_rank_desc(df: DataFrame, group: Sequence[str], value: str, out: str, **how) -> DataFrame:
@@ -112,7 +158,4 @@ def positions(df: DataFrame, group: Sequence[str], order_hash: str, tie_break: S
 
     The top bits of a uniform hash are an order-preserving slice number.
     """
-    order = W.partitionBy(*group, "_slice").orderBy(F.col(order_hash), *[F.col(c) for c in tie_break])
-    inside = df.withColumn("_slice", F.shiftright(F.col(order_hash), KEY_BITS - 8)).withColumn("_first", F.row_number().over(order))
-    placed = _with_offsets(inside, group, F.lit(1))
-    return placed.withColumn(out, (F.col("_before") + F.col("_first")).cast("long")).drop("_first", "_before", "_n")
+    return _numbered(df, group, F.shiftright(F.col(order_hash), KEY_BITS - 8), out, "long", F.col(order_hash), *[F.col(c) for c in tie_break])

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from pitrank.operators.ranks import average_rank, with_rank_parts
+from pitrank.operators.moments import co_moments, unexplained_share, with_cholesky
+from pitrank.operators.ranks import average_rank, with_rank_parts_of
+from pitrank.session import stored
 
 # Stop thresholds and the incumbent block.
 MAX_SPEARMAN = 0.90
@@ -24,41 +24,37 @@ def daily_spearman(features: DataFrame, new: Sequence[str], anchor: str = ANCHOR
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in new])).alias("f"),
     ).select("trade_date", "y", "f.*").where(F.col("x").isNotNull())
     keys = ["trade_date", "feature"]
-    for c in ("x", "y"):
-        long = with_rank_parts(long, keys, c).withColumn(f"r{c}", average_rank()).drop("_rank", "_peers", "_n")
+    long = with_rank_parts_of(long, keys, ["x", "y"]).withColumns({"rx": average_rank("x"), "ry": average_rank("y")})
     scale = F.sqrt(F.var_pop("rx") * F.var_pop("ry"))
     daily = long.groupBy(*keys).agg(F.covar_pop("rx", "ry").alias("c"), scale.alias("s"), F.count(F.lit(1)).alias("n"))
     return daily.where("s > 0").select(*keys, "n", (F.col("c") / F.col("s")).alias("spearman"))
 
 
-def residual_share(features: DataFrame, new: Sequence[str], incumbents: Sequence[str] = INCUMBENTS) -> dict[str, float]:
-    """Share of each new feature's variance left after a linear projection on the incumbents.
+def residual_share(features: DataFrame, new: Sequence[str], incumbents: Sequence[str] = INCUMBENTS) -> DataFrame:
+    """``feature, residual_share``: what is left of each new feature's variance after a linear projection on the incumbents.
 
-    Everything is moved to centred per-day percentile ranks first.
+    Everything is moved to centred per-day percentile ranks first; the projections of all features come from one
+    co-moment aggregate.
     """
     cols = [*incumbents, *new]
-    ranked = features.na.drop(subset=cols).select("trade_date", *cols)
-    for c in cols:
-        ranked = with_rank_parts(ranked, ["trade_date"], c).withColumn(
-            f"p_{c}", average_rank() / F.col("_n") - (F.col("_n") + 1) / (2 * F.col("_n"))
-        ).drop("_rank", "_peers", "_n")
-    frame = VectorAssembler(inputCols=[f"p_{c}" for c in incumbents], outputCol="_x").transform(ranked).persist()
-    out = {}
-    for c in new:
-        fitted = LinearRegression(featuresCol="_x", labelCol=f"p_{c}", solver="normal").fit(frame)
-        out[c] = 1.0 - fitted.summary.r2
-    frame.unpersist()
-    return out
+    ranked = with_rank_parts_of(features.na.drop(subset=cols).select("trade_date", *cols), ["trade_date"], cols)
+    centred = ranked.select(*[
+        (average_rank(c) / F.col(f"_count_{c}") - (F.col(f"_count_{c}") + 1) / (2 * F.col(f"_count_{c}"))).alias(c) for c in cols])
+    size = len(incumbents)
+    solved = with_cholesky(co_moments(centred, cols), size, len(new))
+    shares = F.array(*[F.struct(F.lit(c).alias("feature"), unexplained_share(size, size + i).alias("residual_share")) for i, c in enumerate(new)])
+    return solved.select(F.explode(shares).alias("s")).select("s.*")
 
 
 def redundancy_gate(features: DataFrame, new: Sequence[str], anchor: str = ANCHOR,
                     incumbents: Sequence[str] = INCUMBENTS) -> DataFrame:
     """Verdict per new feature; ``stop`` only when every one is redundant."""
+    features = stored(features.select("trade_date", *dict.fromkeys([anchor, *incumbents, *new])))
     mean_rho = daily_spearman(features, new, anchor).groupBy("feature").agg(F.avg("spearman").alias("spearman"))
-    shares = residual_share(features, new, incumbents)
-    share = F.create_map(*[F.lit(v) for pair in shares.items() for v in pair])[F.col("feature")]
-    verdicts = mean_rho.withColumn("residual_share", share).withColumn(
+    verdicts = mean_rho.join(residual_share(features, new, incumbents), "feature").withColumn(
         "redundant", (F.abs("spearman") >= MAX_SPEARMAN) | (F.col("residual_share") < MIN_RESIDUAL_SHARE)
     )
+    # One row a feature: few rows, whatever the size of the data.
+    verdicts = stored(verdicts)
     everything = verdicts.agg(F.min("redundant").alias("stop"))
     return verdicts.crossJoin(F.broadcast(everything))

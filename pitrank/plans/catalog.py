@@ -18,6 +18,8 @@ MIN_CLOSE = 100.0
 MIN_DOLLAR_VOLUME = 40_000.0
 MAX_STALENESS = 10
 SEALED_FROM = "2002-01-01"
+#: The event stream of the test data lies later.
+EVENTS_SEALED_FROM = "2025-01-01"
 
 
 # Declared schemas: opening a table costs no footer scan.

@@ -748,9 +748,10 @@ SELECT CAST(ex_date AS VARCHAR) AS ex_date, ticker, action_type, ratio, cash_amo
          CASE WHEN left(o_orderpriority, 1) IN ('3', '4') THEN o_totalprice / 1e5 END AS cash_amount, CAST(NULL AS VARCHAR) AS new_ticker,
          CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) - 20 ELSE CAST(o_orderdate AS DATE) END AS as_of, o_custkey AS permno
   FROM orders WHERE left(o_orderpriority, 1) IN ('1', '2', '3', '4')
-  UNION ALL SELECT ex_date, ticker, 'ticker_change', NULL, NULL, new_ticker, ex_date, permno FROM tc_v WHERE ex_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
+  UNION ALL SELECT ex_date, ticker, 'ticker_change', NULL, NULL, new_ticker, ex_date, permno FROM tc_v
   UNION ALL SELECT CAST(DATE '1996-01-01' + CAST(s_suppkey * 11 % 1500 AS INTEGER) AS DATE), NULL, 'delisting', NULL, s_acctbal / 1e4, NULL,
-                   CAST(DATE '1996-01-01' + CAST(s_suppkey * 11 % 1500 AS INTEGER) AS DATE), s_suppkey FROM supplier)""")
+                   CAST(DATE '1996-01-01' + CAST(s_suppkey * 11 % 1500 AS INTEGER) AS DATE), s_suppkey FROM supplier)
+WHERE ex_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'""")
 oracle("name_history_meta", """
 SELECT n.permno, n.ticker, comnam AS name, CASE WHEN shrcd IN (10, 11) THEN 'CS' WHEN shrcd IN (30, 31) THEN 'ADR' ELSE 'OTHER' END AS security_type,
        CASE abs(exchcd) WHEN 1 THEN 'XNYS' WHEN 2 THEN 'XASE' WHEN 3 THEN 'XNAS' ELSE 'OTC' END AS exchange,
@@ -815,7 +816,17 @@ SELECT trade_date, model_hits AS live_hits, baseline_hits,
 FROM paired_v WINDOW w4 AS (ORDER BY trade_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), w3 AS (ORDER BY trade_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
 """)
 oracle("rolling_monitor", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date) FROM mon_v")
-oracle("stream_monitor", "SELECT 'b2' AS model, CAST(trade_date AS VARCHAR) AS trade_date, stop, kill FROM mon_v")
+_ekey = "CAST(('0x' || left(md5('7|' || CAST(trade_date AS VARCHAR) || '|' || ticker), 13)) AS BIGINT)"
+cte("eb0_v", f"SELECT trade_date, ticker FROM elabels_v QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY {_ekey} DESC, ticker) <= 10")
+cte("mhits_v", " UNION ALL ".join(
+    f"SELECT '{m}' AS model, b.trade_date, CAST(sum(coalesce(l.label, 0)) AS BIGINT) AS hits FROM {v} b LEFT JOIN {lab} l ON b.trade_date = l.trade_date AND b.ticker = l.ticker GROUP BY b.trade_date"
+    for m, v, lab in (("b0", "b0_v", "labels_v"), ("b1", "b1_v", "labels_v"), ("b2", "b2_v", "labels_v"), ("b3", "b3_v", "labels_v"), ("b4", "b4_v", "elabels_v"), ("eb0", "eb0_v", "elabels_v"))))
+oracle("stream_monitor", """
+SELECT model, CAST(trade_date AS VARCHAR) AS trade_date, coalesce(n3 = 3 AND short3, false) AS stop, coalesce(n2 = 2 AND below2, false) AS kill FROM (
+  SELECT m.model, m.trade_date, count(*) OVER w3 AS n3, bool_and(4.0 - m.hits > 1.5) OVER w3 AS short3, count(*) OVER w2 AS n2, bool_and(m.hits < o.hits) OVER w2 AS below2
+  FROM mhits_v m JOIN mhits_v o ON o.trade_date = m.trade_date AND o.model = CASE m.model WHEN 'b4' THEN 'eb0' ELSE 'b1' END
+  WHERE m.model <> 'eb0'
+  WINDOW w3 AS (PARTITION BY m.model ORDER BY m.trade_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), w2 AS (PARTITION BY m.model ORDER BY m.trade_date ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))""")
 cte("ovl_v", """
 SELECT a.trade_date, count(c.ticker) AS overlap_at_k FROM (SELECT trade_date, ticker FROM labels_v WHERE label = 1) a
 LEFT JOIN cap_v c ON a.trade_date = c.trade_date AND a.ticker = c.ticker
@@ -882,12 +893,86 @@ oracle("redundancy_spearman", """
 SELECT feature, count(*) AS n_days, round(avg(rho), 7) AS spearman FROM (
   SELECT trade_date, feature, covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) AS rho FROM rdr_v GROUP BY 1, 2 HAVING sqrt(var_pop(rx) * var_pop(ry)) > 0) GROUP BY feature""")
 
+
+def least_squares(source: str, xs, ys, tolerance: str = "1e-10::DOUBLE") -> str:
+    """Normal equations as nested selects: covariances ``c<i>_<j>`` of ``source`` reduced column by column (``l<i>_<j>``)."""
+    cols = [*xs, *ys]
+    pairs = [f"covar_pop({a}, {b}) AS c{i}_{j}" for i, a in enumerate(cols) for j, b in enumerate(cols[: i + 1])]
+    means = [f"avg({c}) AS m{i}" for i, c in enumerate(cols)]
+    sql = source.format(moments=", ".join([*pairs, *means]))
+    for j in range(len(xs)):
+        def left(i):
+            return f"(c{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j)) + ")"
+
+        made = ", ".join(f"CASE WHEN {left(j)} > c{j}_{j} * {tolerance} THEN {left(i)} / sqrt({left(j)}) ELSE 0.0::DOUBLE END AS l{i}_{j}" for i in range(j, len(cols)))
+        sql = f"SELECT *, {made} FROM ({sql})"
+    return sql
+
+
+_inc, _new = ("vol5", "vol20", "xs_vol_rank", "relvol_prev", "dist52", "logpx"), ("tfm_spread", "tfm_skew_norm")
+cte("rdc_v", "SELECT b.trade_date, " + ", ".join([*_inc, *_new]) + " FROM bf_v b JOIN ff_v f ON b.trade_date = f.trade_date AND b.ticker = f.ticker WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in (*_inc, *_new)))
+cte("rdp_v", "SELECT " + ", ".join(
+    f"(rank() OVER (PARTITION BY trade_date ORDER BY {c}) + (count(*) OVER (PARTITION BY trade_date, {c}) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY trade_date) AS {c}_p0"
+    for c in (*_inc, *_new)) + ", count(*) OVER (PARTITION BY trade_date) AS n_p0 FROM rdc_v")
+cte("rdq_v", "SELECT " + ", ".join(f"{c}_p0 - (n_p0 + 1) / (2.0::DOUBLE * n_p0) AS {c}" for c in (*_inc, *_new)) + " FROM rdp_v")
+cte("rds_v", least_squares("SELECT {moments} FROM rdq_v", _inc, _new))
+oracle("redundancy_gate", """
+SELECT * FROM (WITH s AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, 1.0::DOUBLE - (" + " + ".join(f"l{6 + i}_{k} * l{6 + i}_{k}" for k in range(6)) + f") / c{6 + i}_{6 + i} AS residual_share FROM rds_v" for i, c in enumerate(_new)) + """),
+r AS (SELECT feature, avg(rho) AS spearman FROM (
+  SELECT trade_date, feature, covar_pop(rx, ry) / sqrt(var_pop(rx) * var_pop(ry)) AS rho FROM rdr_v GROUP BY 1, 2 HAVING sqrt(var_pop(rx) * var_pop(ry)) > 0) GROUP BY feature),
+v AS (SELECT feature, spearman, residual_share, abs(spearman) >= 0.9 OR residual_share < 0.1 AS redundant FROM s JOIN r USING (feature))
+SELECT feature, round(spearman, 7) AS spearman, round(residual_share, 7) AS residual_share, redundant, bool_and(redundant) OVER () AS stop FROM v)""")
+
+# Least squares refitted by year on the warmed-up pool, against the same-pool baselines.
+_X = C.T1B_SPEC.features
+cte("wfp_v", "SELECT f.trade_date, f.ticker, " + ", ".join(f"CAST(f.{c} AS DOUBLE) AS {c}" for c in _X) + ", CAST(u.label AS DOUBLE) AS y FROM bf_v f JOIN bu_v u "
+    "ON f.trade_date = u.trade_date AND f.ticker = u.ticker WHERE " + " AND ".join(f"f.{c} IS NOT NULL" for c in _X))
+cte("wfs_v", """
+SELECT * FROM (SELECT y, test_start, test_end, lag(test_end) OVER (ORDER BY y) AS train_end, min(y) OVER () AS first_year
+  FROM (SELECT year(trade_date) AS y, min(trade_date) AS test_start, max(trade_date) AS test_end FROM wfp_v GROUP BY 1))
+WHERE train_end IS NOT NULL AND y >= first_year + 2
+""")
+_n = len(_X)
+_solved = least_squares("SELECT s.y AS split, any_value(test_start) AS t0, any_value(test_end) AS t1, {moments} FROM wfp_v p JOIN wfs_v s ON p.trade_date <= s.train_end GROUP BY s.y",
+                        [f"p.{c}" for c in _X], ["p.y"])
+for _i in reversed(range(_n)):
+    _rest = f"(l{_n}_{_i}" + "".join(f" - l{_k}_{_i} * w{_k}" for _k in range(_i + 1, _n)) + ")"
+    _solved = f"SELECT *, CASE WHEN l{_i}_{_i} > 0 THEN {_rest} / l{_i}_{_i} ELSE 0.0::DOUBLE END AS w{_i} FROM ({_solved})"
+cte("wfw_v", _solved)
+cte("wft_v", "SELECT p.trade_date, p.ticker, p.y AS label, " + " + ".join(f"w{_i} * ({c} - m{_i})" for _i, c in enumerate(_X))
+    + " AS score FROM wfp_v p JOIN wfw_v w ON p.trade_date BETWEEN w.t0 AND w.t1")
+cte("wfh_v", """
+SELECT trade_date, CAST(sum(label) AS BIGINT) AS hits FROM (SELECT * FROM wft_v QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, ticker) <= 10) GROUP BY 1
+""")
+cte("wfc_v", "SELECT trade_date AS session, lead(trade_date) OVER (ORDER BY trade_date) AS next_session FROM (SELECT DISTINCT trade_date FROM bu_v)")
+cte("wfb_v", """
+SELECT 'B1' AS baseline, next_session AS trade_date, ticker, max(rank) OVER (PARTITION BY trade_date) + 1.0 - rank AS score FROM bu_v JOIN wfc_v ON trade_date = session WHERE label = 1
+UNION ALL
+SELECT 'B2', next_session, ticker, v FROM (
+  SELECT trade_date, ticker, CASE WHEN count(r) OVER w = 5 THEN stddev_samp(r) OVER w END AS v
+  FROM (SELECT trade_date, ticker, close / lag(close) OVER (PARTITION BY ticker ORDER BY trade_date) - 1.0 AS r FROM bu_v)
+  WINDOW w AS (PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) JOIN wfc_v ON trade_date = session WHERE v IS NOT NULL
+""")
+cte("wfbh_v", """
+SELECT baseline, trade_date, CAST(sum(label) AS BIGINT) AS hits FROM (
+  SELECT b.baseline, b.trade_date, p.y AS label FROM wfb_v b JOIN wfp_v p ON b.trade_date = p.trade_date AND b.ticker = p.ticker
+  QUALIFY row_number() OVER (PARTITION BY baseline, b.trade_date ORDER BY score DESC, b.ticker) <= 10) GROUP BY 1, 2
+""")
+oracle("walkforward_linear", """
+SELECT * FROM (WITH d AS (SELECT b.baseline, year(m.trade_date) AS y, m.hits AS mh, b.hits AS bh FROM wfh_v m JOIN wfbh_v b ON m.trade_date = b.trade_date),
+y AS (SELECT baseline, y, avg(mh) > avg(bh) AS won FROM d GROUP BY 1, 2)
+SELECT d.baseline, round(avg(mh) - avg(bh), 7) AS mean_hits_delta, (SELECT CAST(count(*) FILTER (WHERE won) AS BIGINT) FROM y WHERE y.baseline = d.baseline) AS years_won,
+       (SELECT count(*) FROM y WHERE y.baseline = d.baseline) AS years_total, count(*) AS n_days
+FROM d GROUP BY d.baseline)""")
+
 # --- streaming -------------------------------------------------------------------------------------------
 
 cte("wm_v", "SELECT max(date_trunc('millisecond', ts)) - INTERVAL 10 MINUTE AS wm FROM events")
 oracle("stream_minute_bars", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, CAST(minute AS VARCHAR) AS minute, open, high, low, close, volume, trade_count, CAST(as_of AS VARCHAR) AS as_of
-FROM minutes_v, wm_v WHERE minute + INTERVAL 1 MINUTE <= wm""")
+FROM minutes_v""")
 oracle("stream_premarket", """
 SELECT CAST(trade_date AS VARCHAR) AS trade_date, ticker, arg_max(value, row(ts, event_id)) AS last_price, max(value) AS high_price, CAST(count(*) * 100 AS DOUBLE) AS total_volume,
        CAST(sum(CAST(value * 100 AS DECIMAL(28,6))) AS DOUBLE) AS premarket_dollar_volume, count(*) AS premarket_trade_count, CAST(min(ts) AS VARCHAR) AS first_tick

@@ -21,6 +21,7 @@ from pitrank.operators import monitor as mon
 from pitrank.operators import overlap as ov
 from pitrank.operators import quality as qa
 from pitrank.operators import ranker as rk
+from pitrank.operators.linear import LinearRanker
 from pitrank.operators import ranks
 from pitrank.operators import redundancy as rd
 from pitrank.operators import sampling as sp
@@ -30,7 +31,7 @@ from pitrank.operators import walkforward as wf
 from pitrank.operators import universe as uni
 from pitrank.plans import catalog as P
 from pitrank.plans import pipeline as pipe
-from pitrank.session import cut_lineage, scratch_path
+from pitrank.session import cut_lineage, scratch_path, stored
 from pitrank.sources import json_feeds as js
 from pitrank.sources import names_history as nh
 from pitrank.sources import tables as tb
@@ -110,6 +111,11 @@ def labels_topk(spark, sf):
 _BARS_ROUNDED = ("relvol_prev", "vol5", "vol20", "volofvol", "logdv", "logpx")
 
 
+def _bars(spark, sf):
+    """Daily bars written once per query: ticks are scanned once however often the bars are used."""
+    return stored(P.daily_bars(spark, sf))
+
+
 def _bars_universe(spark, sf):
     return fb.bars_universe(P.daily_bars(spark, sf))
 
@@ -331,7 +337,8 @@ def b3_earnings_vol(spark, sf):
 
 @query
 def b4_gap(spark, sf):
-    return bl.premarket_gap(P.minute_bars(spark, sf), P.prior_close(P.event_daily_bars(spark, sf)), floor=5000.0)
+    return bl.premarket_gap(P.minute_bars(spark, sf), P.prior_close(P.event_daily_bars(spark, sf)), floor=5000.0,
+                            sealed_from=P.EVENTS_SEALED_FROM)
 
 
 @query
@@ -339,7 +346,7 @@ def all_baselines(spark, sf):
     bars = P.daily_bars(spark, sf)
     out = bl.all_baselines(
         _universe(spark, sf, bars), _labels(spark, sf), bars, P.earnings(spark, sf), P.minute_bars(spark, sf),
-        P.prior_close(P.event_daily_bars(spark, sf)), seed=7, floor=5000.0,
+        P.prior_close(P.event_daily_bars(spark, sf)), seed=7, floor=5000.0, sealed_from=P.EVENTS_SEALED_FROM,
     )
     return out.groupBy("baseline", "trade_date").agg(F.count(F.lit(1)).alias("n_picks"), F.min("ticker").alias("first_ticker"))
 
@@ -503,7 +510,7 @@ def unadjusted_check(spark, sf):
 
 def _leak_features(spark, sf):
     """Bars-only features plus two planted disguises of the label."""
-    universe = _bars_universe(spark, sf)
+    universe = stored(_bars_universe(spark, sf))
     planted = universe.select("trade_date", "ticker", (F.col("ret") * 100 + 1).alias("planted_affine"),
                               F.col("rank").cast("double").alias("planted_copy"))
     return fb.build_bars_features(universe).join(planted, ["trade_date", "ticker"]), fb.label_frame(universe)
@@ -747,18 +754,16 @@ def forecast_features(spark, sf):
     return fb.forecast_features(P.forecast_quantiles(_bars_universe(spark, sf)))
 
 
-@query
-def bars_t1_forecast(spark, sf):
-    universe = _bars_universe(spark, sf)
-    df = fb.build_bars_forecast_features(fb.build_bars_features(universe), P.forecast_quantiles(universe))
-    return rounded(df, 8, *_BARS_ROUNDED)
-
-
 def _forecast_frame(spark, sf):
-    universe = _bars_universe(spark, sf)
+    universe = stored(_bars_universe(spark, sf))
     return fb.build_bars_forecast_features(fb.build_bars_features(universe), P.forecast_quantiles(universe))
 
 
+@query
+def bars_t1_forecast(spark, sf):
+    return rounded(_forecast_frame(spark, sf), 8, *_BARS_ROUNDED)
+
+
 @query
 def redundancy_spearman(spark, sf):
     rho = rd.daily_spearman(_forecast_frame(spark, sf), ("tfm_spread", "tfm_skew_norm", "tfm_q90"))
@@ -768,14 +773,17 @@ def redundancy_spearman(spark, sf):
 
 @query
 def redundancy_gate(spark, sf):
-    """Verdicts with the regression part (no SQL: least squares on MLlib)."""
+    """Verdicts with the projection on the incumbents."""
     return rounded(rd.redundancy_gate(_forecast_frame(spark, sf), ("tfm_spread", "tfm_skew_norm")), 7, "spearman", "residual_share")
 
 
 @query
 def walkforward_gbt(spark, sf):
     """A boosted ranker refitted per year and compared with three baselines (no SQL: iterative fit)."""
-    result = pipe.run_variant(_bars_universe(spark, sf), sealed_from=P.SEALED_FROM)
+    return _against_baselines(pipe.run_variant(stored(_bars_universe(spark, sf)), sealed_from=P.SEALED_FROM))
+
+
+def _against_baselines(result):
     out = None
     for name, row in result.vs_baseline.items():
         named = row.select(F.lit(name).alias("baseline"), "mean_hits_delta", "years_won", "years_total", "n_days")
@@ -783,12 +791,20 @@ def walkforward_gbt(spark, sf):
     return out
 
 
+@query
+def walkforward_linear(spark, sf):
+    """The variant run with least squares in place of boosting: refits by year, compared with the same-pool baselines."""
+    result = pipe.run_variant(stored(_bars_universe(spark, sf)), sealed_from=P.SEALED_FROM,
+                              model_factory=lambda: LinearRanker(sealed_from=P.SEALED_FROM))
+    return rounded(_against_baselines(result).where("baseline <> 'B0'"), 7, "mean_hits_delta")
+
+
 # --- streaming ---------------------------------------------------------------------------------------------
 
 
 @query
 def stream_minute_bars(spark, sf):
-    return st.run_available(spark, st.minute_bars(P.tick_stream(spark, sf)), "minute-bars")
+    return st.run_to_end(spark, P.tick_stream(spark, sf), st.minute_bars, "minute-bars")
 
 
 @query
@@ -798,13 +814,35 @@ def stream_premarket(spark, sf):
 
 @query
 def stream_monitor(spark, sf):
-    """Run-length monitor as a stateful stream over stored daily hits."""
-    path = scratch_path(spark, "hits")
-    _paired(spark, sf).select(
-        F.lit("b2").alias("model"), "trade_date", F.col("model_hits").alias("live_hits"), "baseline_hits"
-    ).write.parquet(path)
-    hits = spark.readStream.schema("model string, trade_date date, live_hits bigint, baseline_hits bigint").parquet(path)
-    return st.run_available(spark, st.monitor_stream(hits, 6.0, stop_window=4, kill_window=3), "monitor")
+    """Run-length monitor as a stateful stream over the daily hits of every baseline, the later half arriving first."""
+    base = scratch_path(spark, "monitor")
+    schema = "model string, trade_date date, live_hits bigint, baseline_hits bigint"
+    hits = stored(_baseline_hits(spark, sf))
+    early = F.pmod(F.datediff("trade_date", F.lit("1970-01-01").cast("date")), F.lit(2)) == 0
+    for part in (~early, early):
+        hits.where(part).write.mode("append").parquet(f"{base}/in")
+        st.run_monitor(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/cp",
+                       expectation=4.0, stop_window=3, kill_window=2).awaitTermination()
+    return st.latest_verdicts(spark, f"{base}/out")
+
+
+def _baseline_hits(spark, sf):
+    """Daily hits of B0 to B3 on the daily bars and of B4 on the event bars, each against the hits of B1 (B4: of B0) on its days."""
+    bars = _bars(spark, sf)
+    calendar = cut_lineage(cal.sessions(bars))
+    universe = stored(_universe(spark, sf, bars, calendar))
+    labels = stored(uni.build_labels(universe, bars, P.corporate_actions(spark, sf)))
+    picks = {"b0": bl.random_pick(universe, seed=7), "b1": bl.yesterday_repeat(labels), "b2": bl.realised_vol(bars, calendar=calendar),
+             "b3": bl.earnings_vol(bars, P.earnings(spark, sf), calendar=calendar)}
+    events = stored(P.event_daily_bars(spark, sf))
+    event_labels = stored(fb.label_frame(fb.bars_universe(events)))
+    gap = bl.premarket_gap(P.minute_bars(spark, sf), P.prior_close(events), floor=5000.0, sealed_from=P.EVENTS_SEALED_FROM)
+    event_random = bl.random_pick(event_labels.select("trade_date", "ticker", clock.prior_close_time("trade_date").alias("as_of")), seed=7, sealed_from=P.EVENTS_SEALED_FROM)
+    out = None
+    for name, scored, truth, other in [*((n, d, labels, picks["b1"]) for n, d in picks.items()), ("b4", gap, event_labels, event_random)]:
+        rows = mt.paired_hits(scored, other, truth).select(F.lit(name).alias("model"), "trade_date", F.col("model_hits").alias("live_hits"), "baseline_hits")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query
@@ -824,13 +862,16 @@ def stream_quarantine(spark, sf):
 
 @query
 def stream_predictions(spark, sf):
-    """Predictions through the write-once sink."""
+    """Predictions through the write-once sink, in two batches of their own dates."""
     base = scratch_path(spark, "predictions")
-    _b2(spark, sf).select("trade_date", "ticker", "score").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema("trade_date date, ticker string, score double").parquet(f"{base}/in")
-    st.prediction_sink(stream, f"{base}/out", f"{base}/cp").awaitTermination()
-    stored = spark.read.schema("trade_date date, ticker string, score double").parquet(f"{base}/out")
-    return rounded(stored.select("trade_date", "ticker", "score"), 8, "score")
+    picks = stored(_b2(spark, sf).select("trade_date", "ticker", "score"))
+    even = F.year("trade_date") % 2 == 0
+    for part in (even, ~even):
+        picks.where(part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("trade_date date, ticker string, score double").parquet(f"{base}/in")
+        st.prediction_sink(stream, f"{base}/out", f"{base}/cp").awaitTermination()
+    kept = spark.read.schema("trade_date date, ticker string, score double").parquet(f"{base}/out")
+    return rounded(kept.select("trade_date", "ticker", "score"), 8, "score")
 
 
 # --- sinks ---------------------------------------------------------------------------------------------------

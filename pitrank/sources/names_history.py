@@ -55,6 +55,15 @@ def distribution_actions(dist: DataFrame) -> DataFrame:
     )
 
 
+def _between(rows: DataFrame, start, end) -> DataFrame:
+    """Rows whose ``ex_date`` lies in the range, both ends included; an end that is None is open."""
+    if start is not None:
+        rows = rows.where(F.col("ex_date") >= F.lit(start).cast("date"))
+    if end is not None:
+        rows = rows.where(F.col("ex_date") <= F.lit(end).cast("date"))
+    return rows
+
+
 def ticker_changes(names: DataFrame, start=None, end=None) -> DataFrame:
     """Consecutive name rows of one security whose ticker differs, dated at the newer row's start."""
     w = W.partitionBy("permno").orderBy("namedt")
@@ -62,11 +71,7 @@ def ticker_changes(names: DataFrame, start=None, end=None) -> DataFrame:
         F.col("namedt").alias("ex_date"), F.lag("ticker").over(w).alias("ticker"),
         F.row_number().over(w).alias("_n"), F.col("ticker").alias("new_ticker"), "permno",
     ).where((F.col("_n") > 1) & ~F.col("ticker").eqNullSafe(F.col("new_ticker")))
-    if start is not None:
-        moved = moved.where(F.col("ex_date") >= F.lit(start).cast("date"))
-    if end is not None:
-        moved = moved.where(F.col("ex_date") <= F.lit(end).cast("date"))
-    return moved.select(
+    return _between(moved, start, end).select(
         "ex_date", "ticker", F.lit("ticker_change").alias("action_type"), F.lit(None).cast("double").alias("ratio"),
         F.lit(None).cast("double").alias("cash_amount"), "new_ticker",
         F.col("ex_date").cast("timestamp_ntz").alias("as_of"), "permno",
@@ -84,11 +89,9 @@ def delisting_rows(delist: DataFrame) -> DataFrame:
 
 
 def security_actions(dist: DataFrame, names: DataFrame, delist: DataFrame, start=None, end=None) -> DataFrame:
-    return (
-        distribution_actions(dist)
-        .unionByName(ticker_changes(names, start, end))
-        .unionByName(delisting_rows(delist))
-    )
+    """All three kinds of action in one contract, those of ``start`` to ``end`` by their own date."""
+    every = distribution_actions(dist).unionByName(ticker_changes(names)).unionByName(delisting_rows(delist))
+    return _between(every, start, end)
 
 
 def name_history_meta(names: DataFrame, prices: DataFrame) -> DataFrame:

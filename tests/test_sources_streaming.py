@@ -100,18 +100,57 @@ def test_write_once_prediction_stream(spark):
         run()
 
 
-def test_monitor_state_survives_restarts(spark):
-    base = scratch_path(spark, "mon")
-    days = weekdays("2024-01-01", 5)
+def test_monitor_takes_days_in_any_order_across_restarts(spark):
+    days = weekdays("2024-01-01", 6)
     schema = "model string, trade_date date, live_hits long, baseline_hits long"
-    out = []
-    for part in (days[:2], days[2:]):
-        spark.createDataFrame([("m", d, 1, 5) for d in part], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
-        q = (st.monitor_stream(spark.readStream.schema(schema).parquet(f"{base}/in"), 3.0, 3, 4).writeStream.format("parquet")
-             .option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start())
-        q.awaitTermination()
-        out = rows(spark.read.parquet(f"{base}/out").select("trade_date", "stop", "kill"), "trade_date")
-    assert [(s, k) for _, s, k in out] == [(False, False), (False, False), (True, False), (True, True), (True, True)]
+    hits = {d: live for d, live in zip(days, (1, 1, 1, 9, 1, None))}
+    want = {}
+    for order in ([days], [days[:2], days[2:]], [days[3:], days[:1], days[1:3]], [[d] for d in reversed(days)]):
+        base = scratch_path(spark, "mon")
+        for part in order:
+            frame = [(m, d, hits[d], 5) for d in part for m in ("m", "other")]
+            spark.createDataFrame(frame, schema).write.mode("append").parquet(f"{base}/in")
+            st.run_monitor(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/cp",
+                           expectation=3.0, stop_window=3, kill_window=2).awaitTermination()
+        got = {(r.model, r.trade_date): (r.stop, r.kill) for r in st.latest_verdicts(spark, f"{base}/out").collect()}
+        want = want or got
+        assert got == want
+    assert [want["m", d] for d in days] == [(False, False), (False, True), (True, True), (False, False), (False, False), (False, False)]
+
+
+def test_of_two_runs_at_once_one_publishes_a_date(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = scratch_path(spark, "claims")
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda i: st.claim(spark, f"{base}/_dates/2024-01-01", f"run-{i}") == f"run-{i}", range(16)))
+    assert sum(got) == 1
+    winner = f"run-{got.index(True)}"
+    assert st.claim(spark, f"{base}/_dates/2024-01-01", winner) == winner  # a replay finds its own claim
+    schema = "trade_date date, ticker string, score double"
+    spark.createDataFrame([(D("2024-02-01"), "A", 1.0)], schema).write.parquet(f"{base}/in")
+
+    def publish(i):
+        query = st.prediction_sink(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/cp{i}")
+        try:
+            query.awaitTermination()
+            return True
+        except Exception:
+            return False
+
+    with ThreadPoolExecutor(2) as pool:
+        assert sorted(pool.map(publish, range(2))) == [False, True]
+    assert spark.read.parquet(f"{base}/out").count() == 1
+
+
+def test_a_finite_stream_gives_its_last_minutes(spark):
+    base = scratch_path(spark, "ticks")
+    schema = "ts timestamp_ntz, ticker string, price double, size double, seq long"
+    at = [dt.datetime(2024, 1, 2, 9, 30, s) for s in (0, 5)] + [dt.datetime(2024, 1, 2, 9, 31, 2, 500)]
+    frame = spark.createDataFrame([(t, "A", 1.0 + i, 2.0, i) for i, t in enumerate(at)], schema)
+    frame.write.parquet(f"{base}/in")
+    bars = st.run_to_end(spark, spark.readStream.schema(frame.schema).parquet(f"{base}/in"), st.minute_bars, "bars")
+    assert sorted((r.minute.minute, r.open, r.close, r.trade_count) for r in bars.collect()) == [(30, 1.0, 2.0, 2.0), (31, 3.0, 3.0, 1.0)]
 
 
 def test_published_predictions_are_never_overwritten(spark):
