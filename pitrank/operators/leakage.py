@@ -202,7 +202,7 @@ def daily_correlations(
 def _correlations(long: DataFrame, ys: Sequence[str]) -> DataFrame:
     keys = ["trade_date", "feature"]
     values = ["x", *ys]
-    ranked = with_rank_parts_of(long, keys, values).withColumns({f"_r_{c}": average_rank(c) for c in values})
+    ranked = with_rank_parts_of(long, keys, values, made=lambda c: {f"_r_{c}": average_rank(c)})
     aggs = [F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
             F.var_pop("x").alias("vx"), F.var_pop("_r_x").alias("vrx")]
     for y in ys:

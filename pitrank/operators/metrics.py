@@ -11,7 +11,8 @@ from pitrank.operators.ranks import top_k
 def scored_top_k(predictions: DataFrame, labels: DataFrame, k: int = TOP_K) -> DataFrame:
     """Top-k rows per day with position and label (missing label = 0)."""
     best = top_k(predictions.select("trade_date", "ticker", "score"), k, position="pos")
-    return best.join(labels.select("trade_date", "ticker", "label"), ["trade_date", "ticker"], "left").withColumn(
+    hits = labels.where("label = 1").select("trade_date", "ticker", "label")
+    return best.join(hits, ["trade_date", "ticker"], "left").withColumn(
         "label", F.coalesce(F.col("label"), F.lit(0))
     )
 

@@ -11,7 +11,7 @@ are exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
@@ -32,58 +32,53 @@ def slice_of(value: str | Column, grain: int = GRAIN) -> Column:
 
 #: Slice of a head row in the windows of the other columns: below all slices, spread over as many tasks.
 ELSEWHERE, SPREAD = -(1 << 50), 4096
+_HEAD = ("_head", "_of", "_slice", "_before", "_total")
 
 
-def _with_heads(df: DataFrame, group: Sequence[str], slices: dict[str, Column], counted: dict[str, Column], descending: bool = False) -> DataFrame:
-    """``df`` with ``_slice_<name>`` a name, and one head row a name, group and slice (``_head``).
+def _with_heads(df: DataFrame, group: Sequence[str], slices: Sequence[Column], counted: Sequence[Column], descending: bool = False) -> DataFrame:
+    """``df`` with one head row a ranked column (its number ``_of``), group and slice.
 
-    A head row holds ``_before_<name>`` (counted rows of the slices before its own) and ``_n_<name>`` (of the
-    group); ``counted`` is 1 for the rows that count, else 0.
+    A head row holds ``_before`` (counted rows of the slices before its own) and ``_total`` (of the group);
+    ``counted`` is 1 for the rows that count, else 0.  These columns are null in all other rows.
     """
     group = list(group)
-    keyed = df.withColumns({f"_slice_{name}": c for name, c in slices.items()})
-    one = [F.struct(F.lit(name).alias("_name"), F.col(f"_slice_{name}").alias("_slice"), counted[name].cast("long").alias("_rows")) for name in slices]
-    sizes = (keyed.select(*group, F.explode(F.array(*one)).alias("_one")).select(*group, "_one.*")
-             .groupBy(*group, "_name", "_slice").agg(F.sum("_rows").alias("_rows")))
+    one = [F.struct(F.lit(i).alias("_of"), s.alias("_slice"), c.cast("long").alias("_rows")) for i, (s, c) in enumerate(zip(slices, counted, strict=True))]
+    sizes = (df.select(*group, F.explode(F.array(*one)).alias("_one")).select(*group, "_one.*")
+             .groupBy(*group, "_of", "_slice").agg(F.sum("_rows").alias("_rows")))
     order = F.when(F.col("_slice") > LAST_SLICE, 1).otherwise(0)
-    whole = W.partitionBy(*group, "_name")
+    whole = W.partitionBy(*group, "_of")
     along = whole.orderBy(order, F.desc("_slice") if descending else F.asc("_slice"))
     before = F.coalesce(F.sum("_rows").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = sizes.select(*group, "_name", "_slice", before.alias("_before"), F.sum("_rows").over(whole).alias("_n"))
-    elsewhere = F.lit(ELSEWHERE) - F.pmod(F.xxhash64("_name", "_slice"), F.lit(SPREAD))
-    own = {name: F.col("_name") == name for name in slices}
-    heads = placed.select(
-        *group, *[F.when(own[name], F.col("_slice")).otherwise(elsewhere).alias(f"_slice_{name}") for name in slices],
-        *[F.when(own[name], F.col(c)).alias(f"{c}_{name}") for name in slices for c in ("_before", "_n")], F.lit(True).alias("_head"))
-    return keyed.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
+    heads = sizes.select(*group, F.lit(True).alias("_head"), "_of", "_slice", before.alias("_before"), F.sum("_rows").over(whole).alias("_total"))
+    return df.withColumn("_head", F.lit(False)).unionByName(heads, allowMissingColumns=True)
 
 
-def _rows(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The rows of the caller again, without heads and working columns."""
-    return df.where(~F.col("_head")).drop("_head", *[f"{c}_{name}" for name in names for c in ("_slice", "_before", "_n", "_first", "_last")])
+def _slice_window(group: Sequence[str], i: int, piece: Column, *order: Column) -> WindowSpec:
+    """Rows of one slice of ranked column ``i``, their head first."""
+    elsewhere = F.lit(ELSEWHERE) - F.pmod(F.xxhash64("_of", "_slice"), F.lit(SPREAD))
+    own = F.when(~F.col("_head"), piece.cast("long")).when(F.col("_of") == i, F.col("_slice")).otherwise(elsewhere)
+    return W.partitionBy(*group, own).orderBy(F.col("_head").desc(), *order)
 
 
-def _slice_window(group: Sequence[str], name: str, *order: Column) -> WindowSpec:
-    return W.partitionBy(*group, f"_slice_{name}").orderBy(F.col("_head").desc(), *order)
-
-
-def with_rank_parts_of(df: DataFrame, group: Sequence[str], values: Sequence[str], grain: int = GRAIN) -> DataFrame:
+def with_rank_parts_of(df: DataFrame, group: Sequence[str], values: Sequence[str], grain: int = GRAIN,
+                       made: Callable[[str], dict[str, Column]] | None = None) -> DataFrame:
     """Add ``_rank_<v>`` (min rank, ascending, nulls last), ``_peers_<v>`` (ties) and ``_count_<v>`` (non-null rows) for every value column.
 
-    A value column may not be one of the group columns.
+    ``made`` names what is kept of a column's parts instead of them, so that fewer columns travel on.  A value
+    column may not be one of the group columns.
     """
-    placed = _with_heads(df, group, {v: slice_of(v, grain) for v in values},
-                         {v: F.when(F.col(v).isNotNull(), 1).otherwise(0) for v in values})
-    for v in values:
+    placed = _with_heads(df, group, [slice_of(v, grain) for v in values], [F.when(F.col(v).isNotNull(), 1).otherwise(0) for v in values])
+    for i, v in enumerate(values):
         # The default running frame includes all ties, so the running count is the last position of a tie and
         # rank() its first (less the head): growing frames only, one sort.
-        w = _slice_window(group, v, F.col(v).asc_nulls_last())
-        placed = placed.select(
-            "*", (F.rank().over(w).cast("long") - 1).alias(f"_first_{v}"), F.count(v).over(w).alias(f"_last_{v}"),
-            F.first(f"_before_{v}").over(w).alias(f"_rank_{v}"), F.first(f"_n_{v}").over(w).alias(f"_count_{v}"))
-    placed = placed.withColumns({f"_rank_{v}": F.col(f"_rank_{v}") + F.col(f"_first_{v}") for v in values}
-                                | {f"_peers_{v}": F.col(f"_last_{v}") - F.col(f"_first_{v}") + 1 for v in values})
-    return _rows(placed, values)
+        w = _slice_window(group, i, slice_of(v, grain), F.col(v).asc_nulls_last())
+        carried = placed.columns
+        parts = placed.select(
+            *carried, (F.rank().over(w).cast("long") - 1).alias("_first"), F.count(v).over(w).alias("_last"),
+            F.first("_before").over(w).alias("_ahead"), F.first("_total").over(w).alias(f"_count_{v}")).select(
+            *carried, (F.col("_ahead") + F.col("_first")).alias(f"_rank_{v}"), (F.col("_last") - F.col("_first") + 1).alias(f"_peers_{v}"), f"_count_{v}")
+        placed = parts if made is None else parts.select(*carried, *[c.alias(n) for n, c in made(v).items()])
+    return placed.where(~F.col("_head")).drop(*_HEAD)
 
 
 def with_rank_parts(df: DataFrame, group: Sequence[str], value: str, grain: int = GRAIN) -> DataFrame:
@@ -93,10 +88,10 @@ def with_rank_parts(df: DataFrame, group: Sequence[str], value: str, grain: int
 
 
 def _numbered(df: DataFrame, group: Sequence[str], piece: Column, out: str, kind: str, *order: Column, descending: bool = False) -> DataFrame:
-    placed = _with_heads(df, group, {"p": piece}, {"p": F.lit(1)}, descending)
-    w = _slice_window(group, "p", *order)
-    at = F.first("_before_p").over(w) + F.row_number().over(w) - 1
-    return _rows(placed.select("*", at.cast(kind).alias("_at")), ["p"]).withColumn(out, F.col("_at")).drop("_at")
+    w = _slice_window(group, 0, piece, *order)
+    at = F.first("_before").over(w) + F.row_number().over(w) - 1
+    placed = _with_heads(df, group, [piece], [F.lit(1)], descending).select("*", at.cast(kind).alias("_at"))
+    return placed.where(~F.col("_head")).drop(*_HEAD).withColumn(out, F.col("_at")).drop("_at")
 
 
 def positions_descending(df: DataFrame, group: Sequence[str], value: str, tie_break: Sequence[str], out: str, grain: int = GRAIN) -> DataFrame:
@@ -116,15 +111,9 @@ def average_pct_rank(value: str = "") -> Column:
     return average_rank(value) / F.col(f"_count_{value}" if value else "_n")
 
 
-def without_parts(df: DataFrame, values: Sequence[str]) -> DataFrame:
-    return df.drop(*[f"{part}_{v}" for v in values for part in ("_rank", "_peers", "_count")])
-
-
 def add_pct_ranks(df: DataFrame, group: Sequence[str], outs: dict[str, str], **how) -> DataFrame:
     """Percentile ranks of many columns (``value: name``) by one operator."""
-    ranked = with_rank_parts_of(df, group, list(outs), **how)
-    made = {out: F.when(F.col(v).isNotNull(), average_pct_rank(v)) for v, out in outs.items()}
-    return without_parts(ranked.withColumns(made), list(outs))
+    return with_rank_parts_of(df, group, list(outs), made=lambda v: {outs[v]: F.when(F.col(v).isNotNull(), average_pct_rank(v))}, **how)
 
 
 def add_pct_rank(df: DataFrame, group: Sequence[str], value: str, out: str, **how) -> DataFrame:

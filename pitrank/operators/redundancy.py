@@ -24,7 +24,7 @@ def daily_spearman(features: DataFrame, new: Sequence[str], anchor: str = ANCHOR
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in new])).alias("f"),
     ).select("trade_date", "y", "f.*").where(F.col("x").isNotNull())
     keys = ["trade_date", "feature"]
-    long = with_rank_parts_of(long, keys, ["x", "y"]).withColumns({"rx": average_rank("x"), "ry": average_rank("y")})
+    long = with_rank_parts_of(long, keys, ["x", "y"], made=lambda c: {f"r{c}": average_rank(c)})
     scale = F.sqrt(F.var_pop("rx") * F.var_pop("ry"))
     daily = long.groupBy(*keys).agg(F.covar_pop("rx", "ry").alias("c"), scale.alias("s"), F.count(F.lit(1)).alias("n"))
     return daily.where("s > 0").select(*keys, "n", (F.col("c") / F.col("s")).alias("spearman"))
@@ -37,11 +37,14 @@ def residual_share(features: DataFrame, new: Sequence[str], incumbents: Sequence
     co-moment aggregate.
     """
     cols = [*incumbents, *new]
-    ranked = with_rank_parts_of(features.na.drop(subset=cols).select("trade_date", *cols), ["trade_date"], cols)
-    centred = ranked.select(*[
-        (average_rank(c) / F.col(f"_count_{c}") - (F.col(f"_count_{c}") + 1) / (2 * F.col(f"_count_{c}"))).alias(c) for c in cols])
+    def centre(c: str) -> dict:
+        n = F.col(f"_count_{c}")
+        return {f"_p_{c}": average_rank(c) / n - (n + 1) / (2 * n)}
+
+    complete = features.na.drop(subset=cols).select("trade_date", *cols)
+    centred = with_rank_parts_of(complete, ["trade_date"], cols, made=centre)
     size = len(incumbents)
-    solved = with_cholesky(co_moments(centred, cols), size, len(new))
+    solved = with_cholesky(co_moments(centred, [f"_p_{c}" for c in cols]), size, len(new))
     shares = F.array(*[F.struct(F.lit(c).alias("feature"), unexplained_share(size, size + i).alias("residual_share")) for i, c in enumerate(new)])
     return solved.select(F.explode(shares).alias("s")).select("s.*")
 

@@ -78,14 +78,19 @@ def daily_bars(spark, sf):
     return P.daily_bars(spark, sf)
 
 
-def _calendar(spark, sf):
+def _bars(spark, sf):
+    """Daily bars written once per query: ticks are scanned once however often the bars are used."""
+    return stored(P.daily_bars(spark, sf))
+
+
+def _calendar(bars):
     """Sessions computed once per query: calendar-sized, used by many joins of one plan."""
-    return cut_lineage(cal.sessions(P.bar_dates(spark, sf)))
+    return cut_lineage(cal.sessions(bars))
 
 
 def _universe(spark, sf, bars=None, calendar=None):
-    bars = bars if bars is not None else P.daily_bars(spark, sf)
-    calendar = calendar if calendar is not None else _calendar(spark, sf)
+    bars = bars if bars is not None else _bars(spark, sf)
+    calendar = calendar if calendar is not None else _calendar(bars)
     return uni.build_universe(
         bars, P.ticker_meta(spark, sf), P.MIN_CLOSE, P.MIN_DOLLAR_VOLUME, P.MAX_STALENESS, calendar, ordered=True,
     )
@@ -96,9 +101,17 @@ def universe(spark, sf):
     return rounded(_universe(spark, sf), 6, "avg_dollar_volume_20d")
 
 
-def _labels(spark, sf, calendar=None):
-    bars = P.daily_bars(spark, sf)
-    return uni.build_labels(_universe(spark, sf, bars, calendar), bars, P.corporate_actions(spark, sf))
+def _labels(spark, sf, bars=None, calendar=None, universe=None):
+    bars = bars if bars is not None else _bars(spark, sf)
+    universe = universe if universe is not None else _universe(spark, sf, bars, calendar)
+    return uni.build_labels(universe, bars, P.corporate_actions(spark, sf))
+
+
+def _evaluated(spark, sf):
+    """Volatility picks and the labels they are scored against, from bars and labels written once."""
+    bars = _bars(spark, sf)
+    calendar = _calendar(bars)
+    return bl.realised_vol(bars, calendar=calendar), stored(_labels(spark, sf, bars, calendar))
 
 
 @query
@@ -111,11 +124,6 @@ def labels_topk(spark, sf):
 _BARS_ROUNDED = ("relvol_prev", "vol5", "vol20", "volofvol", "logdv", "logpx")
 
 
-def _bars(spark, sf):
-    """Daily bars written once per query: ticks are scanned once however often the bars are used."""
-    return stored(P.daily_bars(spark, sf))
-
-
 def _bars_universe(spark, sf):
     return fb.bars_universe(P.daily_bars(spark, sf))
 
@@ -156,9 +164,10 @@ def t1_bar_features(spark, sf):
 
 
 def _t1(spark, sf, **kw):
-    bars, calendar = P.daily_bars(spark, sf), _calendar(spark, sf)
+    bars = _bars(spark, sf)
+    calendar = _calendar(bars)
     return t1.build_t1_features(
-        bars, P.ticker_meta(spark, sf), P.earnings(spark, sf), _labels(spark, sf, calendar),
+        bars, P.ticker_meta(spark, sf), P.earnings(spark, sf), _labels(spark, sf, bars, calendar),
         P.market_context(bars), P.short_interest(spark, sf), ordered=True, calendar=calendar, **kw,
     )
 
@@ -244,14 +253,14 @@ def sector_flags(spark, sf):
 
 @query
 def missing_bars(spark, sf):
-    bars = P.daily_bars(spark, sf)
+    bars = _bars(spark, sf)
     return uni.missing_bars(_universe(spark, sf, bars), bars)
 
 
 @query
 def topk_returns(spark, sf):
     """Positive labels only, by a top-k that never ranks the whole cross section."""
-    bars = P.daily_bars(spark, sf)
+    bars = _bars(spark, sf)
     top = uni.top_k_returns(_universe(spark, sf, bars), bars, P.corporate_actions(spark, sf))
     return top.withColumn("rank", F.col("rank").cast("long"))
 
@@ -343,9 +352,10 @@ def b4_gap(spark, sf):
 
 @query
 def all_baselines(spark, sf):
-    bars = P.daily_bars(spark, sf)
+    bars = _bars(spark, sf)
+    universe = stored(_universe(spark, sf, bars))
     out = bl.all_baselines(
-        _universe(spark, sf, bars), _labels(spark, sf), bars, P.earnings(spark, sf), P.minute_bars(spark, sf),
+        universe, stored(_labels(spark, sf, bars, universe=universe)), bars, P.earnings(spark, sf), P.minute_bars(spark, sf),
         P.prior_close(P.event_daily_bars(spark, sf)), seed=7, floor=5000.0, sealed_from=P.EVENTS_SEALED_FROM,
     )
     return out.groupBy("baseline", "trade_date").agg(F.count(F.lit(1)).alias("n_picks"), F.min("ticker").alias("first_ticker"))
@@ -356,49 +366,49 @@ def all_baselines(spark, sf):
 
 @query
 def topk_per_day(spark, sf):
-    picked = mt.scored_top_k(_b2(spark, sf), _labels(spark, sf)).select(
+    picked = mt.scored_top_k(*_evaluated(spark, sf)).select(
         "trade_date", "ticker", "score", F.col("pos").cast("long").alias("pos"), F.col("label").cast("long").alias("label"))
     return rounded(picked, 8, "score")
 
 
 @query
 def hits_per_day(spark, sf):
-    return mt.hits_per_day(_b2(spark, sf), _labels(spark, sf))
+    return mt.hits_per_day(*_evaluated(spark, sf))
 
 
 @query
 def precision_at_k(spark, sf):
-    return rounded(mt.precision_at_k(_b2(spark, sf), _labels(spark, sf)), 9, "precision")
+    return rounded(mt.precision_at_k(*_evaluated(spark, sf)), 9, "precision")
 
 
 @query
 def map_at_k(spark, sf):
-    return rounded(mt.map_at_k(_b2(spark, sf), _labels(spark, sf)), 9, "map")
+    return rounded(mt.map_at_k(*_evaluated(spark, sf)), 9, "map")
 
 
 @query
 def per_year(spark, sf):
-    return rounded(mt.per_year_report(_b2(spark, sf), _labels(spark, sf)), 9, "precision_at_k", "map_at_k", "mean_hits")
+    return rounded(mt.per_year_report(*_evaluated(spark, sf)), 9, "precision_at_k", "map_at_k", "mean_hits")
 
 
 @query
 def decay_series(spark, sf):
     """The yearly report unrolled from its year-ordered arrays."""
-    s = mt.decay_series(_b2(spark, sf), _labels(spark, sf))
+    s = mt.decay_series(*_evaluated(spark, sf))
     rows = s.select(F.posexplode(F.arrays_zip("year", "mean_hits", "n_days")).alias("pos", "r"))
     return rounded(rows.select(F.col("pos").cast("long").alias("pos"), F.col("r.year").alias("year"), F.col("r.mean_hits").alias("mean_hits"),
                                F.col("r.n_days").alias("n_days")), 9, "mean_hits")
 
 
 def _paired(spark, sf):
-    labels = _labels(spark, sf)
-    return mt.paired_hits(_b2(spark, sf), bl.yesterday_repeat(labels), labels)
+    b2, labels = _evaluated(spark, sf)
+    return mt.paired_hits(b2, bl.yesterday_repeat(labels), labels)
 
 
 @query
 def compare_baseline(spark, sf):
-    labels = _labels(spark, sf)
-    row = mt.compare_to_baseline(_b2(spark, sf), bl.yesterday_repeat(labels), labels)
+    b2, labels = _evaluated(spark, sf)
+    row = mt.compare_to_baseline(b2, bl.yesterday_repeat(labels), labels)
     return rounded(row, 9, "mean_hits_delta")
 
 
@@ -429,7 +439,7 @@ def significance_pvalues(spark, sf):
 @query
 def holm(spark, sf):
     """Family-wise correction over one p-value per year: the share of days the picks scored no hit."""
-    daily = mt.hits_per_day(_b2(spark, sf), _labels(spark, sf))
+    daily = mt.hits_per_day(*_evaluated(spark, sf))
     p = daily.groupBy(F.year("trade_date").cast("string").alias("variant")).agg(
         (F.sum((F.col("hits") == 0).cast("long")) / F.count(F.lit(1)) / 10).alias("p_value")
     )
@@ -438,8 +448,8 @@ def holm(spark, sf):
 
 @query
 def baseline_gate(spark, sf):
-    labels = _labels(spark, sf)
-    return wf.baseline_gate(_b2(spark, sf), bl.yesterday_repeat(labels), labels, min_years_won=3, min_years=5)
+    b2, labels = _evaluated(spark, sf)
+    return wf.baseline_gate(b2, bl.yesterday_repeat(labels), labels, min_years_won=3, min_years=5)
 
 
 @query
@@ -480,12 +490,16 @@ def q_split_days(spark, sf):
 
 @query
 def q_coverage(spark, sf):
-    return qa.coverage_offenders(_labels(spark, sf), _universe(spark, sf))
+    bars = _bars(spark, sf)
+    universe = stored(_universe(spark, sf, bars))
+    return qa.coverage_offenders(_labels(spark, sf, bars, universe=universe), universe)
 
 
 @query
 def sanity_report(spark, sf):
-    return qa.sanity_report(_labels(spark, sf), P.corporate_actions(spark, sf), _universe(spark, sf))
+    bars = _bars(spark, sf)
+    universe = stored(_universe(spark, sf, bars))
+    return qa.sanity_report(stored(_labels(spark, sf, bars, universe=universe)), P.corporate_actions(spark, sf), universe)
 
 
 # --- leakage -----------------------------------------------------------------------------------
@@ -686,8 +700,8 @@ def disappeared_tickers(spark, sf):
 
 @query
 def score_days(spark, sf):
-    labels = _labels(spark, sf)
-    return mon.score_days(_b2(spark, sf), bl.yesterday_repeat(labels), labels)
+    b2, labels = _evaluated(spark, sf)
+    return mon.score_days(b2, bl.yesterday_repeat(labels), labels)
 
 
 @query
@@ -829,7 +843,7 @@ def stream_monitor(spark, sf):
 def _baseline_hits(spark, sf):
     """Daily hits of B0 to B3 on the daily bars and of B4 on the event bars, each against the hits of B1 (B4: of B0) on its days."""
     bars = _bars(spark, sf)
-    calendar = cut_lineage(cal.sessions(bars))
+    calendar = _calendar(bars)
     universe = stored(_universe(spark, sf, bars, calendar))
     labels = stored(uni.build_labels(universe, bars, P.corporate_actions(spark, sf)))
     picks = {"b0": bl.random_pick(universe, seed=7), "b1": bl.yesterday_repeat(labels), "b2": bl.realised_vol(bars, calendar=calendar),
