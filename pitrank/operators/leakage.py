@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -11,7 +12,7 @@ from pitrank.contracts import LeakageError
 from pitrank.functions.clock import decision_time
 from pitrank.functions.hashing import uniform_key
 from pitrank.functions.scalars import random_guess_tolerance
-from pitrank.operators.ranks import average_rank, positions, with_rank_parts_of
+from pitrank.operators.ranks import average_rank, positions, top_k, with_rank_parts_of
 from pitrank.session import stored
 
 LABEL_COLUMNS = ("return_t", "rank", "label")
@@ -257,6 +258,7 @@ def correlation_leaks(
 
 
 def assert_self_exclusion(features: DataFrame, labels: DataFrame, **how) -> None:
+    """Raise if a feature equals a label column of its own day or follows it closely."""
     assert_empty(identity_leaks(features, labels).where("identical"), "feature equals a same-day label column")
     assert_empty(correlation_leaks(features, labels, **how).where("leaks"), "feature disguises a same-day label")
 
@@ -270,14 +272,22 @@ def shuffle_labels(labels: DataFrame, seed: int = 0) -> DataFrame:
     Row i in ticker order receives the values of row i in hash order: a bijection
     within the day, independent of partitioning.
     """
+    return shuffled_trials(labels, [seed]).select(*labels.columns)
+
+
+def shuffled_trials(labels: DataFrame, seeds: Sequence[int]) -> DataFrame:
+    """One permutation a seed, all in one frame, numbered by ``trial``."""
     values = [c for c in ("rank", "return_t", "label") if c in labels.columns]
     keep = [c for c in labels.columns if c not in values]
-    keyed = labels.withColumn("_h", uniform_key(f"{seed}:from", "trade_date", "ticker")).withColumn(
-        "_g", uniform_key(f"{seed}:to", "trade_date", "ticker")
-    )
-    source = positions(keyed, ["trade_date"], "_h", ["ticker"], "_i").select("trade_date", "_i", *values)
-    target = positions(keyed, ["trade_date"], "_g", ["ticker"], "_i").select("_i", *keep)
-    return target.join(source, ["trade_date", "_i"]).select(*labels.columns)
+    keys = F.array(*[
+        F.struct(F.lit(i).alias("trial"), uniform_key(f"{seed}:from", "trade_date", "ticker").alias("_h"),
+                 uniform_key(f"{seed}:to", "trade_date", "ticker").alias("_g"))
+        for i, seed in enumerate(seeds)])
+    keyed = labels.select("*", F.explode(keys).alias("_k")).select(*labels.columns, "_k.*")
+    group = ["trial", "trade_date"]
+    source = positions(keyed.select(*group, "ticker", "_h", *values), group, "_h", ["ticker"], "_i").select(*group, "_i", *values)
+    target = positions(keyed.select("trial", "_g", *keep), group, "_g", ["ticker"], "_i").select("trial", "_i", *keep)
+    return target.join(source, [*group, "_i"]).select("trial", *labels.columns)
 
 
 def expected_precision(features: DataFrame, k: int, trials: int) -> DataFrame:
@@ -300,8 +310,17 @@ def tolerance_table(features: DataFrame, k: int = C.TOP_K, trials: int = 5, mult
     )
 
 
-def shuffle_label_test(
-    fit_predict: Callable[[DataFrame, DataFrame], DataFrame],
+def trial_precision(predictions: DataFrame, labels: DataFrame, k: int = C.TOP_K) -> DataFrame:
+    """``trial, precision``: precision@k of every trial's predictions against the true labels, in one job."""
+    best = top_k(predictions.select("trial", "trade_date", "ticker", "score"), k, group=("trial", "trade_date"))
+    hits = labels.where("label = 1").select("trade_date", "ticker", F.lit(1).alias("_hit"))
+    days = (best.join(hits, ["trade_date", "ticker"], "left").groupBy("trial", "trade_date")
+            .agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("p")))
+    return days.groupBy("trial").agg(F.avg("p").alias("precision"))
+
+
+def shuffle_label_trials(
+    predict_trials: Callable[[DataFrame, DataFrame], DataFrame],
     features: DataFrame,
     labels: DataFrame,
     k: int = C.TOP_K,
@@ -309,21 +328,38 @@ def shuffle_label_test(
     seed: int = 0,
     multiplier: float = 3.0,
     z: float = 3.0,
-) -> dict:
-    """Refit on permuted labels, score against the true ones; precision must look like chance."""
-    from pitrank.operators.metrics import precision_at_k
-
-    scores = []
-    for trial in range(trials):
-        predictions = fit_predict(features, shuffle_labels(labels, seed * 1000 + trial))
-        scores.append(precision_at_k(predictions, labels, k).first()["precision"])
-    row = tolerance_table(features, k, trials, multiplier, z).first()
-    seen = [s for s in scores if s is not None]
-    observed = sum(seen) / len(seen) if seen else None
-    expected, tolerance = row["expected_precision"], row["tolerance"]
-    passed = observed is not None and expected is not None and observed <= tolerance
-    return {"observed_precision": observed, "expected_precision": expected, "tolerance": tolerance,
-            "trials": scores, "passed": passed}
+) -> DataFrame:
+    """One row a trial: its precision on the true labels after learning permuted ones, what chance gives, and the verdict of all.
+
+    ``predict_trials(features, shuffled)`` learns each ``trial`` of the permuted labels by itself and returns
+    ``trial, trade_date, ticker, score``.
+    """
+    shuffled = shuffled_trials(labels, [seed * 1000 + t for t in range(trials)])
+    scored = trial_precision(predict_trials(features, shuffled), labels, k)
+    chance = tolerance_table(features, k, trials, multiplier, z).select("expected_precision", "tolerance")
+    # One row a trial and one row of chance.
+    rows = scored.crossJoin(F.broadcast(chance))
+    every = W.partitionBy()
+    observed = F.avg("precision").over(every)
+    return rows.select("trial", "precision", "expected_precision", "tolerance", observed.alias("observed_precision"),
+                       F.coalesce(observed <= F.col("tolerance"), F.lit(False)).alias("passed"))
+
+
+def each_trial(fit_predict: Callable[[DataFrame, DataFrame], DataFrame], trials: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A learner of one label table, refitted on every trial."""
+    def predict(features: DataFrame, shuffled: DataFrame) -> DataFrame:
+        kept = stored(shuffled)
+        parts = [fit_predict(features, kept.where(F.col("trial") == t).drop("trial")).withColumn("trial", F.lit(t)) for t in range(trials)]
+        return reduce(DataFrame.unionByName, parts)
+
+    return predict
+
+
+def shuffle_label_verdict(rows: DataFrame) -> dict:
+    """The few rows of ``shuffle_label_trials`` as one verdict; without any row the test has failed."""
+    got = sorted((r.asDict() for r in rows.collect()), key=lambda r: r["trial"])
+    first = got[0] if got else {"observed_precision": None, "passed": False}
+    return {"observed_precision": first["observed_precision"], "passed": first["passed"], "trials": [r["precision"] for r in got]}
 
 
 # --- L7: sealed period ------------------------------------------------------------------

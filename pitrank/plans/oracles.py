@@ -671,6 +671,25 @@ FROM labels_v
 oracle("shuffle_labels", """
 SELECT CAST(t.trade_date AS VARCHAR) AS trade_date, t.ticker, CAST(s.rank AS INTEGER) AS rank, s.return_t, CAST(s.label AS INTEGER) AS label
 FROM shuf_v t JOIN shuf_v s ON t.trade_date = s.trade_date AND t.i_to = s.i_from""")
+_at = "CAST(('0x' || left(md5((2000 + t) || ':{}|' || CAST(trade_date AS VARCHAR) || '|' || ticker), 13)) AS BIGINT)"
+cte("shuft_v", f"""
+SELECT *, row_number() OVER (PARTITION BY t, trade_date ORDER BY {_at.format('from')}, ticker) AS i_from, row_number() OVER (PARTITION BY t, trade_date ORDER BY {_at.format('to')}, ticker) AS i_to
+FROM labels_v, (SELECT unnest([0, 1, 2]) AS t)
+""")
+cte("shufs_v", """
+SELECT a.t, a.ticker, avg(b.label) AS score FROM shuft_v a JOIN shuft_v b ON a.t = b.t AND a.trade_date = b.trade_date AND a.i_to = b.i_from GROUP BY 1, 2
+""")
+cte("shufp_v", """
+SELECT t, avg(p) AS precision FROM (
+  SELECT t, trade_date, avg(label) AS p FROM (
+    SELECT s.t, l.trade_date, l.label FROM labels_v l JOIN shufs_v s ON l.ticker = s.ticker
+    QUALIFY row_number() OVER (PARTITION BY s.t, l.trade_date ORDER BY s.score DESC, l.ticker) <= 10) GROUP BY 1, 2) GROUP BY t
+""")
+oracle("shuffle_label_test", """
+SELECT t AS trial, round(precision, 9) AS precision, round(p, 9) AS expected_precision, round(tol, 9) AS tolerance, round(avg(precision) OVER (), 9) AS observed_precision,
+       avg(precision) OVER () <= tol AS passed
+FROM shufp_v, (SELECT p, least(1.0::DOUBLE, greatest(p, 3 * p, p + 3 * sqrt(p * (1 - p) / (n_days * 30)))) AS tol
+               FROM (SELECT count(*) AS n_days, least(1.0::DOUBLE, 10.0::DOUBLE / avg(n)) AS p FROM (SELECT trade_date, count(DISTINCT ticker) AS n FROM labels_v GROUP BY trade_date)))""")
 oracle("tolerance", """
 SELECT n_days, round(a, 9) AS avg_candidates, round(p, 9) AS expected_precision, n_days * 50 AS observations,
        round(least(1.0::DOUBLE, greatest(p, 3 * p, p + 3 * sqrt(p * (1 - p) / (n_days * 50)))), 9) AS tolerance

@@ -545,6 +545,19 @@ def shuffle_labels(spark, sf):
     return lk.shuffle_labels(_labels(spark, sf), seed=3).select("trade_date", "ticker", "rank", "return_t", "label")
 
 
+@query
+def shuffle_label_test(spark, sf):
+    """Three trials of a learner that scores a ticker by its share of positives in permuted labels: one row a trial."""
+    labels = stored(_labels(spark, sf))
+
+    def share(features, shuffled):
+        known = shuffled.groupBy("trial", "ticker").agg(F.avg("label").alias("score"))
+        return features.join(known, "ticker").select("trial", "trade_date", "ticker", "score")
+
+    rows = lk.shuffle_label_trials(share, labels.select("trade_date", "ticker"), labels, trials=3, seed=2)
+    return rounded(rows, 9, "precision", "expected_precision", "tolerance", "observed_precision")
+
+
 @query
 def tolerance(spark, sf):
     row = lk.tolerance_table(_universe(spark, sf))

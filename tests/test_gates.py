@@ -1,8 +1,10 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from pitrank import contracts as C
-from pitrank.operators import leakage as lk, quality as qa
+from pitrank.operators import baselines as bl, leakage as lk, quality as qa
 from pitrank.sources import tables
 from pitrank.session import scratch_path
 from tests.frames import D, actions, at, bars, labels, rows, weekdays
@@ -55,11 +57,44 @@ def test_shuffle_is_a_permutation_within_the_day(lab):
 
 def test_shuffle_test_catches_a_leaking_model(lab):
     leaking = lambda x, y: x.select("trade_date", "ticker", F.col("x").alias("score"))
-    bad = lk.shuffle_label_test(leaking, _features(lab.withColumn("label", (F.col("rank") <= 1).cast("int")), F.col("return_t")),
-                                lab.withColumn("label", (F.col("rank") <= 1).cast("int")), k=1, trials=2)
+    bad = lk.shuffle_label_verdict(lk.shuffle_label_trials(lk.each_trial(leaking, 2), _features(lab.withColumn("label", (F.col("rank") <= 1).cast("int")), F.col("return_t")),
+                                lab.withColumn("label", (F.col("rank") <= 1).cast("int")), k=1, trials=2))
     assert not bad["passed"] and bad["observed_precision"] == 1.0
 
 
+def test_dates_without_rows_are_built_once(spark):
+    base = scratch_path(spark, "ledger")
+    dates = spark.createDataFrame([(d,) for d in DAYS], "trade_date date")
+    asked = []
+
+    def build(todo):
+        asked.append(sorted(r[0] for r in todo.collect()))
+        return todo.where(F.dayofmonth("trade_date") % 2 == 0).select("trade_date", F.lit("A").alias("ticker"))
+
+    none = tables.build_incrementally(spark, dates.limit(0), build, base, "v0")
+    assert none.count() == 0
+    odd = [d for d in DAYS if d.day % 2]
+    assert tables.build_incrementally(spark, dates.where(F.col("trade_date").isin(odd)), build, base, "v1").count() == 0
+    assert tables.build_incrementally(spark, dates, build, base, "v1").count() == len(DAYS) - len(odd)
+    tables.build_incrementally(spark, dates, build, base, "v1")
+    assert [a for a in asked if a] == [odd, sorted(set(DAYS) - set(odd))]
+
+
+def test_a_sealed_date_stops_every_baseline(spark):
+    sealed = [D("2023-01-03"), D("2023-01-04")]
+    stamped = spark.createDataFrame([(d, t, 1, 1, at(d - dt.timedelta(1))) for d in sealed for t in "AB"], "trade_date date, ticker string, label int, rank int, as_of timestamp_ntz")
+    long = bars(spark, [(d, t, 10.0 + i % 3) for i, d in enumerate(weekdays("2022-12-01", 30)) for t in "AB"])
+    earnings = spark.createDataFrame([(d, "A", at(D("2022-11-01"))) for d in weekdays("2022-12-01", 30)], "report_date date, ticker string, as_of timestamp_ntz")
+    minutes = spark.createDataFrame([(sealed[0], "A", at(sealed[0], 9), 11.0, 1e9, at(sealed[0], 9))], "trade_date date, ticker string, minute timestamp_ntz, close double, volume double, as_of timestamp_ntz")
+    close = spark.createDataFrame([(sealed[0], "A", 10.0, at(sealed[0] - dt.timedelta(1)))], "trade_date date, ticker string, close double, as_of timestamp_ntz")
+    runs = [lambda **s: bl.random_pick(stamped, **s), lambda **s: bl.yesterday_repeat(stamped.withColumn("as_of", F.col("trade_date").cast("timestamp_ntz")), **s),
+            lambda **s: bl.realised_vol(long, **s), lambda **s: bl.earnings_vol(long, earnings, window=5, **s), lambda **s: bl.premarket_gap(minutes, close, **s)]
+    for run in runs:
+        with pytest.raises(Exception, match="sealed period"):
+            run().collect()
+        assert run(token=C.UNSEAL_TOKEN).count() > 0
+
+
 def test_adjusted_and_unadjusted(spark):
     days = weekdays("2021-03-01", 10)
     flat = bars(spark, [(d, "A", 10.0) for d in days])
