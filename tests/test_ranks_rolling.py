@@ -102,3 +102,32 @@ def test_bar_features_equal_per_day_recomputation(spark, series, parts):
                 assert have is None, (name, day)
             else:
                 assert have == pytest.approx(value, abs=1e-9), (name, day)
+
+
+def test_many_ranks_read_their_input_twice(spark):
+    wide = spark.range(200).select(F.lit(1).alias("g"), *[((F.col("id") * k) % 17).cast("double").alias(f"v{k}") for k in range(1, 6)], "id")
+    ranked = ranks.add_pct_ranks(wide, ["g"], {f"v{k}": f"p{k}" for k in range(1, 6)})
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 2
+    got = ranked.toPandas().sort_values("id")
+    for k in range(1, 6):
+        want = got[f"v{k}"].rank(pct=True)
+        np.testing.assert_allclose(got[f"p{k}"], want)
+
+
+def test_least_squares_from_one_aggregate(spark):
+    from pitrank.operators import moments
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    x = np.column_stack([x, x[:, 0] * 2 - x[:, 1]])  # the last one is explained by the others
+    y = x[:, 0] - 3 * x[:, 2] + rng.normal(size=300)
+    names = ["a", "b", "c", "d", "y"]
+    df = spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=names))
+    one = moments.co_moments(df, names).first()
+    cov = [[one[f"c{max(i, j)}_{min(i, j)}"] for j in range(5)] for i in range(5)]
+    w = moments.solved_weights(cov)
+    fitted = np.linalg.lstsq(np.column_stack([x[:, :3], np.ones(300)]), y, rcond=None)[0]
+    np.testing.assert_allclose(w, [*fitted[:3], 0.0], atol=1e-9)
+    share = moments.with_cholesky(moments.co_moments(df, names), 4, 1).select(moments.unexplained_share(4, 4).alias("s")).first().s
+    left = y - np.column_stack([x[:, :3], np.ones(300)]) @ fitted
+    assert share == pytest.approx(left.var() / y.var())
