@@ -27,7 +27,7 @@ def prior_bar_stats(
     ticker is usable, and at most ``max_staleness`` sessions after its own; names
     whose last bar is older drop out.  ``max_staleness <= 0`` switches that off.
     """
-    known, keys = known_bars(bars, ordered)
+    known, keys = known_bars(bars, ordered, depth=window)
     w = timeline(keys, "trade_date")
     stats = known.select(
         "ticker",

@@ -76,6 +76,14 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def late_bars(bars: DataFrame) -> DataFrame:
+    """The bars with about one in twenty stamped 3 to 62 days late, after newer bars of its ticker."""
+    number = F.substring("ticker", 2, 20).cast("long")
+    day = F.datediff("trade_date", F.lit("1992-01-01").cast("date"))
+    delay = F.when((number * 31 + day * 7) % 20 == 0, 3 + (number + day) % 60).otherwise(0)
+    return bars.withColumn("as_of", F.col("as_of") + F.make_dt_interval(delay.cast("int"), F.lit(0), F.lit(0), F.lit(0)))
+
+
 def ticker_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two listing vintages per supplier: at listing, and 900 days later with a new market cap."""
     nation = table(spark, sf_dir, "nation")

@@ -363,6 +363,50 @@ LEFT JOIN gmkt_v k ON g.t = k.t
 oracle("t1_features", "SELECT * REPLACE (CAST(trade_date AS VARCHAR) AS trade_date, CAST(as_of AS VARCHAR) AS as_of) FROM t1_v")
 
 
+# Late bars by the definition: on each session, all bars that have arrived by then.
+cte("late_v", """
+SELECT b.*, c.session_idx, CAST(b.trade_date + 1 + CAST(CASE WHEN (s * 31 + d * 7) % 20 = 0 THEN 3 + (s + d) % 60 ELSE 0 END AS INTEGER) AS DATE) AS usable
+FROM (SELECT *, CAST(substr(ticker, 2) AS BIGINT) AS s, trade_date - DATE '1992-01-01' AS d FROM bars_v) b
+JOIN cal_v c ON b.trade_date = c.session
+""")
+cte("latest_v", f"""
+SELECT c.session AS t, x.ticker, max(x.trade_date) AS bar_date, arg_max(x.close, x.trade_date) AS prior_close
+FROM late_v x JOIN cal_v c ON x.usable <= c.session AND c.session_idx > x.session_idx AND c.session_idx <= x.session_idx + {P.MAX_STALENESS}
+GROUP BY 1, 2
+""")
+cte("lateadv_v", """
+SELECT t, ticker, any_value(prior_close) AS prior_close, avg(dollar_volume) AS adv FROM (
+  SELECT a.t, a.ticker, a.prior_close, x.dollar_volume FROM latest_v a
+  JOIN late_v x ON x.ticker = a.ticker AND x.usable <= a.t AND x.trade_date <= a.bar_date
+  QUALIFY row_number() OVER (PARTITION BY a.t, a.ticker ORDER BY x.trade_date DESC) <= 20)
+GROUP BY 1, 2
+""")
+oracle("late_bars_universe", f"""
+SELECT CAST(a.t AS VARCHAR) AS trade_date, a.ticker, m.security_type, m.exchange,
+       m.security_type IN {in_list(C.FLAGGED_TYPES)} AS flagged_type, a.prior_close,
+       round(a.adv, 6) AS avg_dollar_volume_20d, CAST(CAST(a.t AS TIMESTAMP) - INTERVAL 8 HOUR AS VARCHAR) AS as_of
+FROM lateadv_v a JOIN meta_v m ON a.ticker = m.ticker AND m.as_of <= CAST(a.t AS TIMESTAMP) - INTERVAL 8 HOUR
+ AND m.active_from <= a.t AND (m.active_to IS NULL OR m.active_to >= a.t)
+ AND m.exchange IN {in_list(C.ALLOWED_EXCHANGES)} AND m.security_type IN {in_list(C.CORE_TYPES + C.FLAGGED_TYPES)}
+WHERE a.prior_close >= {P.MIN_CLOSE} AND a.adv >= {P.MIN_DOLLAR_VOLUME}
+QUALIFY row_number() OVER (PARTITION BY a.t, a.ticker ORDER BY m.as_of DESC) = 1""")
+cte("lateseq_v", """
+SELECT t, ticker, close, n, close / lead(close) OVER (PARTITION BY t, ticker ORDER BY n) - 1.0 AS ret
+FROM (SELECT a.trade_date AS t, a.ticker, x.close, row_number() OVER (PARTITION BY a.trade_date, a.ticker ORDER BY x.trade_date DESC) AS n
+      FROM late_v a JOIN late_v x ON x.ticker = a.ticker AND x.usable <= a.trade_date)
+""")
+oracle("late_bars_features", """
+SELECT CAST(t AS VARCHAR) AS trade_date, ticker, max(ret) FILTER (WHERE n = 1) AS ret_1d,
+       max(close) FILTER (WHERE n = 1) / max(close) FILTER (WHERE n = 6) - 1.0 AS ret_5d,
+       max(close) FILTER (WHERE n = 1) / max(close) FILTER (WHERE n = 21) - 1.0 AS ret_20d,
+       round(CASE WHEN count(ret) FILTER (WHERE n <= 20) >= 20 THEN stddev_samp(ret) FILTER (WHERE n <= 20) END, 8) AS rvol_20d,
+       max(close) FILTER (WHERE n = 1) / max(close) FILTER (WHERE n <= 252) - 1.0 AS dist_from_52w_high,
+       max(close) FILTER (WHERE n = 1) / min(close) FILTER (WHERE n <= 252) - 1.0 AS dist_from_52w_low,
+       CAST(coalesce(max(sgn) FILTER (WHERE n = 1), 0) * (coalesce(min(n) FILTER (WHERE sgn IS DISTINCT FROM sgn1), 1) - 1) AS DOUBLE) AS consecutive_streak
+FROM (SELECT *, sign(ret) AS sgn, first_value(sign(ret)) OVER (PARTITION BY t, ticker ORDER BY n) AS sgn1 FROM lateseq_v)
+GROUP BY t, ticker""")
+
+
 oracle("asof_meta", """
 SELECT CAST(b.trade_date AS VARCHAR) AS trade_date, b.ticker, m.security_type, m.exchange, m.market_cap
 FROM bars_v b LEFT JOIN meta_v m ON b.ticker = m.ticker AND m.as_of <= CAST(b.trade_date AS TIMESTAMP) - INTERVAL 8 HOUR

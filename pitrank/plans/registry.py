@@ -101,6 +101,27 @@ def universe(spark, sf):
     return rounded(_universe(spark, sf), 6, "avg_dollar_volume_20d")
 
 
+@query
+def late_bars_universe(spark, sf):
+    """The universe where bars arrive late: each session sees what had arrived by then."""
+    bars = stored(P.late_bars(P.daily_bars(spark, sf)))
+    found = uni.build_universe(
+        bars, P.ticker_meta(spark, sf), P.MIN_CLOSE, P.MIN_DOLLAR_VOLUME, P.MAX_STALENESS, _calendar(bars),
+    )
+    return rounded(found, 6, "avg_dollar_volume_20d")
+
+
+@query
+def late_bars_features(spark, sf):
+    """Features of the newest bar known on the date of every bar, where bars arrive late."""
+    bars = stored(P.late_bars(P.daily_bars(spark, sf)))
+    names = ("ret_1d", "ret_5d", "ret_20d", "rvol_20d", "dist_from_52w_high", "dist_from_52w_low", "consecutive_streak")
+    live = t1.served_bar_features(bars).select("ticker", "_from", "_until", *names)
+    served = cal.serve_sessions(live, _calendar(bars), "_from", "_until")
+    asked = served.join(bars.select("trade_date", "ticker"), ["trade_date", "ticker"], "left_semi")
+    return rounded(asked.select("trade_date", "ticker", *names), 8, "rvol_20d")
+
+
 def _labels(spark, sf, bars=None, calendar=None, universe=None):
     bars = bars if bars is not None else _bars(spark, sf)
     universe = universe if universe is not None else _universe(spark, sf, bars, calendar)
