@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pitrank.functions.clock import first_usable_date
 from pitrank.operators.asof import date_bounds, interval_join
+from pitrank.session import stored
 
 DAWN = dt.date(1, 1, 1)
 
@@ -112,7 +113,8 @@ def known_bars(bars: DataFrame, ordered: bool | None = None, depth: int = 0,
     if ordered:
         usable = first_usable_date("as_of", after="trade_date")
         return bars.withColumn("_from", usable).withColumn("_epoch_end", F.lit(None).cast("date")), ["ticker"]
-    marked = _with_arrivals(bars)
+    # Written once: the marks are read for the punctual rest, the epochs and their bars.
+    marked = stored(_with_arrivals(bars))
     concerned = marked.where("_late").select("ticker").distinct()
     dawn = F.lit("0001-01-01").cast("date")
     # In order: one epoch without an end.
@@ -134,7 +136,7 @@ def known_bars(bars: DataFrame, ordered: bool | None = None, depth: int = 0,
         .applyInPandas(epochs_of, "ticker string, _epoch date, _epoch_end date, _oldest date, _newest date")
     )
     read = interval_join(
-        timeline, epochs, ["ticker"], "trade_date", "_oldest", "_newest", date_bounds(timeline), unit="YEAR"
+        timeline, epochs, ["ticker"], "trade_date", "_oldest", "_newest", date_bounds(marked), unit="YEAR"
     ).where(
         (F.col("_epoch_end").isNull() | (F.col("_usable") < F.col("_epoch_end")))
         & (~F.col("_late") | (F.col("_usable") <= F.col("_epoch")))
