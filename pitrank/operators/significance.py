@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from pitrank.functions.scalars import normal_two_sided, student_t_two_sided
-from pitrank.operators.ranks import average_rank, with_rank_parts
+from pitrank.operators.ranks import GRAIN, average_rank, with_rank_parts
 
 
 @F.pandas_udf(T.DoubleType())
@@ -44,7 +44,7 @@ def wilcoxon_pratt(paired: DataFrame, a: str = "model_hits", b: str = "baseline_
     diffs = paired.select((F.col(a) - F.col(b)).cast("double").alias("d")).where(F.col("d").isNotNull()).select(
         "d", F.abs("d").alias("m"), F.lit(1).alias("g")
     )
-    ranked = with_rank_parts(diffs, ["g"], "m").withColumn("r", average_rank())
+    ranked = with_rank_parts(diffs, ["g"], "m", grain=GRAIN).withColumn("r", average_rank())
     by_size = ranked.groupBy("m").agg(
         F.count(F.lit(1)).alias("t"),
         F.sum(F.when(F.col("d") > 0, F.col("r"))).alias("plus"),

@@ -173,3 +173,21 @@ def test_incremental_build_only_computes_missing(spark, lab):
     assert full.count() == lab.count()
     tables.build_incrementally(spark, dates, build, base, "v1")
     assert asked == [DAYS[:3], DAYS[3:]]
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_correlations_of_a_day_equal_those_in_slices(spark, lab, gaps):
+    given = lab.withColumn("rank", F.when((F.col("label") == 1) | ~F.lit(gaps), F.col("rank")))
+    x = _features(lab, F.expr("case when rank % 7 = 3 then null else round(return_t, 1) * rank end"))
+    got, sliced = ({(r.trade_date, r.feature, r.label_col): r for r in lk.daily_correlations(x, given, wide_day=n).collect()} for n in (10**6, 5))
+    assert got.keys() == sliced.keys() and len(got) == 6 * len(DAYS)
+    for key, r in got.items():
+        assert (r.n, r.varies) == (sliced[key].n, sliced[key].varies)
+        assert [r.pearson, r.spearman] == pytest.approx([sliced[key].pearson, sliced[key].spearman], abs=1e-12)
+
+
+def test_features_that_carry_their_labels_are_compared_in_one_read(lab):
+    carried = lab.select("trade_date", "ticker", F.col("return_t").alias("x"), *lk.LABEL_COLUMNS)
+    assert {(r.feature, r.label_col) for r in lk.identity_leaks(carried, None).where("identical").collect()} == {("x", "return_t")}
+    apart = lk.correlation_leaks(carried.select("trade_date", "ticker", "x"), lab).collect()
+    assert sorted(apart) == sorted(lk.correlation_leaks(carried, None).collect())

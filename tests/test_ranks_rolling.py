@@ -131,3 +131,10 @@ def test_least_squares_from_one_aggregate(spark):
     share = moments.with_cholesky(moments.co_moments(df, names), 4, 1).select(moments.unexplained_share(4, 4).alias("s")).first().s
     left = y - np.column_stack([x[:, :3], np.ones(300)]) @ fitted
     assert share == pytest.approx(left.var() / y.var())
+
+
+def test_ranks_of_a_cross_section_share_one_read_and_one_shuffle(section):
+    wide = section.withColumn("u", -F.col("v"))
+    ranked = ranks.add_pct_ranks(wide.repartition(3), ["trade_date"], {"v": "pv", "u": "pu"})
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Union" not in plan
