@@ -178,3 +178,14 @@ def test_walkforward_query_fits_the_published_rounds(spark, monkeypatch):
     with pytest.raises(Fitted) as seen:
         QUERIES["walkforward_gbt"](spark, "/root/testdata/sf0.001")
     assert seen.value.args[0] == rk.DEFAULTS and (rk.DEFAULTS["maxIter"], rk.DEFAULTS["maxDepth"]) == (300, 5)
+
+
+def test_a_gap_from_zero_is_infinite_and_comes_first(spark):
+    day, before = D("2021-03-02"), D("2021-03-01")
+    minutes = spark.createDataFrame([(day, t, at(day, 9), p, 1e6, at(day, 9)) for t, p in (("A", 12.0), ("B", 5.0), ("C", 0.0), ("D", 9.0))],
+                                    "trade_date date, ticker string, minute timestamp_ntz, close double, volume double, as_of timestamp_ntz")
+    close = spark.createDataFrame([(day, t, p, at(before)) for t, p in (("A", 10.0), ("B", 0.0), ("C", 0.0), ("D", 10.0))],
+                                  "trade_date date, ticker string, close double, as_of timestamp_ntz")
+    got = {r.ticker: r.score for r in bl.premarket_gap(minutes, close, floor=0.0, k=3).collect()}
+    assert got.pop("B") == float("inf") and got == pytest.approx({"A": 20.0, "D": -10.0})
+    assert {r.ticker: r.score for r in bl.premarket_gap(minutes, close, floor=0.0).collect()}["C"] is None
