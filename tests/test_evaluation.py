@@ -189,3 +189,22 @@ def test_a_gap_from_zero_is_infinite_and_comes_first(spark):
     got = {r.ticker: r.score for r in bl.premarket_gap(minutes, close, floor=0.0, k=3).collect()}
     assert got.pop("B") == float("inf") and got == pytest.approx({"A": 20.0, "D": -10.0})
     assert {r.ticker: r.score for r in bl.premarket_gap(minutes, close, floor=0.0).collect()}["C"] is None
+
+
+def test_walkforward_joins_its_labels_once(spark, monkeypatch):
+    from pitrank.operators import linear
+
+    days = weekdays("2016-01-04", 900)[::9]
+    x = spark.createDataFrame([(d, f"N{i}", float((i * 7 + k) % 11), at(d - dt.timedelta(1))) for k, d in enumerate(days) for i in range(4)],
+                              "trade_date date, ticker string, x double, as_of timestamp_ntz")
+    y = labels(spark, [(d, f"N{i}", i + 1, 0.1, int(i < 1)) for d in days for i in range(4)])
+    splits = wf.collect_splits(wf.expanding_splits(x))
+    joins = []
+    joined = wf.with_target
+    monkeypatch.setattr(wf, "with_target", lambda *a: joins.append(1) or joined(*a))
+    got = {(r.trade_date, r.ticker): r.score for r in wf.run_walkforward(linear.LinearRanker, x, y, splits).collect()}
+    want = {}
+    for s in splits:
+        train, test = (F.col("trade_date").between(a, b) for a, b in ((s.train_start, s.train_end), (s.test_start, s.test_end)))
+        want |= {(r.trade_date, r.ticker): r.score for r in linear.LinearRanker().fit(x.where(train), y.where(train)).predict(x.where(test)).collect()}
+    assert splits and len(joins) == 1 and got == pytest.approx(want)
