@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pitrank import contracts as C
 from pitrank.operators import features_bars as fb
 from pitrank.operators import redundancy as rd
+from pitrank.operators import universe as uni
+from pitrank.operators.calendar import sessions
 from pitrank.operators.rolling import rolling_max, timeline, with_extremes
 from pitrank.plans import catalog as P
-from tests.frames import bars, rows, weekdays
+from tests.frames import actions, at, bars, meta, rows, weekdays
 
 KEYS = ("trade_date", "ticker")
 
@@ -66,3 +68,23 @@ def test_figures_of_a_day_come_from_one_move(daily):
     got = rho.where("feature = 'a'").toPandas().set_index("trade_date")["spearman"]
     np.testing.assert_allclose(got.sort_index().to_numpy(), want.to_numpy())
     assert rho.where("feature = 'b' and abs(spearman + 1) > 1e-12").isEmpty()
+
+
+def test_labels_straight_from_bars_equal_those_of_the_universe(spark):
+    days = weekdays("2021-01-04", 40)
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(9):
+        for n, d in enumerate(days):
+            if rng.random() < 0.6:
+                # One name reports two days late, in date order: its newest bar is not yet known.
+                stamp = at(days[min(n + 2, 39)]) if i == 0 else at(d)
+                data.append((d, f"N{i}", float(rng.integers(1, 9)), 1e6, stamp))
+    frame, names = bars(spark, data), meta(spark, [{"ticker": f"N{i}"} for i in range(8)])
+    split = actions(spark, [(days[20], "N3", "split", 2.0, at(days[10]))])
+    calendar = sessions(frame)
+    how = dict(min_close=2.0, min_dollar_volume=1.0, max_staleness=3)
+    want = uni.build_labels(uni.build_universe(frame, names, calendar=calendar, ordered=True, **how), frame, split, k=2)
+    candidates = uni.rankable_bars(frame, names, split, calendar=calendar, **how)
+    assert rows(uni.labels_of(candidates, k=2), *KEYS) == rows(want, *KEYS) != []
+    assert rows(uni.labels_of(candidates, k=2, positives=True), *KEYS) == rows(want.where("label = 1"), *KEYS)
