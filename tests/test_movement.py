@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pitrank import contracts as C
 from pitrank.operators import features_bars as fb
+from pitrank.operators import features_t1 as t1
 from pitrank.operators import redundancy as rd
 from pitrank.operators import universe as uni
 from pitrank.operators.calendar import sessions
@@ -88,3 +89,8 @@ def test_labels_straight_from_bars_equal_those_of_the_universe(spark):
     candidates = uni.rankable_bars(frame, names, split, calendar=calendar, **how)
     assert rows(uni.labels_of(candidates, k=2), *KEYS) == rows(want, *KEYS) != []
     assert rows(uni.labels_of(candidates, k=2, positives=True), *KEYS) == rows(want.where("label = 1"), *KEYS)
+
+
+def test_wide_price_frames_are_not_scanned_row_by_row(daily):
+    text = plan(t1.bar_features(daily))
+    assert "max(close" not in text and "min(close" not in text
