@@ -101,3 +101,23 @@ def test_bars_without_a_stamp_and_tickers_in_order_beside_late_ones(spark):
     assert keys == ["ticker", "_epoch"]
     assert known.where("ticker = 'B'").count() == 9
     assert known.where(f"ticker = 'A' and trade_date = date'{DAYS[5]}'").isEmpty()
+
+
+def test_repeated_bars_and_served_features_stay_with_their_tickers(spark):
+    from pitrank.operators import calendar as cal
+
+    rng = random.Random(3)
+    data = []
+    for i, d in enumerate(DAYS[:90]):
+        for t in ("A", "B", "C"):
+            late = t != "C" and rng.random() < 0.2
+            if rng.random() < 0.9:
+                data.append((d, t, float(rng.randrange(5, 30)), 1e6, at(DAYS[i + rng.randrange(1, 9)] if late else d)))
+    frame = bars(spark, data)
+    names = ("ret_1d", "rvol_20d", "dist_from_52w_high", "consecutive_streak")
+    got = t1.bar_features_on(frame, frame, names)
+    # Neither the repeated bars nor the features are dealt anew: every exchange is by ticker alone.
+    assert "_epoch" not in "".join(line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hash" in line)
+    served = cal.serve_sessions(t1.served_bar_features(frame).select("ticker", "_from", "_until", *names), cal.sessions(frame), "_from", "_until")
+    want = served.join(frame.select("trade_date", "ticker"), ["trade_date", "ticker"], "left_semi").select("trade_date", "ticker", *names)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) != []
