@@ -94,3 +94,29 @@ def test_labels_straight_from_bars_equal_those_of_the_universe(spark):
 def test_wide_price_frames_are_not_scanned_row_by_row(daily):
     text = plan(t1.bar_features(daily))
     assert "max(close" not in text and "min(close" not in text
+
+
+def test_streams_of_a_ticker_meet_where_its_bars_lie(spark, daily):
+    calendar = sessions(daily)
+    plans = plan(t1.rank_stream(daily, calendar, True))
+    moved = [line for line in plans.splitlines() if "Exchange hashpartitioning" in line]
+    # Returns go to their weeks before they are laid out over sessions; no exchange by date follows.
+    assert any("hashpartitioning(_week" in line for line in moved) and not any("(trade_date" in line for line in moved)
+    earnings = spark.createDataFrame([("N01", weekdays("2021-02-01", 40)[i], at(weekdays("2021-01-04", 20)[i]), False) for i in range(20)],
+                                     "ticker string, report_date date, as_of timestamp_ntz, date_is_revisable boolean")
+    reports = plan(t1.report_stream(earnings, calendar))
+    assert len([line for line in reports.splitlines() if "Exchange hashpartitioning(ticker" in line]) == 1
+    assert "hashpartitioning(ticker#" in reports and "report_date" not in "".join(l for l in reports.splitlines() if "Exchange hash" in l)
+
+
+def test_ranks_by_weeks_equal_ranks_by_sessions(daily):
+    calendar = sessions(daily)
+    # A ticker that stops early serves every later session; one bar serves several weeks.
+    some = daily.where("ticker <> 'N03' or trade_date < date'2021-02-10'")
+    got = t1.rank_stream(some, calendar, True).select("ticker", "day", F.explode("placed").alias("trade_date", "position"))
+    live = t1.served_bar_features(some, True).where("ret_1d is not null").select("ticker", F.col("_from").alias("day"), "_from", "_until", "ret_1d")
+    from pitrank.operators.calendar import serve_sessions
+    from pitrank.operators.ranks import add_min_rank_desc
+    want = add_min_rank_desc(serve_sessions(live, calendar, "_from", "_until").drop("_from", "_until"), ["trade_date"], "ret_1d", "position")
+    want = want.select("ticker", "day", "trade_date", F.col("position").cast("int").alias("position"))
+    assert rows(got, *KEYS) == rows(want, *KEYS) != []
