@@ -18,6 +18,7 @@ id is the least one; an empty table gives an empty result; extra columns are ign
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from .common import arrow_map, cut_lineage, mix64
 from .graph import components
 
 TABLES, PROBES, SCALE, BLOCK = 7, 4, 0.6, 1024
+#: Rows of small blocks that are compared by one matrix product.
+TOGETHER = 160
 
 
 def _minimal_vectors() -> np.ndarray:
@@ -70,17 +73,29 @@ def _cell_keys(points: np.ndarray, table: int, dim: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def cells(unit: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> np.ndarray:
-    """Keys by vector, table and rank: the home cell first, then the probed ones, nearest first."""
+@functools.lru_cache(maxsize=256)
+def _projection(seed: int, dim: int, table: int, scale: float) -> np.ndarray:
+    return np.random.default_rng((seed, dim, table)).normal(0, scale, (dim, 8))
+
+
+def table_cells(unit: np.ndarray, table: int, probes: int, scale: float, seed: int) -> np.ndarray:
+    """Keys by vector and rank in one table: the home cell first, then the probed ones, nearest first."""
     n, dim = unit.shape
-    out = np.empty((n, tables, probes + 1), np.int64)
-    for t in range(tables):
-        x = unit @ np.random.default_rng((seed, dim, t)).normal(0, scale, (dim, 8))
-        home = decode_e8(x)
-        near = np.argsort(-((x - home) @ NEIGHBOURS.T), axis=1, kind="stable")[:, :probes]
-        points = np.concatenate((home[:, None, :], home[:, None, :] + NEIGHBOURS[near]), axis=1)
-        out[:, t] = _cell_keys(points, t, dim)
-    return out
+    x = unit @ _projection(seed, dim, table, scale)
+    home = decode_e8(x)
+    points = np.repeat(home[:, None, :], probes + 1, axis=1)
+    along = (x - home) @ NEIGHBOURS.T
+    # The few nearest one after another, equal ones by position: sorting all 240 takes most of the time otherwise.
+    for r in range(1, probes + 1):
+        best = along.argmax(1)
+        points[:, r] += NEIGHBOURS[best]
+        along[np.arange(n), best] = -np.inf
+    return _cell_keys(points, table, dim)
+
+
+def cells(unit: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> np.ndarray:
+    """Keys by vector, table and rank."""
+    return np.stack([table_cells(unit, t, probes, scale, seed) for t in range(tables)], axis=1)
 
 
 def _units(column: list) -> list[np.ndarray | None]:
@@ -96,32 +111,43 @@ def _units(column: list) -> list[np.ndarray | None]:
     return out
 
 
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of one table's cells (pair, rank) meet: one's home is the other's home or is probed by it."""
+    return (a == b[:, :1]).any(1) | (b == a[:, :1]).any(1)
+
+
 def _met_before(a: np.ndarray, b: np.ndarray, table: int) -> np.ndarray:
     """Whether pairs of cell tables (pair, table, rank) meet in a table before ``table``."""
     met = np.zeros(len(a), bool)
     for t in range(table):
-        met |= (a[:, t] == b[:, t, :1]).any(1) | (b[:, t] == a[:, t, :1]).any(1)
+        met |= _meet(a[:, t], b[:, t])
     return met
 
 
-def _compare(ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, table: int, home: np.ndarray, left: np.ndarray, right: np.ndarray,
+def _compare(group: np.ndarray, ids: np.ndarray, unit: np.ndarray, table: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray,
              keys_of, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Linked pairs of one block (positions) that are counted here, and all linked pairs (for the component)."""
+    """Linked pairs inside the groups (positions) that are counted here, and all linked pairs (for the component)."""
     ok = np.triu((left[:, None] & right[None, :]) | (right[:, None] & left[None, :]), 1) & (home[:, None] | home[None, :])
-    ok &= ids[:, None] != ids[None, :]
+    ok &= (ids[:, None] != ids[None, :]) & (group[:, None] == group[None, :])
     i, j = np.nonzero(ok & (unit @ unit.T >= cosine))
-    if not len(i):
-        return i, j, i, j
-    involved, at = np.unique(np.concatenate((i, j)), return_inverse=True)
-    keys = keys_of(unit[involved])
-    a, b = keys[at[:len(i)]], keys[at[len(i):]]
-    seen = _met_before(a, b, table)
+    own = np.ones(len(i), bool)
+
+    def keys(pairs: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        involved, at = np.unique(np.concatenate((i[pairs], j[pairs])), return_inverse=True)
+        found = keys_of(unit[involved], t)
+        return found[at[:len(pairs)]], found[at[len(pairs):]]
+
+    # A pair is looked up in the tables before its own only until it meets in one.
+    for t in range(int(table.max())):
+        pairs = np.flatnonzero(own & (table[i] > t))
+        if len(pairs):
+            own[pairs[_meet(*keys(pairs, t))]] = False
     # Both may probe the other's home: then the pair counts where the lesser id probes.
-    ha, hb = home[i], home[j]
-    a_probes, b_probes = (a[:, table] == b[:, table, :1]).any(1), (b[:, table] == a[:, table, :1]).any(1)
-    prober_is_a = ~ha & hb
-    twice = (ha ^ hb) & a_probes & b_probes & (prober_is_a != (ids[i] < ids[j]))
-    own = ~seen & ~twice
+    later = own & (home[i] ^ home[j]) & ((~home[i] & home[j]) != (ids[i] < ids[j]))
+    for t in np.unique(table[i[later]]):
+        pairs = np.flatnonzero(later & (table[i] == t))
+        a, b = keys(pairs, int(t))
+        own[pairs[(a == b[:, :1]).any(1) & (b == a[:, :1]).any(1)]] = False
     return i[own], j[own], i, j
 
 
@@ -139,40 +165,55 @@ def _local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _links(batches: Iterator[pa.RecordBatch], cosine: float, tables: int, probes: int, scale: float, seed: int):
-    """Link counts and edges of the blocks, whose rows follow one another."""
-    held: list[tuple] = []
-    held_key = None
-
-    def keys_of(unit):
-        return cells(unit, tables, probes, scale, seed)
-
-    def close():
-        ids, copies, vec, table, home, left, right = zip(*held, strict=True)
-        ids, copies = np.array(ids), np.array(copies)
-        i, j, every_i, every_j = _compare(ids, copies, np.stack(vec), table[0], np.array(home), np.array(left), np.array(right), keys_of, cosine)
+    """Link counts and edges of the blocks, whose rows follow one another; small blocks are compared together."""
+    #: Parts of the block that may go on in the next batch, and whole small blocks that wait, each (vectors, other columns).
+    going: list[tuple] = []
+    waiting: list[tuple] = []
+    names = ("class", "copies", "table", "home", "left", "right")
+
+    def keys_of(unit: np.ndarray, table: int) -> np.ndarray:
+        return table_cells(unit, table, probes, scale, seed)
+
+    def compared(blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not blocks:
+            return
+        group = np.repeat(np.arange(len(blocks)), [len(vec) for vec, _ in blocks])
+        ids, copies, table, home, left, right = (np.concatenate(c) for c in zip(*[rest for _, rest in blocks], strict=True))
+        i, j, every_i, every_j = _compare(group, ids, np.concatenate([vec for vec, _ in blocks]), table, home, left, right, keys_of, cosine)
         if not len(every_i):
-            return None
+            return
         count = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
         root = _local_roots(ids, every_i, every_j)
         some = np.flatnonzero((count > 0) | (root < ids))
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some].astype(np.int64)), pa.array(root[some])], names=["class", "links", "root"])
-
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some].astype(np.int64)), pa.array(root[some])], names=["class", "links", "root"])
+
+    def closed() -> Iterator[pa.RecordBatch]:
+        """The block that went on is whole: it waits with others of its length up to ``TOGETHER`` rows."""
+        rows = sum(len(vec) for vec, _ in going)
+        if rows > 1:
+            if waiting and (sum(len(vec) for vec, _ in waiting) + rows > TOGETHER or waiting[0][0].shape[1] != going[0][0].shape[1]):
+                yield from compared(waiting)
+                waiting.clear()
+            waiting.append((np.concatenate([vec for vec, _ in going]), [np.concatenate(c) for c in zip(*[rest for _, rest in going], strict=True)]))
+        going.clear()
+
+    last = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        key = list(zip(*[cols[c].to_pylist() for c in ("key", "first", "second")], strict=True))
-        dim = np.diff(cols["vector"].offsets.to_numpy())
+        key = np.stack([cols[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "first", "second")], axis=1)
+        rest = [cols[c].to_numpy(zero_copy_only=False) for c in names]
+        ends = cols["vector"].offsets.to_numpy()
         flat = cols["vector"].flatten().to_numpy()
-        ends = np.cumsum(dim)
-        meta = list(zip(*[cols[c].to_pylist() for c in ("class", "copies", "table", "home", "left", "right")], strict=True))
-        for r, k in enumerate(key):
-            if k != held_key:
-                if len(held) > 1 and (made := close()) is not None:
-                    yield made
-                held, held_key = [], k
-            m = meta[r]
-            held.append((m[0], m[1], flat[ends[r] - dim[r]:ends[r]], *m[2:]))
-    if len(held) > 1 and (made := close()) is not None:
-        yield made
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+        for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
+            if tuple(key[s]) != last:
+                yield from closed()
+                last = tuple(key[s])
+            going.append((flat[ends[s] - ends[0]:ends[e] - ends[0]].reshape(e - s, -1), [c[s:e] for c in rest]))
+    yield from closed()
+    yield from compared(waiting)
 
 
 def near_embeddings(vectors: DataFrame, embedding: str = "embedding", key: str = "vec_id", *, cosine: float = 0.9, tables: int = TABLES,
@@ -189,12 +230,14 @@ def near_embeddings(vectors: DataFrame, embedding: str = "embedding", key: str =
             if u is not None:
                 by_dim.setdefault(len(u), []).append(r)
         keys: list = [None] * len(unit)
-        for members in by_dim.values():
-            found = cells(np.stack([unit[r] for r in members]), tables, probes, scale, seed)
-            for r, k in zip(members, found.reshape(len(members), -1), strict=True):
-                keys[r] = k
-        digest = [None if u is None else int(mix64(np.array([0, *u.view(np.uint64)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                                                   + np.arange(len(u) + 1, dtype=np.uint64)).sum().astype(np.int64)) for u in unit]
+        digest: list = [None] * len(unit)
+        for dim, members in by_dim.items():
+            same = np.stack([unit[r] for r in members])
+            found = cells(same, tables, probes, scale, seed)
+            bits = np.pad(same.view(np.uint64), ((0, 0), (1, 0))) * np.uint64(0x9E3779B97F4A7C15) + np.arange(dim + 1, dtype=np.uint64)
+            marks = mix64(bits).sum(1).view(np.int64).tolist()
+            for r, k, d in zip(members, found.reshape(len(members), -1), marks, strict=True):
+                keys[r], digest[r] = k, d
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(digest, pa.int64()),
                                            pa.array(unit, pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64()))],
                                           names=["vector", "least", "copies", "class", "unit", "keys"])
